@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.mixing import mix
+from tallyforge.llm.quality_classifier import classify
+from tallyforge.llm.quality_rules import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +19,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op7_exact_dedup": op7_exact_dedup}
+QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op7_exact_dedup": op7_exact_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -71,3 +86,40 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM g
 """
+
+ORACLE_SQL["op3_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), win AS (
+  SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS v
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS n FROM win) WHERE n > 1
+), rep AS (
+  SELECT rid, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid
+), ln AS (
+  SELECT rid, source, t, unnest(lines) AS raw FROM w
+), norm AS (
+  SELECT rid, source, t, raw, trim(regexp_replace(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS line FROM ln
+), host AS (
+  SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source
+), freq AS (
+  SELECT n.source, n.line FROM norm n JOIN host ON n.source IS NOT DISTINCT FROM host.source
+  GROUP BY n.source, n.line, host_docs HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > host_docs * 0.02::DOUBLE
+), chars AS (
+  SELECT n.rid, sum(length(raw))::BIGINT AS line_chars, coalesce(sum(length(raw)) FILTER (freq.line IS NOT NULL), 0)::BIGINT AS frequent_chars
+  FROM norm n LEFT JOIN freq ON n.source IS NOT DISTINCT FROM freq.source AND n.line = freq.line GROUP BY n.rid
+), b AS (
+  SELECT w.rid, doc_id, len(words)::BIGINT AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(frequent_chars, 0)::BIGINT AS frequent_chars
+  FROM w LEFT JOIN rep ON w.rid = rep.rid LEFT JOIN chars ON w.rid = chars.rid
+)
+SELECT * EXCLUDE (rid), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (line_chars - frequent_chars < line_chars * 0.3::DOUBLE) AS kept FROM b
+"""
