@@ -13,6 +13,7 @@ from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.mixing import mix
 from tallyforge.llm.quality_classifier import classify
 from tallyforge.llm.quality_rules import judge
+from tallyforge.llm.token_file import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +38,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_file": op10_token_file,
 }
 
 ORACLE_SQL: dict[str, str] = {}
