@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm.bpe import digests
 from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
+from tallyforge.llm.html_text import extract
 from tallyforge.llm.mixing import mix
 from tallyforge.llm.quality_classifier import classify
 from tallyforge.llm.quality_rules import judge
@@ -38,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_html_text": op9_html_text,
     "op10_token_file": op10_token_file,
 }
 
