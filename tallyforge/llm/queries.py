@@ -12,6 +12,7 @@ from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.html_text import extract
 from tallyforge.llm.mixing import mix
+from tallyforge.llm.ngram_jaccard import jaccard_join
 from tallyforge.llm.quality_classifier import classify
 from tallyforge.llm.quality_rules import judge
 from tallyforge.llm.token_file import round_trip
@@ -31,6 +32,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_html_text": op9_html_text,
@@ -142,3 +148,24 @@ WITH d AS (
 SELECT * EXCLUDE (rid), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (line_chars - frequent_chars < line_chars * 0.3::DOUBLE) AS kept FROM b
 """
+
+ORACLE_SQL["op5_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON w.doc_id = c.a
+"""
