@@ -11,6 +11,8 @@ from tallyforge.llm.bpe import digests
 from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.html_text import extract
+from tallyforge.llm.line_dedup import dedup_lines
+from tallyforge.llm.lm_mixing import score
 from tallyforge.llm.mixing import mix
 from tallyforge.llm.ngram_jaccard import jaccard_join
 from tallyforge.llm.quality_classifier import classify
@@ -24,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
@@ -54,11 +64,13 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_html_text": op9_html_text,
     "op10_token_file": op10_token_file,
 }
@@ -169,3 +181,25 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON w.doc_id = c.a
 """
+
+ORACLE_SQL["op2_line_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), o AS (
+  SELECT rid, doc_id, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS raw FROM d)
+), e AS (
+  SELECT rid, doc_id, line, count(*) AS times FROM o WHERE length(line) >= 20 GROUP BY rid, doc_id, line
+), f AS (
+  SELECT line, min(doc_id) AS first, length(line) AS n FROM e GROUP BY line
+), near AS (
+  SELECT DISTINCT b.line FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND (a.first, a.line) < (b.first, b.line)
+  WHERE abs(a.n - b.n) <= 2 AND levenshtein(a.line, b.line) <= 2
+), g AS (
+  SELECT e.rid, sum(CASE WHEN near.line IS NOT NULL THEN 0 ELSE times - (e.doc_id = f.first)::INT END)::BIGINT AS n_equal,
+    sum(CASE WHEN near.line IS NOT NULL THEN times ELSE 0 END)::BIGINT AS n_near
+  FROM e JOIN f ON e.line = f.line LEFT JOIN near ON e.line = near.line GROUP BY e.rid
+)
+SELECT doc_id, (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END)::BIGINT AS n_lines,
+  coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN g ON d.rid = g.rid
+"""
