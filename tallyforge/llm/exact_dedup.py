@@ -159,3 +159,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return prints.join(groups, key).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, with all their columns."""
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    kept = work_table(kept, "dedup_kept")
+    rows = docs.withColumn("_sha", F.sha2(squeezed(text_of()).cast("binary"), 256))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)

@@ -84,8 +84,8 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken."""
+def _plan(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, Column]:
+    """rows (doc_id, source, size, h), one row per source with its target and threshold, and how often a joined row is taken."""
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
     rows = docs.select("doc_id", "source", size.alias("size")).withColumn("h", doc_hash(F.col("doc_id"), F.col("size")))
     rows = work_table(rows, "mix_rows")
@@ -97,7 +97,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     cut = cut.withColumnRenamed("source", "cut_source")
     aims = aims.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source").withColumnRenamed("source", "aim_source")
     more = (F.col("h") <= F.coalesce("threshold", F.lit(-1))).cast("long")
-    cap = F.floor(F.lit(most)).cast("long")
+    return rows, work_table(aims, "mix_aims"), F.least(F.col("times") + more, F.floor(F.lit(most)).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken, one row for each row of docs."""
+    rows, aims, times = _plan(docs, weights, share, most)
     return rows.join(aims, F.col("source").eqNullSafe(F.col("aim_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(F.col("times") + more, cap)).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken; those of size 0 stay once."""
+    _, aims, times = _plan(docs, weights, share, most)
+    size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", size.alias("size"), doc_hash(F.col("doc_id"), size).alias("h"))
+    taken = F.when(F.col("size") > 0, times).otherwise(1).cast("int")
+    rows = rows.join(aims, F.col("source").eqNullSafe(F.col("aim_source"))).select("row", taken.alias("taken")).filter("taken > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("taken"))).alias("nth")).select("row.*")

@@ -435,3 +435,10 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = work_table(at.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard_least").withColumnRenamed("root", "r")
     out = at.join(least, (F.col("root") == F.col("r")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs with the smallest doc_id of their component, with all their columns; rows of one id go together."""
+    found = jaccard_join(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = work_table(found.select(F.col("doc_id").alias("_id")).distinct(), "jaccard_kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

@@ -33,11 +33,11 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """docs (doc_id, text) -> the columns named in keep and the transformed statistics of each whole text."""
+    """docs (doc_id, text) -> `row`, a struct of the columns named in keep, and the transformed statistics of each whole text."""
     text, words = F.col("_t"), F.col("_w")
-    rows = docs.select(*keep, text_of().alias("_t"))
+    rows = docs.select(F.struct(*keep).alias("row"), text_of().alias("_t"))
     rows = rows.withColumn("_w", words_of(text)).select(
-        *keep,
+        "row",
         F.size(words).cast("double").alias("n"),
         F.size(F.array_distinct(words)).cast("double").alias("d"),
         F.length(text).cast("double").alias("c"),
@@ -64,7 +64,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         "digits": share("digit", 0.01),
         "line_length": F.log1p(F.col("n") / F.col("lines")),
     }
-    return rows.select(*keep, *[values[k].alias(k) for k in FEATURES])
+    return rows.select("row", *[values[k].alias(k) for k in FEATURES])
 
 
 @dataclass
@@ -114,15 +114,22 @@ def fit(labelled: DataFrame) -> Discriminant:
     return Discriminant(means, inverses, logdets, np.log((n + 1) / (n.sum() + 2)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs (doc_id, text), labels (doc_id, quality) -> keep columns (doc_id), held_out, score, predicted.
+def _known(labels: DataFrame) -> DataFrame:
+    """The labels that may be learnt from: not those of documents whose crc32 of the id as text is 0 modulo 5."""
+    return labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).filter(crc_mod(F.col("id"), 5) != 0)
 
-    Only labels of documents whose crc32 of the id as text is not 0 modulo 5 are learnt from.
-    """
-    rows = work_table(statistics(docs.select("doc_id", "text"), ["doc_id"]), "quality_statistics")
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")).filter(crc_mod(F.col("id"), 5) != 0)
-    model = fit(rows.join(known, F.col("doc_id") == F.col("id")))
-    score = model.score()
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text), labels (doc_id, quality) -> doc_id, held_out, score, predicted, one row for each row of docs."""
+    rows = work_table(statistics(docs, ["doc_id"]).select("row.doc_id", *FEATURES), "quality_statistics")
+    score = fit(rows.join(_known(labels), F.col("doc_id") == F.col("id"))).score()
     return rows.select(
         "doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns; statistics and score are computed in the scan."""
+    learnt = docs.select("doc_id", "text").join(_known(labels), F.col("doc_id") == F.col("id")).select("y", "text")
+    model = fit(statistics(learnt, ["y"]).select("row.y", *FEATURES))
+    return statistics(docs, docs.columns).filter(model.score() >= THRESHOLD).select("row.*")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from tallyforge.llm.bpe import digests
 from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
@@ -62,6 +64,10 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_html_text": op9_html_text,
     "op10_token_file": op10_token_file,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
