@@ -33,7 +33,7 @@ def level_counts(df: DataFrame, axes: dict[str, Column]) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], limit: int) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
 def usage_by_context(df: DataFrame, context: str, name: str, limit: int = 10) -> DataFrame:
@@ -85,4 +85,4 @@ def findings(df: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataF
     """(key, rule, line, text): each line that a rule's pattern is found in, lines counted from 1."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("n", "raw"))
     hits = F.array_compact(F.array(*[F.when(F.col("raw").rlike(p), F.lit(r)) for r, p in rules.items()]))
-    return lines.select(key, F.explode(hits).alias("rule"), (F.col("n") + 1).alias("line"), F.trim("raw").alias("text"))
+    return lines.select(key, F.explode(hits).alias("rule"), (F.col("n") + 1).cast("long").alias("line"), F.trim("raw").alias("text"))
