@@ -31,88 +31,102 @@ END_ID = 1
 BLOCK = 1 << 18
 ROWS_PER_SHARD, MOST_SHARDS = 8192, 20_000
 #: Most entries of a worker's cache, and the longest chunk kept in it.
-CACHED, CACHED_CHARS = 300_000, 48
+CACHED, CACHED_CHARS = 900_000, 40
 #: Chunks that are one word of these letters and a run of these marks are looked up as the two, the word in lower case.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)").fullmatch
 
 
+def _packed(width: int) -> str:
+    return "<u2" if width <= 1 << 16 else "<u4"
+
+
 class WordEncoder:
-    """Encodes with a tokenizer that drops white space: each chunk between spaces is encoded once and then looked up."""
+    """Encodes with a tokenizer that drops white space: each chunk between spaces is encoded once and then looked up.
+
+    Ids are kept and given as packed integers (kind), two or four bytes each.
+    """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, width: int = 0) -> None:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.kind = np.dtype(_packed(max(width, self.tokenizer.get_vocab_size())))
+        self.cache: dict[str, bytes] = {}
         #: Ids that end a word in the tokenizer's vocabulary.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for letters, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = letters.endswith("</w>")
 
-    def _plain(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def _asked(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters or marks alone, which the library takes as one word each: asked for together, cut at word ends."""
-        found: dict[str, tuple[int, ...]] = {}
+        found: dict[str, bytes] = {}
+        size = self.kind.itemsize
         for i in range(0, len(words), 4096):
             some = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = self._asked(" ".join(some))
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             if len(stops) != len(some):
-                found.update((w, tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)) for w in some)
+                found.update((w, self._asked(w).tobytes()) for w in some)
                 continue
-            flat = ids.tolist()
-            found.update((w, tuple(flat[a:b])) for w, a, b in zip(some, [0, *stops], stops, strict=False))
+            flat = ids.tobytes()
+            found.update((w, flat[a:b]) for w, a, b in zip(some, [0, *stops], stops, strict=False))
         return found
 
-    def _fresh(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
+    def _fresh(self, chunks: list[str]) -> dict[str, bytes]:
         """Chunks encoded by the library; simple ones share the encoding of their word and marks."""
-        cache, simple, ask, plain = self.cache, {}, {}, {}
+        cache, simple, ask, plain = self.cache, [], [], {}
         for chunk in chunks:
-            m = SIMPLE(chunk)
-            if m and len(chunk) <= CACHED_CHARS:
-                simple[chunk] = word, marks = m[1].lower(), m[2]
-                for part in (word, marks):
-                    if part and part not in cache:
-                        plain[part] = None
+            m = SIMPLE(chunk) if len(chunk) <= CACHED_CHARS else None
+            if m:
+                word, marks = m[1].lower(), m[2]
+                simple.append((chunk, word, marks))
+                if word not in cache:
+                    plain[word] = None
+                if marks and marks not in cache:
+                    plain[marks] = None
             else:
-                ask[chunk] = None
-        asked = list(ask)
-        found = {c: tuple(e.ids) for c, e in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True)} if asked else {}
-        found.update(self._plain(list(plain)))
-        if len(cache) < CACHED:
-            cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-        found[""] = ()
-        for chunk, (word, marks) in simple.items():
-            if chunk not in found:
-                found[chunk] = (found[word] if word in found else cache[word]) + (found[marks] if marks in found else cache[marks])
-        return found
+                ask.append(chunk)
+        found = self._plain(list(plain))
+        if ask:
+            found.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True))
+        out = dict(found)
+        for chunk, word, marks in simple:
+            if chunk not in out:
+                ids = found[word] if word in found else cache[word]
+                out[chunk] = ids + (found[marks] if marks in found else cache[marks]) if marks else ids
+        return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """The library's ids of each whole text, without special tokens added."""
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each whole text, without special tokens added, packed."""
         cut = [t.split(" ") for t in texts]
         cache = self.cache
         new = set(chain.from_iterable(cut)).difference(cache)
-        found = self._fresh(list(new)) if new else {}
-        out = [list(chain.from_iterable([cache[c] if c in cache else found[c] for c in chunks])) for chunks in cut]
+        if not new:
+            return [b"".join([cache[c] for c in chunks]) for chunks in cut]
+        found = self._fresh(list(new))
         if len(cache) < CACHED:
             cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-        return out
+        get = cache.get
+        return [b"".join([x if (x := get(c)) is not None else found[c] for c in chunks]) for chunks in cut]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, self.kind).tolist() for x in self.encode_packed(texts)]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
-def word_encoder(spec: str) -> WordEncoder:
-    key = zlib.crc32(spec.encode())
+def word_encoder(spec: str, width: int) -> WordEncoder:
+    key = zlib.crc32(spec.encode()) << 32 | width
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec)
+        _ENCODERS[key] = WordEncoder(spec, width)
     return _ENCODERS[key]
 
 
-def _packed(width: int) -> str:
-    return "<u2" if width <= 1 << 16 else "<u4"
-
-
 def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, int]:
     """docs (doc_id, text) -> (shard, seq, doc_id, ids as packed integers) in order of doc_id, written; and the vocabulary's size."""
     spark = docs.sparkSession
@@ -122,9 +136,10 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Dat
     spec, kind = spark.sparkContext.broadcast(text), _packed(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq = word_encoder(spec.value), 0
+        encoder, seq = word_encoder(spec.value, width), 0
+        end = np.array([end_id], kind).tobytes()
         for b in batches:
-            ids = [np.array([*x, end_id], kind).tobytes() for x in encoder.encode_batch(b.column(2).to_pylist())]
+            ids = [x + end for x in encoder.encode_packed(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.arange(seq, seq + len(ids))), b.column(1), pa.array(ids, pa.binary())],
                 names=["shard", "seq", "doc_id", "ids"],
