@@ -9,7 +9,7 @@ one-deletion neighbourhood. Matches are verified exactly on the whole sets.
 
 Sets are hashed to 64-bit shingles; equal sets are one node. Entries travel as sorted, compressed blobs by bucket of the
 signature, so a bucket is one array join whatever the input's size. Where many sets share a signature only the links to
-the smallest one are verified first; further pairs of it are verified only where they lie in different components then.
+the smallest one are verified first; if that leaves several components, its sets are compared in blocks (by_blocks).
 A set that has too few segments to choose from (possible for small sets only) is looked up by shingles instead.
 
 Defined cases: null text counts as empty; a set without shingles is linked with nothing; a null doc_id has a null
@@ -22,24 +22,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import small_batches, text_of, work_table
+from tallyforge.llm.common import discard, small_batches, text_of, work_table
 from tallyforge.llm.components import components
 from tallyforge.llm.shingles import GOLDEN, mixed, shingle_sets, text_buffer
 
 PERCENT = 75
 #: Surplus of segments over what the pigeonhole needs; bands of up to ALL_DELETE segments index deletions in all of them.
 SURPLUS, ALL_DELETE, DELETE_PART = 1.2, 48, 8
-#: Shingles of at least HOT documents in one task are counted as frequent; the HOT_KEPT most frequent guide the costs (only).
-HOT, HOT_KEPT = 12, 100_000
+#: Shingles of at least HOT sets among HOT_RUN documents are counted as frequent; the HOT_KEPT most frequent guide the costs (only).
+HOT, HOT_RUN, HOT_KEPT = 4, 8192, 300_000
 ENTRIES, MOST_BUCKETS, FLUSH = 2_000_000, 1 << 17, 4_000_000
-#: Signatures shared by more sets than this give links to the smallest set first.
-STAR = 12
+#: Signatures with more entries than STAR are paired probe by index; where that gives over SPARSE pairs an entry, only
+#: links to the smallest set are verified at first.
+STAR, SPARSE = 12, 12
+#: Most sets, and about the most shingles, of a block of sets that are compared with one another.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 
 
 def most_apart(r: int, s: int, percent: int = PERCENT) -> int:
@@ -129,28 +131,45 @@ def nodes_and_hot(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     only steer which segments are probed, never what is found.
     """
 
+    names = ["doc_id", "n", "node", "check", "hot", "hot_n"]
+    lists = pa.list_(pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        met: set[int] = set()
+        seen = 0
+
+        def counted() -> pa.RecordBatch:
+            every, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            hot = n >= HOT
+            none = pa.array([None], pa.int64())
+            return pa.RecordBatch.from_arrays([none] * 4 + [pa.array([x], lists) for x in (every[hot].view(np.int64), n[hot])], names=names)
+
         for b in batches:
             sets = _sets(b, 1)
             keys = [node_of(s) for s in sets]
-            every, n = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            hot = n >= HOT
-            lists = [every[hot].view(np.int64).tolist(), n[hot].tolist()]
+            for s, k in zip(sets, keys, strict=True):
+                if k[0] not in met:
+                    met.add(k[0])
+                    held.append(s)
+            seen += len(sets)
+            none = pa.array([None] * len(sets), lists)
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                    *[pa.array([x if i == 0 else [] for i in range(len(sets))], pa.list_(pa.int64())) for x in lists],
-                ],
-                names=["doc_id", "n", "node", "check", "hot", "hot_n"],
-            )
+                [b.column(0), *[pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys])], none, none], names=names
+            )
+            if seen >= HOT_RUN:
+                yield counted()
+                held, met, seen = [], set(), 0
+        if held:
+            yield counted()
 
     rows = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n long, node long, check long, hot array<long>, hot_n array<long>")
     rows = work_table(rows, "jaccard_nodes")
-    hot = rows.filter("size(hot) > 0").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n"))
+    hot = rows.filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n"))
     top = sorted((r["hot"], r["n"]) for r in hot.orderBy(F.desc("n"), "hot").limit(HOT_KEPT).collect())
     shingle, count = np.array([h for h, _ in top], np.int64).view(np.uint64), np.array([c for _, c in top], np.int64)
     order = np.argsort(shingle)
-    return rows.drop("hot", "hot_n"), shingle[order], count[order]
+    return rows.filter("hot is null").drop("hot", "hot_n"), shingle[order], count[order]
 
 
 def blob_rows(docs: DataFrame, buckets: int, largest: int, hot: np.ndarray, hot_n: np.ndarray, percent: int) -> DataFrame:
@@ -176,7 +195,7 @@ def blob_rows(docs: DataFrame, buckets: int, largest: int, hot: np.ndarray, hot_
             node, length = np.array(nodes, np.int64), np.array(sizes, np.uint32)
             low = ((signature << np.uint64(64) - shift if buckets > 1 else signature) >> np.uint64(32)).astype(np.uint32)
             rows, blobs = [], []
-            for a, b in zip(cuts, np.append(cuts[1:], len(where)), strict=True):
+            for a, b in zip(cuts, np.append(cuts[1:], len(where))[: len(cuts)], strict=True):
                 used, local = np.unique(tail[a:b] >> np.uint32(2), return_inverse=True)
                 packed = (local.astype(np.uint32) << np.uint32(2)) | (tail[a:b] & np.uint32(3))
                 packed = packed.astype(np.uint16) if len(used) < 1 << 14 else packed
@@ -240,8 +259,8 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in out)
 
 
-def bucket_links(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Candidate pairs of a bucket (a < b), and the node lists of the signatures that many sets share."""
+def bucket_links(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Candidate pairs of a bucket (a < b), and for the signatures that many sets share their probing and their indexed nodes."""
     signature, node, size, flag = _unpack(blobs)
     order = np.lexsort((node, signature))
     signature, node, size, flag = signature[order], node[order], size[order].astype(np.int64), flag[order]
@@ -274,13 +293,16 @@ def bucket_links(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarr
         by_size = at[np.argsort(size[at], kind="stable")]
         apart = np.flatnonzero(100 * size[by_size[:-1]] < percent * size[by_size[1:]]) + 1
         for part in np.split(by_size, apart):
-            if len(part) < 2 or not (flag[part] & 2).any() or not (flag[part] & 1).any():
+            probes, index = part[(flag[part] & 2) > 0], part[(flag[part] & 1) > 0]
+            if not len(probes) or not len(index) or len(part) < 2:
+                continue
+            if len(probes) * len(index) <= SPARSE * len(part):
+                keep(np.repeat(probes, len(index)), np.tile(index, len(probes)))
                 continue
             first = part[np.argmin(node[part])]
             others = part[part != first]
             pairs.append((np.full(len(others), node[first]), node[others]))
-            if len(part) > 2:
-                many.append(np.sort(node[part]))
+            many.append((np.sort(node[probes]), np.sort(node[index])))
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), many
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
@@ -289,20 +311,18 @@ def bucket_links(blobs: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarr
 
 
 def candidates(blobs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, many): candidate pairs with a null list, and lists of nodes with null pairs."""
+    """(a, b, probes, indexed): candidate pairs with null lists, and the lists of shared signatures with null pairs."""
+
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, many = bucket_links(pdf["blob"].tolist(), percent)
-        listed = list({m.tobytes(): m for m in many}.values())
-        none = pd.array([None] * len(listed), dtype="Int64")
-        return pd.concat(
-            [
-                pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "many": [None] * len(a)}),
-                pd.DataFrame({"a": none, "b": none, "many": [m.tolist() for m in listed]}),
-            ]
-        )
+    def run(bucket: pa.Table) -> pa.Table:
+        a, b, many = bucket_links(bucket.column("blob").to_pylist(), percent)
+        listed = list({(p.tobytes(), i.tobytes()): (p, i) for p, i in many}.values())
+        none = [None] * len(listed)
+        columns = [[*a.tolist(), *none], [*b.tolist(), *none], *[[None] * len(a) + [m[k] for m in listed] for k in (0, 1)]]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["a", "b", "probes", "indexed"])
 
-    return blobs.filter("bucket >= 0").groupBy("bucket").applyInPandas(run, "a long, b long, many array<long>")
+    return blobs.filter("bucket >= 0").groupBy("bucket").applyInArrow(run, "a long, b long, probes array<long>, indexed array<long>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,8 +339,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
             )
 
     texts = docs.select("doc_id", text_of().alias("text")).join(one, F.col("doc_id").eqNullSafe(F.col("id")))
-    found = texts.select("node", "text").mapInArrow(run, "node long, s binary")
-    return work_table(found, "jaccard_sets")
+    return texts.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -344,6 +363,79 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Index pairs of similar sets of two blocks, as many as connect what similar pairs connect."""
+    flat = [np.concatenate(x) for x in (left, right)]
+    size = [np.array(list(map(len, x)), np.int64) for x in (left, right)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(shared), 16384):
+        some = shared[at : at + 16384]
+        has = []
+        for tokens, n in zip(flat, size, strict=True):
+            place = np.minimum(np.searchsorted(some, tokens), len(some) - 1)
+            hit = some[place] == tokens
+            matrix = np.zeros((len(n), len(some)), np.float32)
+            matrix[np.repeat(np.arange(len(n)), n)[hit], place[hit]] = 1
+            has.append(matrix)
+        both += has[0] @ has[1].T
+    similar = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+    root = list(range(len(left) + len(right)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(similar)), strict=True):
+        a, b = find(i), find(len(left) + j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def by_blocks(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified pairs (a, b) among the nodes that edges (first, node) tie together, enough to connect what is similar.
+
+    Signatures that many sets share name much the same nodes again and again. Tied nodes form one group, whose sets are
+    dealt by size band and hash to blocks of bounded size; blocks of equal or neighbouring bands are compared as
+    matrices, so that rows are blocks and links, never candidate pairs.
+    """
+    group = components(edges.select(F.col("first").alias("a"), F.col("node").alias("b")))
+    size = nodes.groupBy("node").agg(F.max("n").alias("n")).withColumnRenamed("node", "w")
+    group = group.join(size, F.col("node") == F.col("w")).select("node", "root", "n", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).alias("band"))
+    group = work_table(group, "jaccard_group")
+    parts = group.groupBy("root", "band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = parts.select(F.col("root").alias("r"), F.col("band").alias("q"), "parts")
+    dealt = group.join(parts, (F.col("root") == F.col("r")) & (F.col("band") == F.col("q")))
+    dealt = dealt.select("root", "band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
+    dealt = dealt.join(sets.select(F.col("node").alias("w"), "s"), F.col("node") == F.col("w")).select("root", "band", "part", "node", "s")
+
+    def block(rows: pa.Table) -> pa.Table:
+        columns = [rows.column(c).slice(0, 1).combine_chunks() for c in ("root", "band", "part")]
+        listed = pa.array([rows.column("node").to_pylist()], pa.list_(pa.int64())), pa.array([rows.column("s").to_pylist()], pa.list_(pa.binary()))
+        return pa.Table.from_arrays([*columns, *listed], names=["root", "band", "part", "nodes", "s"])
+
+    blocks = dealt.groupBy("root", "band", "part").applyInArrow(block, "root long, band long, part int, nodes array<long>, s array<binary>")
+    blocks = work_table(blocks, "jaccard_blocks")
+    other = blocks.select(F.col("root").alias("r"), F.col("band").alias("q"), F.col("part").alias("p"), F.col("nodes").alias("nodes2"), F.col("s").alias("s2"))
+    later = (F.col("q") == F.col("band") + 1) | ((F.col("q") == F.col("band")) & (F.col("p") >= F.col("part")))
+    pairs = blocks.join(other, (F.col("root") == F.col("r")) & later).select("nodes", "s", "nodes2", "s2").repartition(F.xxhash64("nodes", "nodes2"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                names, left, names2, right = (b.column(k)[i].as_py() for k in range(4))
+                found = block_links([np.frombuffer(x, np.uint64) for x in left], [np.frombuffer(x, np.uint64) for x in right], percent)
+                found = [(names[x], names2[y]) for x, y in found if names[x] != names2[y]]
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+    return work_table(pairs.mapInArrow(compare, "a long, b long"), "jaccard_dense")
+
+
 def by_shingles(docs: DataFrame, nodes: DataFrame, rest: DataFrame, percent: int, block: int = 1_000_000) -> DataFrame:
     """Candidate pairs of nodes that could not choose enough segments: all sets that share one of their first shingles.
 
@@ -351,7 +443,6 @@ def by_shingles(docs: DataFrame, nodes: DataFrame, rest: DataFrame, percent: int
     bounded size, each looked up in all documents.
     """
     sets = node_sets(docs, nodes, rest)
-    sets = sets.dropDuplicates(["node"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -395,34 +486,38 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, hot_n: np.ndarray,
         buckets *= 2
     blobs = work_table(blob_rows(docs, buckets, largest, hot, hot_n, percent), "jaccard_blobs")
     found = work_table(candidates(blobs, percent), "jaccard_candidates")
-    pairs = found.filter("many is null").select("a", "b").distinct()
-    rest = [r["blob"] for r in blobs.filter("bucket = -1").select("blob").limit(1).collect()]
-    if rest:
+    pairs = found.filter("probes is null").select("a", "b").distinct()
+    if not blobs.filter("bucket = -1").isEmpty():
         unpack = F.udf(lambda b: np.frombuffer(b, np.int64).tolist(), "array<long>")
         short = blobs.filter("bucket = -1").select(F.explode(unpack("blob")).alias("node")).distinct()
         pairs = pairs.unionByName(by_shingles(docs, nodes, short, percent)).distinct()
     pairs = work_table(pairs, "jaccard_pairs")
-    many = found.filter("many is not null").select("many").distinct()
-    many = work_table(many.withColumn("gid", F.xxhash64("many")), "jaccard_many")
+    many = found.filter("probes is not null").select("probes", "indexed").distinct()
+    many = work_table(many.withColumn("gid", F.xxhash64("probes", "indexed")), "jaccard_many")
+    discard(blobs, found)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = node_sets(docs, nodes, wanted).dropDuplicates(["node"])
-    sets = work_table(sets, "jaccard_sets")
+    sets = work_table(node_sets(docs, nodes, wanted), "jaccard_sets")
     # first each node's pair with its smallest partner, then what still lies between components
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    nearest = work_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard_nearest")
     good = work_table(verified(nearest, sets, percent), "jaccard_good")
-    roots = components(good)
+    roots = work_table(components(good), "jaccard_roots")
     more = pairs.join(nearest, ["a", "b"], "left_anti")
-    listed = many.select("gid", F.explode("many").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = listed.groupBy("gid").agg(F.countDistinct("root").alias("k")).filter("k > 1").select("gid")
-    listed = listed.join(split, "gid").select("gid", "node", "root")
-    other = listed.select(F.col("gid").alias("g"), F.col("node").alias("m"), F.col("root").alias("r"))
-    across = listed.join(other, (F.col("gid") == F.col("g")) & (F.col("node") < F.col("m")) & (F.col("root") != F.col("r")))
-    more = more.unionByName(across.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct())
+
+    def named(side: str) -> DataFrame:
+        rows = many.select("gid", F.explode(side).alias("node")).join(roots, "node", "left")
+        return rows.select("gid", "node", F.coalesce("root", "node").alias("root"))
+
+    members = work_table(named("probes").unionByName(named("indexed")).distinct(), "jaccard_members")
+    several = members.groupBy("gid").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("node").alias("first"))
+    several = several.filter("least != most").select("gid", "first")
+    dense = by_blocks(members.join(several, "gid").select("first", "node"), nodes, sets, percent)
     for side in ("a", "b"):
-        named = roots.select(F.col("node").alias("n_"), F.col("root").alias(f"root_{side}"))
-        more = more.join(named, F.col(side) == F.col("n_"), "left").drop("n_").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+        at = roots.select(F.col("node").alias("n_"), F.col("root").alias(f"root_{side}"))
+        more = more.join(at, F.col(side) == F.col("n_"), "left").drop("n_").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     more = work_table(more.filter("root_a != root_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti"), "jaccard_more")
-    return work_table(good.unionByName(verified(more, sets, percent)), "jaccard_links")
+    out = work_table(good.unionByName(dense).unionByName(verified(more, sets, percent)), "jaccard_links")
+    discard(sets, pairs, many, members)
+    return out
 
 
 def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
