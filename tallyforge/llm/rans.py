@@ -15,9 +15,9 @@ import numpy as np
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
+LANES = 1024
 #: Steps between checkpoints.
-CHECKPOINT = 256
+CHECKPOINT = 128
 #: Fixed values of the payload: mark and header (mark, ids, lanes, steps between checkpoints, words, checkpoints).
 MARK = b"TFR1"
 HEADER = struct.Struct("<4sIIIII")
