@@ -1,0 +1,34 @@
+from tallyforge.sources import extract as X
+from tallyforge.sources.sinks import dot_lines, graph_json, write_csv
+
+
+def sources(spark):
+    app = "import React from 'react'\nimport type { T } from './types'\nimport { Button } from '@/components/Button'\nimport './side.css'\nconst l = import('./lazy')\n// import x from 'no'\nexport * from './utils/helper'\n"
+    rows = [("src/App.tsx", app), ("src/components/Button.tsx", "export const Button = 1"), ("src/utils/helper.ts", "x"), ("src/lazy.ts", "x"), ("src/types.ts", "x")]
+    return spark.createDataFrame(rows, "path string, content string")
+
+
+def test_dependencies_resolve(spark):
+    files = sources(spark)
+    got = {tuple(r) for r in X.resolved(X.dependencies(files), files, {"@/": "src/"}).collect()}
+    a = "src/App.tsx"
+    assert got == {
+        (a, "react", "import", False, True), (a, "src/types.ts", "import", True, False), (a, "src/components/Button.tsx", "import", False, False),
+        (a, "src/side.css", "side-effect-import", False, False), (a, "src/lazy.ts", "dynamic-import", False, False), (a, "src/utils/helper.ts", "export", False, False),
+    }
+
+
+def test_lines_and_directives(spark):
+    text = "/* a\n b */\ncode() // @ts-ignore\n\n// @ts-nocheck\nconst s = '@ts-expect-error'\n"
+    f = spark.createDataFrame([("a.ts", text)], "path string, content string")
+    assert tuple(X.line_classes(f).first()) == ("a.ts", 7, 2, 3)
+    assert tuple(X.directives(f).first()) == ("a.ts", 1, 0, 1)
+
+
+def test_sinks(spark, tmp_path):
+    nodes = spark.createDataFrame([('a/"x".ts', 3), ("b.ts", 0)], "id string, in_degree int")
+    edges = spark.createDataFrame([("b.ts", 'a/"x".ts')], "source string, target string")
+    assert [r["line"] for r in dot_lines(nodes, edges).collect()][2] == '  "b.ts" -> "a/\\"x\\".ts";'
+    assert [r["kind"] for r in graph_json(nodes, edges).collect()] == ["node", "node", "edge"]
+    write_csv(nodes, str(tmp_path / "n"))
+    assert spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "n")).count() == 2
