@@ -265,7 +265,7 @@ def count_bits(table: np.ndarray, m: dict[str, np.ndarray]) -> None:
     own = {"text": text, "bounds": bounds, "seen": m["seen"][learnt], "cue": m["cue"][learnt]}
     for a, b in spans(own):
         at, bits, _, owner = span_bits(own, a, b)
-        times = own["seen"][a:b][owner].astype(np.float32)
+        times = own["seen"][a:b][owner].astype(np.float64)
         for k in range(CONTEXTS):
             np.add.at(table[k].reshape(-1), at[k] * 2 + bits, times)
 
@@ -340,23 +340,26 @@ def chunk_costs(weights: np.ndarray, known: np.ndarray, m: dict[str, np.ndarray]
     return out
 
 
-def _small(table: np.ndarray) -> np.ndarray:
-    """Counts as 16-bit floats, whose error is far below the smoothing."""
-    return np.minimum(table, 60_000).astype(np.float16)
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Whole counts as 32-bit floats where these hold them exactly, else as they are."""
+    return counts.astype(np.float32) if counts.max(initial=0) <= 1 << 24 else counts
 
 
 def count_table(chunks: DataFrame) -> np.ndarray:
-    """The predictors' counts over all training chunks: summed in each task, then by ranges of slots."""
+    """The predictors' counts over all training chunks: summed in each task, then by ranges of slots.
+
+    Sums are 64-bit and have no upper limit; the result is rounded to the 24 bits of a 32-bit float.
+    """
     width = (CONTEXTS * 2 << SLOT_BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, any_ = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2), np.float32), False
+        table, any_ = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2), np.float64), False
         for b in batches:
             for blob in b.column(0).to_pylist():
                 count_bits(table, unpack(blob))
                 any_ = True
         flat = table.reshape(-1)
-        blobs = [pack(n=flat[i * width : (i + 1) * width]) for i in range(SLICES)] if any_ else []
+        blobs = [pack(n=_small(flat[i * width : (i + 1) * width])) for i in range(SLICES)] if any_ else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int64()), pa.array(blobs, pa.binary())], names=["slice", "blob"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -366,7 +369,7 @@ def count_table(chunks: DataFrame) -> np.ndarray:
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "blob": [pack(n=_small(total))]})
 
     parts = work_table(chunks.select("blob").mapInArrow(count, "slice long, blob binary"), "lm_counts")
-    table = np.zeros((SLICES, width), np.float16)
+    table = np.zeros((SLICES, width), np.float32)
     for r in parts.groupBy("slice").applyInPandas(add, "slice long, blob binary").toLocalIterator():  # a fixed number of fixed size
         table[r["slice"]] = unpack(r["blob"])["n"]
     discard(parts)
