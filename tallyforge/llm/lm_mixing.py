@@ -13,7 +13,8 @@ numbers, chunks are gathered by ranges of their hash, and the results go back to
 The base score is a smoothed unigram model over lower-cased words and one end token per document.
 
 Defined cases: null text counts as empty (its end is scored); without training texts every bit costs one bit and the
-base score is log10(0.5 / 0.5) per token; repeated rows get a row each; an empty table gives an empty result; other
+base score is log10(0.5 / 0.5) per token; bits_per_byte is the score's bits by the text's bytes without its end byte, null for
+an empty text; repeated rows get a row each; an empty table gives an empty result; other
 columns of the input are ignored.
 """
 
@@ -143,7 +144,7 @@ def runs(docs: DataFrame, buckets: int, fold: int, frequent: np.ndarray) -> Data
             steps = np.cumsum([0, *[len(h[0]) for h in held]])
             bounds = np.concatenate([h[1][:-1] + s for h, s in zip(held, steps, strict=False)] + [steps[-1:]])
             count, ids, learnt = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
-            known = np.concatenate([h[5] for h in held])
+            known, size_of = (np.concatenate([h[k] for h in held]) for k in (5, 6))
             hashes = hashes_of(data, bounds)
             cue = met_last(hashes, count, frequent)
             hashes ^= mixed(cue.astype(np.uint64) * GOLDEN + np.uint64(77))
@@ -151,7 +152,7 @@ def runs(docs: DataFrame, buckets: int, fold: int, frequent: np.ndarray) -> Data
             seen = np.bincount(number, weights=np.repeat(learnt, count), minlength=len(distinct)).astype(np.int64)
             where = (distinct >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(distinct), np.int64)
             cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-            rows, blobs = [-1], [pack(ids=ids, known=known, count=count.astype(np.int32), number=number.astype(np.uint32), learnt=learnt.astype(np.uint8))]
+            rows, blobs = [-1], [pack(ids=ids, known=known, size=size_of, count=count.astype(np.int32), number=number.astype(np.uint32), learnt=learnt.astype(np.uint8))]
             for a, b in zip(cuts, np.append(cuts[1:], len(where))[: len(cuts)], strict=True):
                 text, new = spread(data, bounds, first[a:b])
                 rows.append(int(where[a]))
@@ -161,11 +162,12 @@ def runs(docs: DataFrame, buckets: int, fold: int, frequent: np.ndarray) -> Data
         for b in batches:
             if not b.num_rows:
                 continue
-            data, bounds, count = chunks_of(*text_buffer(b.column(1)))
+            texts, offsets = text_buffer(b.column(1))
+            data, bounds, count = chunks_of(texts, offsets)
             ids = b.column(0).to_pylist()
             learnt = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 5 != fold for i in ids], np.float64)
             known = np.array([i is not None for i in ids])
-            held.append((data, bounds, count, np.array([i or 0 for i in ids], np.int64), learnt, known))
+            held.append((data, bounds, count, np.array([i or 0 for i in ids], np.int64), learnt, known, np.diff(offsets).astype(np.int64)))
             size += len(data)
             if size >= RUN:
                 yield flush()
@@ -469,12 +471,16 @@ def score(docs: DataFrame, fold: int = 1) -> DataFrame:
         ids = pd.array(docs_["ids"], dtype="Int64")
         ids[~docs_["known"].astype(bool)] = pd.NA
         n_tokens = sums["words"].astype(np.int64) + 1
+        size = docs_["size"]
+        bits = pd.array(-sums["cost"] * np.log2(10) / np.maximum(size, 1), dtype="Float64")
+        bits[size == 0] = pd.NA
         return pd.DataFrame(
             {
                 "doc_id": ids, "held_out": docs_["learnt"] == 0, "n_tokens": n_tokens, "n_known": sums["known"].astype(np.int64) + (n_train > 0),
                 "train_tokens": total, "base_score": sums["base"] + np.log10(n_train + 0.5) - n_tokens * base_log, "score": sums["cost"],
+                "bits_per_byte": bits,
             }
         )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return both.groupBy("run").applyInPandas(gather, schema)
