@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import text_of, work_table
+from tallyforge.llm.common import discard, text_of, work_table
 
 THRESHOLD, MIN_CHARS = 2, 20
 
@@ -125,13 +125,13 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """Distinct lines (line, first: smallest doc_id) -> the lines that are within the threshold of one that comes earlier."""
+    """Distinct lines (line, first: smallest doc_id) -> a work table of the md5 of those within the threshold of one that comes earlier."""
     lines = lines.withColumn("id", F.xxhash64("line")).withColumn("n", F.length("line"))
     index = lines.select("id", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), threshold))).alias("key"))
     probe = lines.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(F.col("line"), F.col("n"), threshold))).alias("k"))
     pairs = probe.join(index, F.col("k") == F.col("key")).filter("id != other")
     pairs = work_table(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "lines_pairs")
-    wanted = work_table(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "lines_wanted")
+    wanted = named = work_table(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "lines_wanted")
     if wanted.count() <= LOOKED_UP:
         wanted = F.broadcast(wanted)
     lines = work_table(lines.join(wanted, F.col("id") == F.col("w"), "left_semi"), "lines_texts")
@@ -143,24 +143,48 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     before = F.when(F.col("left_first").eqNullSafe(F.col("right_first")), F.col("left") < F.col("right")).otherwise(
         F.col("right_first").isNull() | (F.col("left_first") < F.col("right_first"))
     )
-    return both.select(F.md5(F.when(F.coalesce(before, F.lit(False)), F.col("right")).otherwise(F.col("left"))).alias("near")).distinct()
+    found = both.select(F.md5(F.when(F.coalesce(before, F.lit(False)), F.col("right")).otherwise(F.col("left"))).alias("near")).distinct()
+    found = work_table(found, "lines_near")
+    discard(pairs, named, lines)
+    return found
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_lines, n_equal and n_near (lines dropped as equal, as near), one row for each row of docs."""
-    rows = docs.select("doc_id", text_of().alias("text"))
-    rows = rows.withColumn("lines", normalised_lines(F.col("text"), min_chars))
-    keys = F.transform("lines", lambda x: F.md5(x.cast("binary")))
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (F.size(F.split("text", "\n")) - F.when(F.col("text") == "", 1).otherwise(0)).cast("long").alias("n_lines"), keys.alias("keys"))
-    rows = work_table(rows, "lines_rows")
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text, n_lines, equal_lines, near_lines: a work table with one row for each row of docs.
+
+    text is what is left of the text as it was, without the dropped lines; equal_lines and near_lines are the numbers
+    (from 1) of the lines dropped as equal, as near; n_lines counts the lines before.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("text"))
+    numbered = F.filter(F.transform(normalised_lines(F.col("text"), 0), lambda x, i: F.struct((i + 1).alias("at"), x.alias("x"))), lambda s: F.length(s["x"]) >= min_chars)
+    keys = F.transform(numbered, lambda s: F.struct(s["at"].alias("at"), F.md5(s["x"].cast("binary")).alias("key")))
+    rows = work_table(rows.select("rid", "doc_id", "text", keys.alias("keys")), "lines_rows")
     distinct = occurrences(docs.select(F.lit(0).alias("rid"), "doc_id", "text"), min_chars).groupBy("line").agg(F.min("doc_id").alias("first"))
     distinct = work_table(distinct, "lines_distinct")
-    near = work_table(near_lines(distinct, threshold), "lines_near")
+    near = near_lines(distinct, threshold)
     firsts = work_table(distinct.select(F.md5(F.col("line").cast("binary")).alias("line_key"), "first"), "lines_first")
-    each = rows.select("rid", "doc_id", F.explode("keys").alias("key")).groupBy("rid", "doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    discard(distinct)
+    each = rows.select("rid", "doc_id", F.explode("keys").alias("k")).groupBy("rid", "doc_id", F.col("k.key").alias("key")).agg(F.sort_array(F.collect_list("k.at")).alias("at"))
     each = each.join(firsts, F.col("key") == F.col("line_key")).join(near, F.col("key") == F.col("near"), "left")
-    is_near = F.col("near").isNotNull()
-    equal = F.when(is_near, 0).otherwise(F.col("times") - F.when(F.col("doc_id").eqNullSafe(F.col("first")), 1).otherwise(0))
-    dropped = each.groupBy("rid").agg(F.sum(equal).cast("long").alias("n_equal"), F.sum(F.when(is_near, F.col("times")).otherwise(0)).cast("long").alias("n_near"))
-    out = rows.join(dropped, "rid", "left")
-    return out.select("doc_id", "n_lines", F.coalesce("n_equal", F.lit(0)).cast("long").alias("n_equal"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    is_near, nothing = F.col("near").isNotNull(), F.array().cast("array<int>")
+    again = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))
+    each = each.select("rid", F.when(is_near, nothing).otherwise(again).alias("equal"), F.when(is_near, F.col("at")).otherwise(nothing).alias("close"))
+    dropped = each.filter((F.size("equal") > 0) | (F.size("close") > 0)).groupBy("rid").agg(
+        F.sort_array(F.flatten(F.collect_list("equal"))).alias("equal_lines"), F.sort_array(F.flatten(F.collect_list("close"))).alias("near_lines")
+    )
+    dropped = work_table(dropped, "lines_dropped")
+    discard(near, firsts)
+    out = rows.join(dropped, "rid", "left").withColumns({c: F.coalesce(c, nothing) for c in ("equal_lines", "near_lines")})
+    lines, gone = F.split("text", "\n"), F.concat("equal_lines", "near_lines")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), gone), lambda i: F.element_at(lines, i)), "\n")
+    n_lines = (F.size(lines) - F.when(F.col("text") == "", 1).otherwise(0)).cast("long")
+    out = out.select("doc_id", F.when(F.size(gone) > 0, left).otherwise(F.col("text")).alias("text"), n_lines.alias("n_lines"), "equal_lines", "near_lines")
+    out = work_table(out, "lines_out")
+    discard(rows, dropped)
+    return out
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The digest of deduplicated(): doc_id, n_lines, n_equal and n_near (lines dropped as equal, as near)."""
+    out = deduplicated(docs, threshold, min_chars)
+    return out.select("doc_id", "n_lines", F.size("equal_lines").cast("long").alias("n_equal"), F.size("near_lines").cast("long").alias("n_near"))
