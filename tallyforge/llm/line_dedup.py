@@ -9,7 +9,11 @@ an edit distance in which one integer holds the band of a column and is updated
 A line is dropped if an equal line comes earlier, or if a line within the threshold first occurs earlier. Lines first
 occur in order of doc_id (null last); of lines that first occur in the same document the smaller text comes earlier.
 
-Defined cases: null and empty texts have no lines to drop; lines shorter than MIN_CHARS are always kept; rows with the
+Lines of fewer than min_chars characters are dropped as equal only, and of fewer than equal_chars not at all; empty lines
+are always kept. The registered op2_line_dedup has 20 for both, as its SQL; op2_all_lines drops equal lines of any length
+and near ones from the shortest that has threshold + 1 segments.
+
+Defined cases: null and empty texts have no lines to drop; rows with the
 same id each keep their first occurrence of a line; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -149,19 +153,20 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     return found
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text, n_lines, equal_lines, near_lines: a work table with one row for each row of docs.
 
     text is what is left of the text as it was, without the dropped lines; equal_lines and near_lines are the numbers
     (from 1) of the lines dropped as equal, as near; n_lines counts the lines before.
     """
+    shortest = max(1, min(min_chars, equal_chars))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("text"))
-    numbered = F.filter(F.transform(normalised_lines(F.col("text"), 0), lambda x, i: F.struct((i + 1).alias("at"), x.alias("x"))), lambda s: F.length(s["x"]) >= min_chars)
+    numbered = F.filter(F.transform(normalised_lines(F.col("text"), 0), lambda x, i: F.struct((i + 1).alias("at"), x.alias("x"))), lambda s: F.length(s["x"]) >= shortest)
     keys = F.transform(numbered, lambda s: F.struct(s["at"].alias("at"), F.md5(s["x"].cast("binary")).alias("key")))
     rows = work_table(rows.select("rid", "doc_id", "text", keys.alias("keys")), "lines_rows")
-    distinct = occurrences(docs.select(F.lit(0).alias("rid"), "doc_id", "text"), min_chars).groupBy("line").agg(F.min("doc_id").alias("first"))
+    distinct = occurrences(docs.select(F.lit(0).alias("rid"), "doc_id", "text"), shortest).groupBy("line").agg(F.min("doc_id").alias("first"))
     distinct = work_table(distinct, "lines_distinct")
-    near = near_lines(distinct, threshold)
+    near = near_lines(distinct.filter(F.length("line") >= max(min_chars, threshold + 1)), threshold)
     firsts = work_table(distinct.select(F.md5(F.col("line").cast("binary")).alias("line_key"), "first"), "lines_first")
     discard(distinct)
     each = rows.select("rid", "doc_id", F.explode("keys").alias("k")).groupBy("rid", "doc_id", F.col("k.key").alias("key")).agg(F.sort_array(F.collect_list("k.at")).alias("at"))
@@ -184,7 +189,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     return out
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
     """The digest of deduplicated(): doc_id, n_lines, n_equal and n_near (lines dropped as equal, as near)."""
-    out = deduplicated(docs, threshold, min_chars)
+    out = deduplicated(docs, threshold, min_chars, equal_chars)
     return out.select("doc_id", "n_lines", F.size("equal_lines").cast("long").alias("n_equal"), F.size("near_lines").cast("long").alias("n_near"))

@@ -13,7 +13,7 @@ from tallyforge.llm.bpe import digests
 from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
 from tallyforge.llm.html_text import extract
-from tallyforge.llm.line_dedup import dedup_lines
+from tallyforge.llm.line_dedup import THRESHOLD, dedup_lines
 from tallyforge.llm.lm_mixing import score
 from tallyforge.llm.mixing import mix
 from tallyforge.llm.ngram_jaccard import jaccard_join
@@ -32,6 +32,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"), min_chars=THRESHOLD + 1, equal_chars=1)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op2_all_lines": op2_all_lines,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard": op5_ngram_jaccard,

@@ -12,15 +12,16 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(texts, threshold=2, min_chars=20):
+def brute(texts, threshold=2, min_chars=20, equal_chars=20):
     """texts: id -> text, one row an id."""
     lines = {i: [" ".join(x.split()) for x in t.split("\n")] for i, t in texts.items()}
     first = {}
     for i in sorted(lines):
         for x in lines[i]:
-            if len(x) >= min_chars:
+            if len(x) >= equal_chars:
                 first.setdefault(x, i)
     order = sorted(first, key=lambda x: (first[x], x))
+    order = [x for x in order if len(x) >= min_chars]
     near = {b for n, b in enumerate(order) if any(abs(len(a) - len(b)) <= threshold and distance(a, b) <= threshold for a in order[:n])}
     out, seen = {}, set()
     for i in sorted(texts):
@@ -28,7 +29,7 @@ def brute(texts, threshold=2, min_chars=20):
         for n, x in enumerate(lines[i], 1):
             if x in near:
                 close.append(n)
-            elif len(x) >= min_chars:
+            elif len(x) >= equal_chars:
                 if x in seen:
                     equal.append(n)
                 seen.add(x)
@@ -53,3 +54,21 @@ def test_texts_without_dropped_lines(spark):
     assert {r["doc_id"]: (r["text"], r["equal_lines"], r["near_lines"]) for r in deduplicated(d).collect()} == want
     assert want[4] == ("", [1, 2], []) and want[1][0] == f"{A}\nshort\n\n  {B}  \n"
     assert {r["doc_id"]: (r["n_equal"], r["n_near"]) for r in dedup_lines(d).collect()} == {i: (len(e), len(c)) for i, (_, e, c) in want.items()}
+
+
+def test_lines_of_any_length(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = {i: "\n".join("".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(9))) for _ in range(12)) for i in range(12)} | {50: "}\n}\nOf, edti oner.", 51: "}\nOf, edti oner.\nOf edti oner"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute(texts, min_chars=3, equal_chars=1)
+    got = {r["doc_id"]: (r["text"], r["equal_lines"], r["near_lines"]) for r in deduplicated(d, min_chars=3, equal_chars=1).collect()}
+    assert got == want and want[51][1:] == ([1, 2], [3])
+
+
+def test_registered_query_of_all_lines(spark, tmp_path):
+    from tallyforge.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "Of, edti oner."), (2, "Of, edti oner.\n}"), (3, "}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: (r["n_lines"], r["n_equal"], r["n_near"]) for r in QUERIES["op2_all_lines"](spark, str(tmp_path)).collect()} == {1: (1, 0, 0), 2: (2, 1, 0), 3: (1, 1, 0)}
