@@ -1,14 +1,16 @@
 """Language-model scoring by logistic context mixing of hashed bit predictors (operator 8).
 
-A text is coded byte by byte, eight bits each, with one end byte after it. Several predictors look up, under the hash of
-their context (the last one to four bytes of the current chunk, the whole chunk so far, and the frequent chunk met last)
-and of the byte's bits so far, how often a 0 and a 1 followed in the training texts; their log odds are combined by weights, of which a gate picks
-one set. The weights are refined online over the training stream, a step after each run of bits, each bit's own
-occurrence taken out of the counts first; tasks refine them side by side and the results are averaged.
-
-A chunk is a run of bytes up to and with a space (or the end byte). As contexts do not look across chunks, each distinct
-chunk is counted, learnt from and scored once, however often the corpus has it: documents become lists of chunk
-numbers, chunks are gathered by ranges of their hash, and the results go back to the documents the same way.
+lm_bits holds the predictors: five contexts of a byte, among them bytes across spaces and the word before, each with
+counts of what followed it in the training texts; their log odds are combined by weights, of which a gate picks one set,
+and the result is refined by a table of observed outcomes. Weights and outcomes are learnt online over all training
+texts, each half byte's own occurrence taken out of the counts first; tasks learn side by side, and the weights
+are averaged by the half bytes each has seen, the outcomes added up.
+
+Three passes over the texts: count (cells and words), learn, score. Counts are summed as 64-bit integers in each task, then by ranges of
+cells. The hashed tables have one row for BYTES_PER_ROW training bytes, up to MOST_ROW_BITS, a bound of a task's memory: beyond it
+contexts share rows the more the larger the corpus is, while every occurrence still counts. Word counts of the base
+score are exact at any size: the distinct words of runs of texts are gathered by ranges of their hash, and the counts
+go back to the runs.
 
 The base score is a smoothed unigram model over lower-cased words and one end token per document.
 
@@ -27,24 +29,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, small_batches, text_of, work_table
-from tallyforge.llm.shingles import GOLDEN, _BYTES, mixed, seeded, text_buffer, word_hashes
+from tallyforge.llm import lm_bits as L
+from tallyforge.llm.common import crc_mod, discard, small_batches, text_of, work_table
+from tallyforge.llm.shingles import text_buffer
 
-END = 0xFF
-CONTEXTS = 6
-SLOT_BITS = 20
-GATES = 40
-#: So many of the most frequent chunks serve as context for what follows them.
-FREQUENT = 15
-#: Bytes whose bits are handled at once, bits of one online step, first step size and first weight.
-SPAN, STEP, RATE, FIRST = 1 << 16, 1 << 13, 0.1, 0.3
-#: Bytes of text of one run of documents; ranges of chunk hashes and of predictor slots.
-RUN, SLICES = 1 << 23, 16
-LARGEST = 8.0
+#: Bytes of text of one run of documents, and of all texts for one range of word hashes.
+RUN, PER_BUCKET = 1 << 24, 1 << 27
+#: Training bytes for one row of a hashed table; least and most rows of a table, as powers of two.
+BYTES_PER_ROW, LEAST_ROW_BITS, MOST_ROW_BITS = 16, 12, 18
+#: Ranges of cells in which the tasks' counts are added up.
+SLICES = 16
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -70,330 +68,149 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def spread(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes data[bounds[r]:bounds[r+1]] of the given rows, one after the other, and their new bounds."""
-    length = bounds[rows + 1] - bounds[rows]
-    new = np.concatenate([[0], np.cumsum(length)])
-    at = np.arange(new[-1]) - np.repeat(new[:-1] - bounds[rows], length)
-    return data[at], new
+def least(counts: np.ndarray) -> np.ndarray:
+    """The same counts in the narrowest unsigned integers that hold them."""
+    most = counts.max(initial=0)
+    return counts.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
-def chunks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with their end bytes as (bytes, bounds of all chunks, number of chunks per text)."""
-    n = len(offsets) - 1
-    whole = np.full(len(data) + n, END, np.uint8)
-    moved = offsets + np.arange(n + 1)
-    keep = np.ones(len(whole), bool)
-    keep[moved[1:] - 1] = False
-    whole[keep] = data
-    stops = np.flatnonzero((whole == 32) | (whole == END)) + 1
-    count = np.diff(np.searchsorted(stops, moved, side="right"))
-    return whole, np.concatenate([[0], stops]), count
+def row_bits_for(train_bytes: int) -> int:
+    return min(MOST_ROW_BITS, max(LEAST_ROW_BITS, (train_bytes // BYTES_PER_ROW).bit_length()))
 
 
-def hashes_of(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every chunk."""
-    length = np.diff(bounds)
-    if not len(length):
-        return np.zeros(0, np.uint64)
-    nth = np.arange(len(data)) - np.repeat(bounds[:-1], length)
-    weights = seeded(int(length.max()), 4)
-    return mixed(np.add.reduceat(_BYTES[data] * weights[nth], bounds[:-1]) + length.astype(np.uint64) * GOLDEN)
+def slices(row_bits: int) -> np.ndarray:
+    """Bounds of the ranges of all tables' cells, one after the other."""
+    total = 16 * sum(L.row_counts(row_bits))
+    return np.linspace(0, total, SLICES + 1).astype(np.int64)
 
 
-def frequent_chunks(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent chunks: each batch of texts names those above a share of it, with their counts."""
+def summed_tables(parts: DataFrame, row_bits: int) -> np.ndarray:
+    """Counts of all cells: the tasks' parts (bucket -2 and below, blob) added up by ranges of cells."""
+    bounds = slices(row_bits)
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, bounds, _ = chunks_of(*text_buffer(b.column(0)))
-            short = np.flatnonzero(np.diff(bounds) <= 8)
-            text, new = spread(data, bounds, short)
-            every, n = np.unique(hashes_of(text, new), return_counts=True)
-            often = n * 1000 >= len(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(every[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        nth = -2 - int(pdf["bucket"].iloc[0])
+        total = np.zeros(bounds[nth + 1] - bounds[nth], np.int64)
+        for blob in pdf["blob"]:
+            total += unpack(blob)["n"].astype(np.int64)
+        return pd.DataFrame({"slice": [nth], "blob": [pack(n=least(total))]})
 
-    rows = docs.select(text_of().alias("text")).mapInArrow(go, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r["h"] for r in rows.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    out = np.zeros(bounds[-1], np.int64)
+    for r in parts.select("bucket", "blob").groupBy("bucket").applyInPandas(add, "slice long, blob binary").toLocalIterator():  # parts of a table of fixed size
+        out[bounds[r["slice"]] : bounds[r["slice"] + 1]] = unpack(r["blob"])["n"]
+    return out
+
+
+_TABLES: dict[tuple[int, bool], list[np.ndarray]] = {}
 
 
-def met_last(hashes: np.ndarray, count: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """For every chunk the number of the frequent chunk last met before it in its text (0: none)."""
-    code = np.zeros(len(hashes), np.int64)
-    for i, h in enumerate(frequent):
-        code[hashes == h] = i + 1
-    last = np.concatenate([[-1], np.maximum.accumulate(np.where(code > 0, np.arange(len(code)), -1))[:-1]]) if len(code) else code
-    inside = last >= np.repeat(np.cumsum(count) - count, count)
-    return np.where(inside, code[np.maximum(last, 0)], 0) if len(code) else code
+def tables_of(counts: Broadcast, row_bits: int, without_own: bool) -> list[np.ndarray]:
+    """The log odds of all tables; a Python worker makes them once."""
+    key = (counts._jbroadcast.id() if counts._jbroadcast is not None else id(counts), without_own)
+    if key not in _TABLES:
+        _TABLES.clear()
+        flat = unpack(counts.value)["n"]
+        ends = np.cumsum([16 * r for r in L.row_counts(row_bits)])
+        _TABLES[key] = [L.log_odds(flat[b - 16 * r : b], without_own) for r, b in zip(L.row_counts(row_bits), ends, strict=True)]
+    return _TABLES[key]
 
 
-def runs(docs: DataFrame, buckets: int, fold: int, frequent: np.ndarray) -> DataFrame:
-    """docs (doc_id, text) -> (run, bucket, blob): bucket -1 holds a run's documents as chunk numbers, others its distinct chunks."""
+def fit_mixer(train: DataFrame, counts: Broadcast, row_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gates' weights, refined in each task over its training texts and averaged, and what the refining stage adds."""
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = L.Learner.new()
+        for b in batches:
+            if b.num_rows:
+                learner.learn(tables_of(counts, row_bits, True), row_bits, *text_buffer(b.column(0)))
+        seen = np.repeat(learner.seen, L.CONTEXTS)
+        value = np.concatenate([learner.weights.reshape(-1) * seen, learner.outcomes])
+        weight = np.concatenate([seen, np.zeros(len(learner.outcomes))])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(value)), pa.int64()), pa.array(value), pa.array(weight)], names=["k", "v", "n"])
+
+    rows = train.mapInArrow(go, "k long, v double, n double").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    weights, outcomes = np.full(L.GATES * L.CONTEXTS, L.FIRST), np.zeros(256 * L.POINTS * 2)
+    for r in rows.collect():  # one row for each weight and each cell of the refining stage
+        k = r["k"]
+        if k >= len(weights):
+            outcomes[k - len(weights)] = r["v"]
+        elif r["n"]:
+            weights[k] = r["v"] / r["n"]
+    return weights.reshape(L.GATES, L.CONTEXTS), L.corrections(outcomes)
+
+
+def runs(docs: DataFrame, buckets: int, row_bits: int, fold: int) -> DataFrame:
+    """docs (doc_id, text) -> (run, bucket, blob) from one pass over the texts.
+
+    Bucket -1 holds a run's documents, buckets from 0 its distinct words with their training counts, those from -2 down the
+    task's counts of the bit predictors' cells by ranges.
+    """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    bounds = slices(row_bits)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId(), 0
+        counter = L.Counter(row_bits)
         held: list[tuple] = []
         size = 0
 
+        def rows(run: int, numbers: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+            columns = [pa.array([run] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["run", "bucket", "blob"])
+
         def flush() -> pa.RecordBatch:
             nonlocal nth
             run, nth = task << 24 | nth, nth + 1
-            data = np.concatenate([h[0] for h in held])
-            steps = np.cumsum([0, *[len(h[0]) for h in held]])
-            bounds = np.concatenate([h[1][:-1] + s for h, s in zip(held, steps, strict=False)] + [steps[-1:]])
-            count, ids, learnt = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
-            known, size_of = (np.concatenate([h[k] for h in held]) for k in (5, 6))
-            hashes = hashes_of(data, bounds)
-            cue = met_last(hashes, count, frequent)
-            hashes ^= mixed(cue.astype(np.uint64) * GOLDEN + np.uint64(77))
-            distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-            seen = np.bincount(number, weights=np.repeat(learnt, count), minlength=len(distinct)).astype(np.int64)
+            ids, known, learnt, length, hashed, n_words = (np.concatenate([h[k] for h in held]) for k in range(1, 7))
+            distinct, number = np.unique(hashed, return_inverse=True)
+            n = np.bincount(number, weights=np.repeat(learnt, n_words), minlength=len(distinct)).astype(np.int64)
             where = (distinct >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(distinct), np.int64)
-            cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-            rows, blobs = [-1], [pack(ids=ids, known=known, size=size_of, count=count.astype(np.int32), number=number.astype(np.uint32), learnt=learnt.astype(np.uint8))]
-            for a, b in zip(cuts, np.append(cuts[1:], len(where))[: len(cuts)], strict=True):
-                text, new = spread(data, bounds, first[a:b])
-                rows.append(int(where[a]))
-                blobs.append(pack(hash=distinct[a:b], seen=seen[a:b], text=text, length=np.diff(new).astype(np.uint32), cue=cue[first[a:b]].astype(np.uint8)))
-            return pa.RecordBatch.from_arrays([pa.array([run] * len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], names=["run", "bucket", "blob"])
+            cuts = np.append(np.flatnonzero(np.diff(where, prepend=-1)), len(where)) if len(where) else np.zeros(1, np.int64)
+            numbers = [-1, *where[cuts[:-1]].tolist()]
+            blobs = [pack(ids=ids, known=known, learnt=learnt, length=length, text=np.concatenate([h[0] for h in held]))]
+            blobs += [pack(word=distinct[a:b], n=least(n[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return rows(run, numbers, blobs)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            texts, offsets = text_buffer(b.column(1))
-            data, bounds, count = chunks_of(texts, offsets)
+            data, offsets = text_buffer(b.column(1))
             ids = b.column(0).to_pylist()
-            learnt = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 5 != fold for i in ids], np.float64)
-            known = np.array([i is not None for i in ids])
-            held.append((data, bounds, count, np.array([i or 0 for i in ids], np.int64), learnt, known, np.diff(offsets).astype(np.int64)))
+            learnt = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 5 != fold for i in ids])
+            stream, coded, length = L.padded(data, offsets)
+            counts = coded & np.repeat(learnt, length + L.PAD)
+            words, ends = [], []
+            for s in L.spans(stream, coded, row_bits, counted=counts):
+                counter.add(s.cells)
+                words.append(s.words)
+                ends.append(s.ends)
+            held.append((data, np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids]), learnt, length - 1, *L.word_lists(words, ends, length)))
             size += len(data)
             if size >= RUN:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
+        counter.flush()
+        if counter.most:
+            flat = np.concatenate(counter.tables)
+            yield rows(-1, [-2 - i for i in range(SLICES)], [pack(n=least(flat[x:y])) for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(go, "run long, bucket long, blob binary")
 
 
-def merged(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    """The distinct chunks of a bucket in order of hash, with how often training texts have each."""
-    parts = [unpack(b) for b in blobs]
-    every, seen = np.concatenate([p["hash"] for p in parts]), np.concatenate([p["seen"] for p in parts])
-    text = np.concatenate([p["text"] for p in parts])
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([p["length"] for p in parts]).astype(np.int64))])
-    distinct, first, number = np.unique(every, return_index=True, return_inverse=True)
-    data, new = spread(text, bounds, first)
-    return {"hash": distinct, "seen": np.bincount(number, weights=seen, minlength=len(distinct)).astype(np.int64), "text": data, "bounds": new, "cue": np.concatenate([p["cue"] for p in parts])[first]}
-
-
-def chunk_words(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all chunks in order and where each chunk's words start; the end byte is no letter."""
-    return word_hashes(np.where(m["text"] == END, 32, m["text"]).astype(np.uint8), m["bounds"])
-
-
-# Bit predictors
-
-
-def slots(data: np.ndarray, bounds: np.ndarray, cue: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of chunks its contexts' hashes (CONTEXTS x bytes) and its place in the chunk."""
-    length = np.diff(bounds)
-    n = len(data)
-    nth = np.arange(n) - np.repeat(bounds[:-1], length)
-    mark = np.repeat(cue.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25), length)
-    out = np.empty((CONTEXTS, n), np.uint64)
-    byte = data.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(n, np.uint64)
-    for k in range(1, 5):
-        past = np.zeros(n, np.uint64)
-        past[k:] = byte[:-k] if k < n else past[k:]
-        past[nth < k] = 0
-        h = h * np.uint64(0x100000001B3) + past + np.uint64(k)
-        out[k - 1] = mixed(h + mark if k < 4 else h)
-    terms = _BYTES[data] * seeded(int(length.max()) if len(length) else 1, 5)[nth]
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])[:-1]
-    so_far = upto - np.repeat(upto[bounds[:-1]], length) + nth.astype(np.uint64) * GOLDEN
-    out[4] = mixed(so_far)
-    out[5] = mixed(so_far + mark * np.uint64(3))
-    return out, nth
-
-
-_FIRST_BITS = np.array([[1, 2 | (v >> 3), 4 | (v >> 2), 8 | (v >> 1)] for v in range(16)], np.int32)
-
-
-def bit_slots(context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of every bit under every context (CONTEXTS x bytes*8) and the bits; a half byte's bits share 16 slots."""
-    high, low = value >> 4, value & 15
-    bits = np.unpackbits(value)
-    at = np.empty((len(context), len(value), 8), np.int32)
-    drop = np.uint64(64 - SLOT_BITS)
-    mask = np.uint64(~15 & 0xFFFFFFFFFFFFFFFF)
-    for k, c in enumerate(context):
-        upper = ((c >> drop) & mask).astype(np.int32)
-        lower = (((c ^ ((high.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))) * GOLDEN >> drop) & mask).astype(np.int32)
-        at[k, :, :4] = upper[:, None] + _FIRST_BITS[high]
-        at[k, :, 4:] = lower[:, None] + _FIRST_BITS[low]
-    return at.reshape(len(context), -1), bits
-
-
-def spans(m: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Runs of whole chunks of about SPAN bytes."""
-    bounds, a = m["bounds"], 0
-    while a < len(bounds) - 1:
-        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + SPAN)))
-        b = min(b, len(bounds) - 1)
-        yield a, b
-        a = b
-
-
-def span_bits(m: dict[str, np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, bits, place in the chunk and chunk number (from a) of the bits of chunks a to b."""
-    bounds = m["bounds"][a : b + 1]
-    text = m["text"][bounds[0] : bounds[-1]]
-    context, nth = slots(text, bounds - bounds[0], m["cue"][a:b])
-    at, bits = bit_slots(context, text)
-    owner = np.repeat(np.arange(b - a), np.diff(bounds) * 8)
-    return at, bits, np.repeat(nth, 8), owner
-
-
-def count_bits(table: np.ndarray, m: dict[str, np.ndarray]) -> None:
-    """Add the training bits of chunks to table (CONTEXTS x slots x 2)."""
-    learnt = np.flatnonzero(m["seen"] > 0)
-    if not len(learnt):
-        return
-    text, bounds = spread(m["text"], m["bounds"], learnt)
-    own = {"text": text, "bounds": bounds, "seen": m["seen"][learnt], "cue": m["cue"][learnt]}
-    for a, b in spans(own):
-        at, bits, _, owner = span_bits(own, a, b)
-        times = own["seen"][a:b][owner].astype(np.float64)
-        for k in range(CONTEXTS):
-            np.add.at(table[k].reshape(-1), at[k] * 2 + bits, times)
-
-
-def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)), dtype=np.float32)
-
-
-def gate(nth: np.ndarray, trust: np.ndarray) -> np.ndarray:
-    """The weight set: by place in the chunk and how many of the longer contexts were ever seen."""
-    return np.minimum(nth, 7) * 5 + trust
-
-
-def learning_inputs(table: np.ndarray, at: np.ndarray, nth: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the predictors (CONTEXTS x bits) and the gate of every bit, one occurrence of each bit taken out."""
-    x = np.empty(at.shape, np.float32)
-    trust = np.zeros(at.shape[1], np.int64)
-    one = bits.astype(np.float32)
-    for k in range(CONTEXTS):
-        flat = table[k].reshape(-1)
-        n0 = np.maximum(flat[at[k] * 2].astype(np.float32) - (1 - one), 0)
-        n1 = np.maximum(flat[at[k] * 2 + 1].astype(np.float32) - one, 0)
-        x[k] = np.clip(odds(n0, n1), -LARGEST, LARGEST)
-        if k >= 2:
-            trust += n0 + n1 > 0
-    return x, gate(nth, trust)
-
-
-def odds_table(table: np.ndarray) -> np.ndarray:
-    """The log odds of all slots (CONTEXTS x slots), NaN where nothing was seen."""
-    out = np.empty(table.shape[:2], np.float16)
-    for k in range(CONTEXTS):
-        n = table[k].astype(np.float32)
-        out[k] = np.where(n.sum(1) > 0, np.clip(odds(n[:, 0], n[:, 1]), -LARGEST, LARGEST), np.nan)
-    return out
-
-
-def refine(weights: np.ndarray, table: np.ndarray, m: dict[str, np.ndarray]) -> float:
-    """Online steps over the training bits of chunks; returns their number."""
-    learnt = np.flatnonzero(m["seen"] > 0)
-    if not len(learnt):
-        return 0.0
-    text, bounds = spread(m["text"], m["bounds"], learnt)
-    own = {"text": text, "bounds": bounds, "seen": m["seen"][learnt], "cue": m["cue"][learnt]}
-    total, energy = 0.0, np.full_like(weights, 1e-6)
-    for a, b in spans(own):
-        at, bits, nth, owner = span_bits(own, a, b)
-        times = np.sqrt(own["seen"][a:b][owner].astype(np.float32))
-        x, g = learning_inputs(table, at, nth, bits)
-        for i in range(0, len(bits), STEP):
-            xs, gs, ts = x[:, i : i + STEP], g[i : i + STEP], times[i : i + STEP]
-            z = np.einsum("ki,ik->i", xs, weights[gs])
-            error = (bits[i : i + STEP] - 1 / (1 + np.exp(-z))) * ts
-            each = np.bincount(gs, weights=ts, minlength=GATES)[:, None] + 1e-9
-            slope = np.stack([np.bincount(gs, weights=error * xs[k], minlength=GATES) for k in range(CONTEXTS)], 1) / each
-            energy += slope * slope
-            weights += RATE * slope / np.sqrt(energy) * (each > 1)
-        total += float(times.sum())
-    return total
-
-
-def chunk_costs(weights: np.ndarray, known: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
-    """Natural-log probability of every chunk; known is odds_table()."""
-    weights = weights.astype(np.float32)
-    out = np.zeros(len(m["bounds"]) - 1)
-    for a, b in spans(m):
-        at, bits, nth, owner = span_bits(m, a, b)
-        x = np.stack([known[k][at[k]] for k in range(CONTEXTS)]).astype(np.float32)
-        trust = (x[2:] == x[2:]).sum(0)
-        z = np.einsum("ki,ik->i", np.nan_to_num(x, copy=False), weights[gate(nth, trust)])
-        out[a:b] = np.bincount(owner, weights=-np.logaddexp(0, np.where(bits == 1, -z, z)), minlength=b - a)
-    return out
-
-
-def _small(counts: np.ndarray) -> np.ndarray:
-    """Whole counts as 32-bit floats where these hold them exactly, else as they are."""
-    return counts.astype(np.float32) if counts.max(initial=0) <= 1 << 24 else counts
-
-
-def count_table(chunks: DataFrame) -> np.ndarray:
-    """The predictors' counts over all training chunks: summed in each task, then by ranges of slots.
-
-    Sums are 64-bit and have no upper limit; the result is rounded to the 24 bits of a 32-bit float.
-    """
-    width = (CONTEXTS * 2 << SLOT_BITS) // SLICES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, any_ = np.zeros((CONTEXTS, 1 << SLOT_BITS, 2), np.float64), False
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                count_bits(table, unpack(blob))
-                any_ = True
-        flat = table.reshape(-1)
-        blobs = [pack(n=_small(flat[i * width : (i + 1) * width])) for i in range(SLICES)] if any_ else []
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int64()), pa.array(blobs, pa.binary())], names=["slice", "blob"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width, np.float64)
-        for blob in pdf["blob"]:
-            total += unpack(blob)["n"]
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "blob": [pack(n=_small(total))]})
-
-    parts = work_table(chunks.select("blob").mapInArrow(count, "slice long, blob binary"), "lm_counts")
-    table = np.zeros((SLICES, width), np.float32)
-    for r in parts.groupBy("slice").applyInPandas(add, "slice long, blob binary").toLocalIterator():  # a fixed number of fixed size
-        table[r["slice"]] = unpack(r["blob"])["n"]
-    discard(parts)
-    return table.reshape(CONTEXTS, 1 << SLOT_BITS, 2)
-
-
-def fit_weights(chunks: DataFrame, table) -> np.ndarray:
-    """The gates' weights: refined in each task over its training chunks, averaged by the bits each has seen."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weights, seen = table.value, np.full((GATES, CONTEXTS), FIRST), 0.0
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                seen += refine(weights, counts, unpack(blob))
-        w = (weights * seen).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(w)), pa.int64()), pa.array(w), pa.array([seen] * len(w))], names=["k", "w", "seen"])
-
-    rows = chunks.select("blob").mapInArrow(go, "k long, w double, seen double").groupBy("k").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen"))
-    out = np.full(GATES * CONTEXTS, FIRST)
-    for r in rows.collect():  # GATES * CONTEXTS rows
-        out[r["k"]] = r["w"] / r["seen"] if r["seen"] else FIRST
-    return out.reshape(GATES, CONTEXTS)
+def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One range of word hashes, from all runs -> every run's counts of its words; run -1: occurrences and distinct words in training."""
+    parts = [unpack(b) for b in pdf["blob"]]
+    word, number = np.unique(np.concatenate([p["word"] for p in parts]), return_inverse=True)
+    c = np.bincount(number, weights=np.concatenate([p["n"] for p in parts]).astype(np.float64), minlength=len(word)).astype(np.int64)
+    bucket = int(pdf["bucket"].iloc[0])
+    rows = [(-1, bucket, pack(total=np.array([c.sum(), (c > 0).sum()])))]
+    at = 0
+    for run, p in zip(pdf["run"], parts, strict=True):
+        rows.append((run, bucket, pack(c=least(c[number[at : at + len(p["word"])]]))))
+        at += len(p["word"])
+    return pd.DataFrame(rows, columns=["run", "bucket", "blob"])
 
 
 def score(docs: DataFrame, fold: int = 1) -> DataFrame:
@@ -403,84 +220,47 @@ def score(docs: DataFrame, fold: int = 1) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 8
-    while buckets < 1 << 14 and buckets * (RUN // 2) < chars:
-        buckets *= 2
-    table = work_table(runs(docs, buckets, fold, frequent_chunks(docs)), "lm_runs")
-    per_run, per_bucket = table.filter("bucket = -1"), table.filter("bucket >= 0")
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "blob": [pack(**merged(pdf["blob"].tolist()))]})
-
-    chunks = per_bucket.select("bucket", "blob").groupBy("bucket").applyInPandas(merge, "bucket long, blob binary")
-    chunks = work_table(chunks, "lm_chunks")
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m = unpack(blob)
-                hashed, first = chunk_words(m)
-                distinct, number = np.unique(hashed, return_inverse=True)
-                n = np.bincount(number, weights=np.repeat(m["seen"], np.diff(first)), minlength=len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(distinct), pa.int64()), pa.array(distinct.view(np.int64)), pa.array(n)], names=["bucket", "word", "n"])
-
-    found = work_table(chunks.mapInArrow(words, "bucket long, word long, n long"), "lm_words")
-    counts = work_table(found.groupBy("word").agg(F.sum("n").alias("c")), "lm_word_counts")
-    n_train = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != fold).count()
-    total, kinds = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    learnt = crc_mod(F.col("doc_id"), 5) != fold
+    size = docs.agg(F.sum(F.octet_length("text")).alias("all"), F.sum(F.when(learnt, F.octet_length("text"))).alias("train"), F.count(F.when(learnt, 1)).alias("n")).first()
+    n_train, train = size["n"], docs.filter(learnt).select(text_of().alias("text"))
+    row_bits = row_bits_for(size["train"] or 0)
+    buckets = 1 << ((size["all"] or 0) // PER_BUCKET).bit_length() + 2
+
+    table = work_table(runs(docs, buckets, row_bits, fold), "lm_runs")
+    words = table.filter("bucket >= 0").groupBy("bucket").applyInPandas(counted, "run long, bucket long, blob binary")
+    words = work_table(words, "lm_words")
+    total = kinds = 0
+    for r in words.filter("run = -1").select("blob").toLocalIterator():  # one row of two numbers for each range of words
+        n, k = unpack(r["blob"])["total"]
+        total, kinds = total + int(n), kinds + int(k)
     total, kinds = total + n_train, kinds + (n_train > 0)
     base_log = float(np.log10(total + 0.5 * (kinds + 1)))
 
-    seen_bits = count_table(chunks.coalesce(max(1, buckets // 32)))
-    predictors = spark.sparkContext.broadcast(seen_bits)
-    mixer = spark.sparkContext.broadcast(fit_weights(chunks, predictors))
-    predictors.destroy()
-    discard(chunks)
-    known_odds = spark.sparkContext.broadcast(odds_table(seen_bits))
-
-    def rate(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        m = merged(pdf["blob"].tolist())
-        hashed, first = chunk_words(m)
-        order = np.argsort(known["word"].to_numpy())
-        word, c = known["word"].to_numpy()[order], known["c"].to_numpy()[order]
-        mine = c[np.searchsorted(word, hashed.view(np.int64))] if len(hashed) else np.zeros(0, np.int64)
-        upto = np.concatenate([[0.0], np.cumsum(np.log10(mine + 0.5))])
-        some = np.concatenate([[0], np.cumsum(mine > 0)])
-        base, n_words, n_known = upto[first[1:]] - upto[first[:-1]], np.diff(first), some[first[1:]] - some[first[:-1]]
-        cost = chunk_costs(mixer.value, known_odds.value, m) / np.log(10)
-        rows = []
-        for run, blob in zip(pdf["run"], pdf["blob"], strict=True):
-            at = np.searchsorted(m["hash"], unpack(blob)["hash"])
-            rows.append((run, key[0], pack(base=base[at], words=n_words[at].astype(np.int32), known=n_known[at].astype(np.int32), cost=cost[at])))
-        return pd.DataFrame(rows, columns=["run", "bucket", "blob"])
-
-    of_bucket = found.select("bucket", "word").join(counts, "word").select("bucket", "word", "c")
-    rated = per_bucket.groupBy("bucket").cogroup(of_bucket.groupBy("bucket")).applyInPandas(rate, "run long, bucket long, blob binary")
-    both = per_run.unionByName(rated)
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    counts = spark.sparkContext.broadcast(pack(n=least(summed_tables(table.filter("bucket < -1"), row_bits))))
+    mixer = spark.sparkContext.broadcast(fit_mixer(train, counts, row_bits))
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")
-        docs_ = unpack(pdf["blob"].iloc[0])
-        parts = [unpack(b) for b in pdf["blob"].iloc[1:]]
-        number, bounds = docs_["number"], np.concatenate([[0], np.cumsum(docs_["count"])])
-        sums = {}
-        for k in ("base", "words", "known", "cost"):
-            value = np.concatenate([p[k] for p in parts])[number].astype(np.float64)
-            sums[k] = np.add.reduceat(value, bounds[:-1]) if len(number) else np.zeros(len(docs_["count"]))
-        ids = pd.array(docs_["ids"], dtype="Int64")
-        ids[~docs_["known"].astype(bool)] = pd.NA
-        n_tokens = sums["words"].astype(np.int64) + 1
-        size = docs_["size"]
-        bits = pd.array(-sums["cost"] * np.log2(10) / np.maximum(size, 1), dtype="Float64")
-        bits[size == 0] = pd.NA
+        d = unpack(pdf["blob"].iloc[0])
+        c = np.concatenate([np.zeros(0, np.int64), *[unpack(b)["c"].astype(np.int64) for b in pdf["blob"].iloc[1:]]])
+        offsets = np.concatenate([[0], np.cumsum(d["length"])])
+        cost, hashed, n_words = L.costs(tables_of(counts, row_bits, False), row_bits, *mixer.value, d["text"], offsets)
+        cost /= np.log(10)
+        mine = c[np.unique(hashed, return_inverse=True)[1]] if len(hashed) else c[:0]
+        upto, some = np.concatenate([[0.0], np.cumsum(np.log10(mine + 0.5))]), np.concatenate([[0], np.cumsum(mine > 0)])
+        first = np.concatenate([[0], np.cumsum(n_words)])
+        n_tokens = n_words + 1
+        ids = pd.array(d["ids"], dtype="Int64")
+        ids[~d["known"].astype(bool)] = pd.NA
+        bits = pd.array(-cost * np.log2(10) / np.maximum(d["length"], 1), dtype="Float64")
+        bits[d["length"] == 0] = pd.NA
         return pd.DataFrame(
             {
-                "doc_id": ids, "held_out": docs_["learnt"] == 0, "n_tokens": n_tokens, "n_known": sums["known"].astype(np.int64) + (n_train > 0),
-                "train_tokens": total, "base_score": sums["base"] + np.log10(n_train + 0.5) - n_tokens * base_log, "score": sums["cost"],
-                "bits_per_byte": bits,
+                "doc_id": ids, "held_out": d["learnt"] == 0, "n_tokens": n_tokens, "n_known": some[first[1:]] - some[first[:-1]] + (n_train > 0),
+                "train_tokens": total, "base_score": upto[first[1:]] - upto[first[:-1]] + np.log10(n_train + 0.5) - n_tokens * base_log,
+                "score": cost, "bits_per_byte": bits,
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return both.groupBy("run").applyInPandas(gather, schema)
+    return table.filter("bucket = -1").unionByName(words.filter("run >= 0")).groupBy("run").applyInPandas(rate, schema)
