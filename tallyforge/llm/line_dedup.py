@@ -1,17 +1,25 @@
 """Line dedup by a segment-partition edit join (operator 2), in DataFrame functions only.
 
-Lines are normalised (white space squeezed and trimmed) and equal lines grouped. Each distinct line is cut into
+Lines are normalised (white space squeezed and trimmed) and go by a 128-bit hash. Each distinct line is cut into
 (threshold + 1) segments, of which one at least stands unchanged, at nearly the same place, in any line within the
 threshold; segments are indexed by their text, number and the line's length. A line probes, for each length it can
-reach, only the substrings at the places that the edits left and right of a segment allow. Candidates are verified with
-an edit distance in which one integer holds the band of a column and is updated by a few bit operations.
+reach, only the substrings at the places that the edits left and right of a segment allow.
+
+A candidate pair must also share all but threshold of PIECES equal pieces, each within threshold places (an edit spoils
+one piece at most): this drops most false pairs before the verification, which is an edit distance in which one integer
+holds the band of a column and is updated by a few bit operations. It looks at the earliest candidate of each line
+first, and at the others only of lines for which that one fails.
+
+Segments that more than HOT lines share are not joined line by line: their lines are gathered in blocks of at most about
+HOT lines, blocks are paired, and the pieces are compared inside a pair of blocks. Lines found there are candidates like
+the others; a segment shared by n lines costs n * n / HOT**2 pairs of blocks.
 
 A line is dropped if an equal line comes earlier, or if a line within the threshold first occurs earlier. Lines first
 occur in order of doc_id (null last); of lines that first occur in the same document the smaller text comes earlier.
 
 Lines of fewer than min_chars characters are dropped as equal only, and of fewer than equal_chars not at all; empty lines
-are always kept. The registered op2_line_dedup has 20 for both, as its SQL; op2_all_lines drops equal lines of any length
-and near ones from the shortest that has threshold + 1 segments.
+are always kept. The registered op2_line_dedup drops equal lines of any length and near ones from 20 characters;
+op2_all_lines drops near ones from the shortest that has threshold + 1 segments.
 
 Defined cases: null and empty texts have no lines to drop; rows with the
 same id each keep their first occurrence of a line; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +27,8 @@ same id each keep their first occurrence of a line; an empty table gives an empt
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +36,20 @@ from tallyforge.llm.common import discard, text_of, work_table
 
 THRESHOLD, MIN_CHARS = 2, 20
 
-
-#: Pairs name so many distinct lines at most for their texts to be looked up by broadcast; beyond, both sides are shuffled.
+#: Lines of one segment that are joined line by line, and about the lines of a block beyond that.
+HOT = 64
+PIECES = 8
+#: A list of hashes of so many rows at most is broadcast (16 bytes each); a longer one is joined by a shuffle.
 LOOKED_UP = 1_000_000
 
 
-def normalised_lines(text: Column, min_chars: int) -> Column:
-    """The lines of at least min_chars, white space squeezed and trimmed; one pass over the text squeezes all lines."""
-    squeezed = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
-    return F.filter(F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= min_chars)
+def normalised_lines(text: Column) -> Column:
+    """All lines, white space squeezed and trimmed; patterns run only over texts that need them."""
+    for c in ("\t", "\x0b", "\x0c", "\r"):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    text = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.split(F.trim(text), "\n", -1)
 
 
 def segment(line: Column, length: Column, i: int, threshold: int) -> tuple[Column, Column]:
@@ -45,27 +60,27 @@ def segment(line: Column, length: Column, i: int, threshold: int) -> tuple[Colum
     return F.lit(i) * base + F.greatest(F.lit(0), longer - (parts - i)), size
 
 
-def index_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    keys = []
-    for i in range(threshold + 1):
-        start, size = segment(line, length, i, threshold)
-        keys.append(F.xxhash64(F.substring(line, start + 1, size), F.lit(i), length))
-    return keys
-
-
-def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys of the substrings that can be a segment of a line of at most this length within the threshold.
+def probes(threshold: int) -> list[tuple[int, int, int]]:
+    """How much shorter the other line is, the number of its segment, and how far that may lie off its place.
 
     For a line shorter by d, segment i may lie off its place by at most i (edits left of it) and, counted from the right,
-    by at most threshold - i.
+    by at most threshold - i. With nothing shorter and no shift this is the line's own segment, its key in the index.
     """
+    return [
+        (d, i, off)
+        for d in range(threshold + 1)
+        for i in range(threshold + 1)
+        for off in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1)
+    ]
+
+
+def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
+    """Keys of the substrings that can be a segment of a line of at most this length within the threshold."""
     keys = []
-    for d in range(threshold + 1):
+    for d, i, off in probes(threshold):
         other = length - d
-        for i in range(threshold + 1):
-            start, size = segment(line, other, i, threshold)
-            for off in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1):
-                keys.append(F.xxhash64(F.substring(line, start + (off + 1), size), F.lit(i), other))
+        start, size = segment(line, other, i, threshold)
+        keys.append(F.xxhash64(F.substring(line, start + (off + 1), size), F.lit(i), other))
     return keys
 
 
@@ -123,73 +138,142 @@ def _within(rows: Column, cols: Column, m: Column, n: Column, threshold: int) ->
     return end["d"] <= threshold
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """docs (rid, doc_id, text) -> rid, doc_id, line, one row per line of at least min_chars."""
-    return docs.select("rid", "doc_id", F.explode(normalised_lines(text_of(), min_chars)).alias("line"))
-
-
-def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """Distinct lines (line, first: smallest doc_id) -> a work table of the md5 of those within the threshold of one that comes earlier."""
-    lines = lines.withColumn("id", F.xxhash64("line")).withColumn("n", F.length("line"))
-    index = lines.select("id", F.explode(F.array(*index_keys(F.col("line"), F.col("n"), threshold))).alias("key"))
-    probe = lines.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(F.col("line"), F.col("n"), threshold))).alias("k"))
-    pairs = probe.join(index, F.col("k") == F.col("key")).filter("id != other")
-    pairs = work_table(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "lines_pairs")
-    wanted = named = work_table(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "lines_wanted")
-    if wanted.count() <= LOOKED_UP:
-        wanted = F.broadcast(wanted)
-    lines = work_table(lines.join(wanted, F.col("id") == F.col("w"), "left_semi"), "lines_texts")
-    left = lines.select(F.col("id").alias("x"), F.col("line").alias("left"), F.col("first").alias("left_first"))
-    right = lines.select(F.col("id").alias("y"), F.col("line").alias("right"), F.col("first").alias("right_first"))
-    both = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y"))
-    both = both.filter((F.abs(F.length("left") - F.length("right")) <= threshold) & within(F.col("left"), F.col("right"), threshold))
-    # nulls last, then the text
-    before = F.when(F.col("left_first").eqNullSafe(F.col("right_first")), F.col("left") < F.col("right")).otherwise(
-        F.col("right_first").isNull() | (F.col("left_first") < F.col("right_first"))
+def shares_pieces(a: Column, b: Column, threshold: int) -> Column:
+    """Whether all but threshold of the PIECES pieces of a stand in b within threshold places: true for all pairs within the threshold."""
+    size = F.floor(F.length(a) / PIECES).cast("int")
+    found = []
+    for i in range(PIECES):
+        piece = F.substring(a, size * i + 1, size)
+        around = F.substring(b, F.greatest(F.lit(1), size * i + (1 - threshold)), size + F.least(F.lit(2 * threshold), size * i + threshold))
+        found.append(F.when(F.contains(around, piece), 1).otherwise(0))
+    return (F.abs(F.length(a) - F.length(b)) <= threshold) & (reduce(Column.__add__, found) >= PIECES - threshold)
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """A work table as a broadcast side, if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= LOOKED_UP else df
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> d1, d2 (hash of the row), doc_id, at, line, h, g (hash of the line), one row per non-empty line."""
+    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), "doc_id", F.posexplode(normalised_lines(F.col("text"))).alias("at", "line"))
+    return rows.filter("line != ''").select("d1", "d2", "doc_id", (F.col("at") + 1).alias("at"), "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(7)).alias("g"))
+
+
+def before(first: Column, line: Column, first2: Column, line2: Column) -> Column:
+    """Whether a line that first occurs in document first comes before another: nulls last, then the text."""
+    return F.when(first.eqNullSafe(first2), line < line2).otherwise(F.coalesce(first2.isNull() | (first < first2), F.lit(False)))
+
+
+def near_lines(docs: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
+    """keyed (h, g, first, n, probe: a line's keys), a row for each distinct line -> a work table of h, g of lines within the threshold of one that comes earlier.
+
+    docs gives the texts of the lines that are candidates, and only theirs.
+    """
+    own = [i for i, (d, _, off) in enumerate(probes(threshold)) if d == 0 and off == 0]
+    index = keyed.select("h", F.explode(F.array(*[F.col("probe")[i] for i in own])).alias("key"))
+    probe = keyed.select(F.col("h").alias("other"), F.explode("probe").alias("k"))
+    hot = work_table(index.groupBy(F.col("key").alias("hot")).count().filter(F.col("count") > HOT), "lines_hot")
+    few = looked_up(hot.select("hot"))
+    pairs = probe.join(index.join(few, F.col("key") == F.col("hot"), "left_anti"), F.col("k") == F.col("key")).filter("h != other")
+    pairs = work_table(pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "lines_pairs")
+    keys = probe.join(few, F.col("k") == F.col("hot"), "left_semi").select("other", "k", F.lit(False).alias("indexed"))
+    keys = keys.unionByName(index.join(few, F.col("key") == F.col("hot"), "left_semi").select(F.col("h").alias("other"), F.col("key").alias("k"), F.lit(True).alias("indexed")))
+    keys = work_table(keys, "lines_hot_keys")
+
+    wanted = work_table(pairs.select(F.explode(F.array("a", "b")).alias("w")).unionByName(keys.select(F.col("other").alias("w"))).distinct(), "lines_wanted")
+    texts = occurrences(docs).select("h", "g", "line").join(looked_up(wanted), F.col("h") == F.col("w"), "left_semi")
+    texts = texts.groupBy("h", "g").agg(F.first("line").alias("line")).join(keyed.select("h", "g", "first"), ["h", "g"])
+    texts = work_table(texts, "lines_texts")
+
+    def side(names: str) -> DataFrame:
+        return texts.select(*[F.col(c).alias(n) for c, n in zip(("h", "g", "first", "line"), names.split(), strict=True)])
+
+    both = pairs.join(side("a ag a_first a_line"), "a").join(side("b bg b_first b_line"), "b").filter(shares_pieces(F.col("a_line"), F.col("b_line"), threshold))
+    a_first = before(F.col("a_first"), F.col("a_line"), F.col("b_first"), F.col("b_line"))
+    early = F.when(a_first, F.struct(F.col("a_first").alias("first"), F.col("a_line").alias("line"))).otherwise(F.struct(F.col("b_first").alias("first"), F.col("b_line").alias("line")))
+    late = F.when(a_first, F.struct(F.col("b").alias("h"), F.col("bg").alias("g"), F.col("b_line").alias("line"))).otherwise(
+        F.struct(F.col("a").alias("h"), F.col("ag").alias("g"), F.col("a_line").alias("line"))
     )
-    found = both.select(F.md5(F.when(F.coalesce(before, F.lit(False)), F.col("right")).otherwise(F.col("left"))).alias("near")).distinct()
-    found = work_table(found, "lines_near")
-    discard(pairs, named, lines)
+    candidates = both.select(late.alias("late"), early.alias("early")).unionByName(hot_candidates(keys, hot, texts, threshold))
+    candidates = candidates.select("late.h", "late.g", F.col("late.line").alias("line"), F.struct(F.col("early.first").isNull().alias("none"), "early.first", "early.line").alias("early"))
+    candidates = work_table(candidates, "lines_candidates")
+    tried = candidates.groupBy("h", "g").agg(F.min("early").alias("early"), F.first("line").alias("line"))
+    tried = work_table(tried.select("h", "g", F.col("early.line").alias("early"), within(F.col("early.line"), F.col("line"), threshold).alias("near")), "lines_tried")
+    left = candidates.join(tried.filter("not near").select("h", "g", F.col("early").alias("done")), ["h", "g"]).filter("early.line != done")
+    left = left.select("h", "g", "line", F.col("early.line").alias("early")).distinct().filter(within(F.col("early"), F.col("line"), threshold))
+    found = work_table(tried.filter("near").select("h", "g").unionByName(left.select("h", "g").distinct()), "lines_near")
+    discard(hot, pairs, keys, wanted, texts, candidates, tried)
     return found
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text, n_lines, equal_lines, near_lines: a work table with one row for each row of docs.
+def hot_candidates(keys: DataFrame, hot: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (late, early) among the lines of each hot segment, compared block by block; of a late line its earliest in a block."""
+    sized = keys.join(hot, F.col("k") == F.col("hot")).withColumn("block", F.pmod(F.xxhash64("other", F.lit(3)), F.ceil(F.col("count") / HOT)))
+    sized = sized.join(texts, F.col("other") == F.col("h")).withColumn("own", F.struct("first", "line", "h", "g"))
+    blocks = sized.groupBy("k", "block", "indexed").agg(F.collect_list("own").alias("own"))
+    pairs = blocks.filter("indexed").select("k", F.col("block").alias("block1"), F.col("own").alias("left")).join(
+        blocks.filter("not indexed").select("k", F.col("block").alias("block2"), F.col("own").alias("right")), "k"
+    )
+
+    # a pair shares its segment in one direction only (the shorter line is the indexed one), so both orders of age are looked at
+    def close(x: Column, y: Column) -> Column:
+        return ((x["h"] != y["h"]) | (x["g"] != y["g"])) & shares_pieces(x["line"], y["line"], threshold)
+
+    def earliest(y: Column, others: str) -> Column:
+        older = F.filter(others, lambda x: close(x, y) & before(x["first"], x["line"], y["first"], y["line"]))
+        return F.array_min(F.transform(older, lambda x: F.struct(x["first"].isNull().alias("none"), x["first"].alias("first"), x["line"].alias("line"))))
+
+    def found(mine: str, others: str) -> DataFrame:
+        rows = pairs.select(F.explode(F.transform(mine, lambda y: F.struct(y.alias("late"), earliest(y, others).alias("early")))).alias("c"))
+        return rows.filter("c.early is not null").select(
+            F.struct("c.late.h", "c.late.g", "c.late.line").alias("late"), F.struct("c.early.first", "c.early.line").alias("early")
+        )
+
+    return found("right", "left").unionByName(found("left", "right"))
+
+
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, text, n_lines, equal_lines, near_lines: one row for each row of docs.
 
     text is what is left of the text as it was, without the dropped lines; equal_lines and near_lines are the numbers
     (from 1) of the lines dropped as equal, as near; n_lines counts the lines before.
     """
-    shortest = max(1, min(min_chars, equal_chars))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text_of().alias("text"))
-    numbered = F.filter(F.transform(normalised_lines(F.col("text"), 0), lambda x, i: F.struct((i + 1).alias("at"), x.alias("x"))), lambda s: F.length(s["x"]) >= shortest)
-    keys = F.transform(numbered, lambda s: F.struct(s["at"].alias("at"), F.md5(s["x"].cast("binary")).alias("key")))
-    rows = work_table(rows.select("rid", "doc_id", "text", keys.alias("keys")), "lines_rows")
-    distinct = occurrences(docs.select(F.lit(0).alias("rid"), "doc_id", "text"), shortest).groupBy("line").agg(F.min("doc_id").alias("first"))
-    distinct = work_table(distinct, "lines_distinct")
-    near = near_lines(distinct.filter(F.length("line") >= max(min_chars, threshold + 1)), threshold)
-    firsts = work_table(distinct.select(F.md5(F.col("line").cast("binary")).alias("line_key"), "first"), "lines_first")
-    discard(distinct)
-    each = rows.select("rid", "doc_id", F.explode("keys").alias("k")).groupBy("rid", "doc_id", F.col("k.key").alias("key")).agg(F.sort_array(F.collect_list("k.at")).alias("at"))
-    each = each.join(firsts, F.col("key") == F.col("line_key")).join(near, F.col("key") == F.col("near"), "left")
-    is_near, nothing = F.col("near").isNotNull(), F.array().cast("array<int>")
+    shortest = max(threshold + 1, min_chars)
+    keys = F.array(*probe_keys(F.col("line"), F.col("n"), threshold))
+    lines = occurrences(docs).withColumn("n", F.length("line")).filter(F.col("n") >= min(shortest, max(1, equal_chars)))
+    lines = work_table(lines.select("d1", "d2", "doc_id", "at", "h", "g", "n", F.when(F.col("n") >= shortest, keys).alias("probe")), "lines_all")
+    each = [F.first(F.col("probe")[i], ignorenulls=True).alias(f"p{i}") for i in range(len(probes(threshold)))]
+    distinct = lines.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), *each)
+    distinct = work_table(distinct.select("h", "g", "first", "n", "times", F.array(*[f"p{i}" for i in range(len(each))]).alias("probe")), "lines_distinct")
+    near = near_lines(docs, distinct.filter(F.col("n") >= shortest), threshold)
+
+    # only lines that occur again, or are near an earlier one, can be dropped
+    marked = distinct.filter((F.col("times") > 1) & (F.col("n") >= equal_chars)).select("h", "g", "first", F.lit(False).alias("near"))
+    marked = marked.join(near, ["h", "g"], "left_anti").unionByName(near.select("h", "g", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("first"), F.lit(True).alias("near")))
+    marked = work_table(marked, "lines_marked")
+    where = lines.select("d1", "d2", "doc_id", "at", "h", "g").join(looked_up(marked), ["h", "g"])
+    # rows equal in id and text have the same hash and lose the same lines; their line numbers count once
+    where = where.groupBy("d1", "d2", "doc_id", "h", "g", "first", "near").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    nothing = F.array().cast("array<int>")
     again = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.slice("at", F.lit(2), F.size("at"))).otherwise(F.col("at"))
-    each = each.select("rid", F.when(is_near, nothing).otherwise(again).alias("equal"), F.when(is_near, F.col("at")).otherwise(nothing).alias("close"))
-    dropped = each.filter((F.size("equal") > 0) | (F.size("close") > 0)).groupBy("rid").agg(
+    where = where.select("d1", "d2", F.when(F.col("near"), nothing).otherwise(again).alias("equal"), F.when(F.col("near"), F.col("at")).otherwise(nothing).alias("close"))
+    dropped = where.filter((F.size("equal") > 0) | (F.size("close") > 0)).groupBy("d1", "d2").agg(
         F.sort_array(F.flatten(F.collect_list("equal"))).alias("equal_lines"), F.sort_array(F.flatten(F.collect_list("close"))).alias("near_lines")
     )
     dropped = work_table(dropped, "lines_dropped")
-    discard(near, firsts)
-    out = rows.join(dropped, "rid", "left").withColumns({c: F.coalesce(c, nothing) for c in ("equal_lines", "near_lines")})
-    lines, gone = F.split("text", "\n"), F.concat("equal_lines", "near_lines")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(lines)), gone), lambda i: F.element_at(lines, i)), "\n")
-    n_lines = (F.size(lines) - F.when(F.col("text") == "", 1).otherwise(0)).cast("long")
-    out = out.select("doc_id", F.when(F.size(gone) > 0, left).otherwise(F.col("text")).alias("text"), n_lines.alias("n_lines"), "equal_lines", "near_lines")
-    out = work_table(out, "lines_out")
-    discard(rows, dropped)
-    return out
-
-
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = MIN_CHARS) -> DataFrame:
+    discard(lines, distinct, near, marked)
+    rows = docs.select("doc_id", text_of().alias("text")).withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(1), "text", "doc_id")})
+    raw = F.split("text", "\n", -1)
+    rows = rows.withColumn("n_lines", (F.size(raw) - F.when(F.col("text") == "", 1).otherwise(0)).cast("long"))
+    out = rows.join(looked_up(dropped), ["d1", "d2"], "left").withColumns({c: F.coalesce(c, nothing) for c in ("equal_lines", "near_lines")})
+    gone = F.concat("equal_lines", "near_lines")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(raw)), gone), lambda i: F.element_at(raw, i)), "\n")
+    return out.select("doc_id", F.when(F.size(gone) > 0, left).otherwise(F.col("text")).alias("text"), "n_lines", "equal_lines", "near_lines")
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
     """The digest of deduplicated(): doc_id, n_lines, n_equal and n_near (lines dropped as equal, as near)."""
     out = deduplicated(docs, threshold, min_chars, equal_chars)
     return out.select("doc_id", "n_lines", F.size("equal_lines").cast("long").alias("n_equal"), F.size("near_lines").cast("long").alias("n_near"))

@@ -33,7 +33,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"), min_chars=THRESHOLD + 1, equal_chars=1)
+    return dedup_lines(table(spark, sf_dir, "documents"), min_chars=THRESHOLD + 1)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,11 +200,11 @@ WITH d AS (
 ), o AS (
   SELECT rid, doc_id, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM (SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS raw FROM d)
 ), e AS (
-  SELECT rid, doc_id, line, count(*) AS times FROM o WHERE length(line) >= 20 GROUP BY rid, doc_id, line
+  SELECT rid, doc_id, line, count(*) AS times FROM o WHERE line <> '' GROUP BY rid, doc_id, line
 ), f AS (
   SELECT line, min(doc_id) AS first, length(line) AS n FROM e GROUP BY line
 ), near AS (
-  SELECT DISTINCT b.line FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND (a.first, a.line) < (b.first, b.line)
+  SELECT DISTINCT b.line FROM f a JOIN f b ON a.n >= 20 AND b.n >= 20 AND a.n BETWEEN b.n - 2 AND b.n + 2 AND (a.first, a.line) < (b.first, b.line)
   WHERE abs(a.n - b.n) <= 2 AND levenshtein(a.line, b.line) <= 2
 ), g AS (
   SELECT e.rid, sum(CASE WHEN near.line IS NOT NULL THEN 0 ELSE times - (e.doc_id = f.first)::INT END)::BIGINT AS n_equal,
