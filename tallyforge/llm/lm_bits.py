@@ -24,13 +24,15 @@ ORDERS = (3, 5)
 CONTEXTS = 1 + len(ORDERS) + 2
 #: Rows of the one-byte context: for each byte one for the high half, 16 for the low.
 FIRST_ROWS = 256 * 17
-#: Weight sets: contexts seen among the last four (0 to 4), high or low half, place in the word (0 to 3).
-GATES = 5 * 2 * 4
+#: Weight sets: high or low half, place in the word (the last: that and any further).
+PLACES = 8
+GATES = 2 * PLACES
 #: Refining stage: for each byte's bits so far, cells of the mixed log odds from -EDGE to EDGE; weight of the prior.
 EDGE, PER_UNIT, PRIOR = 12, 2, 4.0
 POINTS = 2 * EDGE * PER_UNIT + 1
 #: Bytes handled at once when counting and scoring, and in one online step; first step size, first weight, smoothing of counts.
 SPAN, STEP, RATE, FIRST, SMOOTH = 1 << 15, 1 << 13, 0.05, 0.3, 0.05
+PIECE = 1 << 21
 #: Log odds are kept as 16-bit integers of this scale, so that a half byte's four take one 64-bit read.
 SCALE, LARGEST = np.float32(1 / 2048), 12.0
 
@@ -70,11 +72,12 @@ SIGN = (1 - 2 * np.concatenate([BIT, BIT[_BYTE % 16]])).astype(np.float32)
 
 @dataclass
 class Span:
-    """The half bytes of a span's coded bytes, all high ones and then all low ones, and the words that end in it."""
+    """The half bytes of a span's coded bytes, all high ones and then all low ones, each ordered by place in the word; and the words that end in it."""
 
     cells: np.ndarray  #: CONTEXTS x halves, cell of the half byte in its context's row
     code: np.ndarray  #: which half byte of which byte
-    place: np.ndarray  #: weight set, but for the contexts seen
+    begin: np.ndarray  #: where the half bytes of each weight set begin
+    order: np.ndarray  #: place in the span of each byte
     words: np.ndarray  #: hash of each word that ends in the span
     ends: np.ndarray  #: where in the stream the byte after the word is
 
@@ -114,8 +117,12 @@ def spans(stream: np.ndarray, coded: np.ndarray, row_bits: int, size: int = SPAN
         cum, nth_last, prev_hash = whole[-1], int(nth[-1]), prev[-1]
 
         ends = np.flatnonzero(_GAP[seg] & (nth > 0) & coded[a : a + n])
-        some = np.flatnonzero(counted[a : a + n])
-        out = Span(np.empty((CONTEXTS, 2, len(some)), np.int64), None, None, mixed(so_far[ends]), ends + a)
+        place = np.minimum(nth, PLACES - 1).astype(np.uint8)
+        place[~counted[a : a + n]] = PLACES
+        some = np.argsort(place, kind="stable")
+        begin = np.searchsorted(place[some], np.arange(PLACES + 1))
+        some = some[: begin[-1]]
+        out = Span(np.empty((CONTEXTS, 2, len(some)), np.int64), None, np.concatenate([begin, begin[1:] + begin[-1]]), some, mixed(so_far[ends]), ends + a)
         value = seg[some]
         high, low = (value >> 4).astype(np.uint64), (value & 15).astype(np.uint64)
         first = last[PAD - 1 : PAD - 1 + n][some].astype(np.int64) * 272 + high.view(np.int64)
@@ -123,15 +130,13 @@ def spans(stream: np.ndarray, coded: np.ndarray, row_bits: int, size: int = SPAN
         out.cells[0, 1] = first + (15 * high + low + np.uint64(16)).view(np.int64)
         step = _LOW[value >> 4]
         for k, c in enumerate(contexts, 1):
-            c = c[some] if len(some) < n else c
+            c = c[some]
             c ^= c >> np.uint64(29)
             c *= _FINAL
             out.cells[k, 0] = ((c >> drop) & keep) | high
             out.cells[k, 1] = (((c ^ step) * GOLDEN >> drop) & keep) | low
         out.cells = out.cells.reshape(CONTEXTS, -1)
         out.code = np.concatenate([value >> 4, value.astype(np.int64) + 16])
-        place = np.minimum(nth[some], 3).astype(np.uint8)
-        out.place = np.concatenate([place, place + np.uint8(4)])
         yield out
 
 
@@ -142,7 +147,7 @@ def row_counts(row_bits: int) -> list[int]:
 class Counter:
     """Counts of the half bytes after every context, gathered in blocks."""
 
-    def __init__(self, row_bits: int, block: int = 1 << 22) -> None:
+    def __init__(self, row_bits: int, block: int = 1 << 21) -> None:
         self.block = block
         self.tables = [np.zeros(r * 16, np.uint32) for r in row_counts(row_bits)]
         self.most = 0  # occurrences so far: a task's narrow counts are widened before they could overflow
@@ -178,7 +183,7 @@ def log_odds(counts: np.ndarray, without_own: bool) -> np.ndarray:
     """For every row and half byte the log odds of its four bits, four 16-bit integers in one 64-bit one.
 
     without_own takes the half byte's one own occurrence out of the counts, for learning from the counted texts. A bit
-    never seen has log odds 0; the first bit of a row that was seen has not.
+    never seen has log odds 0.
     """
     rows = counts.reshape(-1, 16)
     out = np.empty((len(rows), 16, 4), np.int16)
@@ -190,26 +195,17 @@ def log_odds(counts: np.ndarray, without_own: bool) -> np.ndarray:
                 if without_own:
                     n0, n1 = np.maximum(n0 - (1 - BIT[v, b]), 0), np.maximum(n1 - BIT[v, b], 0)
                 x = np.clip(np.log((n1 + np.float32(SMOOTH)) / (n0 + np.float32(SMOOTH))), -LARGEST, LARGEST) / SCALE
-                x = np.rint(x).astype(np.int16)
-                out[a : a + len(tree), v, b] = np.where((x == 0) & (n0 + n1 > 0), 1, x) if b == 0 else x
+                out[a : a + len(tree), v, b] = np.rint(x).astype(np.int16)
     return out.reshape(-1).view(np.int64)
 
 
-def inputs(tables: list[np.ndarray], s: Span) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The span's half bytes ordered by weight set: their order, where each set begins, and log odds (CONTEXTS x four bits each)."""
+def inputs(tables: list[np.ndarray], s: Span) -> np.ndarray:
+    """Log odds as stored of the span's half bytes (CONTEXTS x four bits each)."""
     n = len(s.code)
-    four = np.empty((CONTEXTS, n), np.int64)
-    for k in range(CONTEXTS):
-        tables[k].take(s.cells[k], out=four[k], mode="clip")
-    gate = s.place.copy()
-    for k in range(CONTEXTS - 4, CONTEXTS):
-        gate += (four[k].view(np.int16)[::4] != 0).view(np.uint8) << np.uint8(3)
-    order = np.argsort(gate, kind="stable")
-    begin = np.concatenate([[0], np.cumsum(np.bincount(gate, minlength=GATES))])
     x, row = np.empty((CONTEXTS, 4 * n), np.float32), np.empty(n, np.int64)
     for k in range(CONTEXTS):
-        x[k] = four[k].take(order, out=row, mode="clip").view(np.int16)
-    return order, begin, x
+        x[k] = tables[k].take(s.cells[k], out=row, mode="clip").view(np.int16)
+    return x
 
 
 def mix(weights: np.ndarray, begin: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -252,8 +248,7 @@ class Learner:
         for s in spans(stream, coded, row_bits, STEP):
             if not len(s.code):
                 continue
-            order, begin, x = inputs(tables, s)
-            code = s.code[order]
+            x, begin, code = inputs(tables, s), s.begin, s.code
             z = mix((self.weights * SCALE).astype(np.float32), begin, x)
             bit = np.float32(0.5) - np.float32(0.5) * SIGN.take(code, axis=0).reshape(-1)
             miss = bit - 1 / (1 + np.exp(-z))
@@ -280,30 +275,39 @@ def corrections(outcomes: np.ndarray) -> np.ndarray:
 
 
 def costs(tables: list[np.ndarray], row_bits: int, weights: np.ndarray, added: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural-log probability of every text with its end byte; the hashes of all words and how many each text has."""
-    stream, coded, size = padded(data, offsets)
+    """Natural-log probability of every text with its end byte; the hashes of all words and how many each text has.
+
+    Texts are taken in pieces of about PIECE bytes, which bounds the memory by that or the longest text.
+    """
     weights = (weights * SCALE).astype(np.float32)
-    out, at = np.zeros(int(size.sum())), 0
+    parts, a = [(np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    while a < len(offsets) - 1:
+        b = min(len(offsets) - 1, max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE))))
+        parts.append(_costs(tables, row_bits, weights, added, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        a = b
+    total, words, n_words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return total, words, n_words
+
+
+def _costs(tables: list[np.ndarray], row_bits: int, weights: np.ndarray, added: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    stream, coded, size = padded(data, offsets)
+    out = np.zeros(len(stream))
     words, ends = [], []
-    for s in spans(stream, coded, row_bits):
+    for a, s in zip(range(0, len(stream), SPAN), spans(stream, coded, row_bits, SPAN), strict=True):
         words.append(s.words)
         ends.append(s.ends)
         if not len(s.code):
             continue
-        order, begin, x = inputs(tables, s)
-        code = s.code[order]
-        z = mix(weights, begin, x)
-        z += added.take(cells_of(z, code))
-        z *= SIGN.take(code, axis=0).reshape(-1)
+        z = mix(weights, s.begin, inputs(tables, s))
+        z += added.take(cells_of(z, s.code))
+        z *= SIGN.take(s.code, axis=0).reshape(-1)
         # 1/p of the four bits; odds beyond e^20 are held to it, so that the product stays finite
         lost = np.exp(np.minimum(z, 20, out=z), out=z).reshape(-1, 4)
         lost += 1
-        half = np.empty(len(order), np.float32)
-        half[order] = np.log(lost[:, 0] * lost[:, 1] * (lost[:, 2] * lost[:, 3]))
-        n = len(order) // 2
-        out[at : at + n] = half[:n].astype(np.float64) + half[n:]
-        at += n
-    begin = np.cumsum(size) - size
+        half = np.log(lost[:, 0] * lost[:, 1] * (lost[:, 2] * lost[:, 3]))
+        n = len(s.order)
+        out[a + s.order] = half[:n].astype(np.float64) + half[n:]
+    begin = np.cumsum(size + PAD) - size - PAD
     total = -np.add.reduceat(out, begin) if len(size) else np.zeros(0)
     return total, *word_lists(words, ends, size)
 

@@ -22,6 +22,7 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -101,12 +102,12 @@ def summed_tables(parts: DataFrame, row_bits: int) -> np.ndarray:
     return out
 
 
-_TABLES: dict[tuple[int, bool], list[np.ndarray]] = {}
+_TABLES: dict[tuple[str, bool], list[np.ndarray]] = {}
 
 
-def tables_of(counts: Broadcast, row_bits: int, without_own: bool) -> list[np.ndarray]:
-    """The log odds of all tables; a Python worker makes them once."""
-    key = (counts._jbroadcast.id() if counts._jbroadcast is not None else id(counts), without_own)
+def tables_of(model: str, counts: Broadcast, row_bits: int, without_own: bool) -> list[np.ndarray]:
+    """The log odds of all tables; a Python worker makes those of a model (a name no other has) once, and holds one set."""
+    key = (model, without_own)
     if key not in _TABLES:
         _TABLES.clear()
         flat = unpack(counts.value)["n"]
@@ -115,14 +116,14 @@ def tables_of(counts: Broadcast, row_bits: int, without_own: bool) -> list[np.nd
     return _TABLES[key]
 
 
-def fit_mixer(train: DataFrame, counts: Broadcast, row_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_mixer(train: DataFrame, model: str, counts: Broadcast, row_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The gates' weights, refined in each task over its training texts and averaged, and what the refining stage adds."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = L.Learner.new()
         for b in batches:
             if b.num_rows:
-                learner.learn(tables_of(counts, row_bits, True), row_bits, *text_buffer(b.column(0)))
+                learner.learn(tables_of(model, counts, row_bits, True), row_bits, *text_buffer(b.column(0)))
         seen = np.repeat(learner.seen, L.CONTEXTS)
         value = np.concatenate([learner.weights.reshape(-1) * seen, learner.outcomes])
         weight = np.concatenate([seen, np.zeros(len(learner.outcomes))])
@@ -193,8 +194,10 @@ def runs(docs: DataFrame, buckets: int, row_bits: int, fold: int) -> DataFrame:
             yield flush()
         counter.flush()
         if counter.most:
-            flat = np.concatenate(counter.tables)
-            yield rows(-1, [-2 - i for i in range(SLICES)], [pack(n=least(flat[x:y])) for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
+            ends = np.cumsum([0, *map(len, counter.tables)])
+            for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                part = np.concatenate([t[max(x - e, 0) : max(y - e, 0)] for t, e in zip(counter.tables, ends, strict=False)])
+                yield rows(-1, [-2 - i], [pack(n=least(part))])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(go, "run long, bucket long, blob binary")
 
@@ -236,15 +239,16 @@ def score(docs: DataFrame, fold: int = 1) -> DataFrame:
     total, kinds = total + n_train, kinds + (n_train > 0)
     base_log = float(np.log10(total + 0.5 * (kinds + 1)))
 
+    model = uuid.uuid4().hex
     counts = spark.sparkContext.broadcast(pack(n=least(summed_tables(table.filter("bucket < -1"), row_bits))))
-    mixer = spark.sparkContext.broadcast(fit_mixer(train, counts, row_bits))
+    mixer = spark.sparkContext.broadcast(fit_mixer(train, model, counts, row_bits))
 
     def rate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")
         d = unpack(pdf["blob"].iloc[0])
         c = np.concatenate([np.zeros(0, np.int64), *[unpack(b)["c"].astype(np.int64) for b in pdf["blob"].iloc[1:]]])
         offsets = np.concatenate([[0], np.cumsum(d["length"])])
-        cost, hashed, n_words = L.costs(tables_of(counts, row_bits, False), row_bits, *mixer.value, d["text"], offsets)
+        cost, hashed, n_words = L.costs(tables_of(model, counts, row_bits, False), row_bits, *mixer.value, d["text"], offsets)
         cost /= np.log(10)
         mine = c[np.unique(hashed, return_inverse=True)[1]] if len(hashed) else c[:0]
         upto, some = np.concatenate([[0.0], np.cumsum(np.log10(mine + 0.5))]), np.concatenate([[0], np.cumsum(mine > 0)])

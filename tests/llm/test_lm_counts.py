@@ -57,7 +57,7 @@ def rows_of(history: bytes, row_bits: int):
     so_far = (total(word) + len(word) * int(L.GOLDEN)) & M64
     out.append(finish(so_far * int(L._PAIR) & M64, row_bits))
     out.append(finish((so_far ^ (total(before[at:]) * int(L.GOLDEN) & M64)) * int(L._PAIR) & M64, row_bits))
-    return history[-1], out, min(len(word), 3)
+    return history[-1], out, min(len(word), L.PLACES - 1)
 
 
 def cells_by_hand(text: bytes, row_bits: int):
@@ -68,7 +68,7 @@ def cells_by_hand(text: bytes, row_bits: int):
         high, low = byte >> 4, byte & 15
         yield [first * 272 + high, *[(h >> 64 - row_bits) * 16 + high for h in hashed]], high, place, None
         lows = [((h ^ int(L._LOW[high])) * int(L.GOLDEN) & M64) >> 64 - row_bits for h in hashed]
-        yield [(first * 17 + 1 + high) * 16 + low, *[x * 16 + low for x in lows]], low, place + 4, high
+        yield [(first * 17 + 1 + high) * 16 + low, *[x * 16 + low for x in lows]], low, place + L.PLACES, high
         history += bytes([byte])
 
 
@@ -98,7 +98,7 @@ def test_costs_equal_a_plain_scorer(monkeypatch, span):
     for t, mine in zip(TEXTS, got, strict=True):
         lost = 0.0
         for cells, value, place, high in cells_by_hand(t.encode(), row_bits):
-            odds, trust = np.zeros((L.CONTEXTS, 4)), 0
+            odds = np.zeros((L.CONTEXTS, 4))
             for k, c in enumerate(cells):
                 n = plain[k][c - value : c - value + 16]
                 for b in range(4):
@@ -106,10 +106,9 @@ def test_costs_equal_a_plain_scorer(monkeypatch, span):
                     start = value >> 4 - b << 4 - b
                     n0, n1 = int(n[start : start + block // 2].sum()), int(n[start + block // 2 : start + block].sum())
                     x = round(min(L.LARGEST, max(-L.LARGEST, math.log((n1 + L.SMOOTH) / (n0 + L.SMOOTH)))) / float(L.SCALE))
-                    odds[k, b] = (1 if x == 0 and b == 0 and n0 + n1 else x) * float(L.SCALE)
-                trust += k >= L.CONTEXTS - 4 and n.sum() > 0
+                    odds[k, b] = x * float(L.SCALE)
             for b in range(4):
-                z = float(learner.weights[trust * 8 + place] @ odds[:, b])
+                z = float(learner.weights[place] @ odds[:, b])
                 prefix = (1 << b | value >> 4 - b) if high is None else (16 + high) << b | value >> 4 - b
                 z += added[prefix * L.POINTS + int((min(L.EDGE, max(-L.EDGE, z)) + L.EDGE) * L.PER_UNIT + 0.5)]
                 lost += math.log1p(math.exp(-z if value >> 3 - b & 1 else z))
