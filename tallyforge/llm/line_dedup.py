@@ -8,11 +8,12 @@ reach, only the substrings at the places that the edits left and right of a segm
 A candidate pair must also share all but threshold of PIECES equal pieces, each within threshold places (an edit spoils
 one piece at most): this drops most false pairs before the verification, which is an edit distance in which one integer
 holds the band of a column and is updated by a few bit operations. It looks at the earliest candidate of each line
-first, and at the others only of lines for which that one fails.
+first, and at the others only of lines for which that one fails. A line is first compared with the earliest line of
+each segment only, as copies of one text are mostly near that, and with the others if it was not found there.
 
 Segments that more than HOT lines share are not joined line by line: their lines are gathered in blocks of at most about
-HOT lines, blocks are paired, and the pieces are compared inside a pair of blocks. Lines found there are candidates like
-the others; a segment shared by n lines costs n * n / HOT**2 pairs of blocks.
+HOT lines, blocks are paired, and lines not yet found are compared inside a pair of blocks, each up to the first earlier
+line that is near it; a segment shared by n lines costs n * n / HOT**2 pairs of blocks.
 
 A line is dropped if an equal line comes earlier, or if a line within the threshold first occurs earlier. Lines first
 occur in order of doc_id (null last); of lines that first occur in the same document the smaller text comes earlier.
@@ -39,6 +40,8 @@ THRESHOLD, MIN_CHARS = 2, 20
 #: Lines of one segment that are joined line by line, and about the lines of a block beyond that.
 HOT = 64
 PIECES = 8
+#: Largest step in finding a common beginning or end.
+TRIM = 1 << 13
 #: A list of hashes of so many rows at most is broadcast (16 bytes each); a longer one is joined by a shuffle.
 LOOKED_UP = 1_000_000
 
@@ -89,11 +92,36 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
     Bit k of a column's integers stands for row (column - threshold + k) of the distance matrix; the band moves down one
     row with each column. vp and vn say where the distance grows or shrinks by one from a row to the next, and the
-    distance is followed along the diagonal that ends in the matrix's last cell.
+    distance is followed along the diagonal that ends in the matrix's last cell. Letters that both strings share at their
+    beginning and end are left out first, as they do not change the distance.
     """
-    # bound as one element of an array, so that the letters are split once and not at every step
-    letters = F.struct(F.split(a, "").alias("rows"), F.split(b, "").alias("cols"), F.length(a).alias("m"), F.length(b).alias("n"))
-    return F.element_at(F.transform(F.array(letters), lambda x: _within(x["rows"], x["cols"], x["m"], x["n"], threshold)), 1)
+    # bound as one element of an array, so that a step's result is named and computed once
+    both = _bound(F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("most")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _shared(x, 0).alias("p")))
+    both = _bound(both, lambda x: F.struct(F.substring(x["a"], x["p"] + 1, F.length(x["a"])).alias("a"), F.substring(x["b"], x["p"] + 1, F.length(x["b"])).alias("b")))
+    both = _bound(both, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.least(F.length(x["a"]), F.length(x["b"])).alias("most")))
+    both = _bound(both, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), _shared(x, 1).alias("p")))
+    both = _bound(both, lambda x: F.struct(F.substring(x["a"], F.lit(1), F.length(x["a"]) - x["p"]).alias("a"), F.substring(x["b"], F.lit(1), F.length(x["b"]) - x["p"]).alias("b")))
+    letters = lambda x: F.struct(F.split(x["a"], "").alias("rows"), F.split(x["b"], "").alias("cols"), F.length(x["a"]).alias("m"), F.length(x["b"]).alias("n"))
+    return _bound(_bound(both, letters), lambda x: F.when((x["m"] == 0) | (x["n"] == 0), x["m"] + x["n"] <= threshold).otherwise(_within(x["rows"], x["cols"], x["m"], x["n"], threshold)))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shared(x: Column, end: int) -> Column:
+    """How many letters two strings share at their beginning (end 0) or end (end 1), found by halving steps; below 2 * TRIM."""
+
+    def step(done: Column, size: Column) -> Column:
+        if end:
+            same = F.substring(x["a"], F.length(x["a"]) - done - size + 1, size) == F.substring(x["b"], F.length(x["b"]) - done - size + 1, size)
+        else:
+            same = F.substring(x["a"], done + 1, size) == F.substring(x["b"], done + 1, size)
+        return done + F.when((done + size <= x["most"]) & same, size).otherwise(0)
+
+    sizes = [F.lit(1 << k) for k in range(TRIM.bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*sizes), F.lit(0), step)
 
 
 def _within(rows: Column, cols: Column, m: Column, n: Column, threshold: int) -> Column:
@@ -129,7 +157,7 @@ def _within(rows: Column, cols: Column, m: Column, n: Column, threshold: int) ->
 
     first = F.struct(
         F.lit(full & ~((1 << threshold) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"),
-        F.lit(threshold).cast("int").alias("d"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("int").alias("j"),
+        F.least(m, F.lit(threshold)).cast("int").alias("d"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("int").alias("j"),
     )
     # the inner aggregate over one element names the step's result, so that it is computed once
     end = F.aggregate(
@@ -155,10 +183,11 @@ def looked_up(df: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> d1, d2 (hash of the row), doc_id, at, line, h, g (hash of the line), one row per non-empty line."""
+    """docs (doc_id, text) -> d1, d2 (hash of the row), doc_id, at, line, n (length), h, g (hash of the line), one row per non-empty line."""
     rows = docs.select("doc_id", text_of().alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), "doc_id", F.posexplode(normalised_lines(F.col("text"))).alias("at", "line"))
-    return rows.filter("line != ''").select("d1", "d2", "doc_id", (F.col("at") + 1).alias("at"), "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(7)).alias("g"))
+    lines = F.filter(F.transform(normalised_lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("at"), x.alias("line"), F.length(x).alias("n"))), lambda x: x["n"] > 0)
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), "doc_id", F.inline(lines))
+    return rows.select("d1", "d2", "doc_id", "at", "line", "n", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(7)).alias("g"))
 
 
 def before(first: Column, line: Column, first2: Column, line2: Column) -> Column:
@@ -169,24 +198,48 @@ def before(first: Column, line: Column, first2: Column, line2: Column) -> Column
 def near_lines(docs: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
     """keyed (h, g, first, n, probe: a line's keys), a row for each distinct line -> a work table of h, g of lines within the threshold of one that comes earlier.
 
-    docs gives the texts of the lines that are candidates, and only theirs.
+    Two rounds: each line is first compared with the earliest line of each segment it probes, its pivot; then the lines
+    that were not found, and only they, with the other lines of segments that several lines have. docs gives the texts
+    of candidates, and only theirs.
     """
     own = [i for i, (d, _, off) in enumerate(probes(threshold)) if d == 0 and off == 0]
-    index = keyed.select("h", F.explode(F.array(*[F.col("probe")[i] for i in own])).alias("key"))
+    index = keyed.select("h", "first", F.explode(F.array(*[F.col("probe")[i] for i in own])).alias("key"))
     probe = keyed.select(F.col("h").alias("other"), F.explode("probe").alias("k"))
-    hot = work_table(index.groupBy(F.col("key").alias("hot")).count().filter(F.col("count") > HOT), "lines_hot")
-    few = looked_up(hot.select("hot"))
-    pairs = probe.join(index.join(few, F.col("key") == F.col("hot"), "left_anti"), F.col("k") == F.col("key")).filter("h != other")
-    pairs = work_table(pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "lines_pairs")
-    keys = probe.join(few, F.col("k") == F.col("hot"), "left_semi").select("other", "k", F.lit(False).alias("indexed"))
-    keys = keys.unionByName(index.join(few, F.col("key") == F.col("hot"), "left_semi").select(F.col("h").alias("other"), F.col("key").alias("k"), F.lit(True).alias("indexed")))
-    keys = work_table(keys, "lines_hot_keys")
-
-    wanted = work_table(pairs.select(F.explode(F.array("a", "b")).alias("w")).unionByName(keys.select(F.col("other").alias("w"))).distinct(), "lines_wanted")
+    pivots = index.groupBy("key").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h")).alias("pivot"), F.count(F.lit(1)).alias("n_lines"))
+    pivots = work_table(pivots.select("key", F.col("pivot.h").alias("h"), "n_lines"), "lines_pivots")
+    first_pairs = probe.join(pivots, F.col("k") == F.col("key")).filter("h != other")
+    first_pairs = work_table(first_pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "lines_pairs")
+    shared = work_table(pivots.filter("n_lines > 1").select(F.col("key").alias("shared"), "n_lines"), "lines_shared")
+    keys = index.select(F.col("h").alias("other"), F.col("key").alias("k"), F.lit(True).alias("indexed")).unionByName(probe.withColumn("indexed", F.lit(False)))
+    keys = work_table(keys.join(looked_up(shared), F.col("k") == F.col("shared")).drop("shared"), "lines_keys")
+
+    wanted = first_pairs.select(F.explode(F.array("a", "b")).alias("w")).unionByName(keys.select(F.col("other").alias("w")))
+    wanted = work_table(wanted.distinct(), "lines_wanted")
     texts = occurrences(docs).select("h", "g", "line").join(looked_up(wanted), F.col("h") == F.col("w"), "left_semi")
     texts = texts.groupBy("h", "g").agg(F.first("line").alias("line")).join(keyed.select("h", "g", "first"), ["h", "g"])
     texts = work_table(texts, "lines_texts")
 
+    found = _verified(_candidates(first_pairs, texts, threshold), threshold)
+    marked = found.withColumn("open", F.lit(False))
+    texts2 = work_table(texts.join(marked, ["h", "g"], "left").fillna(True, ["open"]), "lines_texts")
+    open_ = texts2.filter("open").select(F.col("h").alias("still")).distinct()
+    few = keys.filter(F.col("n_lines") <= HOT)
+    left, right = few.filter("indexed").select(F.col("other").alias("x"), "k"), few.filter("not indexed").select(F.col("other").alias("y"), "k")
+    open_left, open_right = (side.join(open_, F.col(name) == F.col("still"), "left_semi") for side, name in ((left, "x"), (right, "y")))
+    pairs = open_left.join(right, "k").unionByName(left.join(open_right, "k").select("k", "x", "y")).filter("x != y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
+    pairs = work_table(pairs, "lines_pairs")
+    rest = _candidates(pairs, texts, threshold).join(found.select(F.col("h").alias("fh"), F.col("g").alias("fg")), (F.col("late.h") == F.col("fh")) & (F.col("late.g") == F.col("fg")), "left_anti")
+    in_blocks = near_in_blocks(keys.filter(F.col("n_lines") > HOT), texts2, threshold)
+    out = work_table(found.unionByName(_verified(rest, threshold)).unionByName(in_blocks).distinct(), "lines_near")
+    discard(pairs, texts2)
+    discard(pivots, first_pairs, shared, keys, wanted, texts, found)
+    return out
+
+
+def _candidates(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of lines (a, b) -> (late: h, g, line; early: first, line) of those that share enough pieces."""
+
     def side(names: str) -> DataFrame:
         return texts.select(*[F.col(c).alias(n) for c, n in zip(("h", "g", "first", "line"), names.split(), strict=True)])
 
@@ -196,42 +249,40 @@ def near_lines(docs: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
     late = F.when(a_first, F.struct(F.col("b").alias("h"), F.col("bg").alias("g"), F.col("b_line").alias("line"))).otherwise(
         F.struct(F.col("a").alias("h"), F.col("ag").alias("g"), F.col("a_line").alias("line"))
     )
-    candidates = both.select(late.alias("late"), early.alias("early")).unionByName(hot_candidates(keys, hot, texts, threshold))
+    return both.select(late.alias("late"), early.alias("early"))
+
+
+def _verified(candidates: DataFrame, threshold: int) -> DataFrame:
+    """The h, g of the late lines that are within the threshold of an early one; the earliest of each is tried first."""
     candidates = candidates.select("late.h", "late.g", F.col("late.line").alias("line"), F.struct(F.col("early.first").isNull().alias("none"), "early.first", "early.line").alias("early"))
     candidates = work_table(candidates, "lines_candidates")
     tried = candidates.groupBy("h", "g").agg(F.min("early").alias("early"), F.first("line").alias("line"))
     tried = work_table(tried.select("h", "g", F.col("early.line").alias("early"), within(F.col("early.line"), F.col("line"), threshold).alias("near")), "lines_tried")
     left = candidates.join(tried.filter("not near").select("h", "g", F.col("early").alias("done")), ["h", "g"]).filter("early.line != done")
     left = left.select("h", "g", "line", F.col("early.line").alias("early")).distinct().filter(within(F.col("early"), F.col("line"), threshold))
-    found = work_table(tried.filter("near").select("h", "g").unionByName(left.select("h", "g").distinct()), "lines_near")
-    discard(hot, pairs, keys, wanted, texts, candidates, tried)
+    found = work_table(tried.filter("near").select("h", "g").unionByName(left.select("h", "g").distinct()), "lines_found")
+    discard(candidates, tried)
     return found
 
 
-def hot_candidates(keys: DataFrame, hot: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Candidates (late, early) among the lines of each hot segment, compared block by block; of a late line its earliest in a block."""
-    sized = keys.join(hot, F.col("k") == F.col("hot")).withColumn("block", F.pmod(F.xxhash64("other", F.lit(3)), F.ceil(F.col("count") / HOT)))
-    sized = sized.join(texts, F.col("other") == F.col("h")).withColumn("own", F.struct("first", "line", "h", "g"))
+def near_in_blocks(keys: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """The h, g of lines within the threshold of an earlier one with which they share a hot segment, compared block by block."""
+    sized = keys.withColumn("block", F.pmod(F.xxhash64("other", F.lit(3)), F.ceil(F.col("n_lines") / HOT)))
+    sized = sized.join(texts, F.col("other") == F.col("h")).withColumn("own", F.struct("first", "line", "h", "g", "open"))
     blocks = sized.groupBy("k", "block", "indexed").agg(F.collect_list("own").alias("own"))
     pairs = blocks.filter("indexed").select("k", F.col("block").alias("block1"), F.col("own").alias("left")).join(
         blocks.filter("not indexed").select("k", F.col("block").alias("block2"), F.col("own").alias("right")), "k"
     )
 
     # a pair shares its segment in one direction only (the shorter line is the indexed one), so both orders of age are looked at
-    def close(x: Column, y: Column) -> Column:
-        return ((x["h"] != y["h"]) | (x["g"] != y["g"])) & shares_pieces(x["line"], y["line"], threshold)
-
-    def earliest(y: Column, others: str) -> Column:
-        older = F.filter(others, lambda x: close(x, y) & before(x["first"], x["line"], y["first"], y["line"]))
-        return F.array_min(F.transform(older, lambda x: F.struct(x["first"].isNull().alias("none"), x["first"].alias("first"), x["line"].alias("line"))))
+    def is_near(y: Column, x: Column) -> Column:
+        return before(x["first"], x["line"], y["first"], y["line"]) & shares_pieces(x["line"], y["line"], threshold) & within(x["line"], y["line"], threshold)
 
     def found(mine: str, others: str) -> DataFrame:
-        rows = pairs.select(F.explode(F.transform(mine, lambda y: F.struct(y.alias("late"), earliest(y, others).alias("early")))).alias("c"))
-        return rows.filter("c.early is not null").select(
-            F.struct("c.late.h", "c.late.g", "c.late.line").alias("late"), F.struct("c.early.first", "c.early.line").alias("early")
-        )
+        near = F.filter(mine, lambda y: y["open"] & F.exists(others, lambda x: is_near(y, x)))
+        return pairs.select(F.explode(near).alias("c")).select("c.h", "c.g")
 
-    return found("right", "left").unionByName(found("left", "right"))
+    return found("right", "left").unionByName(found("left", "right")).distinct()
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
@@ -242,8 +293,8 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     """
     shortest = max(threshold + 1, min_chars)
     keys = F.array(*probe_keys(F.col("line"), F.col("n"), threshold))
-    lines = occurrences(docs).withColumn("n", F.length("line")).filter(F.col("n") >= min(shortest, max(1, equal_chars)))
-    lines = work_table(lines.select("d1", "d2", "doc_id", "at", "h", "g", "n", F.when(F.col("n") >= shortest, keys).alias("probe")), "lines_all")
+    lines = occurrences(docs).filter(F.col("n") >= min(shortest, max(1, equal_chars)))
+    lines = work_table(lines.select("d1", "d2", "doc_id", "at", "h", "g", "n", keys.alias("probe")), "lines_all")
     each = [F.first(F.col("probe")[i], ignorenulls=True).alias(f"p{i}") for i in range(len(probes(threshold)))]
     distinct = lines.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), *each)
     distinct = work_table(distinct.select("h", "g", "first", "n", "times", F.array(*[f"p{i}" for i in range(len(each))]).alias("probe")), "lines_distinct")

@@ -72,3 +72,41 @@ def test_registered_query_of_all_lines(spark, tmp_path):
 
     spark.createDataFrame([(1, "Of, edti oner."), (2, "Of, edti oner.\n}"), (3, "}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"]: (r["n_lines"], r["n_equal"], r["n_near"]) for r in QUERIES["op2_all_lines"](spark, str(tmp_path)).collect()} == {1: (1, 0, 0), 2: (2, 1, 0), 3: (1, 1, 0)}
+
+
+def test_within_is_the_edit_distance_of_strings_of_any_length(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm.line_dedup import shares_pieces, within
+
+    rng = random.Random(9)
+    pairs = [("", ""), ("", "ab"), ("", "abc"), ("abc", "abc"), ("a", "bc"), ("ab", "ba")]
+    for _ in range(400):
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(30)))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "b"])
+        pairs.append((a, "".join(b)))
+    pairs = [p for p in pairs if abs(len(p[0]) - len(p[1])) <= 2]
+    d = spark.createDataFrame(pairs, "a string, b string")
+    for r in d.select("a", "b", within(F.col("a"), F.col("b"), 2).alias("w"), shares_pieces(F.col("a"), F.col("b"), 2).alias("s")).collect():
+        near = distance(r["a"], r["b"]) <= 2
+        assert r["w"] == near and (r["s"] or not near)
+
+
+def test_hot_segments_are_compared_in_blocks(spark, monkeypatch):
+    from tallyforge.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "HOT", 4)
+    import random
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    texts = {i: f"the same long beginning of all lines {word(12)}\nthe same long beginning of all lines {word(3)}aaaaaaaaa" for i in range(40)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute(texts, equal_chars=1)
+    assert {r["doc_id"]: (r["text"], r["equal_lines"], r["near_lines"]) for r in L.deduplicated(d).collect()} == want
+    assert any(close for _, _, close in want.values())
