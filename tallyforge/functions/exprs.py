@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 CLUSTER_WEIGHTS = {"L3": 18, "M3": 12, "L2": 10, "S3": 8, "M2": 6, "L1": 4, "S2": 3}
 #: Rank of a verdict when two are compared; higher is worse.
 VERDICT_RANKS = {"pass": 0, "not_applicable": 0, "partial": 1, "manual": 2, "warn": 3, "fail": 4}
-#: File kinds that are left out of an analysis or of a test target list.
-SCOPE_EXCLUDED = ("Test", "Story", "Fixture", "Config", "Storybook Support")
-TEST_EXCLUDED = ("Test", "Story", "Storybook Support", "Fixture", "Config", "Barrel", "Utils", "Type Support")
+#: Weights of the hot-spot, type-safety and structure scores.
+HOTSPOT = {"complexity": 5, "dependencies": 2, "any": 4}
+TYPE_SAFETY = {"any": 4, "unsafe": 4, "double": 5, "bare": 1, "non_null": 2, "ignore": 5, "expect_error": 4, "nocheck": 20}
+#: Older names of the clusters.
+OLD_CLUSTERS = {"S-L": "S1", "S-M": "S2", "S-H": "S3", "M-L": "M1", "M-M": "M2", "M-H": "M3", "L-L": "L1", "L-M": "L2", "L-H": "L3"}
 
 
 def _c(x: Column | str) -> Column:
@@ -45,18 +47,31 @@ def cluster_weight(code: Column | str) -> Column:
     return F.coalesce(F.try_element_at(table, _c(code)), F.lit(1))
 
 
+def normal_cluster(code: Column | str) -> Column:
+    """A cluster in today's names."""
+    table = F.create_map(*[F.lit(x) for kv in OLD_CLUSTERS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, _c(code)), _c(code))
+
+
 def hotspot_score(complexity, dependencies, any_count, hooks, weight) -> Column:
-    return 5 * _c(complexity) + 2 * _c(dependencies) + 4 * _c(any_count) + _c(hooks) + _c(weight)
+    w = HOTSPOT
+    return w["complexity"] * _c(complexity) + w["dependencies"] * _c(dependencies) + w["any"] * _c(any_count) + _c(hooks) + _c(weight)
 
 
 def hotspot_severity(score: Column | str) -> Column:
     s = _c(score)
-    return F.when(s >= 120, "critical").when(s >= 80, "high").when(s >= 40, "medium").otherwise("low")
+    return F.when(s >= 120, "Critical").when(s >= 80, "High").when(s >= 40, "Medium").otherwise("Low")
+
+
+def bare_assertions(assertion, unsafe, double, const) -> Column:
+    return F.greatest(F.lit(0), _c(assertion) - _c(unsafe) - _c(double) - _c(const))
 
 
 def type_safety_score(any_, unsafe, double, assertion, const, non_null, ignore, expect_error, nocheck) -> Column:
-    bare = F.greatest(F.lit(0), _c(assertion) - _c(unsafe) - _c(double) - _c(const))
-    return 4 * _c(any_) + 4 * _c(unsafe) + 5 * _c(double) + bare + 2 * _c(non_null) + 5 * _c(ignore) + 4 * _c(expect_error) + 20 * _c(nocheck)
+    w = TYPE_SAFETY
+    bare = bare_assertions(assertion, unsafe, double, const)
+    out = w["any"] * _c(any_) + w["unsafe"] * _c(unsafe) + w["double"] * _c(double) + w["bare"] * bare + w["non_null"] * _c(non_null)
+    return out + w["ignore"] * _c(ignore) + w["expect_error"] * _c(expect_error) + w["nocheck"] * _c(nocheck)
 
 
 def type_safety_risk(score: Column | str) -> Column:
@@ -72,19 +87,19 @@ def structure_risk(score: Column | str) -> Column:
 
 
 def primary_axis(type_safety, complexity, structure) -> Column:
-    """The axis with the largest score; of equal ones type safety before complexity before structure."""
+    """The axis with the largest score; of equal ones type safety (unless 0) before complexity before structure."""
     t, c, s = _c(type_safety), _c(complexity), _c(structure)
-    return F.when((t >= c) & (t >= s), "typeSafety").when(c >= s, "complexity").otherwise("structure")
+    return F.when((t >= c) & (t >= s) & (t > 0), "typeSafety").when(c >= s, "complexity").otherwise("structure")
 
 
 def file_warnings(complexity, threshold, any_count, dependencies) -> Column:
-    """The texts of the warnings that apply, in a fixed order."""
+    """The names of the warnings that apply, in a fixed order."""
     c, a, d = _c(complexity), _c(any_count), _c(dependencies)
     return F.array_compact(
         F.array(
-            F.when(c >= threshold, F.concat(F.lit("complexity:"), c.cast("string"))),
-            F.when(a > 0, F.concat(F.lit("any:"), a.cast("string"))),
-            F.when(d > 20, F.concat(F.lit("dependencies:"), d.cast("string"))),
+            F.when(c >= threshold, F.lit("complexity-threshold-exceeded")),
+            F.when(a > 0, F.lit("explicit-any-usage")),
+            F.when(d > 20, F.lit("high-dependency-count")),
         )
     )
 
@@ -94,12 +109,6 @@ def ratio(part: Column | str, whole: Column | str, scale: float = 1.0) -> Column
     return F.when(_c(whole) > 0, _c(part) / _c(whole) * F.lit(scale)).otherwise(F.lit(0.0))
 
 
-def segment_id(path: Column | str) -> Column:
-    """The workspace segment a path starts with."""
-    p = _c(path)
-    return F.when(p.startswith("apps/"), "apps").when(p.startswith("packages/"), "packages").when(p.startswith("src/"), "src").otherwise("other")
-
-
 def verdict_rank(verdict: Column | str) -> Column:
     table = F.create_map(*[F.lit(x) for kv in VERDICT_RANKS.items() for x in kv])
     return F.try_element_at(table, _c(verdict))
@@ -129,30 +138,3 @@ def trend(cur_verdict, base_verdict, cur_actual, base_actual, threshold) -> Colu
         .when((c == b) & c.isin("warn", "fail"), moved)
         .otherwise("neutral")
     )
-
-
-def file_kind(path: Column | str) -> Column:
-    """Kind of a source file from its lower-cased path; the first rule that matches decides."""
-    p = F.lower(_c(path))
-    rules = [
-        ("Test", r"(^|/)(__tests__|tests?|e2e)/|\.(test|spec)\.[cm]?[jt]sx?$"),
-        ("Story", r"\.stories\.[cm]?[jt]sx?$"),
-        ("Fixture", r"(^|/)(__fixtures__|fixtures|__mocks__|mocks)/"),
-        ("Config", r"(^|/)\.storybook/(main|preview|manager)\.|\.config\.[cm]?[jt]s$"),
-        ("Storybook Support", r"(^|/)\.storybook/"),
-        ("Barrel", r"(^|/)index\.[cm]?[jt]sx?$"),
-        ("Type Support", r"\.d\.[cm]?ts$"),
-        ("Route", r"(^|/)(app/(.*/)?(page|layout|error|loading|route)|pages/.*|app)\.[jt]sx?$"),
-        ("Schema", r"(^|/)schemas?/|\.schema\.[jt]s$"),
-        ("Validation", r"(^|/)validations?/"),
-        ("Hook", r"(^|/)use[a-z0-9]+\.[jt]sx?$"),
-        ("Context/State", r"(^|/)(contexts?|stores?|state)/"),
-        ("API/Infrastructure", r"(^|/)(api|apis|infra|infrastructure|services?|clients?)/"),
-        ("Utils", r"(^|/)(utils?|lib|helpers?)/"),
-        ("UI component", r"(^|/)(components?|ui)/"),
-        ("Feature", r"(^|/)features?/"),
-    ]
-    out = F.when(p.rlike(rules[0][1]), rules[0][0])
-    for name, pattern in rules[1:]:
-        out = out.when(p.rlike(pattern), name)
-    return out.otherwise("Shared")

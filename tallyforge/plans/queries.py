@@ -101,7 +101,7 @@ SCORED = f"""{FACTS}, coded AS (SELECT *, {SIZE_SQL} || {CC_SQL} AS code FROM fa
 scored AS (SELECT *, 5 * cc + 2 * deps + 4 * anys + hooks + {WEIGHT_SQL} AS score FROM coded)"""
 
 
-@register(f"WITH {SCORED} SELECT part, code, score::BIGINT AS score, CASE WHEN score >= 120 THEN 'critical' WHEN score >= 80 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS severity FROM scored ORDER BY score DESC, part LIMIT 50")
+@register(f"WITH {SCORED} SELECT part, code, score::BIGINT AS score, CASE WHEN score >= 120 THEN 'Critical' WHEN score >= 80 THEN 'High' WHEN score >= 40 THEN 'Medium' ELSE 'Low' END AS severity FROM scored ORDER BY score DESC, part LIMIT 50")
 def hotspot_topk_parts(spark, d):
     return D.top(scored(spark, d), "score", "part", 50).select("part", "code", F.col("score").cast("long").alias("score"), E.hotspot_severity("score").alias("severity"))
 
@@ -132,12 +132,12 @@ def risk_breakdown_axes(spark, d):
     return A.level_counts(f, axes)
 
 
-@register(f"WITH {FACTS} SELECT part, CASE WHEN 4 * anys >= cc AND 4 * anys >= s THEN 'typeSafety' WHEN cc >= s THEN 'complexity' ELSE 'structure' END AS axis FROM (SELECT *, 2 * deps + hooks + CASE WHEN lines > 300 THEN 4 WHEN lines > 100 THEN 2 ELSE 0 END AS s FROM facts)")
+@register(f"WITH {FACTS} SELECT part, CASE WHEN 4 * anys >= cc AND 4 * anys >= s AND anys > 0 THEN 'typeSafety' WHEN cc >= s THEN 'complexity' ELSE 'structure' END AS axis FROM (SELECT *, 2 * deps + hooks + CASE WHEN lines > 300 THEN 4 WHEN lines > 100 THEN 2 ELSE 0 END AS s FROM facts)")
 def primary_axis(spark, d):
     return facts(spark, d).select("part", E.primary_axis(4 * F.col("anys"), "cc", E.structure_score("deps", "hooks", "lines")).alias("axis"))
 
 
-@register(f"WITH {FACTS} SELECT part, concat_ws(',', CASE WHEN cc >= 35 THEN 'complexity:' || cc END, CASE WHEN anys > 0 THEN 'any:' || anys END, CASE WHEN deps > 20 THEN 'dependencies:' || deps END) AS warnings FROM facts")
+@register(f"WITH {FACTS} SELECT part, concat_ws(',', CASE WHEN cc >= 35 THEN 'complexity-threshold-exceeded' END, CASE WHEN anys > 0 THEN 'explicit-any-usage' END, CASE WHEN deps > 20 THEN 'high-dependency-count' END) AS warnings FROM facts")
 def warnings_array(spark, d):
     return facts(spark, d).select("part", F.array_join(E.file_warnings("cc", F.lit(35), "anys", "deps"), ",").alias("warnings"))
 
