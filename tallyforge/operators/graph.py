@@ -5,20 +5,132 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import paths as P
+
+#: A graph of so many edges at most (16 bytes each) is worked on in one task; a larger one in rounds of joins.
+ONE_TASK = 2_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir of the session; a local one of our own only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/tallyforge/{spark.sparkContext.applicationId}"
+
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder of spark.checkpoint.dir and read it back, so that a loop's plan stays short."""
+    """Write df to the shared folder and read it back, so that a loop's plan stays short."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{base.rstrip('/')}/tallyforge/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_one_task(edges: DataFrame, columns: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
+    """Run work(ids in order, source numbers, target numbers) over all edges (source, target) in one task; it gives columns by name."""
+    key = edges.schema["source"].dataType.simpleString()
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        both = pd.concat(parts, ignore_index=True)
+        ids, numbers = np.unique(np.concatenate([both["source"].to_numpy(), both["target"].to_numpy()]), return_inverse=True)
+        n = len(both)
+        yield pd.DataFrame({"id": ids, **work(ids, numbers[:n], numbers[n:])})
+
+    return edges.select("source", "target").coalesce(1).mapInPandas(go, f"id {key}, " + columns.replace("KEY", key))
+
+
+def _links(n: int, source: np.ndarray, target: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges ordered by source and then target: where each node's begin, and their targets."""
+    order = np.lexsort((target, source))
+    begin = np.searchsorted(source[order], np.arange(n + 1))
+    return begin.tolist(), target[order].tolist()
+
+
+def _weak(ids: np.ndarray, source: np.ndarray, target: np.ndarray) -> dict:
+    """Labels: every node takes the smallest it is linked to, and the label of its label, until nothing changes."""
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[source], label[target])
+        new = label.copy()
+        np.minimum.at(new, label[source], least)
+        np.minimum.at(new, label[target], least)
+        new = new[new]
+        if (new == label).all():
+            return {"component": ids[label]}
+        label = new
+
+
+def _strong(ids: np.ndarray, source: np.ndarray, target: np.ndarray) -> dict:
+    """Depth-first numbering with an explicit stack; a node that reaches none older than itself closes its component."""
+    n = len(ids)
+    begin, to = _links(n, source, target)
+    number, low, label = [-1] * n, [0] * n, np.full(n, -1)
+    open_nodes: list[int] = []
+    count = 0
+    for root in range(n):
+        if number[root] >= 0:
+            continue
+        path = [(root, begin[root])]
+        number[root] = low[root] = count
+        count += 1
+        open_nodes.append(root)
+        while path:
+            node, at = path.pop()
+            if at < begin[node + 1]:
+                path.append((node, at + 1))
+                near = to[at]
+                if number[near] < 0:
+                    number[near] = low[near] = count
+                    count += 1
+                    open_nodes.append(near)
+                    path.append((near, begin[near]))
+                elif label[near] < 0:
+                    low[node] = min(low[node], number[near])
+                continue
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[node])
+            if low[node] == number[node]:
+                cut_at = len(open_nodes) - 1
+                while open_nodes[cut_at] != node:
+                    cut_at -= 1
+                members = open_nodes[cut_at:]
+                del open_nodes[cut_at:]
+                label[members] = min(members)
+    return {"component": ids[label]}
+
+
+def _layers(ids: np.ndarray, source: np.ndarray, target: np.ndarray) -> dict:
+    """Layer and place in the order of nodes without an open predecessor; -1 on and behind cycles."""
+    n = len(ids)
+    begin, to = _links(n, source, target)
+    waiting = np.bincount(target, minlength=n).tolist()
+    layer, place = [-1] * n, [-1] * n
+    queue = [v for v in range(n) if not waiting[v]]
+    for v in queue:
+        layer[v] = 0
+    for at, node in enumerate(queue):
+        place[node] = at
+        for near in to[begin[node] : begin[node + 1]]:
+            waiting[near] -= 1
+            if not waiting[near]:
+                layer[near] = layer[node] + 1
+                queue.append(near)
+    return {"layer": layer, "position": place}
+
+
 def collapse_edges(statements: DataFrame, source: str, target: str, kind: str, type_only: str | None = None) -> DataFrame:
     """Dependency statements -> (source, target, weight, types, is_type_only), one row per edge."""
     only = F.bool_and(F.coalesce(F.col(type_only), F.lit(False))) if type_only else F.lit(False)
@@ -35,6 +147,10 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").cast("long").alias("in_degree"), F.sum("o").cast("long").alias("out_degree"))
 
 
+def _small(edges: DataFrame) -> bool:
+    return edges.select("source").limit(ONE_TASK + 1).count() <= ONE_TASK
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, without loops."""
     e = edges.select("source", "target")
@@ -43,6 +159,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest node that undirected paths reach; labels spread and jump until they stand."""
+    if _small(edges):
+        return in_one_task(edges, "component KEY", _weak)
     both = cut(undirected(edges), "wcc_edges")
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     state = cut(nodes.select("id", F.col("id").alias("component")), "wcc")
@@ -63,7 +181,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
     Rounds of colouring: each open node takes the smallest node that reaches it; the nodes that also reach that root
     backwards within the colour are its component and are closed. Nodes that no cycle can hold are closed first.
+    A graph of at most ONE_TASK edges is done in one task by depth-first numbering.
     """
+    if _small(edges):
+        return in_one_task(edges, "component KEY", _strong)
     e = cut(edges.select("source", "target").filter("source != target").distinct(), "scc_edges")
     open_ = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "scc_open")
     done = None
@@ -137,28 +258,43 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, stop
 
 def topological_layers(edges: DataFrame) -> DataFrame:
     """(id, layer): nodes peeled off when all nodes before them are; nodes on or behind a cycle have no row."""
-    left = cut(edges.select("source", "target").distinct(), "topo_edges")
+    edges = edges.select("source", "target").distinct()
+    if _small(edges):
+        return in_one_task(edges, "layer int, position int", _layers).filter("layer >= 0").select("id", "layer")
+    left = cut(edges, "topo_edges")
     open_ = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "topo_open")
-    out, layer = open_.select("id", F.lit(0).alias("layer")).limit(0), 0
-    while True:
+    spark, path = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/topo_layers-{uuid.uuid4().hex}"
+    open_.select("id", F.lit(0).alias("layer")).limit(0).write.parquet(path)
+    layer = 0
+    while True:  # each layer is added to one table, so that the result's plan does not grow
         free = cut(open_.join(left.select(F.col("target").alias("id")), "id", "left_anti"), "topo_free")
         if free.isEmpty():
-            return out
-        out = out.unionByName(free.select("id", F.lit(layer).alias("layer")))
+            return spark.read.schema(f"id {edges.schema['source'].dataType.simpleString()}, layer int").parquet(path)
+        free.select("id", F.lit(layer).alias("layer")).write.mode("append").parquet(path)
         open_ = cut(open_.join(free, "id", "left_anti"), "topo_open")
         left = cut(left.join(free.select(F.col("id").alias("source")), "source", "left_anti").select("source", "target"), "topo_edges")
         layer += 1
 
 
+def topological_order(edges: DataFrame) -> DataFrame | None:
+    """(id, position): nodes without a predecessor by name, then each node as its last predecessor has been placed; None for a cyclic graph.
+
+    The order is one list of all nodes and is made in one task, which holds the edges.
+    """
+    order = cut(in_one_task(edges.select("source", "target").distinct(), "layer int, position int", _layers), "topo_order")
+    return None if not order.filter("position < 0").isEmpty() else order.select("id", "position")
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 2) -> DataFrame:
-    """roots (id) -> (root, id, distance) of all nodes within so many undirected hops, the root at 0."""
+    """roots (id) -> (root, id, distance) of all nodes within so many undirected hops, the root at 0; each hop leaves from nodes first met."""
     both = undirected(edges)
-    reach = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance"))
+    reach = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("distance")).distinct()
     front = reach
     for d in range(1, hops + 1):
-        front = front.join(both, front.id == both.source).select("root", F.col("target").alias("id"), F.lit(d).alias("distance"))
+        met = front.join(both, front.id == both.source).select("root", F.col("target").alias("id")).distinct()
+        front = met.join(reach.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("distance"))
         reach = reach.unionByName(front)
-    return reach.groupBy("root", "id").agg(F.min("distance").alias("distance"))
+    return reach
 
 
 def impact_scores(edges: DataFrame, changed: DataFrame, hops: int = 2) -> DataFrame:
@@ -174,3 +310,104 @@ def impact_scores(edges: DataFrame, changed: DataFrame, hops: int = 2) -> DataFr
 def slice_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges with both ends among nodes (id)."""
     return edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi").join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
+
+
+def project_graph(files: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """dependencies (source, target, type, is_external, is_type_only) of files (path) -> statements that make the graph: internal, at run time, of files in scope."""
+    rows = dependencies.filter("NOT is_external AND NOT is_type_only")
+    return rows.join(files.select(F.col("path").alias("source")), "source", "left_semi").select("source", "target", "type")
+
+
+def graph_totals(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """One row: nodes, edges, cycles, strong components and the size of the largest."""
+    inside = cycles(edges, components)
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    one = sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"), F.coalesce(F.sum("size"), F.lit(0)).alias("nodes"))
+    n_edges = edges.select("source", "target").distinct().agg(F.count(F.lit(1)).alias("edges"))
+    return one.crossJoin(n_edges).crossJoin(inside.agg(F.count(F.lit(1)).alias("cycles")))
+
+
+def top_degrees(degrees_: DataFrame, limit: int = 10) -> DataFrame:
+    """(axis, rank, id, degree): the nodes with most edges in and out, ties by id."""
+    parts = []
+    for axis, column in (("in", "in_degree"), ("out", "out_degree")):
+        top = degrees_.orderBy(F.desc(column), "id").limit(limit)
+        rank = F.row_number().over(Window.orderBy(F.desc(column), "id")).cast("long")
+        parts.append(top.select(F.lit(axis).alias("axis"), rank.alias("rank"), "id", F.col(column).alias("degree")))
+    return parts[0].unionByName(parts[1])
+
+
+def graph_warnings(totals: DataFrame, tops: DataFrame) -> DataFrame:
+    """(warning, id, value) from graph_totals() and top_degrees(): cycles, a large component, a hub and a fan-out beyond their thresholds."""
+    first = tops.filter("rank = 1")
+    hub = first.filter("axis = 'in'").select(F.col("id").alias("hub"), F.col("degree").alias("hub_degree"))
+    fan = first.filter("axis = 'out'").select(F.col("id").alias("fan"), F.col("degree").alias("fan_degree"))
+    one = totals.join(hub, F.lit(True), "left").join(fan, F.lit(True), "left")
+    n = F.greatest(F.col("nodes"), F.lit(1))
+    none = F.lit(None).cast("string")
+
+    def row(name: str, when: Column, id_: Column, value: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("warning"), id_.cast("string").alias("id"), value.cast("long").alias("value")))
+
+    rows = F.array_compact(
+        F.array(
+            row("cycles", F.col("cycles") > 0, none, F.col("cycles")), row("large-component", F.col("largest") >= 4, none, F.col("largest")),
+            row("hub", F.col("hub_degree") >= F.greatest(F.lit(5), F.ceil(n * 0.1)), F.col("hub"), F.col("hub_degree")),
+            row("fan-out", F.col("fan_degree") >= F.greatest(F.lit(5), F.ceil(n * 0.18)), F.col("fan"), F.col("fan_degree")),
+        )
+    )
+    return one.select(F.explode(rows).alias("w")).select("w.*")
+
+
+def structure_rows(tops: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(aspect, id, value) worth showing: three hubs of degree 2 and more, three fan-outs of 3 and more, three central nodes above the last of the top ten.
+
+    ranks (id, page_rank) are the top ten.
+    """
+    hubs = tops.filter("axis = 'in' AND degree >= 2 AND rank <= 3").select(F.lit("hub").alias("aspect"), "id", F.col("degree").cast("double").alias("value"))
+    fans = tops.filter("axis = 'out' AND degree >= 3 AND rank <= 3").select(F.lit("fan-out").alias("aspect"), "id", F.col("degree").cast("double").alias("value"))
+    least = ranks.agg(F.min("page_rank").alias("least"))
+    central = ranks.crossJoin(least).filter("page_rank > least").orderBy(F.desc("page_rank"), "id").limit(3)
+    return hubs.unionByName(fans).unionByName(central.select(F.lit("central").alias("aspect"), "id", F.col("page_rank").alias("value")))
+
+
+def cut_candidates(statements: DataFrame, components: DataFrame, files: DataFrame) -> DataFrame:
+    """Per cycle the statement to remove first, and the file to take shared parts out of.
+
+    statements (source, target, type); files (path, kind, code_lines) -> (component, source, target, type, barrel, shared).
+    Statements on barrels come first, then exports, then those of files with few statements, then by name. The shared
+    file takes part in most of the cycle's statements, then has fewest lines; files of routes, features, layouts and forms
+    are preferred.
+    """
+    member = components.join(cycles(statements, components).select("component"), "component", "left_semi")
+    inside = statements.join(member.select(F.col("id").alias("source"), F.col("component").alias("component")), "source")
+    inside = inside.join(member.select(F.col("id").alias("target"), F.col("component").alias("ct")), "target").filter("component = ct").drop("ct")
+    out = statements.groupBy("source").agg(F.count(F.lit(1)).alias("n_out"))
+    barrel = P.is_barrel("source") | P.is_barrel("target")
+    order = F.struct(
+        F.when(barrel, 0).otherwise(1).alias("a"), F.when(F.col("type") == "export", 0).otherwise(1).alias("b"), F.col("n_out").alias("c"),
+        F.concat("source", F.lit("->"), "target").alias("d"), "source", "target", "type",
+    )
+    first = inside.join(out, "source").groupBy("component").agg(F.min(order).alias("m"), F.bool_or(barrel).alias("barrel"))
+    ends = inside.select("component", F.col("source").alias("id")).unionByName(inside.select("component", F.col("target").alias("id")))
+    part = ends.groupBy("component", "id").agg(F.count(F.lit(1)).alias("k")).join(files.select(F.col("path").alias("id"), "kind", "code_lines"), "id", "left")
+    preferred = F.coalesce(F.col("kind"), F.lit("Shared")).isin("Route", "Feature", "Layout", "Form")
+    choice = F.struct(F.when(preferred, 0).otherwise(1).alias("a"), (-F.col("k")).alias("b"), F.coalesce("code_lines", F.lit(2**53 - 1)).alias("c"), "id")
+    shared = part.groupBy("component").agg(F.min(choice).alias("s")).select("component", F.col("s.id").alias("shared"))
+    return first.join(shared, "component").select("component", "m.source", "m.target", "m.type", "barrel", "shared")
+
+
+def drawn_nodes(edges: DataFrame, limit: int = 300) -> DataFrame:
+    """The edges among the nodes with most edges."""
+    d = degrees(edges.select("source", "target").distinct())
+    top = d.orderBy((F.col("in_degree") + F.col("out_degree")).desc(), "id").limit(limit)
+    return slice_graph(edges, top)
+
+
+def component_report(components: DataFrame, limit: int = 10, members: int = 20) -> DataFrame:
+    """(rank, component, size, members): the largest components, ties by their smallest node, with their first members."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    top = sizes.orderBy(F.desc("size"), "component").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long"))
+    w = Window.partitionBy("component").orderBy("id")
+    shown = components.join(F.broadcast(top), "component").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= members)
+    return shown.groupBy("rank", "component", "size").agg(F.array_sort(F.collect_list("id")).alias("members"))

@@ -44,22 +44,7 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").select(s, p, F.col("l_returnflag").alias("kind"))
 
 
-# A small cyclic graph: parts that follow one another in an order, dealt to 97 nodes, thinned.
-CYCLIC = """g AS (
-  SELECT DISTINCT source, target FROM (
-    SELECT l_partkey % 97 AS source, lead(l_partkey % 97) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target, l_orderkey FROM lineitem
-  ) WHERE target IS NOT NULL AND l_orderkey % 251 = 0
-)"""
-
-
-def cyclic(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    node = F.col("l_partkey") % 97
-    e = t(spark, d, "lineitem").select(node.alias("source"), F.lead(node).over(w).alias("target"), "l_orderkey")
-    return e.filter("target IS NOT NULL AND l_orderkey % 251 = 0").select("source", "target").distinct()
-
-
-# The whole graph: every row of lineitem, whole part keys.
+# A cyclic graph: parts that follow one another in an order; every row of lineitem, whole part keys.
 FOLLOWS = """g AS (
   SELECT DISTINCT source, target FROM (
     SELECT l_partkey AS source, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target FROM lineitem
@@ -161,30 +146,30 @@ def degree_topk(spark, d):
     return out.orderBy((F.col("in_degree") + F.col("out_degree")).desc(), "id").limit(100)
 
 
-REACH = f"WITH RECURSIVE {CYCLIC}, r AS (SELECT source AS a, target AS b FROM g UNION SELECT r.a, g.target FROM r JOIN g ON r.b = g.source), n AS (SELECT source AS id FROM g UNION SELECT target FROM g)"
+REACH = f"WITH RECURSIVE {FOLLOWS}, r AS (SELECT source AS a, target AS b FROM g UNION SELECT r.a, g.target FROM r JOIN g ON r.b = g.source), n AS (SELECT source AS id FROM g UNION SELECT target FROM g)"
 SCC = f"{REACH}, c AS (SELECT n.id, least(n.id, coalesce(min(x.b), n.id)) AS component FROM n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON r.a = q.b AND r.b = q.a) x ON n.id = x.a GROUP BY n.id)"
 
 
 @register(f"{SCC} SELECT id, component FROM c")
 def scc_components(spark, d):
-    return G.strong_components(cyclic(spark, d))
+    return G.strong_components(follows(spark, d))
 
 
-@register(f"""WITH RECURSIVE {CYCLIC}, u AS (SELECT source, target FROM g UNION SELECT target, source FROM g), r AS (SELECT source AS a, source AS b FROM u UNION SELECT r.a, u.target FROM r JOIN u ON r.b = u.source)
+@register(f"""WITH RECURSIVE {FOLLOWS}, u AS (SELECT source, target FROM g UNION SELECT target, source FROM g), r AS (SELECT source AS a, source AS b FROM u UNION SELECT r.a, u.target FROM r JOIN u ON r.b = u.source)
 SELECT a AS id, min(b) AS component FROM r GROUP BY a""")
 def wcc_components(spark, d):
-    return G.weak_components(cyclic(spark, d))
+    return G.weak_components(follows(spark, d))
 
 
 @register(f"""{SCC} SELECT component, length, count(*) AS edge_count, CASE WHEN length >= 6 THEN 'critical' WHEN length >= 3 THEN 'high' ELSE 'medium' END AS severity
 FROM g JOIN c x ON g.source = x.id JOIN (SELECT component AS k, count(*) AS length FROM c GROUP BY component) s ON x.component = s.k JOIN c y ON g.target = y.id AND x.component = y.component GROUP BY component, length""".replace("SELECT component, length", "SELECT x.component AS component, length").replace("GROUP BY component, length", "GROUP BY x.component, length"))
 def cycle_report(spark, d):
-    e = cyclic(spark, d)
+    e = follows(spark, d)
     return G.cycles(e, G.strong_components(e))
 
 
 def _pagerank_sql(rounds: int) -> str:
-    parts = [f"WITH {CYCLIC}", "o AS (SELECT source, count(*) AS k FROM g GROUP BY source)", "n AS (SELECT id, coalesce(k, 0) AS k FROM (SELECT source AS id FROM g UNION SELECT target FROM g) LEFT JOIN o ON id = source)", "z AS (SELECT count(*)::DOUBLE AS n FROM n)"]
+    parts = [f"WITH {FOLLOWS}", "o AS (SELECT source, count(*) AS k FROM g GROUP BY source)", "n AS (SELECT id, coalesce(k, 0) AS k FROM (SELECT source AS id FROM g UNION SELECT target FROM g) LEFT JOIN o ON id = source)", "z AS (SELECT count(*)::DOUBLE AS n FROM n)"]
     parts.append("r0 AS MATERIALIZED (SELECT id, k, 1 / z.n AS r FROM n, z)")
     for i in range(rounds):
         parts.append(f"""r{i + 1} AS MATERIALIZED (SELECT x.id, x.k, 0.15::DOUBLE / z.n + 0.85::DOUBLE * (coalesce(c.got, 0) + s.sink / z.n) AS r FROM r{i} x
@@ -194,74 +179,30 @@ def _pagerank_sql(rounds: int) -> str:
 
 @register(_pagerank_sql(8))
 def pagerank(spark, d):
-    return G.pagerank(cyclic(spark, d), 8, stop=None).select("id", F.round(F.col("page_rank") * 1e9).cast("long").alias("rank_e9"))
+    return G.pagerank(follows(spark, d), 8, stop=None).select("id", F.round(F.col("page_rank") * 1e9).cast("long").alias("rank_e9"))
 
 
-ACYCLIC = f"{CYCLIC}, a AS (SELECT source, target FROM g WHERE source < target)"
+ACYCLIC = f"{FOLLOWS}, a AS (SELECT source, target FROM g WHERE source < target)"
 
 
 @register(f"WITH RECURSIVE {ACYCLIC}, r AS (SELECT id, 0 AS layer FROM (SELECT source AS id FROM a UNION SELECT target FROM a) UNION SELECT a.target, r.layer + 1 FROM r JOIN a ON r.id = a.source) SELECT id, max(layer) AS layer FROM r GROUP BY id")
 def topo_layers(spark, d):
-    return G.topological_layers(cyclic(spark, d).filter("source < target"))
+    return G.topological_layers(follows(spark, d).filter("source < target"))
 
 
-NEAR = f"""WITH {CYCLIC}, u AS (SELECT source, target FROM g WHERE source <> target UNION SELECT target, source FROM g WHERE source <> target), k AS (SELECT DISTINCT source AS root FROM g WHERE source % 17 = 0),
+NEAR = f"""WITH {FOLLOWS}, u AS (SELECT source, target FROM g WHERE source <> target UNION SELECT target, source FROM g WHERE source <> target), k AS (SELECT DISTINCT source AS root FROM g),
 h AS (SELECT root, root AS id, 0 AS dist FROM k UNION ALL SELECT root, u.target, 1 FROM k JOIN u ON root = u.source UNION ALL SELECT root, v.target, 2 FROM k JOIN u ON root = u.source JOIN u v ON u.target = v.source)"""
 
 
 @register(f"{NEAR} SELECT root, id, min(dist) AS distance FROM h GROUP BY root, id")
 def impact_two_hop(spark, d):
-    e = cyclic(spark, d)
-    return G.neighbourhood(e, e.filter("source % 17 = 0").select(F.col("source").alias("id")).distinct())
+    e = follows(spark, d)
+    return G.neighbourhood(e, e.select(F.col("source").alias("id")).distinct())
 
 
 @register(f"""{NEAR}, dist AS (SELECT id, min(dist) AS distance FROM h GROUP BY id), i AS (SELECT target AS id, count(*) AS k FROM g GROUP BY target), o AS (SELECT source AS id, count(*) AS k FROM g GROUP BY source)
 SELECT dist.id, distance::BIGINT AS distance, (CASE WHEN distance = 0 THEN 100 ELSE 0 END + greatest(0, 50 - 12 * distance) + 5 * coalesce(i.k, 0) + 4 * coalesce(o.k, 0))::BIGINT AS score FROM dist LEFT JOIN i ON dist.id = i.id LEFT JOIN o ON dist.id = o.id""")
 def impact_scores(spark, d):
-    e = cyclic(spark, d)
-    return G.impact_scores(e, e.filter("source % 17 = 0").select(F.col("source").alias("id")).distinct())
-
-
-# The same seven over the whole graph. Recursive SQL holds all pairs that reach one another, so those four have none.
-
-
-@register()
-def whole_scc_components(spark, d):
-    return G.strong_components(follows(spark, d))
-
-
-@register()
-def whole_wcc_components(spark, d):
-    return G.weak_components(follows(spark, d))
-
-
-@register()
-def whole_cycle_report(spark, d):
-    e = follows(spark, d)
-    return G.cycles(e, G.strong_components(e))
-
-
-@register(_pagerank_sql(8).replace(CYCLIC, FOLLOWS))
-def whole_pagerank(spark, d):
-    return G.pagerank(follows(spark, d), 8, stop=None).select("id", F.round(F.col("page_rank") * 1e9).cast("long").alias("rank_e9"))
-
-
-@register()
-def whole_topo_layers(spark, d):
-    return G.topological_layers(follows(spark, d).filter("source < target"))
-
-
-WHOLE_NEAR = NEAR.replace(CYCLIC, FOLLOWS).replace(" WHERE source % 17 = 0", "")
-
-
-@register(f"{WHOLE_NEAR} SELECT root, id, min(dist) AS distance FROM h GROUP BY root, id")
-def whole_impact_two_hop(spark, d):
-    e = follows(spark, d)
-    return G.neighbourhood(e, e.select(F.col("source").alias("id")).distinct())
-
-
-@register(ORACLE_SQL["impact_scores"].replace(NEAR, WHOLE_NEAR))
-def whole_impact_scores(spark, d):
     e = follows(spark, d)
     return G.impact_scores(e, e.select(F.col("source").alias("id")).distinct())
 

@@ -1,4 +1,4 @@
-"""The graph queries over every row of a small lineitem, against brute force; no order key is a multiple of 251."""
+"""The graph queries over a small lineitem, against brute force."""
 
 import random
 
@@ -47,8 +47,8 @@ def strong(edges, nodes):
 def test_components(spark, lines):
     path, edges, nodes = lines
     weak = reach(nodes, ways(edges, both=True))
-    assert {r["id"]: r["component"] for r in QUERIES["whole_wcc_components"](spark, path).collect()} == {n: min(weak[n]) for n in nodes}
-    assert {r["id"]: r["component"] for r in QUERIES["whole_scc_components"](spark, path).collect()} == strong(edges, nodes)
+    assert {r["id"]: r["component"] for r in QUERIES["wcc_components"](spark, path).collect()} == {n: min(weak[n]) for n in nodes}
+    assert {r["id"]: r["component"] for r in QUERIES["scc_components"](spark, path).collect()} == strong(edges, nodes)
 
 
 def test_cycles(spark, lines):
@@ -58,7 +58,7 @@ def test_cycles(spark, lines):
         k = sum(of[a] == of[b] == c for a, b in edges)
         if k:
             want[c] = (sum(x == c for x in of.values()), k)
-    assert {r["component"]: (r["length"], r["edge_count"]) for r in QUERIES["whole_cycle_report"](spark, path).collect()} == want
+    assert {r["component"]: (r["length"], r["edge_count"]) for r in QUERIES["cycle_report"](spark, path).collect()} == want
 
 
 def test_layers(spark, lines):
@@ -67,7 +67,7 @@ def test_layers(spark, lines):
     want = {}
     for n in sorted({x for e in up for x in e}):
         want[n] = max((want[a] + 1 for a, b in up if b == n), default=0)
-    assert {r["id"]: r["layer"] for r in QUERIES["whole_topo_layers"](spark, path).collect()} == want
+    assert {r["id"]: r["layer"] for r in QUERIES["topo_layers"](spark, path).collect()} == want
 
 
 def test_impact_and_rank_have_every_node(spark, lines):
@@ -77,9 +77,9 @@ def test_impact_and_rank_have_every_node(spark, lines):
         one = near.get(root, set())
         for n in {root} | one | {y for x in one for y in near[x]}:
             want[root, n] = 0 if n == root else 1 if n in one else 2
-    assert {(r["root"], r["id"]): r["distance"] for r in QUERIES["whole_impact_two_hop"](spark, path).collect()} == want
-    assert {r["id"] for r in QUERIES["whole_pagerank"](spark, path).collect()} == set(nodes)
-    scores = {r["id"]: r["score"] for r in QUERIES["whole_impact_scores"](spark, path).collect()}
+    assert {(r["root"], r["id"]): r["distance"] for r in QUERIES["impact_two_hop"](spark, path).collect()} == want
+    assert {r["id"] for r in QUERIES["pagerank"](spark, path).collect()} == set(nodes)
+    scores = {r["id"]: r["score"] for r in QUERIES["impact_scores"](spark, path).collect()}
     for n in nodes:
         d = min(d for (_, x), d in want.items() if x == n)
         assert scores[n] == (100 if d == 0 else 0) + max(0, 50 - 12 * d) + 5 * sum(b == n for _, b in edges) + 4 * sum(a == n for a, _ in edges)
