@@ -195,26 +195,30 @@ def before(first: Column, line: Column, first2: Column, line2: Column) -> Column
     return F.when(first.eqNullSafe(first2), line < line2).otherwise(F.coalesce(first2.isNull() | (first < first2), F.lit(False)))
 
 
-def near_lines(docs: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
     """keyed (h, g, first, n, probe: a line's keys), a row for each distinct line -> a work table of h, g of lines within the threshold of one that comes earlier.
 
-    Two rounds: each line is first compared with the earliest line of each segment it probes, its pivot; then the lines
-    that were not found, and only they, with the other lines of segments that several lines have. docs gives the texts
-    of candidates, and only theirs.
+    Two rounds: of the earliest lines of the segments that a line probes, the pivots, it is first compared with the
+    earliest; then the lines that were not found, and only they, with the other pivots and the other lines of segments
+    that several lines have. docs gives the texts of candidates, and only theirs; lines (d1, h) says where they stand.
     """
     own = [i for i, (d, _, off) in enumerate(probes(threshold)) if d == 0 and off == 0]
     index = keyed.select("h", "first", F.explode(F.array(*[F.col("probe")[i] for i in own])).alias("key"))
     probe = keyed.select(F.col("h").alias("other"), F.explode("probe").alias("k"))
     pivots = index.groupBy("key").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "h")).alias("pivot"), F.count(F.lit(1)).alias("n_lines"))
-    pivots = work_table(pivots.select("key", F.col("pivot.h").alias("h"), "n_lines"), "lines_pivots")
-    first_pairs = probe.join(pivots, F.col("k") == F.col("key")).filter("h != other")
-    first_pairs = work_table(first_pairs.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "lines_pairs")
+    pivots = work_table(pivots.select("key", "pivot", F.col("pivot.h").alias("h"), "n_lines"), "lines_pivots")
+    met = probe.join(pivots, (F.col("k") == F.col("key")) & (F.col("h") != F.col("other"))).select("other", "pivot")
+    met = work_table(met.distinct(), "lines_met")
+    first_pairs = met.groupBy("other").agg(F.min("pivot").alias("pivot")).select(F.col("other").alias("a"), F.col("pivot.h").alias("b"))
+    first_pairs = work_table(first_pairs, "lines_pairs")
     shared = work_table(pivots.filter("n_lines > 1").select(F.col("key").alias("shared"), "n_lines"), "lines_shared")
     keys = index.select(F.col("h").alias("other"), F.col("key").alias("k"), F.lit(True).alias("indexed")).unionByName(probe.withColumn("indexed", F.lit(False)))
     keys = work_table(keys.join(looked_up(shared), F.col("k") == F.col("shared")).drop("shared"), "lines_keys")
 
-    wanted = first_pairs.select(F.explode(F.array("a", "b")).alias("w")).unionByName(keys.select(F.col("other").alias("w")))
+    wanted = met.select(F.explode(F.array("other", "pivot.h")).alias("w")).unionByName(keys.select(F.col("other").alias("w")))
     wanted = work_table(wanted.distinct(), "lines_wanted")
+    holders = work_table(lines.join(looked_up(wanted), F.col("h") == F.col("w"), "left_semi").select(F.col("d1").alias("holder")).distinct(), "lines_holders")
+    docs = docs.join(looked_up(holders), F.xxhash64("doc_id", text_of()) == F.col("holder"), "left_semi")
     texts = occurrences(docs).select("h", "g", "line").join(looked_up(wanted), F.col("h") == F.col("w"), "left_semi")
     texts = texts.groupBy("h", "g").agg(F.first("line").alias("line")).join(keyed.select("h", "g", "first"), ["h", "g"])
     texts = work_table(texts, "lines_texts")
@@ -226,14 +230,16 @@ def near_lines(docs: DataFrame, keyed: DataFrame, threshold: int) -> DataFrame:
     few = keys.filter(F.col("n_lines") <= HOT)
     left, right = few.filter("indexed").select(F.col("other").alias("x"), "k"), few.filter("not indexed").select(F.col("other").alias("y"), "k")
     open_left, open_right = (side.join(open_, F.col(name) == F.col("still"), "left_semi") for side, name in ((left, "x"), (right, "y")))
-    pairs = open_left.join(right, "k").unionByName(left.join(open_right, "k").select("k", "x", "y")).filter("x != y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
+    pairs = open_left.join(right, "k").unionByName(left.join(open_right, "k").select("k", "x", "y")).select("x", "y")
+    pairs = pairs.unionByName(met.join(open_, F.col("other") == F.col("still"), "left_semi").select(F.col("other").alias("x"), F.col("pivot.h").alias("y")))
+    pairs = pairs.unionByName(met.join(open_, F.col("pivot.h") == F.col("still"), "left_semi").select(F.col("other").alias("x"), F.col("pivot.h").alias("y")))
+    pairs = pairs.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = work_table(pairs, "lines_pairs")
     rest = _candidates(pairs, texts, threshold).join(found.select(F.col("h").alias("fh"), F.col("g").alias("fg")), (F.col("late.h") == F.col("fh")) & (F.col("late.g") == F.col("fg")), "left_anti")
     in_blocks = near_in_blocks(keys.filter(F.col("n_lines") > HOT), texts2, threshold)
     out = work_table(found.unionByName(_verified(rest, threshold)).unionByName(in_blocks).distinct(), "lines_near")
     discard(pairs, texts2)
-    discard(pivots, first_pairs, shared, keys, wanted, texts, found)
+    discard(pivots, met, first_pairs, shared, keys, wanted, holders, texts, found)
     return out
 
 
@@ -298,13 +304,16 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     each = [F.first(F.col("probe")[i], ignorenulls=True).alias(f"p{i}") for i in range(len(probes(threshold)))]
     distinct = lines.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), *each)
     distinct = work_table(distinct.select("h", "g", "first", "n", "times", F.array(*[f"p{i}" for i in range(len(each))]).alias("probe")), "lines_distinct")
-    near = near_lines(docs, distinct.filter(F.col("n") >= shortest), threshold)
+    bare = work_table(lines.select("d1", "d2", "doc_id", "at", "h", "g"), "lines_bare")
+    discard(lines)
+    lines = bare
+    near = near_lines(docs, lines, distinct.filter(F.col("n") >= shortest), threshold)
 
     # only lines that occur again, or are near an earlier one, can be dropped
     marked = distinct.filter((F.col("times") > 1) & (F.col("n") >= equal_chars)).select("h", "g", "first", F.lit(False).alias("near"))
     marked = marked.join(near, ["h", "g"], "left_anti").unionByName(near.select("h", "g", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("first"), F.lit(True).alias("near")))
     marked = work_table(marked, "lines_marked")
-    where = lines.select("d1", "d2", "doc_id", "at", "h", "g").join(looked_up(marked), ["h", "g"])
+    where = lines.join(looked_up(marked), ["h", "g"])
     # rows equal in id and text have the same hash and lose the same lines; their line numbers count once
     where = where.groupBy("d1", "d2", "doc_id", "h", "g", "first", "near").agg(F.sort_array(F.collect_set("at")).alias("at"))
     nothing = F.array().cast("array<int>")
