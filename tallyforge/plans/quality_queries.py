@@ -374,7 +374,7 @@ def priority_metrics(spark, d):
 
 
 @register(f"""{R} {METRICS_SQL}, o AS (SELECT id, verdict FROM metrics WHERE aggregation = 'derived' AND verdict IN ('fail', 'warn', 'partial')
-  ORDER BY CASE verdict WHEN 'fail' THEN 0 ELSE 1 END, CASE WHEN id = 'feature_test_file_presence' THEN 0 ELSE 1 END, try_cast(regexp_extract(actual, '[0-9]+(\\.[0-9]+)?') AS DOUBLE), id LIMIT 2)
+  ORDER BY CASE verdict WHEN 'fail' THEN 0 ELSE 1 END, CASE WHEN id = 'feature_test_file_presence' THEN 0 ELSE 1 END, try_cast(regexp_extract(actual, '[0-9]+(\\.[0-9]+)?') AS DOUBLE), list_position(['route_test_file_presence', 'feature_test_file_presence', 'form_test_file_presence', 'ui_test_file_presence'], id) LIMIT 2)
 SELECT id, verdict FROM o""")
 def derived_insights(spark, d):
     return M.derived_insights(metric_table(spark, d)).select("id", "verdict")
