@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import small_batches, squeezed, text_of, work_table
+from tallyforge.llm.common import discard, small_batches, squeezed, text_of, work_table
 
 P = np.uint64(2**31 - 1)
 BASES = (np.uint64(1_000_003_9), np.uint64(1_597_334_677))
@@ -95,28 +95,42 @@ def segment_hashes(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> rid, doc_id, sha, f1, f2, n_bytes, one row per document."""
+    """docs (doc_id, text) -> rid, doc_id, r1, r2 (hash of the row), sha, f1, f2, n_bytes, one row per document."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", squeezed(text_of()).alias("norm"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *row_hash(), squeezed(text_of()).alias("norm"))
     rows = rows.withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
     n_segments = F.greatest(F.lit(1), F.ceil(F.length("norm") / SEGMENT)).cast("int")
     whole = F.when(F.length("norm") <= SEGMENT, F.array("norm")).otherwise(
         F.transform(F.sequence(F.lit(0), n_segments - 1), lambda i: F.substring(F.col("norm"), i * SEGMENT + 1, F.lit(SEGMENT)))
     )
-    rows = rows.select("rid", "doc_id", "sha", n_segments.alias("n_segments"), F.posexplode(whole).alias("nth", "segment"))
+    rows = rows.select("rid", "doc_id", *ROW, "sha", n_segments.alias("n_segments"), F.posexplode(whole).alias("nth", "segment"))
     parts = work_table(segment_hashes(rows), "dedup_parts")
-    one = parts.filter("n_segments = 1").select("rid", "doc_id", "sha", F.col("h1").alias("f1"), F.col("h2").alias("f2"), "n_bytes")
-    many = parts.filter("n_segments > 1").groupBy("rid", "doc_id", "sha").agg(
+    one = parts.filter("n_segments = 1").select("rid", "doc_id", *ROW, "sha", F.col("h1").alias("f1"), F.col("h2").alias("f2"), "n_bytes")
+    many = parts.filter("n_segments > 1").groupBy("rid", "doc_id", *ROW, "sha").agg(
         F.sort_array(F.collect_list(F.struct("nth", "h1", "p1", "h2", "p2"))).alias("s"), F.sum("n_bytes").alias("n_bytes")
     )
 
     def joined(k: int):
         return F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: (acc * x[f"p{k}"] + x[f"h{k}"]) % int(P))
 
-    return one.unionByName(many.select("rid", "doc_id", "sha", joined(1).alias("f1"), joined(2).alias("f2"), "n_bytes"))
+    out = one.unionByName(many.select("rid", "doc_id", *ROW, "sha", joined(1).alias("f1"), joined(2).alias("f2"), "n_bytes"))
+    out.work_path = parts.work_path
+    return out
 
 
 KEY = ["f1", "f2", "n_bytes"]
+#: Hash of a row's id and text as they are, by which lists of rows are looked up.
+ROW = ["r1", "r2"]
+#: A list of so many rows at most is broadcast (about 16 bytes each, or a group's key and keeper); a longer one is joined by a shuffle.
+LOOKED_UP = 2_000_000
+
+
+def row_hash() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("r2")]
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= LOOKED_UP else df
 
 
 def _groups(prints: DataFrame, key: list[str]) -> DataFrame:
@@ -124,15 +138,18 @@ def _groups(prints: DataFrame, key: list[str]) -> DataFrame:
     return prints.groupBy(*key).agg(first, F.count(F.lit(1)).alias("group_size"))
 
 
-def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
-    """(doc_id, sha) of the members whose text is not that of their group's keeper, found piece by piece."""
-    several = groups.filter("group_size > 1")
-    copies = F.ceil(F.col("group_size") / PER_COPY).cast("int").alias("copies")
-    members = prints.join(several.select(*KEY, "keep", copies), KEY).groupBy("doc_id", "sha", *KEY).agg(F.first("keep").alias("keep"), F.first("copies").alias("copies"))
+def differing(docs: DataFrame, prints: DataFrame, several: DataFrame) -> DataFrame:
+    """(doc_id, sha) of the members whose text is not that of their group's keeper, found piece by piece.
+
+    several: the groups of more than one row. Only texts of their members leave the scan.
+    """
+    members = prints.join(looked_up(several.select(*KEY, "keep", "group_size")), KEY)
+    copies = F.ceil(F.col("group_size") / PER_COPY).cast("int")
+    members = work_table(members.select("doc_id", "sha", *ROW, *KEY, "keep", copies.alias("copies")), "dedup_members")
     is_keeper = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("sha") == F.col("keep.sha"))
-    members = members.select(F.col("doc_id").alias("id"), F.col("sha").alias("sha2"), *KEY, "copies", is_keeper.alias("is_keeper"))
-    texts = docs.select("doc_id", squeezed(text_of()).alias("norm")).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
-    texts = texts.join(members, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("sha2"))).drop("id", "sha2")
+    texts = docs.select("doc_id", "text", *row_hash()).join(looked_up(members.select(*ROW).distinct()), ROW, "left_semi")
+    texts = texts.dropDuplicates(ROW).select(*ROW, squeezed(text_of()).alias("norm"))
+    texts = texts.join(members.select(*ROW, "doc_id", "sha", *KEY, "copies", is_keeper.alias("is_keeper")).dropDuplicates(ROW), ROW)
     n_pieces = F.greatest(F.lit(1), F.ceil(F.length("norm") / PIECE)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.substring(F.col("norm"), i * PIECE + 1, F.lit(PIECE)))
     keepers = texts.filter("is_keeper").groupBy(*KEY).agg(F.first("norm").alias("norm"), F.first("copies").alias("copies"))
@@ -142,29 +159,54 @@ def differing(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFram
     others = texts.filter(~F.col("is_keeper")).select("doc_id", "sha", *KEY, copy.alias("copy"), F.posexplode(pieces).alias("nth", "piece"))
     compared = others.join(keepers, [*KEY, "nth", "copy"], "left")
     same = F.coalesce(F.col("piece") == F.col("kept_piece"), F.lit(False))
-    return compared.filter(~same).select("doc_id", "sha").distinct()
+    odd = work_table(compared.filter(~same).select("doc_id", "sha").distinct(), "dedup_odd")
+    discard(members)
+    return odd
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
+def _several(prints: DataFrame, key: list[str]) -> DataFrame:
+    groups = _groups(prints, key).filter("group_size > 1")
+    return work_table(groups.select(*key, "keep", "group_size"), "dedup_groups")
+
+
+def grouped(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """docs (doc_id, text) -> prints with keep (a group's keeper; null for a row of its own) and group_size, and the work tables it reads."""
     prints = fingerprint_table(docs)
-    groups, key = work_table(_groups(prints, KEY), "dedup_groups"), KEY
-    odd = work_table(differing(docs, prints, groups), "dedup_odd")
-    if not odd.isEmpty():
-        odd = odd.select(F.col("doc_id").alias("id"), F.col("sha").alias("split"))
-        prints = prints.join(odd, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("split")), "left").drop("id")
+    several, key, tables = _several(prints, KEY), KEY, [prints]
+    odd = differing(docs, prints, several)
+    if odd.isEmpty():
+        discard(odd)
+    else:
+        tables += [several, odd]
+        split = odd.select(F.col("doc_id").alias("id"), F.col("sha").alias("split"))
+        prints = prints.join(split, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("split")), "left").drop("id")
         prints = prints.withColumn("split", F.coalesce("split", F.lit("")))
         key = [*KEY, "split"]
-        groups = work_table(_groups(prints, key), "dedup_groups")
-    return prints.join(groups, key).select(
-        "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+        several = _several(prints, key)
+    tables.append(several)
+    return prints.join(looked_up(several), key, "left"), tables
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
+    alone = F.col("group_size").isNull()
+    return grouped(docs)[0].select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("rid") == F.col("keep.rid"))).alias("kept"), F.col("sha").alias("text_sha256"),
+    )
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
-    kept = work_table(kept, "dedup_kept")
-    rows = docs.withColumn("_sha", F.sha2(squeezed(text_of()).cast("binary"), 256))
-    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    """The rows of docs that exact_dedup keeps, with all their columns.
+
+    Rows are dropped by the hash of id and text; of rows with the same id and text one stays.
+    """
+    rows, tables = grouped(docs)
+    members = rows.filter("group_size > 1").select(*[F.col(r).alias(f"_{r}") for r in ROW], (F.col("rid") == F.col("keep.rid")).alias("kept"))
+    marked = members.groupBy("_r1", "_r2").agg(F.bool_or("kept").alias("_kept"), (F.count(F.lit(1)) > 1).alias("_again"))
+    marked = work_table(marked.filter("NOT _kept OR _again"), "dedup_marked")
+    discard(*tables)
+    named = docs.withColumns({"_h1": row_hash()[0], "_h2": row_hash()[1]})
+    found = named.join(looked_up(marked), (F.col("_h1") == F.col("_r1")) & (F.col("_h2") == F.col("_r2")), "left")
+    once = found.filter("_kept AND _again").dropDuplicates(["_h1", "_h2"])
+    return found.filter("_kept IS NULL").unionByName(once).select(*docs.columns)
