@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import work_table
+from tallyforge.llm.common import discard, work_table
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b), longs -> (node, root): every node that has an edge, and the smallest node of its component.
 
     Each step hangs neighbours on the smallest node in reach, so paths halve; rows per step never exceed the edges.
-    Every step is written to the shared folder. No edges give an empty table.
+    Every step is written to the shared folder, and the one before it removed. No edges give an empty table.
     """
     now = work_table(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
         small = large.join(least, F.col("u") == F.col("of"))
         small = small.select("u", "m").unionByName(small.select(F.col("v").alias("u"), "m")).filter("u != m").select("u", F.col("m").alias("v")).distinct()
-        now = work_table(small, "cc")
+        last, now = now, work_table(small, "cc")
+        discard(last, large)
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

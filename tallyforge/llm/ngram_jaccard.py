@@ -397,6 +397,10 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -
     return out
 
 
+#: A list of so many ids at most is broadcast; a longer one is joined by a shuffle.
+LOOKED_UP = 2_000_000
+
+
 def by_blocks(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified pairs (a, b) among the nodes that edges (first, node) tie together, enough to connect what is similar.
 
@@ -421,9 +425,13 @@ def by_blocks(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
 
     blocks = dealt.groupBy("root", "band", "part").applyInArrow(block, "root long, band long, part int, nodes array<long>, s array<binary>")
     blocks = work_table(blocks, "jaccard_blocks")
-    other = blocks.select(F.col("root").alias("r"), F.col("band").alias("q"), F.col("part").alias("p"), F.col("nodes").alias("nodes2"), F.col("s").alias("s2"))
+    # pairs are made of names alone and dealt to tasks; then each fetches its two blocks
+    names = blocks.select("root", "band", "part")
+    other = names.select(F.col("root").alias("r"), F.col("band").alias("q"), F.col("part").alias("p"))
     later = (F.col("q") == F.col("band") + 1) | ((F.col("q") == F.col("band")) & (F.col("p") >= F.col("part")))
-    pairs = blocks.join(other, (F.col("root") == F.col("r")) & later).select("nodes", "s", "nodes2", "s2").repartition(F.xxhash64("nodes", "nodes2"))
+    pairs = names.join(other, (F.col("root") == F.col("r")) & later).select("root", "band", "part", "q", "p")
+    second = blocks.select("root", F.col("band").alias("q"), F.col("part").alias("p"), F.col("nodes").alias("nodes2"), F.col("s").alias("s2"))
+    pairs = pairs.join(blocks, ["root", "band", "part"]).join(second, ["root", "q", "p"]).select("nodes", "s", "nodes2", "s2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -433,7 +441,9 @@ def by_blocks(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
                 found = [(names[x], names2[y]) for x, y in found if names[x] != names2[y]]
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
-    return work_table(pairs.mapInArrow(compare, "a long, b long"), "jaccard_dense")
+    found = work_table(pairs.mapInArrow(compare, "a long, b long"), "jaccard_dense")
+    discard(group, blocks)
+    return found
 
 
 def by_shingles(docs: DataFrame, nodes: DataFrame, rest: DataFrame, percent: int, block: int = 1_000_000) -> DataFrame:
@@ -516,24 +526,30 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, hot_n: np.ndarray,
         more = more.join(at, F.col(side) == F.col("n_"), "left").drop("n_").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
     more = work_table(more.filter("root_a != root_b").select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti"), "jaccard_more")
     out = work_table(good.unionByName(dense).unionByName(verified(more, sets, percent)), "jaccard_links")
-    discard(sets, pairs, many, members)
+    discard(sets, pairs, many, members, nearest, good, more, dense)
     return out
 
 
-def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row for each row of docs."""
+def jaccard_join(docs: DataFrame, percent: int = PERCENT, tables: list[DataFrame] | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, one row for each row of docs; tables gets the work tables that it reads."""
     small_batches(docs.sparkSession)
     nodes, hot, hot_n = nodes_and_hot(docs)
     good = links(docs, nodes.filter("n > 0"), hot, hot_n, percent)
     roots = components(good).withColumnRenamed("node", "of")
     at = nodes.join(roots, F.col("node") == F.col("of"), "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     least = work_table(at.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "jaccard_least").withColumnRenamed("root", "r")
+    if tables is not None:
+        tables += [nodes, good]
     out = at.join(least, (F.col("root") == F.col("r")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all their columns; rows of one id go together."""
-    found = jaccard_join(docs, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = work_table(found.select(F.col("doc_id").alias("_id")).distinct(), "jaccard_kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    tables: list[DataFrame] = []
+    found = jaccard_join(docs, percent, tables)
+    kept = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_kept"))
+    dropped = work_table(kept.filter("NOT _kept").select("_id"), "jaccard_dropped")
+    discard(*tables)
+    few = F.broadcast(dropped) if dropped.count() <= LOOKED_UP else dropped
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
