@@ -169,7 +169,9 @@ def nodes_and_hot(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     top = sorted((r["hot"], r["n"]) for r in hot.orderBy(F.desc("n"), "hot").limit(HOT_KEPT).collect())
     shingle, count = np.array([h for h, _ in top], np.int64).view(np.uint64), np.array([c for _, c in top], np.int64)
     order = np.argsort(shingle)
-    return rows.filter("hot is null").drop("hot", "hot_n"), shingle[order], count[order]
+    nodes = rows.filter("hot is null").drop("hot", "hot_n")
+    nodes.work_path = rows.work_path
+    return nodes, shingle[order], count[order]
 
 
 def blob_rows(docs: DataFrame, buckets: int, largest: int, hot: np.ndarray, hot_n: np.ndarray, percent: int) -> DataFrame:
