@@ -2,8 +2,9 @@
 
 A page is cut at block-level tags into flat blocks. A block is described by its word count and link density, those of
 the blocks before and after it, and what it stands in: an article or main element, or a part of the page that frames it
-(navigation, header, footer, sidebar, form, advert, notice, comments). A decision tree, trained on the small labelled
-table below, tells main text from the rest; the main blocks are joined in page order.
+(navigation, header, footer, sidebar, form, advert, notice, comments, by element or by the class, id or role of a
+container). A decision tree, trained on the small labelled table below, tells main text from the rest; the main blocks
+are joined in page order. Where a page has no article or main element, words and links of a block and of its neighbours decide.
 
 Defined cases: null html counts as empty; a page without main blocks gives the empty text; broken markup is read as far
 as it goes (an unclosed comment or script hides the rest); repeated rows get a row each; an empty table gives an empty
@@ -23,26 +24,36 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import small_batches
 
-TAG = re.compile(r"""<(?:!--|(?P<odd>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:_-]*)(?P<attributes>(?:"[^"]*"|'[^']*'|[^>"'])*+)>)""")
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-TOKEN = re.compile(r"[a-z]+")
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)")
+#: What ends a tag, or opens a quoted value that must be passed first.
+STOP = re.compile(r"""=\s*(["'])|>""")
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+PART = re.compile(r"[a-z]+|[0-9]+")
 
 #: Element kinds of HTML.
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
+HIDDEN = frozenset("script style noscript template svg iframe object canvas audio video select textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot semantics".split())
 FRAME = frozenset("nav footer aside form menu dialog button head".split())
 MAIN = frozenset("article main".split())
-#: Words in a class, id or role that mark framing parts, and main ones.
+#: Elements whose class, id or role says what a part of the page is; on others, such as headings and paragraphs, it does not.
+CONTAINERS = frozenset("div section header ul ol dl table tbody tr td figure details center fieldset".split())
+#: Words of a class, id or role that mark framing parts. A name marks one if all its words are of these or neutral, so
+#: that "related-posts" does and "related-work" does not.
 FRAME_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus disclaimer footer menu modal nav navbar navigation newsletter"
-    " notice pagination popup promo related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer masthead menu modal nav navbar navigation newsletter"
+    " notice pager pagination popup promo related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-MAIN_WORDS = frozenset("articlebody".split())
+NEUTRAL_WORDS = frozenset(
+    "alert aria area articles bar block bottom box btn button buttons card container content footer fixed form global group header holder icons inner item items left link links list main menu"
+    " message module outer overlay page pages panel policy post posts primary region right row secondary section sections site slot stories thread top user users wrap wrapper".split()
+)
+MAIN_WORDS = frozenset(("articlebody", "article-body", "post-content", "entry-content", "article-content", "post-body", "main-content", "maincontent"))
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_frame")
-#: Labelled blocks, in the order of FEATURES and then 1 for main text: paragraphs, headings and one-word paragraphs of
-#: articles; menus, adverts, forms, footers, comments in and out of articles; pages without an article element.
+#: Labelled blocks, in the order of FEATURES and then 1 for main text. First those of articles and main elements; then
+#: parts that frame a page or stand in an article without belonging to it; then pages without such elements: paragraphs,
+#: headings before and short lines between them, and menus, bylines, lists of links and copyright lines.
 LABELLED = (
     (60, 0.0, 55, 0.0, 70, 0.0, 1, 0, 1), (8, 0.0, 6, 1.0, 60, 0.0, 1, 0, 1), (1, 0.0, 40, 0.0, 30, 0.0, 1, 0, 1), (2, 0.0, 9, 0.0, 1, 0.0, 1, 0, 1),
     (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1), (12, 0.5, 40, 0.0, 20, 0.1, 1, 0, 1), (3, 1.0, 50, 0.0, 60, 0.0, 1, 0, 1), (200, 0.02, 9, 0.0, 0, 0.0, 1, 0, 1),
@@ -54,9 +65,16 @@ LABELLED = (
     (45, 0.0, 70, 0.0, 55, 0.0, 1, 1, 0), (6, 0.8, 70, 0.0, 55, 0.0, 1, 1, 0), (150, 0.0, 200, 0.0, 90, 0.0, 1, 1, 0), (2, 0.0, 100, 0.0, 0, 0.0, 1, 1, 0),
     (120, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0), (3, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0), (55, 0.3, 80, 0.0, 2, 0.9, 0, 1, 0), (9, 0.0, 80, 0.0, 95, 0.0, 0, 1, 0),
     (60, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (35, 0.0, 8, 0.0, 40, 0.0, 0, 0, 1), (22, 0.05, 60, 0.0, 30, 0.0, 0, 0, 1), (90, 0.1, 4, 1.0, 80, 0.0, 0, 0, 1),
-    (7, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (4, 0.0, 45, 0.0, 50, 0.1, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (120, 0.2, 6, 0.0, 3, 1.0, 0, 0, 1),
+    (120, 0.2, 6, 0.0, 3, 1.0, 0, 0, 1), (40, 0.0, 1, 0.0, 0, 0.0, 0, 0, 1), (38, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (45, 0.15, 2, 1.0, 3, 1.0, 0, 0, 1),
+    (28, 0.0, 3, 0.0, 50, 0.0, 0, 0, 1), (31, 0.1, 45, 0.0, 4, 1.0, 0, 0, 1), (300, 0.05, 0, 0.0, 9, 0.2, 0, 0, 1), (26, 0.0, 33, 0.0, 6, 0.0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 1, 1.0, 38, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (9, 0.0, 3, 0.0, 45, 0.0, 0, 0, 1),
+    (7, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (4, 0.0, 45, 0.0, 50, 0.1, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (12, 0.0, 50, 0.0, 28, 0.0, 0, 0, 1),
+    (16, 0.0, 9, 0.0, 35, 0.05, 0, 0, 1), (14, 0.1, 55, 0.0, 40, 0.0, 0, 0, 1), (3, 0.0, 35, 0.0, 31, 0.0, 0, 0, 1), (20, 0.0, 48, 0.0, 0, 0.0, 0, 0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (5, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0),
     (10, 0.9, 60, 0.0, 12, 1.0, 0, 0, 0), (30, 0.95, 25, 1.0, 40, 0.8, 0, 0, 0), (6, 0.5, 8, 0.6, 50, 0.0, 0, 0, 0), (8, 0.1, 4, 1.0, 5, 0.0, 0, 0, 0),
+    (2, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0), (1, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0), (12, 1.0, 45, 0.0, 50, 0.0, 0, 0, 0), (5, 0.8, 70, 0.0, 1, 1.0, 0, 0, 0),
+    (6, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0), (9, 0.2, 40, 0.0, 0, 0.0, 0, 0, 0), (8, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (4, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
+    (3, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0), (7, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0), (40, 0.7, 30, 0.9, 35, 0.8, 0, 0, 0), (26, 0.6, 5, 1.0, 2, 1.0, 0, 0, 0),
 )
 
 
@@ -111,12 +129,42 @@ def _close_of(page: str, name: str, at: int) -> tuple[int, int]:
     return (m.start(), m.end()) if m else (len(page), len(page))
 
 
+class Tags:
+    """Ends of a page's tags. What a search to the page's end did not find is not looked for again, so a page is read in linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.missing = page, page.rfind(">"), set()
+
+    def end(self, start: int) -> int:
+        """Where the tag that begins at start ends (its >); quoted values may hold one. -1 if nothing ends it."""
+        if start > self.last:
+            return -1
+        at = start
+        while m := STOP.search(self.page, at):
+            quote = m[1]
+            if not quote:
+                return m.start()
+            close = -1 if quote in self.missing else self.page.find(quote, m.end())
+            if close < 0:
+                self.missing.add(quote)
+                break
+            at = close + 1
+        return self.page.find(">", start)  # a tag with unbalanced quotes
+
+
+def frames(name: str) -> bool:
+    """Whether a class, id or role marks a part that frames the page."""
+    words = PART.findall(name.lower())
+    return bool(words) and any(w in FRAME_WORDS for w in words) and all(w in FRAME_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words)
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open block elements: name, makes main, makes frame
     runs: list[tuple[str, bool]] = []
     main = frame = link = at = 0
+    tags = Tags(page)
 
     def flush() -> None:
         if not runs:
@@ -135,41 +183,39 @@ def blocks(page: str) -> list[Block]:
             runs.append((page[at:start], link > 0))
         if start == len(page):
             break
-        m = TAG.match(page, start)
-        if not m:
-            stop = page.find(">", start)
-            if stop > 0 and page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] == "/":
-                at = stop + 1 if stop > 0 else len(page)  # a tag with unbalanced quotes
-            else:
-                runs.append(("<", link > 0))
-                at = start + 1
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = len(page) if stop < 0 else stop + 3
+            continue
+        m = NAME.match(page, start)
+        odd = page[start + 1 : start + 2] in ("!", "?", "/")
+        stop = tags.end(start) if m or odd else -1
+        if stop < 0:
+            runs.append(("<", link > 0))
+            at = start + 1
             continue
-        name = (m["name"] or "").lower()
-        if not name:
-            stop = page.find("-->", start + 4) if m["odd"] is None else page.find(">", start)
-            at = len(page) if stop < 0 else stop + (3 if m["odd"] is None else 1)
+        at = stop + 1
+        if not m:
             continue
-        at = m.end()
+        ends, name, attributes = bool(m[1]), m[2].lower(), page[m.end() : stop]
         if name in HIDDEN:
-            if not m["end"] and not m["attributes"].endswith("/"):
+            if not ends and not attributes.endswith("/"):
                 at = _close_of(page, name, at)[1]
             runs.append((" ", False)) if name in INLINE else None
             continue
         if name in INLINE:
             if name == "a":
-                link = 0 if m["end"] else 1
+                link = 0 if ends else 1
             elif name in ("br", "img", "wbr"):
                 runs.append((" " if name != "wbr" else "", link > 0))
-            if name not in ("span",) or m["end"]:
-                continue
+            continue
         if name in VOID:
-            if name in ("hr",):
+            if name == "hr":
                 flush()
             continue
-        if name != "span":
-            flush()
-            link = 0
-        if m["end"]:
+        flush()
+        link = 0
+        if ends:
             depth = len(stack)
             while depth and stack[depth - 1][0] != name:
                 depth -= 1
@@ -179,12 +225,10 @@ def blocks(page: str) -> list[Block]:
                     frame -= makes_frame
                 del stack[depth - 1 :]
             continue
-        if name == "span":
-            continue
-        marks = {w for a in ATTRIBUTE.findall(m["attributes"]) for w in TOKEN.findall("".join(a).lower())} if m["attributes"] else set()
-        makes_main = name in MAIN or bool(marks & MAIN_WORDS) or ("main" in marks and name == "div" and "role" in m["attributes"].lower())
-        makes_frame = name in FRAME or (name == "header" and not main) or (bool(marks & FRAME_WORDS) and name not in ("body", "html", *MAIN))
-        if not m["attributes"].endswith("/"):
+        marks = [(k.lower(), v) for k, *values in ATTRIBUTE.findall(attributes) for v in "".join(values).split()] if attributes else []
+        makes_main = name in MAIN or any(v.lower() in MAIN_WORDS for _, v in marks) or ("role", "main") in marks
+        makes_frame = name in FRAME or (name == "header" and not main) or (name in CONTAINERS and any(frames(v) for _, v in marks))
+        if not attributes.endswith("/"):
             stack.append((name, makes_main, makes_frame))
             main += makes_main
             frame += makes_frame
