@@ -4,7 +4,8 @@ Texts are encoded with the tokenizers library, an end id follows each document,
 ranges of doc_id. A file set in the shared folder has two parts: `table`, the shared frequencies of all ids, and
 `blocks`, one row per block with the shard, the position in it, the documents' ids and lengths and the rANS payload (see
 rans.py). Spark's committed writer stores both, so any store that Spark writes to will do and a lost executor's blocks
-are written again. Reading takes the blocks alone, in any order and in parallel.
+are written again. Reading takes whole blocks, alone, in any order and in parallel; a block's checkpoints let a reader that
+needs only a stretch decode that (Coder.decode with part).
 
 Defined cases: null text counts as empty and gives just the end id; a null doc_id comes first; rows with the same id are
 ordered by text; an empty table gives an empty file set and result; other columns of the input are ignored.
@@ -34,6 +35,18 @@ ROWS_PER_SHARD, MOST_SHARDS = 8192, 20_000
 CACHED, CACHED_CHARS = 900_000, 40
 #: Chunks that are one word of these letters and a run of these marks are looked up as the two, the word in lower case.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)").fullmatch
+MARKS = frozenset(".,;:!?*#$%&|")
+
+
+def parts_of(chunk: str) -> tuple[str, str] | None:
+    """The word in lower case and the marks of such a chunk, else None; most need no pattern."""
+    if chunk.isascii():
+        if chunk.isalpha():
+            return chunk.lower(), ""
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return chunk[:-1].lower(), chunk[-1]
+    m = SIMPLE(chunk)
+    return (m[1].lower(), m[2]) if m else None
 
 
 def _packed(width: int) -> str:
@@ -58,7 +71,7 @@ class WordEncoder:
             self.ends[i] = letters.endswith("</w>")
 
     def _asked(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters or marks alone, which the library takes as one word each: asked for together, cut at word ends."""
@@ -79,9 +92,9 @@ class WordEncoder:
         """Chunks encoded by the library; simple ones share the encoding of their word and marks."""
         cache, simple, ask, plain = self.cache, [], [], {}
         for chunk in chunks:
-            m = SIMPLE(chunk) if len(chunk) <= CACHED_CHARS else None
-            if m:
-                word, marks = m[1].lower(), m[2]
+            parts = parts_of(chunk) if len(chunk) <= CACHED_CHARS else None
+            if parts:
+                word, marks = parts
                 simple.append((chunk, word, marks))
                 if word not in cache:
                     plain[word] = None
@@ -104,13 +117,16 @@ class WordEncoder:
         cut = [t.split(" ") for t in texts]
         cache = self.cache
         new = set(chain.from_iterable(cut)).difference(cache)
-        if not new:
-            return [b"".join([cache[c] for c in chunks]) for chunks in cut]
-        found = self._fresh(list(new))
-        if len(cache) < CACHED:
-            cache.update((k, v) for k, v in found.items() if len(k) <= CACHED_CHARS)
-        get = cache.get
-        return [b"".join([x if (x := get(c)) is not None else found[c] for c in chunks]) for chunks in cut]
+        if new:
+            found = self._fresh(list(new))
+            room = len(cache) < CACHED
+            cache.update(found)
+        out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
+        if new:  # what is too long, or has no room, is not kept beyond these texts
+            for k in found:
+                if not room or len(k) > CACHED_CHARS:
+                    del cache[k]
+        return out
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(x, self.kind).tolist() for x in self.encode_packed(texts)]
