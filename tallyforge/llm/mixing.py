@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import WORD, text_of, work_table
 
 BITS, STEP = 60, 12
+#: A table of so many sources at most is broadcast (some 40 bytes each); beyond, both sides are shuffled by source.
+MOST_SOURCES = 1_000_000
 
 
 def doc_hash(doc_id: Column, size: Column) -> Column:
@@ -54,13 +56,15 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     """
     rows = rows.filter(F.col("size") > 0)
     state = goals.select("source", "goal", F.lit(0.0).alias("before"), F.lit(0).cast("long").alias("prefix"))
-    shift, done = BITS, []
+    shift, done, n_sources = BITS, [], state.count()
     while shift > 0:
         prefix = F.shiftright("h", shift)
         shift -= STEP
         named = rows.select(F.col("source").alias("src"), prefix.alias("pre"), F.shiftright("h", shift).alias("bucket"), "size", "h")
-        hist = named.groupBy("src", "pre", "bucket").agg(F.sum("size").alias("size"), F.min("h").alias("first"), F.max("h").alias("last"))
-        joined = state.join(hist, F.col("source").eqNullSafe(F.col("src")) & (F.col("prefix") == F.col("pre"))).drop("src", "pre")
+        # only rows of the boundary bucket are summed; at first that is every row
+        few = F.broadcast(state) if n_sources <= MOST_SOURCES else state
+        named = named.join(few, F.col("source").eqNullSafe(F.col("src")) & (F.col("prefix") == F.col("pre")))
+        joined = named.groupBy("source", "goal", "before", "bucket").agg(F.sum("size").alias("size"), F.min("h").alias("first"), F.max("h").alias("last"))
         running = Window.partitionBy("source").orderBy("bucket")
         joined = joined.withColumn("upto", F.col("before") + F.sum("size").over(running))
         over = F.col("upto") > F.col("goal")
