@@ -1,23 +1,21 @@
-"""Facts from source texts by patterns: module dependencies, line classes, directives, findings. All in SQL functions.
+"""Facts from source texts: module dependencies, functions, components, hooks, type escapes, line classes and findings.
 
-The patterns work on the text with comments taken out, not on a syntax tree; strings that contain code can mislead them.
+Files are read side by side by the reader in syntax.py, one row of nested facts each (source_facts), of which the other
+functions take tables; patterns over lines stay in SQL functions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COMMENT = r"""(?s)/\*.*?\*/|(?m)(?<!:)//[^\n]*$"""
-SPECIFIER = r"""["']([^"'\n]+)["']"""
-RULES = (
-    ("import", rf"""(?m)^\s*import\s+(?!type\b)[^;"'()]*?\s*from\s*{SPECIFIER}"""),
-    ("import-type", rf"""(?m)^\s*import\s+type\s+[^;"'()]*?\s*from\s*{SPECIFIER}"""),
-    ("side-effect-import", rf"""(?m)^\s*import\s*{SPECIFIER}"""),
-    ("export", rf"""(?m)^\s*export\s+(?!type\b)[^;"'()]*?\s*from\s*{SPECIFIER}"""),
-    ("export-type", rf"""(?m)^\s*export\s+type\s+[^;"'()]*?\s*from\s*{SPECIFIER}"""),
-    ("dynamic-import", rf"""\bimport\(\s*{SPECIFIER}\s*\)"""),
-)
+from tallyforge.functions import paths as P
+from tallyforge.sources.syntax import Source
+
+COMMENT = r"""(?s)/\*.*?\*/|(?m)//[^\n]*"""
 #: Where a module path without ending is looked for, in order.
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.d.ts")
 
@@ -28,17 +26,145 @@ def package_name(specifier: Column) -> Column:
     return F.when(specifier.startswith("@"), F.concat_ws("/", F.get(parts, 0), F.get(parts, 1))).otherwise(F.get(parts, 0))
 
 
+TYPE_FIELDS = "any_count unknown_count assertion unsafe double const non_null ts_ignore ts_expect ts_nocheck".split()
+SCHEMA = (
+    "path string, imports array<struct<type: string, module: string, is_type_only: boolean, line: int, column: int, start: int, names: array<struct<name: string, alias: string, kind: string>>>>, "
+    "functions array<struct<name: string, cc: long, nesting: long, start_line: long, end_line: long, branches: int, loops: int, ternaries: int, logical: int, is_async: boolean>>, "
+    "components array<struct<name: string, start_line: long, end_line: long, jsx: long, hook_count: long, render: long, has_children: boolean, uses_ref: boolean, forwards_ref: boolean, hooks: array<string>>>, "
+    "hooks array<struct<name: string, line: int, args: int, has_dependencies: boolean>>, "
+    f"types struct<{', '.join(f'{t}: long' for t in TYPE_FIELDS)}>, has_tests boolean, rendered array<string>, texts array<struct<line: int, text: string>>, raw_html array<int>"
+)
+
+
+def read_facts(path: str, content: str | None) -> dict:
+    """The facts of one file; a null text counts as empty."""
+    f = Source(content or "", path or "").facts()
+    return {
+        "path": path,
+        "imports": [{k: r[k] for k in ("type", "module", "is_type_only", "line", "column", "start")} | {"names": [dict(zip(("name", "alias", "kind"), n, strict=True)) for n in r["names"]]} for r in f.imports],
+        "functions": [
+            {"name": x.name, "cc": x.cc, "nesting": x.nesting, "start_line": x.line, "end_line": x.end_line, "branches": x.branches, "loops": x.loops, "ternaries": x.ternaries, "logical": x.logical, "is_async": x.is_async}
+            for x in f.functions
+        ],
+        "components": [
+            {"name": x.name, "start_line": x.line, "end_line": x.end_line, "jsx": x.jsx, "hook_count": len(x.hooks), "render": x.render, "has_children": x.has_children, "uses_ref": x.uses_ref,
+             "forwards_ref": x.forwards_ref, "hooks": [h[0] for h in x.hooks]}
+            for x in f.components
+        ],
+        "hooks": [dict(zip(("name", "line", "args", "has_dependencies"), h, strict=True)) for h in f.hooks],
+        "types": f.types, "has_tests": f.tests, "rendered": f.rendered, "texts": [{"line": n, "text": t} for n, t in f.texts], "raw_html": f.raw_html,
+    }
+
+
+def source_facts(files: DataFrame) -> DataFrame:
+    """files (path, content) -> one row of nested facts a file (SCHEMA)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [read_facts(p, c) for p, c in zip(b["path"], b["content"], strict=True)]
+            if rows:
+                yield pd.DataFrame(rows)
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def _rows(facts: DataFrame, column: str) -> DataFrame:
+    return facts.select("path", F.inline(column))
+
+
+def statements(facts: DataFrame) -> DataFrame:
+    """source_facts() -> (path, type, is_type_only, specifier, line, column, start, names), one row per statement that names a module."""
+    return _rows(facts, "imports").select("path", "type", "is_type_only", F.col("module").alias("specifier"), "line", "column", "start", "names")
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """files (path, content) -> (path, type, is_type_only, specifier), one row per statement."""
-    code = F.regexp_replace("content", COMMENT, " ")
-    rows = files.select("path", code.alias("code"))
+    return statements(source_facts(files)).select("path", "type", "is_type_only", "specifier")
+
+
+def functions(facts: DataFrame) -> DataFrame:
+    return _rows(facts, "functions")
+
+
+def components(facts: DataFrame) -> DataFrame:
+    return _rows(facts, "components")
+
+
+def hooks(facts: DataFrame) -> DataFrame:
+    return _rows(facts, "hooks")
+
+
+def types(facts: DataFrame) -> DataFrame:
+    return facts.select("path", "types.*")
+
+
+def rendered_imports(facts: DataFrame, resolved_: DataFrame) -> DataFrame:
+    """Imports whose names a file renders: resolved() rows with start -> (source, target, module, is_external)."""
+    named = statements(facts).filter("type = 'import'").select(F.col("path").alias("source"), "start", F.transform("names", lambda n: n["alias"]).alias("aliases"))
+    used = named.join(facts.select(F.col("path").alias("source"), "rendered"), "source").filter(F.arrays_overlap("aliases", "rendered")).select("source", "start")
+    return resolved_.join(used, ["source", "start"]).select("source", "target", "module", "is_external")
+
+
+def barrel_imports(facts: DataFrame, resolved_: DataFrame) -> DataFrame:
+    """(source, barrel, name, alias) of names imported from internal index files."""
+    rows = resolved_.filter(~F.col("is_external") & (F.col("type") == "import") & P.is_barrel("target"))
+    names = statements(facts).select(F.col("path").alias("source"), "start", F.explode("names").alias("n"))
+    return rows.join(names, ["source", "start"]).select("source", F.col("target").alias("barrel"), "n.name", "n.alias")
+
+
+def re_exports(resolved_: DataFrame) -> DataFrame:
+    """(source, targets): which internal modules a file exports again, in order."""
+    rows = resolved_.filter(~F.col("is_external") & (F.col("type") == "export"))
+    return rows.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+
+
+def raw_html(facts: DataFrame) -> DataFrame:
+    """(path, line) of attributes that set markup directly."""
+    return facts.select("path", F.explode("raw_html").alias("line"))
+
+
+def shown_texts(facts: DataFrame) -> DataFrame:
+    """(path, line, text, scope) of texts written out in files that show texts."""
+    rows = _rows(facts, "texts").withColumn("kind", P.file_kind("path"))
+    return rows.filter(F.col("kind").isin(*P.WITH_TEXT)).select("path", "line", "text", P.text_scope("path", "kind").alias("scope"))
+
+
+# What looks like a secret; signals of schemas, mock servers and patience with a network.
+SECRETS = (r"(?i)api[_-]?key\s*[:=]\s*['\"][^'\"\n]+", r"(?i)secret\s*[:=]\s*['\"][^'\"\n]+", r"-----BEGIN (?:RSA |EC )?PRIVATE KEY-----", r"AKIA[0-9A-Z]{16}")
+ZOD_PATH = r"(^|/)(api|infra|service|services|client|clients|repository|repositories|schema|schemas|validation|validations)(/|$)"
+PATIENT = r"(AbortController|AbortSignal\.timeout|axios-retry|p-retry|\b(?:timeout|retry)\b\s*[:=])"
+
+
+def secrets(files: DataFrame) -> DataFrame:
+    """files (path, content) -> (path, line, text) of what looks like a secret: at most 80 letters of each match, with the line it begins in."""
+
+    def matches(pattern: str) -> Column:
+        found = F.regexp_extract_all("content", F.lit(f"({pattern})"), 1)
+        parts = F.split("content", pattern)
+        before = F.transform(found, lambda m, i: F.size(F.split(F.concat(F.array_join(F.slice(parts, 1, i + 1), ""), F.array_join(F.slice(found, 1, i), "")), "\n")))
+        return F.arrays_zip(before.alias("line"), F.transform(found, lambda m: F.substring(m, 1, 80)).alias("text"))
+
+    rows = files.select("path", F.explode(F.array(*[matches(p) for p in SECRETS])).alias("m"))
+    return rows.select("path", F.inline("m")).toDF("path", "line", "text")
+
+
+def zod_use(files: DataFrame) -> DataFrame:
+    """One row: files of the data layers, and how many of them import zod."""
+    p = F.lower(P.slashes("path"))
+    rows = files.filter(p.rlike(ZOD_PATH) & ~P.is_test_path("path") & ~p.rlike(r"stories?\."))
+    adopted = F.count_if(F.col("content").rlike("from\\s+[\"']zod[\"']"))
+    total = F.count(F.lit(1))
+    return rows.agg(total.alias("zod_files"), adopted.alias("adopted"), F.when(total > 0, adopted / total * 100).otherwise(0.0).alias("zod_rate"))
 
-    def named(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("code", F.lit(pattern), 1), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("specifier")))
 
-    found = F.flatten(F.array(*[named(k, p) for k, p in RULES]))
-    rows = rows.select("path", F.explode(found).alias("d"))
-    return rows.select("path", F.regexp_replace("d.kind", "-type$", "").alias("type"), F.col("d.kind").endswith("-type").alias("is_type_only"), F.col("d.specifier").alias("specifier"))
+def api_signals(files: DataFrame) -> DataFrame:
+    """One row: files of the network layer, those with timeouts or retries, files with a mock server, and its handlers."""
+    api, mocks = P.is_api_layer("path"), F.col("content").rlike("from\\s+[\"']msw(?:/node)?[\"']|setupServer\\(")
+    handlers = F.regexp_count("content", F.lit(r"\b(?:http|rest)\.(get|post|put|patch|delete|options|head)\("))
+    return files.agg(
+        F.count_if(api).alias("api_files"), F.count_if(api & F.col("content").rlike(PATIENT)).alias("resilient_files"),
+        F.count_if(mocks).alias("mock_files"), F.coalesce(F.sum(F.when(mocks, handlers).otherwise(0)), F.lit(0)).alias("msw_handlers"),
+    )
 
 
 def _joined(path: Column, specifier: Column) -> Column:
@@ -49,39 +175,49 @@ def _joined(path: Column, specifier: Column) -> Column:
     return F.array_join(up, "/")
 
 
-def resolved(deps: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """dependencies() rows -> (source, target, type, is_type_only, is_external): the first candidate path that is a file, else the package.
+def resolved(deps: DataFrame, files: DataFrame, aliases: dict[str, list[str] | str] | None = None) -> DataFrame:
+    """Statements (path, type, is_type_only, specifier, and others) -> (source, target, type, is_type_only, is_external, module, and others).
 
-    aliases maps a prefix such as '@/' to the directory it stands for.
+    Relative specifiers and those that an alias matches are internal: the first candidate path that is a file, or else
+    the first candidate. Any other is external, and its target is the package. An alias is a pattern with at most one *
+    (or a prefix that ends in /) and the paths it stands for, tried in order; a longer pattern goes before a shorter one.
     """
-    base = F.when(F.col("specifier").startswith("."), _joined(F.col("path"), F.col("specifier")))
-    for prefix, directory in (aliases or {}).items():
-        base = base.when(F.col("specifier").startswith(prefix), F.concat(F.lit(directory), F.substring("specifier", F.lit(len(prefix) + 1), F.length("specifier"))))
-    rows = deps.withColumn("base", base).withColumn("nth", F.monotonically_increasing_id())
-    tries = rows.select("nth", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("rank", "candidate")).filter("candidate is not null")
-    hit = tries.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("nth").agg(F.min(F.struct("rank", "candidate")).alias("h"))
+    own = F.when(F.col("specifier").startswith("."), F.array(_joined(F.col("path"), F.col("specifier"))))
+    for pattern, places in sorted((aliases or {}).items(), key=lambda kv: (-len(kv[0].split("*")[0]), kv[0])):
+        if "*" not in pattern and pattern.endswith("/"):
+            pattern, places = pattern + "*", [p.rstrip("/") + "/*" for p in ([places] if isinstance(places, str) else places)]
+        places = [places] if isinstance(places, str) else places
+        head, star, tail = pattern.partition("*")
+        n = len(head) + len(tail)
+        s = F.col("specifier")
+        hit = s.startswith(head) & s.endswith(tail) & (F.length(s) >= n) if star else s == pattern
+        inner = F.substring(s, F.lit(len(head) + 1), F.length(s) - n)
+        own = own.when(hit, F.array(*[F.regexp_replace(F.concat(*[x for k, part in enumerate(p.split("*", 1)) for x in (([inner] if k else []) + [F.lit(part)])]), r"^\./", "") for p in places]))
+    rows = deps.withColumn("bases", own).withColumn("nth", F.monotonically_increasing_id())
+    tries = rows.select("nth", F.posexplode("bases").alias("place", "base"))
+    tries = tries.select("nth", "place", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("rank", "candidate"))
+    hit = tries.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("nth").agg(F.min(F.struct("place", "rank", "candidate")).alias("h"))
     out = rows.join(hit.select(F.col("nth").alias("n"), F.col("h.candidate").alias("found")), F.col("nth") == F.col("n"), "left")
-    target = F.coalesce("found", "base", package_name(F.col("specifier")))
-    return out.select(F.col("path").alias("source"), target.alias("target"), "type", "is_type_only", F.col("base").isNull().alias("is_external"))
+    target = F.coalesce("found", F.get("bases", F.lit(0)), package_name(F.col("specifier")))
+    more = [c for c in deps.columns if c not in ("path", "type", "is_type_only", "specifier")]
+    return out.select(
+        F.col("path").alias("source"), target.alias("target"), "type", "is_type_only", F.col("bases").isNull().alias("is_external"), F.col("specifier").alias("module"), *more
+    )
 
 
 def line_classes(files: DataFrame) -> DataFrame:
     """files (path, content) -> (path, total_lines, code_lines, comment_lines); a running state knows whether a block comment is open."""
-    start = F.struct(F.lit(False).alias("open"), F.lit(0).alias("code"), F.lit(0).alias("comment"))
+    start = F.struct(F.lit(False).alias("open"), F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("comment"))
 
     def step(acc: Column, raw: Column) -> Column:
-        line = F.trim(F.regexp_replace(raw, r"[\r\t]", " "))
-        opens = line.startswith("/*")
-        inside = acc["open"] | opens
-        comment = inside | line.startswith("//") | line.startswith("*")
-        blank = (line == "") & ~acc["open"]
-        return F.struct(
-            (inside & ~line.contains("*/")).alias("open"),
-            (acc["code"] + F.when(blank | comment, 0).otherwise(1)).alias("code"),
-            (acc["comment"] + F.when(comment & ~blank, 1).otherwise(0)).alias("comment"),
-        )
-
-    rows = files.select("path", F.split("content", "\n").alias("l")).select("path", F.size("l").alias("total_lines"), F.aggregate("l", start, step).alias("s"))
+        line = F.regexp_replace(raw, r"^\s+|\s+$", "")
+        blank = line == ""
+        opens = ~acc["open"] & line.startswith("/*")
+        comment = ~blank & (acc["open"] | opens | line.startswith("//") | line.startswith("*"))
+        still = F.when(blank, acc["open"]).when(acc["open"], ~line.contains("*/")).otherwise(opens & ~F.substring(line, F.lit(3), F.length(line)).contains("*/"))
+        return F.struct(still.alias("open"), (acc["code"] + F.when(blank | comment, 0).otherwise(1)).alias("code"), (acc["comment"] + F.when(comment, 1).otherwise(0)).alias("comment"))
+
+    rows = files.select("path", F.split(F.coalesce("content", F.lit("")), "\r?\n").alias("l")).select("path", F.size("l").cast("long").alias("total_lines"), F.aggregate("l", start, step).alias("s"))
     return rows.select("path", "total_lines", F.col("s.code").alias("code_lines"), F.col("s.comment").alias("comment_lines"))
 
 
