@@ -1,37 +1,87 @@
-"""Source files of a directory tree as rows, read with Spark's binary file source."""
+"""Source files of a directory tree as rows, with what was left out and why, read with Spark's binary file source."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import paths as P
+
 RELEVANT = r"(?i)\.(tsx?|jsx?|[mc]ts|[mc]js)$"
 
 
-def valid_pattern(pattern: str) -> str:
-    """The pattern, or its letters taken literally if it is no regular expression."""
+def valid_pattern(spark: SparkSession, pattern: str) -> tuple[str, str | None]:
+    """The pattern and no warning, or its letters taken literally and a warning, if it is no regular expression of Java."""
     try:
-        re.compile(pattern)
-        return pattern
-    except re.error:
-        return re.escape(pattern)
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        return pattern, None
+    except Exception as wrong:  # noqa: BLE001  (py4j wraps the JVM's error)
+        if "PatternSyntaxException" not in str(wrong):
+            raise
+        return re.sub(r"([^A-Za-z0-9_/])", r"\\\1", pattern), f"not a regular expression, taken literally: {pattern}"
+
+
+def _first_excluded(path: Column, patterns: list[str]) -> Column:
+    """The shortest beginning of the path, down to a folder or itself, that a pattern matches; null if none does."""
+    if not patterns:
+        return F.lit(None).cast("string")
+    parts = F.split(path, "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hit = F.filter(prefixes, lambda p: F.exists(F.array(*map(F.lit, patterns)), lambda e: F.rlike(p, e)))
+    return F.get(hit, F.lit(0))
+
+
+def listing(spark: SparkSession, root: str, exclude: list[str] | None = None, scope: str = "all", max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
+    """(path, byte_size, mtime, kind, script, reason, skipped, is_directory) of all files under root, without their content.
+
+    reason is null for files to be analysed and for files that are no sources (script Unknown). skipped is what is left
+    out: the file, or the folder above it that a pattern excludes. Patterns are compared with paths relative to root.
+    """
+    patterns = [valid_pattern(spark, p)[0] for p in exclude or []]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    base = root.rstrip("/") + "/"
+    base = base if re.match(r"^[a-z]+:", base) else "file:" + base
+    inside = F.regexp_replace(F.col("path"), "^" + re.escape(re.sub(r"^file:/+", "file:/", base)).replace("file:/", "file:/+"), "")
+    rows = raw.select(inside.alias("path"), F.col("length").alias("byte_size"), F.col("modificationTime").alias("mtime"))
+    rows = rows.withColumn("kind", P.file_kind("path")).withColumn("script", P.script_kind("path")).withColumn("hit", _first_excluded(F.col("path"), patterns))
+    source = F.col("path").rlike(RELEVANT)
+    reason = (
+        F.when(F.col("hit").isNotNull(), "Excluded pattern match")
+        .when(source & ~P.in_scope("kind", scope), f"Excluded by analysis scope ({scope})")
+        .when(source & (F.col("byte_size") > max_bytes), f"File size exceeds {max_bytes} bytes")
+    )
+    rows = rows.withColumn("reason", reason).withColumn("skipped", F.when(F.col("reason").isNotNull(), F.coalesce("hit", "path")))
+    return rows.withColumn("is_directory", F.col("hit").isNotNull() & (F.col("hit") != F.col("path"))).drop("hit")
+
 
+def skipped_files(listed: DataFrame) -> DataFrame:
+    """(path, reason, is_directory): what a scan left out, a folder once."""
+    return listed.filter("reason IS NOT NULL").groupBy(F.col("skipped").alias("path"), "reason").agg(F.bool_or("is_directory").alias("is_directory"))
 
-def source_files(spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = 10 * 1024 * 1024) -> DataFrame:
-    """(path, byte_size, mtime, sha256, line_count, content) of the relevant files under root; the content of the rest is not read.
 
-    Paths are relative to root and compared with the exclude patterns; a byte order mark is dropped before hashing.
+def source_files(spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = 10 * 1024 * 1024, scope: str = "all") -> DataFrame:
+    """(path, kind, byte_size, mtime, sha256, line_count, encoding, trailing_newline, content) of the files to be analysed, by path.
+
+    A byte order mark (UTF-8) is dropped before hashing and named in encoding.
     """
+    kept = listing(spark, root, exclude, scope, max_bytes).filter(F.col("reason").isNull() & (F.col("script") != "Unknown")).select("path", "kind")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx,js,jsx,mts,cts,mjs,cjs,TS,TSX,JS,JSX,MTS,CTS,MJS,CJS}").load(root)
     base = root.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.element_at(F.split("path", re.escape(base)), -1)
-    rows = raw.withColumn("path", relative).filter(F.col("path").rlike(RELEVANT) & (F.col("length") <= max_bytes))
-    for pattern in exclude or []:
-        rows = rows.filter(~F.col("path").rlike(valid_pattern(pattern)))
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
+    base = base if re.match(r"^[a-z]+:", base) else "file:" + base
+    inside = F.regexp_replace(F.col("path"), "^" + re.escape(re.sub(r"^file:/+", "file:/", base)).replace("file:/", "file:/+"), "")
+    rows = raw.filter(F.col("length") <= max_bytes).withColumn("path", inside).join(kept, "path")
+    decoded = F.decode("content", "UTF-8")
+    text = F.regexp_replace(decoded, "^﻿", "")
     return rows.select(
-        "path", F.col("length").alias("byte_size"), F.col("modificationTime").alias("mtime"), F.sha2(text.cast("binary"), 256).alias("sha256"),
-        F.size(F.split(text, "\r?\n")).alias("line_count"), text.alias("content"),
+        "path", "kind", F.col("length").alias("byte_size"), F.col("modificationTime").alias("mtime"), F.sha2(text.cast("binary"), 256).alias("sha256"), F.size(F.split(text, "\r?\n")).alias("line_count"),
+        F.when(decoded.startswith("﻿"), "utf-8-bom").otherwise("utf-8").alias("encoding"), text.rlike(r"\n$").alias("trailing_newline"), text.alias("content"),
     ).orderBy("path")
+
+
+def reuse_hashes(listed: DataFrame, index: DataFrame) -> DataFrame:
+    """listing() rows with the sha256 of index (path, byte_size, mtime, sha256) where size and time are unchanged, else null: only those are read again."""
+    known = index.select("path", F.col("byte_size").alias("_size"), F.col("mtime").alias("_time"), F.col("sha256").alias("_sha"))
+    same = (F.col("_size") == F.col("byte_size")) & (F.col("_time") == F.col("mtime"))
+    return listed.join(known, "path", "left").withColumn("sha256", F.when(same, F.col("_sha"))).drop("_size", "_time", "_sha")

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-IGNORED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".turbo", ".cache")
+#: Folders whose changes count for nothing, and the endings of those that do.
+IGNORED = ("node_modules", ".git", "dist", "build", ".next", "coverage", ".nyc_output")
+ENDINGS = r"\.(ts|tsx|js|jsx)$"
 
 
-def relevant(changes: DataFrame) -> DataFrame:
-    """Change rows (path) of source files outside the ignored directories."""
-    inside = F.exists(F.split("path", "/"), lambda part: part.isin(*IGNORED))
-    return changes.filter(~inside & F.col("path").rlike(r"(?i)\.(tsx?|jsx?|[mc]ts|[mc]js)$"))
+def relevant(changes: DataFrame, cache_dir: str = ".ts-analyzer-cache") -> DataFrame:
+    """Change rows (path) of source files outside the ignored folders and the program's own cache."""
+    inside = F.exists(F.split("path", "/"), lambda part: part.isin(*IGNORED, cache_dir))
+    return changes.filter(~inside & F.col("path").rlike(ENDINGS))
 
 
 def watch(changes: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str, debounce: str | None = None) -> StreamingQuery:
