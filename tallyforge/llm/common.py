@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,23 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives memory it no longer uses back to the system when a task ends, as workers live on between tasks."""
+
+    def go(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return go
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

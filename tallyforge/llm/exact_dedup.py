@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, small_batches, squeezed, text_of, work_table
+from tallyforge.llm.common import discard, lean, small_batches, squeezed, text_of, work_table
 
 P = np.uint64(2**31 - 1)
 BASES = (np.uint64(1_000_003_9), np.uint64(1_597_334_677))
@@ -91,7 +91,7 @@ def segment_hashes(rows: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c != "segment"]
     rows = rows.select(*names, "segment")
     schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes if c != "segment"), "n_bytes long, h1 long, p1 long, h2 long, p2 long"])
-    return rows.mapInArrow(_hash_batches, schema)
+    return rows.mapInArrow(lean(_hash_batches), schema)
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:

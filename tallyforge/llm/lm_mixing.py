@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import lm_bits as L
-from tallyforge.llm.common import crc_mod, discard, small_batches, text_of, work_table
+from tallyforge.llm.common import crc_mod, discard, lean, small_batches, text_of, work_table
 from tallyforge.llm.shingles import text_buffer
 
 #: Bytes of text of one run of documents, and of all texts for one range of word hashes.
@@ -129,7 +129,7 @@ def fit_mixer(train: DataFrame, model: str, counts: Broadcast, row_bits: int) ->
         weight = np.concatenate([seen, np.zeros(len(learner.outcomes))])
         yield pa.RecordBatch.from_arrays([pa.array(range(len(value)), pa.int64()), pa.array(value), pa.array(weight)], names=["k", "v", "n"])
 
-    rows = train.mapInArrow(go, "k long, v double, n double").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    rows = train.mapInArrow(lean(go), "k long, v double, n double").groupBy("k").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     weights, outcomes = np.full(L.GATES * L.CONTEXTS, L.FIRST), np.zeros(256 * L.POINTS * 2)
     for r in rows.collect():  # one row for each weight and each cell of the refining stage
         k = r["k"]
@@ -199,7 +199,7 @@ def runs(docs: DataFrame, buckets: int, row_bits: int, fold: int) -> DataFrame:
                 part = np.concatenate([t[max(x - e, 0) : max(y - e, 0)] for t, e in zip(counter.tables, ends, strict=False)])
                 yield rows(-1, [-2 - i], [pack(n=least(part))])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(go, "run long, bucket long, blob binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(go), "run long, bucket long, blob binary")
 
 
 def counted(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, small_batches, text_of, work_table
+from tallyforge.llm.common import discard, lean, small_batches, text_of, work_table
 from tallyforge.llm.components import components
 from tallyforge.llm.shingles import GOLDEN, mixed, shingle_sets, text_buffer
 
@@ -163,7 +163,7 @@ def nodes_and_hot(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         if held:
             yield counted()
 
-    rows = docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, n long, node long, check long, hot array<long>, hot_n array<long>")
+    rows = docs.select("doc_id", text_of().alias("text")).mapInArrow(lean(run), "doc_id long, n long, node long, check long, hot array<long>, hot_n array<long>")
     rows = work_table(rows, "jaccard_nodes")
     hot = rows.filter("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n"))
     top = sorted((r["hot"], r["n"]) for r in hot.orderBy(F.desc("n"), "hot").limit(HOT_KEPT).collect())
@@ -239,7 +239,7 @@ def blob_rows(docs: DataFrame, buckets: int, largest: int, hot: np.ndarray, hot_
                 parts, nodes, sizes, size, met, rest = [], [], [], 0, set(), []
         yield flush()
 
-    return docs.select(text_of().alias("text")).mapInArrow(run, "bucket long, blob binary")
+    return docs.select(text_of().alias("text")).mapInArrow(lean(run), "bucket long, blob binary")
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -341,7 +341,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
             )
 
     texts = docs.select("doc_id", text_of().alias("text")).join(one, F.col("doc_id").eqNullSafe(F.col("id")))
-    return texts.select("node", "text").mapInArrow(run, "node long, s binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, s binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -362,7 +362,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left, right = sets.select(F.col("node").alias("x"), F.col("s").alias("sx")), sets.select(F.col("node").alias("y"), F.col("s").alias("sy"))
     both = pairs.join(left, F.col("a") == F.col("x")).join(right, F.col("b") == F.col("y")).select("a", "b", "sx", "sy")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -443,7 +443,7 @@ def by_blocks(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int)
                 found = [(names[x], names2[y]) for x, y in found if names[x] != names2[y]]
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
 
-    found = work_table(pairs.mapInArrow(compare, "a long, b long"), "jaccard_dense")
+    found = work_table(pairs.mapInArrow(lean(compare), "a long, b long"), "jaccard_dense")
     discard(group, blocks)
     return found
 
@@ -466,7 +466,7 @@ def by_shingles(docs: DataFrame, nodes: DataFrame, rest: DataFrame, percent: int
                 of += [node] * use
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of, pa.int64())], names=["shingle", "of"])
 
-    wanted = work_table(sets.mapInArrow(first, "shingle long, of long"), "jaccard_rest")
+    wanted = work_table(sets.mapInArrow(lean(first), "shingle long, of long"), "jaccard_rest")
     blocks = max(1, -(-wanted.count() // block))
     out = None
     for k in range(blocks):
@@ -482,7 +482,7 @@ def by_shingles(docs: DataFrame, nodes: DataFrame, rest: DataFrame, percent: int
                     of += [node_of(s)[0]] * len(hit)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(of, pa.int64())], names=["key", "node"])
 
-        hits = docs.select(text_of().alias("text")).mapInArrow(look, "key long, node long").distinct()
+        hits = docs.select(text_of().alias("text")).mapInArrow(lean(look), "key long, node long").distinct()
         found = part.join(hits, F.col("shingle") == F.col("key")).filter("of != node")
         found = found.select(F.least("of", "node").alias("a"), F.greatest("of", "node").alias("b")).distinct()
         out = found if out is None else out.unionByName(found)

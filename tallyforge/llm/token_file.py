@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyforge.llm.bpe import read_spec
-from tallyforge.llm.common import new_path, small_batches, text_of
+from tallyforge.llm.common import lean, new_path, small_batches, text_of
 from tallyforge.llm.rans import Coder, scaled
 
 END_ID = 1
@@ -166,7 +166,7 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Dat
     rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
-    rows = rows.mapInArrow(run, "shard int, seq long, doc_id long, ids binary")
+    rows = rows.mapInArrow(lean(run), "shard int, seq long, doc_id long, ids binary")
     where = new_path(spark, "token_ids")
     rows.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(rows.schema).parquet(where), width
@@ -183,7 +183,7 @@ def id_counts(encoded: DataFrame, width: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(width, np.int64)
     for r in counts.collect():  # at most one row per id of the vocabulary
         out[r["id"]] = r["n"]
@@ -221,7 +221,7 @@ def write_blocks(encoded: DataFrame, freq: np.ndarray, where: str) -> None:
         if held:
             yield block()
 
-    encoded.select("shard", "seq", "doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{where}/blocks")
+    encoded.select("shard", "seq", "doc_id", "ids").mapInArrow(lean(run), BLOCKS).write.option("compression", "none").parquet(f"{where}/blocks")
 
 
 def write_tokens(docs: DataFrame, path: str, where: str, end_id: int = END_ID) -> None:
@@ -263,7 +263,7 @@ def read_tokens(spark: SparkSession, where: str, digest: bool = False) -> DataFr
                     names=["doc_id", "start", "n_tokens", last[0]],
                 )
 
-    return joined.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last[0]} {last[2]}")
+    return joined.mapInArrow(lean(run), f"doc_id long, start long, n_tokens long, {last[0]} {last[2]}")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
