@@ -2,8 +2,8 @@
 
 Every text is described by a few transformed counts. For each class the mean and covariance of these are found over all
 labelled training rows by one aggregation; the covariance is shrunk towards the pooled one and towards its diagonal, and
-its Cholesky factor is computed once. The score is the logistic of the difference of the two Gaussian log densities,
-each a squared Mahalanobis length by forward substitution with the cached factor.
+its Cholesky factor is computed and inverted once. The score is the logistic of the difference of the two Gaussian log
+densities, each a squared Mahalanobis length: the squared length of the shifted statistics times the cached inverse.
 
 Defined cases: null text counts as empty; an empty text has defined statistics and so a score; labels that are null or
 without document are ignored, repeated labels count again; a class without labels takes the pooled mean, and without

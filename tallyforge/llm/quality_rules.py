@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import SPACE, WORD, text_of, words_of, work_table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
-#: A line is frequent in a host if more documents hold it than this number and than this share of the host's documents.
-LINE_DOCS, LINE_SHARE = 10, 0.02
+#: A line is frequent in a host if more documents hold it than LINE_DOCS and than this share of the host's documents; in
+#: any host, however large, if more than LINE_MOST hold it.
+LINE_DOCS, LINE_SHARE, LINE_MOST = 10, 0.02, 100
 #: A document is depleted if less than this share of its lines' characters is left.
 LEAST_LEFT = 0.3
 #: Up to so many different repeated windows a text's windows are looked up among them; beyond, they are sorted.
@@ -74,7 +75,8 @@ def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     hosts = rows.select("source", "text_hash").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
     hosts = hosts.select(F.col("source").alias("host"), "host_docs")
     over = held.join(hosts, F.col("source").eqNullSafe(F.col("host")))
-    return over.filter(F.col("n_docs") > F.col("host_docs") * line_share).select(F.col("source").alias("host"), F.col("h").alias("line"))
+    limit = F.least(F.lit(float(max(line_docs, LINE_MOST))), F.col("host_docs") * line_share)
+    return over.filter(F.col("n_docs") > limit).select(F.col("source").alias("host"), F.col("h").alias("line"))
 
 
 def judge(
@@ -107,3 +109,16 @@ def without_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_bad", F.xxhash64(normalised(x)))), "\n")
     text = F.when(F.size("_bad") > 0, kept).otherwise(F.col("text"))
     return rows.join(bad, "_rid", "left").withColumn("text", text).drop("_rid", "_bad")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with all their columns, without the frequent lines of their hosts.
+
+    Rows are told apart by a hash of id, source and text; equal rows are judged alike.
+    """
+    rows = work_table(base_rules(docs), "rules_rows")
+    frequent = work_table(frequent_lines(rows), "rules_lines")
+    key = F.xxhash64("doc_id", "source", "text")
+    lost = judge(docs.withColumn("doc_id", F.struct("doc_id", key.alias("k")))).filter("NOT kept").select(F.col("doc_id.k").alias("_lost")).distinct()
+    kept = docs.withColumn("_key", key).join(work_table(lost, "rules_lost"), F.col("_key") == F.col("_lost"), "left_anti").drop("_key")
+    return without_lines(kept, frequent)

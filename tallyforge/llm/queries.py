@@ -157,7 +157,7 @@ WITH d AS (
   SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source
 ), freq AS (
   SELECT n.source, n.line FROM norm n JOIN host ON n.source IS NOT DISTINCT FROM host.source
-  GROUP BY n.source, n.line, host_docs HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > host_docs * 0.02::DOUBLE
+  GROUP BY n.source, n.line, host_docs HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > least(100, host_docs * 0.02::DOUBLE)
 ), chars AS (
   SELECT n.rid, sum(length(raw))::BIGINT AS line_chars, coalesce(sum(length(raw)) FILTER (freq.line IS NOT NULL), 0)::BIGINT AS frequent_chars
   FROM norm n LEFT JOIN freq ON n.source IS NOT DISTINCT FROM freq.source AND n.line = freq.line GROUP BY n.rid
