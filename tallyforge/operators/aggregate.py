@@ -86,3 +86,17 @@ def findings(df: DataFrame, key: str, text: str, rules: dict[str, str]) -> DataF
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("n", "raw"))
     hits = F.array_compact(F.array(*[F.when(F.col("raw").rlike(p), F.lit(r)) for r, p in rules.items()]))
     return lines.select(key, F.explode(hits).alias("rule"), (F.col("n") + 1).cast("long").alias("line"), F.trim("raw").alias("text"))
+
+
+def suggestions(unknown: DataFrame, known: DataFrame, below: int = 3) -> DataFrame:
+    """unknown (name), known (name) -> (unknown, suggestion, distance): for each unknown name the nearest known one at a distance below the limit, ties by name.
+
+    Names are joined by their length, as a distance is at least the difference of lengths; no other pairs are made.
+    """
+    k = known.select(F.col("name").alias("suggestion")).distinct().withColumn("n", F.length("suggestion"))
+    u = unknown.select(F.col("name").alias("unknown")).distinct()
+    u = u.withColumn("n", F.explode(F.sequence(F.length("unknown") - (below - 1), F.length("unknown") + (below - 1))))
+    near = F.levenshtein("unknown", "suggestion", below - 1)
+    pairs = u.join(k, "n").filter("unknown <> suggestion").withColumn("distance", near).filter("distance >= 0")
+    best = pairs.groupBy("unknown").agg(F.min(F.struct("distance", "suggestion")).alias("b"))
+    return best.select("unknown", "b.suggestion", "b.distance")

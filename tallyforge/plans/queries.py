@@ -344,13 +344,11 @@ def file_set_fingerprint(spark, d):
     return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n").cast("binary"), 256).alias("fingerprint"))
 
 
-@register("""SELECT a.p_type AS unknown, b.name AS suggestion FROM (SELECT DISTINCT p_type FROM part) a, LATERAL (SELECT arg_min(o.p_type, levenshtein(a.p_type, o.p_type) * 1000 + k) AS name FROM (SELECT p_type, row_number() OVER (ORDER BY p_type) AS k FROM (SELECT DISTINCT p_type FROM part)) o WHERE o.p_type <> a.p_type) b""")
+@register("""WITH n AS (SELECT DISTINCT p_brand AS name FROM part) SELECT a.name AS unknown, arg_min(b.name, levenshtein(a.name, b.name)::VARCHAR || b.name) AS suggestion, min(levenshtein(a.name, b.name))::INT AS distance
+FROM n a JOIN n b ON a.name <> b.name AND levenshtein(a.name, b.name) < 3 GROUP BY a.name""")
 def levenshtein_suggest(spark, d):
-    names = t(spark, d, "part").select("p_type").distinct()
-    other = names.select(F.col("p_type").alias("name")).withColumn("k", F.row_number().over(Window.orderBy("name")))
-    cost = F.levenshtein("p_type", "name") * 1000 + F.col("k")
-    pairs = names.crossJoin(F.broadcast(other)).filter("p_type != name").select("p_type", F.struct(cost.alias("c"), "name").alias("s"))  # names of kinds: a small fixed list
-    return pairs.groupBy(F.col("p_type").alias("unknown")).agg(F.min("s").alias("s")).select("unknown", F.col("s.name").alias("suggestion"))
+    names = t(spark, d, "part").select(F.col("p_brand").alias("name"))
+    return A.suggestions(names, names)
 
 
 # One metric per event type and measure, with thresholds
