@@ -40,3 +40,30 @@ def test_pagerank_sums_to_one(spark):
 def test_weak_components(spark):
     e = edges(spark, ("b", "a"), ("b", "c"), ("y", "x"))
     assert {r["id"]: r["component"] for r in G.weak_components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_long_chain_and_ring(spark):
+    chain = spark.range(20_000).selectExpr("id AS source", "id + 1 AS target")
+    layers = G.topological_layers(chain)
+    assert layers.count() == 20_001 and layers.agg({"layer": "max"}).first()[0] == 20_000
+    ring_ = spark.range(20_000).selectExpr("id AS source", "(id + 1) % 20000 AS target")
+    assert [tuple(r) for r in G.cycles(ring_, G.strong_components(ring_)).collect()] == [(0, 20_000, 20_000, "critical")]
+    assert G.weak_components(chain).select("component").distinct().count() == 1
+
+
+def test_order_of_an_acyclic_graph(spark):
+    e = edges(spark, ("b", "x"), ("a", "z"), ("a", "y"), ("z", "x"), ("c", "y"))
+    assert [r["id"] for r in G.topological_order(e).orderBy("position").collect()] == ["a", "b", "c", "z", "y", "x"]
+    assert G.topological_order(edges(spark, *ring(2, "a"))) is None
+
+
+def test_rounds_of_joins_give_the_same(spark, monkeypatch):
+    e = edges(spark, *ring(4, "a"), *ring(3, "b"), ("a0", "b0"), ("b1", "c"), ("c", "d"), ("x", "x"))
+    few = [{r["id"]: r[1] for r in f(e).collect()} for f in (G.weak_components, G.strong_components, G.topological_layers)]
+    monkeypatch.setattr(G, "ONE_TASK", -1)
+    assert few == [{r["id"]: r[1] for r in f(e).collect()} for f in (G.weak_components, G.strong_components, G.topological_layers)]
+
+
+def test_a_hub_is_left_once(spark):
+    e = edges(spark, *[("hub", f"n{i}") for i in range(50)])
+    assert G.neighbourhood(e, spark.createDataFrame([("n0",)], "id string"), 2).count() == 51
