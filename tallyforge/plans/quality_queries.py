@@ -592,3 +592,94 @@ def rendered_cells(spark, d):
     return f.withColumn("s", s).select(
         "path", T.signed(F.col("code_lines") - 200).alias("signed"), T.csv_cell("s").alias("csv"), T.markdown_cell("s").alias("md"), T.html_text("s").alias("html"), T.script_json("s").alias("script"), T.slug("s").alias("slug")
     )
+
+
+# Comparison of two metric tables: the baseline had no cycles, errors and secrets, all UI tests passing, and no CI
+
+BASELINE_FACTS = {"cycles": 0, "type_errors": 0, "secrets": 0, "e2e_total": 10, "e2e_passed": 10, "storybook_total": 5, "storybook_passed": 5, "storybook_failed": 0, "storybook_skipped": 0, "ci": False}
+CHANGED = {
+    "circular_dependencies": ("0", "pass"), "dependency_cycle_count": ("0", "pass"), "typescript_errors": ("0", "pass"), "secret_indicators": ("0", "pass"), "e2e_pass_rate": ("100.0%", "pass"),
+    "storybook_pass_rate": ("100.0%", "pass"), "ci_presence": ("なし", "warn"),
+}
+RANK_SQL = "CASE {} WHEN 'pass' THEN 0 WHEN 'not_applicable' THEN 0 WHEN 'partial' THEN 1 WHEN 'manual' THEN 2 WHEN 'warn' THEN 3 ELSE 4 END"
+COMPARED_SQL = f"""{METRICS_SQL}, old0 AS (
+  SELECT category, id, aggregation, threshold, {" ".join(["CASE id", *[f"WHEN '{k}' THEN '{a}'" for k, (a, _) in CHANGED.items()], "ELSE actual END"])} AS actual,
+    {" ".join(["CASE id", *[f"WHEN '{k}' THEN '{v}'" for k, (_, v) in CHANGED.items()], "ELSE verdict END"])} AS verdict FROM metrics
+), old AS (SELECT *, CASE WHEN verdict = 'manual' THEN 'manual' ELSE 'automatic' END AS automation FROM old0), compared AS (
+  SELECT c.category, c.id, c.aggregation, c.verdict AS cur_verdict, o.verdict AS base_verdict, c.automation AS cur_automation, o.automation AS base_automation,
+    CASE WHEN c.verdict <> o.verdict OR c.actual <> o.actual OR c.automation <> o.automation THEN 'changed' ELSE 'unchanged' END AS status,
+    CASE WHEN o.verdict <> 'manual' AND c.verdict = 'manual' THEN 'regressed' WHEN {RANK_SQL.format('c.verdict')} > {RANK_SQL.format('o.verdict')} THEN 'regressed'
+      WHEN {RANK_SQL.format('c.verdict')} < {RANK_SQL.format('o.verdict')} THEN 'improved' ELSE 'neutral' END AS trend,
+    concat_ws('; ', CASE WHEN c.verdict <> o.verdict THEN 'verdict: ' || o.verdict || ' -> ' || c.verdict END, CASE WHEN c.actual <> o.actual THEN 'actual: ' || o.actual || ' -> ' || c.actual END,
+      CASE WHEN c.automation <> o.automation THEN 'automation: ' || o.automation || ' -> ' || c.automation END) AS changes
+  FROM metrics c JOIN old o ON c.id = o.id
+)"""
+VERDICT_SQL = "CASE WHEN bool_or({0} = 'fail') THEN 'fail' WHEN bool_or({0} = 'warn') THEN 'warn' WHEN NOT bool_or({0} = 'pass') THEN CASE WHEN bool_or({0} = 'manual') THEN 'manual' ELSE 'not_applicable' END WHEN bool_or({0} = 'manual') THEN 'partial' ELSE 'pass' END"
+
+
+def two_metric_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    row = G.cut(facts_row(spark, d), "facts_row")
+    return M.build_metrics(row), M.build_metrics(row.withColumns({k: F.lit(v) for k, v in BASELINE_FACTS.items()}))
+
+
+@register(f"{R} {COMPARED_SQL} SELECT category, id, status, trend, cur_verdict, base_verdict, changes FROM compared")
+def metric_trends(spark, d):
+    now, old = two_metric_tables(spark, d)
+    changes = M.metric_changes(now, old).select("category", "id", F.array_join("changes", "; ").alias("changes"))
+    return Q.quality_diff(now, old).select("category", "id", "status", "trend", "cur_verdict", "base_verdict").join(changes, ["category", "id"])
+
+
+@register(f"""{R} {COMPARED_SQL} SELECT id, cur_verdict, base_verdict FROM compared WHERE aggregation = 'primary' AND trend = 'regressed' AND cur_verdict <> base_verdict
+  AND (cur_automation = 'automatic' OR (base_automation = 'automatic' AND cur_automation = 'manual')) AND id <> 'secret_indicators'""")
+def metric_gate_regressions(spark, d):
+    return Q.blocking_regressions(Q.quality_diff(*two_metric_tables(spark, d)), monitoring=["secret_indicators"]).select("id", "cur_verdict", "base_verdict")
+
+
+CATEGORY_SQL = f"""{COMPARED_SQL}, vc AS (SELECT category, {VERDICT_SQL.format('cur_verdict')} AS cur_verdict, {VERDICT_SQL.format('base_verdict')} AS base_verdict FROM compared WHERE aggregation = 'primary' GROUP BY category
+), cat AS (SELECT category, cur_verdict, base_verdict, changed, improved, regressed, unchanged, CASE WHEN changed > 0 OR cur_verdict <> base_verdict THEN 'changed' ELSE 'unchanged' END AS status FROM vc JOIN (
+  SELECT category, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (trend = 'improved') AS improved, count(*) FILTER (trend = 'regressed') AS regressed, count(*) FILTER (status = 'unchanged') AS unchanged
+  FROM compared GROUP BY category) USING (category))"""
+
+
+def _category_changes(spark, d) -> tuple[DataFrame, DataFrame]:
+    now, old = two_metric_tables(spark, d)
+    compared = Q.quality_diff(now, old)
+    return compared, M.category_changes(compared, Q.category_verdicts(now), Q.category_verdicts(old))
+
+
+@register(f"{R} {CATEGORY_SQL} SELECT category, status, base_verdict, cur_verdict, changed, improved, regressed, unchanged FROM cat")
+def metric_category_changes(spark, d):
+    return _category_changes(spark, d)[1].drop("added", "removed")
+
+
+@register(f"""{R} {CATEGORY_SQL} SELECT count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (trend = 'improved') AS improved, count(*) FILTER (trend = 'regressed') AS regressed,
+  count(*) FILTER (trend = 'regressed' AND cur_automation = 'automatic') AS automatic_regressions, count(*) FILTER (trend = 'regressed' AND cur_automation = 'manual') AS manual_regressions,
+  (SELECT count(*) FROM cat WHERE status <> 'unchanged') AS changed_categories FROM compared WHERE aggregation = 'primary'""")
+def metric_diff_summary(spark, d):
+    return M.diff_summary(*_category_changes(spark, d))
+
+
+@register(f"""WITH {GRAPH_SQL}, n AS (SELECT source AS id FROM e UNION SELECT target FROM e), o AS (SELECT source, count(*) AS k FROM e GROUP BY source), z AS (SELECT count(*)::DOUBLE AS n FROM n),
+r0 AS MATERIALIZED (SELECT id, coalesce(k, 0) AS k, 1 / z.n AS r FROM n LEFT JOIN o ON id = source, z),
+{", ".join(f'''r{i + 1} AS MATERIALIZED (SELECT x.id, x.k, 0.15::DOUBLE / z.n + 0.85::DOUBLE * (coalesce(c.got, 0) + s.sink / z.n) AS r FROM r{i} x
+  LEFT JOIN (SELECT e.target, sum(y.r / y.k) AS got FROM e JOIN r{i} y ON e.source = y.id GROUP BY e.target) c ON x.id = c.target, z, (SELECT coalesce(sum(r), 0) AS sink FROM r{i} WHERE k = 0) s)''' for i in range(6))}
+SELECT row_number() OVER (ORDER BY round(r * 1e9) DESC, id) AS rank, id, round(r * 1e9)::BIGINT AS rank_e9 FROM r6 ORDER BY 1 LIMIT 10""")
+def top_pageranks(spark, d):
+    from pyspark.sql import Window
+
+    ranks = G.pagerank(statements(spark, d).select("source", "target"), 6, stop=None).withColumn("rank_e9", F.round(F.col("page_rank") * 1e9).cast("long"))
+    top = ranks.orderBy(F.desc("rank_e9"), "id").limit(10)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("rank_e9"), "id")).cast("long").alias("rank"), "id", "rank_e9")
+
+
+@register(f"""{R} {STRONG_SQL}, s AS (SELECT component, count(*) AS size FROM strong GROUP BY component ORDER BY size DESC, component LIMIT 10)
+SELECT row_number() OVER (ORDER BY size DESC, component) AS rank, component, size, (SELECT array_to_string(list(id ORDER BY id)[1:20], ',') FROM strong t WHERE t.component = s.component) AS members FROM s""")
+def largest_components(spark, d):
+    return G.component_report(G.strong_components(statements(spark, d))).withColumn("members", F.array_join("members", ","))
+
+
+@register(f"WITH {S.FILES}, k AS (SELECT path, part, kind FROM files WHERE NOT {_in('kind', P.SOURCE_ONLY_WITHOUT)}) SELECT kind, count(*) AS n, sum(part)::BIGINT AS parts FROM k GROUP BY kind")
+def scope_join(spark, d):
+    f = S.files(spark, d)
+    scoped = f.filter(P.in_scope("kind")).select("path")
+    return f.join(scoped, "path", "left_semi").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("part").alias("parts"))

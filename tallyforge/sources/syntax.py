@@ -60,6 +60,11 @@ def _value_ends(tokens: list[Token]) -> bool:
     return t.kind != TAG or t.text.startswith(("</", "/>"))
 
 
+def _ends_value(tokens: list[Token], i: int) -> bool:
+    """Whether a value ends before token i."""
+    return i > 0 and _value_ends(tokens[i - 1 : i])
+
+
 class Reader:
     def __init__(self, code: str, jsx: bool = True) -> None:
         self.code, self.jsx, self.tokens = code, jsx, []
@@ -519,7 +524,7 @@ class Source:
         text = self.text(start - 1)
         if text == ":":
             return self._is_type_colon(start - 1)
-        if text in ("|", "&") or text == "<" and not _value_ends(self.t[: start - 1]):
+        if text in ("|", "&") or text == "<" and not _ends_value(self.t, start - 1):
             return True
         if text == "=":
             k = start - 2
@@ -612,7 +617,7 @@ class Source:
                 continue
             if self.t[j].kind in (TAG, TEXT):
                 return j
-            if j > i and self.t[j].line > self.t[j - 1].line and self.t[j].kind == WORD and _value_ends(self.t[: j]) and text not in ("in", "of", "instanceof", "as", "satisfies"):
+            if j > i and self.t[j].line > self.t[j - 1].line and self.t[j].kind == WORD and _ends_value(self.t, j) and text not in ("in", "of", "instanceof", "as", "satisfies"):
                 return j
             j += 1
         return len(self.t)
@@ -740,7 +745,7 @@ class Source:
                 stop = self.close(stop)
             elif self.text(stop) in (")", "]", "}"):
                 break
-            elif stop > i and self.t[stop].line > self.t[stop - 1].line and self.t[stop].kind == WORD and _value_ends(self.t[:stop]):
+            elif stop > i and self.t[stop].line > self.t[stop - 1].line and self.t[stop].kind == WORD and _ends_value(self.t, stop):
                 break
             stop += 1
         stop = min(stop, end)
@@ -1044,14 +1049,15 @@ class Source:
                 kind = self._assertion(i)
                 for key in kind:
                     out[key] += 1
-            elif t.kind == MARK and t.text == "!" and i and self.t[i - 1].line == t.line and _value_ends(self.t[:i]) and self.t[i - 1].end == t.at:
+            elif t.kind == MARK and t.text == "!" and i and self.t[i - 1].line == t.line and _ends_value(self.t, i) and self.t[i - 1].end == t.at:
                 follower = self.t[i + 1] if i + 1 < len(self.t) else None
                 if not (follower and follower.kind in (WORD, STRING, NUMBER) and follower.line == t.line and follower.text not in ("as", "in", "of", "instanceof", "satisfies")):
                     out["non_null"] += 1
         return out
 
     def _is_assertion(self, i: int) -> bool:
-        if not _value_ends(self.t[:i]) or self.text(i + 1) in (",", "}", ")", ":", "=", ";", ""):
+        after_value = _ends_value(self.t, i) or (self.text(i - 1) == "!" and _ends_value(self.t, i - 1))
+        if not after_value or self.text(i + 1) in (",", "}", ")", ":", "=", ";", ""):
             return False
         k = i - 1
         depth = 0
