@@ -14,6 +14,7 @@ ordered by text; an empty table gives an empty file set and result; other column
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -36,15 +37,14 @@ CACHED, CACHED_CHARS = 900_000, 40
 #: Chunks that are one word of these letters and a run of these marks are looked up as the two, the word in lower case.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)").fullmatch
 MARKS = frozenset(".,;:!?*#$%&|")
+#: Words that the library is asked for in one text: long texts take it more time per word.
+TOGETHER = 256
 
 
 def parts_of(chunk: str) -> tuple[str, str] | None:
     """The word in lower case and the marks of such a chunk, else None; most need no pattern."""
-    if chunk.isascii():
-        if chunk.isalpha():
-            return chunk.lower(), ""
-        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return chunk[:-1].lower(), chunk[-1]
+    if chunk.isascii() and chunk[-1:] in MARKS and chunk[:-1].isalpha():
+        return chunk[:-1].lower(), chunk[-1]
     m = SIMPLE(chunk)
     return (m[1].lower(), m[2]) if m else None
 
@@ -65,6 +65,8 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.kind = np.dtype(_packed(max(width, self.tokenizer.get_vocab_size())))
         self.cache: dict[str, bytes] = {}
+        #: Tokens that the library looks for before it makes letters small.
+        self.capital = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content != t.content.lower()]
         #: Ids that end a word in the tokenizer's vocabulary.
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for letters, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -77,9 +79,9 @@ class WordEncoder:
         """Words of letters or marks alone, which the library takes as one word each: asked for together, cut at word ends."""
         found: dict[str, bytes] = {}
         size = self.kind.itemsize
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = self._asked(" ".join(some))
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for some, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False) if groups else [], strict=True):
+            ids = np.array(encoded.ids, self.kind)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             if len(stops) != len(some):
                 found.update((w, self._asked(w).tobytes()) for w in some)
@@ -92,6 +94,9 @@ class WordEncoder:
         """Chunks encoded by the library; simple ones share the encoding of their word and marks."""
         cache, simple, ask, plain = self.cache, [], [], {}
         for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha() and chunk.islower() and len(chunk) <= CACHED_CHARS:
+                plain[chunk] = None
+                continue
             parts = parts_of(chunk) if len(chunk) <= CACHED_CHARS else None
             if parts:
                 word, marks = parts
@@ -112,9 +117,14 @@ class WordEncoder:
                 out[chunk] = ids + (found[marks] if marks in found else cache[marks]) if marks else ids
         return out
 
+    def _may_be_lowered(self, text: str) -> bool:
+        """Whether small letters at once give what the library gives: it composes letters first, and has no final sigma."""
+        composed = text.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text))
+        return composed and not any(c in text for c in self.capital)
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each whole text, without special tokens added, packed."""
-        cut = [t.split(" ") for t in texts]
+        cut = [(t.lower() if self._may_be_lowered(t) else t).split(" ") for t in texts]
         cache = self.cache
         new = set(chain.from_iterable(cut)).difference(cache)
         if new:
@@ -144,7 +154,10 @@ def word_encoder(spec: str, width: int) -> WordEncoder:
 
 
 def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, int]:
-    """docs (doc_id, text) -> (shard, seq, doc_id, ids as packed integers) in order of doc_id, written; and the vocabulary's size."""
+    """docs (doc_id, text) -> (shard, seq, doc_id, ids as packed integers) in order of doc_id, written; and the vocabulary's size.
+
+    Each task adds one row of shard -1, whose ids hold what ids it wrote and how often (id_counts reads those).
+    """
     spark = docs.sparkSession
     small_batches(spark)
     text = read_spec(path)
@@ -152,15 +165,17 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Dat
     spec, kind = spark.sparkContext.broadcast(text), _packed(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq = word_encoder(spec.value, width), 0
-        end = np.array([end_id], kind).tobytes()
+        encoder, seq, total = word_encoder(spec.value, width), 0, np.zeros(width, np.int64)
+        end, names = np.array([end_id], kind).tobytes(), ["shard", "seq", "doc_id", "ids"]
         for b in batches:
             ids = [x + end for x in encoder.encode_packed(b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.arange(seq, seq + len(ids))), b.column(1), pa.array(ids, pa.binary())],
-                names=["shard", "seq", "doc_id", "ids"],
-            )
+            total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=width)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.arange(seq, seq + len(ids))), b.column(1), pa.array(ids, pa.binary())], names=names)
             seq += len(ids)
+        if seq:
+            some = np.flatnonzero(total)
+            blob = some.astype("<u8").tobytes() + total[some].astype("<u8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([0]), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=names)
 
     shards = max(1, min(MOST_SHARDS, -(-docs.count() // ROWS_PER_SHARD)))
     rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
@@ -173,17 +188,18 @@ def encode_shards(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[Dat
 
 
 def id_counts(encoded: DataFrame, width: int) -> np.ndarray:
-    """How often each id occurs in all of encoded; one row of counts per id and task is summed."""
-    kind = _packed(width)
+    """How often each id occurs in all of encoded, summed over the tasks that wrote it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=width)
+            for blob in b.column(0).to_pylist():
+                some, n = np.frombuffer(blob, "<u8").reshape(2, -1).astype(np.int64)
+                total[some] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.filter("shard = -1").select("ids").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(width, np.int64)
     for r in counts.collect():  # at most one row per id of the vocabulary
         out[r["id"]] = r["n"]
@@ -221,7 +237,7 @@ def write_blocks(encoded: DataFrame, freq: np.ndarray, where: str) -> None:
         if held:
             yield block()
 
-    encoded.select("shard", "seq", "doc_id", "ids").mapInArrow(lean(run), BLOCKS).write.option("compression", "none").parquet(f"{where}/blocks")
+    encoded.filter("shard >= 0").select("shard", "seq", "doc_id", "ids").mapInArrow(lean(run), BLOCKS).write.option("compression", "none").parquet(f"{where}/blocks")
 
 
 def write_tokens(docs: DataFrame, path: str, where: str, end_id: int = END_ID) -> None:
