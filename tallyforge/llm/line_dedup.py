@@ -77,13 +77,29 @@ def probes(threshold: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def probe_keys(line: Column, length: Column, threshold: int) -> list[Column]:
-    """Keys of the substrings that can be a segment of a line of at most this length within the threshold."""
-    keys = []
+def with_tails(lines: DataFrame, threshold: int) -> DataFrame:
+    """Adds for each segment but the first the rest of the line (tail<i>) from where any of its probes can begin (from<i>).
+
+    Letters are found by counting from a string's beginning, so that probes of later segments read much less of a tail.
+    """
+    parts, n = threshold + 1, F.col("n")
+    for i in range(1, parts):
+        begin = F.greatest(F.lit(0), F.lit(i) * F.floor((n - threshold) / parts) - threshold).cast("int")
+        lines = lines.withColumn(f"from{i}", begin)
+    for i in range(1, parts):
+        before, at = (F.col(f"tail{i - 1}"), F.col(f"from{i - 1}")) if i > 1 else (F.col("line"), F.lit(0))
+        lines = lines.withColumn(f"tail{i}", F.substring(before, F.col(f"from{i}") - at + 1, n))
+    return lines
+
+
+def probe_keys(threshold: int) -> list[Column]:
+    """Keys of the substrings that can be a segment of a line of at most this length within the threshold; over with_tails()."""
+    keys, line, length = [], F.col("line"), F.col("n")
     for d, i, off in probes(threshold):
         other = length - d
         start, size = segment(line, other, i, threshold)
-        keys.append(F.xxhash64(F.substring(line, start + (off + 1), size), F.lit(i), other))
+        tail, begin = (F.col(f"tail{i}"), F.col(f"from{i}")) if i else (line, F.lit(0))
+        keys.append(F.xxhash64(F.substring(tail, start + (off + 1) - begin, size), F.lit(i), other))
     return keys
 
 
@@ -298,9 +314,8 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     (from 1) of the lines dropped as equal, as near; n_lines counts the lines before.
     """
     shortest = max(threshold + 1, min_chars)
-    keys = F.array(*probe_keys(F.col("line"), F.col("n"), threshold))
-    lines = occurrences(docs).filter(F.col("n") >= min(shortest, max(1, equal_chars)))
-    lines = work_table(lines.select("d1", "d2", "doc_id", "at", "h", "g", "n", keys.alias("probe")), "lines_all")
+    lines = with_tails(occurrences(docs).filter(F.col("n") >= min(shortest, max(1, equal_chars))), threshold)
+    lines = work_table(lines.select("d1", "d2", "doc_id", "at", "h", "g", "n", F.array(*probe_keys(threshold)).alias("probe")), "lines_all")
     each = [F.first(F.col("probe")[i], ignorenulls=True).alias(f"p{i}") for i in range(len(probes(threshold)))]
     distinct = lines.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("times"), *each)
     distinct = work_table(distinct.select("h", "g", "first", "n", "times", F.array(*[f"p{i}" for i in range(len(each))]).alias("probe")), "lines_distinct")
