@@ -17,7 +17,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +125,7 @@ class WordEncoder:
         """The library's ids of each whole text, without special tokens added, packed."""
         cut = [(t.lower() if self._may_be_lowered(t) else t).split(" ") for t in texts]
         cache = self.cache
-        new = set(chain.from_iterable(cut)).difference(cache)
+        new = set().union(*cut).difference(cache)
         if new:
             found = self._fresh(list(new))
             room = len(cache) < CACHED
