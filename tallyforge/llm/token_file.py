@@ -123,7 +123,8 @@ class WordEncoder:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The library's ids of each whole text, without special tokens added, packed."""
-        cut = [(t.lower() if self._may_be_lowered(t) else t).split(" ") for t in texts]
+        # line breaks separate words as spaces do, and none is in a token that the library looks for first
+        cut = [(t.lower() if self._may_be_lowered(t) else t).replace("\n", " ").split(" ") for t in texts]
         cache = self.cache
         new = set().union(*cut).difference(cache)
         if new:
