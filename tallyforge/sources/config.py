@@ -33,7 +33,7 @@ DEFAULTS: dict[str, Any] = {
     },
     "excludeGroups": ["dependencies", "build-output", "coverage", "vcs", "storybook-assets", "deployment-artifacts", "tool-cache"], "excludePatterns": [],
     "outputFormats": ["json", "markdown", "csv"], "outputDir": "./analysis-reports", "filePrefix": "analysis", "complexityThreshold": 12, "impactScoreThreshold": 0, "failOnImpactThreshold": False,
-    "maxFileSizeBytes": 10 * 1024 * 1024, "verbose": False, "enableCache": True, "cacheDir": "./.ts-analyzer-cache", "logFile": "./analysis.log", "manualInputPath": None,
+    "maxFileSizeBytes": 10 * 1024 * 1024, "verbose": False, "enableCache": True, "cacheDir": "./.tallyforge-cache", "logFile": "./analysis.log", "manualInputPath": None,
     "qualityGateBlockingMetricIds": [], "qualityGateMonitoringMetricIds": [], "maxTypeCheckRootNames": 5000, "tsCompilerOptions": {}, "pathMappings": {},
 }
 KNOWN = frozenset(DEFAULTS) | {"tsConfigPath", "projectRoot"}

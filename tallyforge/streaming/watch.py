@@ -13,7 +13,7 @@ IGNORED = ("node_modules", ".git", "dist", "build", ".next", "coverage", ".nyc_o
 ENDINGS = r"\.(ts|tsx|js|jsx)$"
 
 
-def relevant(changes: DataFrame, cache_dir: str = ".ts-analyzer-cache") -> DataFrame:
+def relevant(changes: DataFrame, cache_dir: str = ".tallyforge-cache") -> DataFrame:
     """Change rows (path) of source files outside the ignored folders and the program's own cache."""
     inside = F.exists(F.split("path", "/"), lambda part: part.isin(*IGNORED, cache_dir))
     return changes.filter(~inside & F.col("path").rlike(ENDINGS))
