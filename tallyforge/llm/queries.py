@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from tallyforge.llm import packing
 from tallyforge.llm.bpe import digests
+from tallyforge.llm.centroids import cluster
 from tallyforge.llm.common import table
 from tallyforge.llm.exact_dedup import exact_dedup
+from tallyforge.llm.hard_negatives import hard_negatives
 from tallyforge.llm.html_text import extract
 from tallyforge.llm.line_dedup import THRESHOLD, dedup_lines
 from tallyforge.llm.lm_mixing import score
@@ -68,6 +72,20 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings")).drop("weight")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -84,6 +102,9 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_html_text": op9_html_text,
     "op10_token_file": op10_token_file,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_centroids": op12_centroids,
+    "op13_packing": op13_packing,
     "pipeline": pipeline,
 }
 
@@ -215,3 +236,48 @@ SELECT doc_id, (CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) END):
   coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN g ON d.rid = g.rid
 """
+
+ORACLE_SQL["op11_hard_negatives"] = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.row, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT row, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS n FROM s WHERE same
+), g AS (
+  SELECT s.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY s.row, p.n ORDER BY score DESC, vec_id)::INT AS rank
+  FROM p JOIN s ON p.row = s.row AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score WHERE p.n <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 10
+"""
+
+_ROUND = """
+), a{n} AS (
+  SELECT vec_id, row, q, c.k, row_number() OVER (PARTITION BY row ORDER BY list_inner_product(c, c) - 2 * list_inner_product(q, c), c.k) AS n,
+    (list_inner_product(q, q) - 2 * list_inner_product(q, c) + list_inner_product(c, c))::BIGINT AS distance
+  FROM v, c{n} c QUALIFY n = 1
+), s{n} AS (
+  SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(q) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY k, i
+), c{m} AS (
+  SELECT c.k, coalesce(s.c, c.c) AS c FROM c{n} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM s{n} GROUP BY k) s ON c.k = s.k"""
+
+ORACLE_SQL["op12_centroids"] = (
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1)::INT AS k, q AS c FROM v QUALIFY k < 40"""
+    + "".join(_ROUND.format(n=n, m=n + 1) for n in range(6))
+    + """
+)
+SELECT vec_id, a5.k AS cluster, distance, (sum(distance) OVER (PARTITION BY a5.k))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c5.c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON a5.k = c5.k
+"""
+)
