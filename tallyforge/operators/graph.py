@@ -285,6 +285,31 @@ def topological_order(edges: DataFrame) -> DataFrame | None:
     return None if not order.filter("position < 0").isEmpty() else order.select("id", "position")
 
 
+def spread(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
+    """start (id) -> (id, distance): the least number of steps from source to target from any start, within hops or to the end.
+
+    Each round leaves only from the nodes met in the round before, and a node is met once.
+    """
+    steps = cut(edges.select("source", "target").filter("source != target").distinct(), "spread_edges")
+    seen = front = cut(start.select("id").distinct().withColumn("distance", F.lit(0)), "spread")
+    done = 0
+    while hops is None or done < hops:
+        done += 1
+        met = steps.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        front = cut(met.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(done)), "spread")
+        if hops is None and front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+        if done % 16 == 0:
+            seen = cut(seen, "spread_seen")
+    return seen
+
+
+def dependents(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """changed (id) -> (id, distance): all files whose facts may rest on a changed one, along imports backwards to the end."""
+    return spread(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), changed)
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 2) -> DataFrame:
     """roots (id) -> (root, id, distance) of all nodes within so many undirected hops, the root at 0; each hop leaves from nodes first met."""
     both = undirected(edges)

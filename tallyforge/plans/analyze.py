@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +18,19 @@ from tallyforge.operators import evidence as V
 from tallyforge.operators import facts as A
 from tallyforge.operators import graph as G
 from tallyforge.operators import impact as I
+from tallyforge.operators import lookup as L
 from tallyforge.operators import metrics as M
 from tallyforge.operators import quality as Q
 from tallyforge.operators.diff import merge_edges
 from tallyforge.operators.graph import cut
+from tallyforge.operators.lookup import ALIASES
 from tallyforge.sources import artifacts as R
 from tallyforge.sources import config as C
 from tallyforge.sources import evidence_files as D
 from tallyforge.sources import extract as X
 from tallyforge.sources import reports as W
 from tallyforge.sources import scan as S
+from tallyforge.sources import state as T
 from tallyforge.sources.sinks import dot_lines, graph_json
 
 
@@ -37,7 +41,7 @@ class Artifacts:
     root: str
     config: dict
     listed: DataFrame
-    sources: DataFrame  #: with texts
+    sources: DataFrame  #: with what patterns find in their texts
     nested: DataFrame  #: nested facts of each file
     files: DataFrame
     functions: DataFrame
@@ -48,6 +52,7 @@ class Artifacts:
     scored: DataFrame
     statements: DataFrame  #: those that make the graph
     texts_of: dict[str, str]  #: configuration files by path
+    stats: dict[str, int]  #: files in all, opened, parsed and resolved again, and reused (hits)
 
     @property
     def in_scope(self) -> DataFrame:
@@ -64,34 +69,99 @@ def _small_texts(spark: SparkSession, root: str, paths: list[str]) -> dict[str,
     return {p: r["value"] for r in rows for p in paths if r["path"].endswith("/" + p)}
 
 
+FACTS = ("imports", "functions", "components", "hooks", "types", "has_tests", "rendered", "texts", "raw_html")
+TEXT_FACTS = ("total_lines", "code_lines", "comment_lines", "imports_zod", "patient", "mocks", "handlers", "secrets")
+RESOLVED = ("source", "target", "type", "is_type_only", "is_external", "module", "line", "column", "start", "names", "bases")
+
+
+def _state_folder(root: str, config: dict, package: str | None) -> str:
+    """Where a project's state is kept: under the configured folder (relative ones below the project), by its package's name and the scope."""
+    place = config["cacheDir"]
+    place = place if re.match(r"^([a-z]+:|/)", place) else f"{root.rstrip('/')}/{place.removeprefix('./')}"
+    name = C.cache_identity(package, config.get("tsConfigPath") or "")
+    return f"{place}/state-{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+
+
+def _contexts(spark: SparkSession, texts: dict[str, str], fallback: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(place, context) and lookup.ALIASES of every configuration, and of none (the empty place): parsed once, a few letters each."""
+    rows, aliases = [("", C.context_hash(None, fallback))], [("", k, v) for k, v in fallback.items()]
+    for place in texts:
+        own = _primary(texts, place)
+        known = {**fallback, **(C.aliases_of(own) if own else {})}
+        rows.append((place, C.context_hash(own, known)))
+        aliases += [(place, k, v) for k, v in known.items()]
+    return spark.createDataFrame(rows, "place string, context string"), spark.createDataFrame(aliases, ALIASES)
+
+
 def build(spark: SparkSession, root: str, config: dict | None = None, all_scopes: bool = False) -> Artifacts:
-    """Scan a project, read its sources and put its facts together."""
+    """Scan a project and put its facts together; what the last run stored of unchanged files is not read or parsed again.
+
+    A file whose size and time are as stored is not opened; one that was touched but has the same text is not parsed. Its
+    statements are resolved again only if its configuration changed, or if a file came or went that one of its module
+    paths may mean. A run that finds nothing new writes no state.
+    """
     config = C.merged(config)
     scope = "all" if all_scopes else config["analysisScope"]
     listed = cut(S.listing(spark, root, config["excludePatterns"], scope, config["maxFileSizeBytes"]), "listing")
-    sources = cut(S.source_files(spark, root, config["excludePatterns"], config["maxFileSizeBytes"], scope), "sources")
-    nested = cut(X.source_facts(sources), "facts")
-    files = cut(sources.select("path", "kind", "sha256").join(X.line_classes(sources), "path"), "files")
-
-    named = listed.filter("reason IS NULL").filter(F.col("path").rlike(r"(^|/)(jsconfig\.json|tsconfig(\.[^./]+)*\.json)$")).select("path")
-    texts = _small_texts(spark, root, [r["path"] for r in named.collect()])  # one for each configuration
-    found = X.statements(nested)
-    folders = [r["f"] for r in found.select(F.regexp_replace("path", "/?[^/]*$", "").alias("f")).distinct().collect()] if texts else []  # one for each folder
-    owners: dict[str, list[str]] = {}
-    for f in folders:
-        place = C.nearest(list(texts), f"{f}/x" if f else "x")
-        owners.setdefault(place or "", []).append(f)
-    parts, fallback = [], {k: list(v) for k, v in config["pathMappings"].items()}
     every = listed.filter("reason IS NULL").select("path")
-    for place, inside in (owners or {"": None}).items():
-        own = C.aliases_of(_primary(texts, place)) if place else {}
-        rows = found if inside is None else found.filter(F.regexp_replace("path", "/?[^/]*$", "").isin(*inside))
-        parts.append(X.resolved(rows, every, {**fallback, **own}))
-    deps = cut(reduce(DataFrame.unionByName, parts), "dependencies")
+    wanted = S.sources_of(listed).select("path", "kind", "byte_size", "mtime")
+    named = every.filter(F.col("path").rlike(r"(^|/)(jsconfig\.json|tsconfig(\.[^./]+)*\.json)$") | (F.col("path") == "package.json"))
+    texts = _small_texts(spark, root, [r["path"] for r in named.collect()])  # one for each configuration
+    package = texts.pop("package.json", None)
+    fallback = {k: [v] if isinstance(v, str) else list(v) for k, v in config["pathMappings"].items()}
+    contexts, aliases = _contexts(spark, texts, fallback)
+    owners = L.nearest_places(wanted, contexts.filter("place <> ''")).select("path", F.coalesce("place", F.lit("")).alias("place"))
+    owners = cut(owners.join(F.broadcast(contexts), "place"), "owners")  # contexts: one row for each configuration
+
+    store = T.StateStore(spark, _state_folder(root, config, package)) if config["enableCache"] else None
+    last = store.read("files", "paths") if store else None
+    old = last["files"].filter((F.col("readers") == T.READERS)).join(wanted.select("path"), "path", "left_semi") if last else None
+    read = cut(T.to_read(wanted, old), "to_read")
+    since = read.agg(F.min("mtime")).first()[0]
+    sources = cut(S.source_files(spark, root, config["excludePatterns"], config["maxFileSizeBytes"], scope, read, since), "sources")
+    if old is not None:
+        touched = cut(sources.select("path", "sha256", "byte_size", "mtime").join(old.select("path", "sha256"), ["path", "sha256"], "left_semi"), "touched")
+        kept = old.join(wanted.select("path", "byte_size", "mtime"), ["path", "byte_size", "mtime"], "left_semi").select("path", "sha256", "byte_size", "mtime")
+        kept = kept.unionByName(touched.select("path", "sha256", "byte_size", "mtime"))
+        parse = sources.join(touched.select("path"), "path", "left_anti")
+    else:
+        parse = sources
+    fresh = X.source_facts(parse).join(X.text_facts(parse), "path").join(parse.select("path", "sha256", "byte_size", "mtime"), "path")
+    columns = ["path", "sha256", "byte_size", "mtime", *FACTS, *TEXT_FACTS]
+    fresh = cut(fresh.select(*columns), "fresh")
+    facts = fresh if old is None else fresh.unionByName(old.select("path", *FACTS, *TEXT_FACTS).join(kept, "path").select(*columns))
+    facts = cut(facts.join(wanted.select("path", "kind"), "path").join(owners, "path"), "facts")
+
+    stale = facts.select("path")
+    if old is not None:
+        before = old.select("path", F.inline("resolved"))
+        moved = T.stale_importers(before, T.moved_bases(last["paths"], every))
+        other = facts.select("path", "context").join(old.select("path", "context"), ["path", "context"], "left_anti").select("path")
+        stale = cut(fresh.select("path").unionByName(moved).unionByName(other).distinct(), "stale")
+    again = X.statements(facts.join(stale, "path", "left_semi")).join(facts.select("path", "place"), "path")
+    deps = X.resolved(again, every, aliases, with_bases=True).select(*RESOLVED)
+    if old is not None:
+        deps = deps.unionByName(before.join(stale, "path", "left_anti").join(facts.select("path"), "path", "left_semi").select(*RESOLVED))
+    deps = cut(deps, "dependencies")
+
+    counts = {"files": facts.count(), "read": sources.count(), "parsed": fresh.count(), "resolved": stale.join(facts.select("path"), "path", "left_semi").count()}
+    gone = last["files"].join(wanted.select("path"), "path", "left_anti").count() if last else 0
+    if store and (last is None or counts["read"] or counts["resolved"] or gone or T.moved_bases(last["paths"], every).limit(1).count()):
+        rows = deps.groupBy(F.col("source").alias("of")).agg(F.collect_list(F.struct(*RESOLVED)).alias("resolved"))
+        none = F.array().cast(rows.schema["resolved"].dataType)
+        state = facts.join(rows, F.col("path") == F.col("of"), "left").withColumn("resolved", F.coalesce("resolved", none))
+        state = state.select(F.lit(T.SCHEMA).alias("schema"), F.lit(T.READERS).alias("readers"), *columns, "context", "resolved")
+        store.write({"files": state, "paths": every})
+    stats = {"hits": counts["files"] - counts["parsed"], "misses": counts["parsed"], **counts, "removed": gone}
+
+    files = cut(facts.select("path", "kind", "sha256", *TEXT_FACTS), "files")
+    nested = facts.select("path", *FACTS)
     tables = {"functions": X.functions(nested), "components": X.components(nested), "hooks": X.hooks(nested), "types": X.types(nested)}
-    scored = cut(A.scored_files(files, tables["functions"], tables["components"], tables["hooks"], deps, tables["types"]), "scored")
+    deps = deps.drop("bases")
+    plain = files.select("path", "kind", "sha256", "total_lines", "code_lines", "comment_lines")
+    scored = cut(A.scored_files(plain, tables["functions"], tables["components"], tables["hooks"], deps, tables["types"]), "scored")
     statements = cut(G.project_graph(files.filter(P.in_scope("kind", config["analysisScope"])), deps), "statements")
-    return Artifacts(root, config, listed, sources, nested, files, **tables, dependencies=deps, scored=scored, statements=statements, texts_of=texts)
+    return Artifacts(root, config, listed, files, nested, plain, **tables, dependencies=deps, scored=scored, statements=statements, texts_of=texts, stats=stats)
 
 
 def _primary(texts: dict[str, str], place: str) -> C.TsConfig | None:
@@ -145,6 +215,7 @@ def analyze(spark: SparkSession, root: str, out: str, config: dict | None = None
         summary = {
             "schemaVersion": D.REPORT_VERSION, "timestamp": datetime.now(UTC).isoformat(), "statistics": totals, "files": [f"{os.path.basename(name)}_report/files"],
             "graph": g["totals"].first().asDict(), "riskSummary": {r["axis"]: r.asDict() for r in A.risk_levels(scored).collect()}, "typeSafety": A.type_safety_totals(scored).first().asDict(),
+            "analysisCacheStats": {k: a.stats[k] for k in ("hits", "misses")}, "incrementalStats": {"reusedFiles": a.stats["hits"], "recomputedFiles": a.stats["misses"], "resolvedFiles": a.stats["resolved"]},
             "topHotSpots": [r.asDict() for r in hot.collect()], "directoryPurposeAudit": U.purpose_counts(findings).first().asDict(),
         }
         _write_text(spark, f"{name}_report.json", json.dumps(summary, ensure_ascii=False, indent=2, default=str))
@@ -305,7 +376,7 @@ def quality_facts(spark: SparkSession, a: Artifacts) -> dict:
     signals = X.api_signals(sources).first().asDict()
     out |= {k: signals[k] for k in ("api_files", "resilient_files", "msw_handlers")} | {k: v for k, v in X.zod_use(sources).first().asDict().items() if k != "adopted"}
     nested = a.nested.join(files.select("path"), "path", "left_semi")
-    out |= {"dangerous_html": X.raw_html(nested).count(), "secrets": X.secrets(sources).count(), "product_texts": X.shown_texts(nested).filter("scope = 'product'").count()}
+    out |= {"dangerous_html": X.raw_html(nested).count(), "secrets": sources.agg(F.coalesce(F.sum(F.size("secrets")), F.lit(0))).first()[0], "product_texts": X.shown_texts(nested).filter("scope = 'product'").count()}
     out |= {"docs": len(D.find(paths, "docs")), "ci": bool(D.find(paths, "ci")), "packages": deps.join(files.select(F.col("path").alias("source")), "source", "left_semi").filter("is_external").select("target").distinct().count()}
     return out
 

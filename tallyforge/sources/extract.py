@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import paths as P
+from tallyforge.operators.lookup import ALIASES, matched_aliases
 from tallyforge.sources.syntax import Source
 
 COMMENT = r"""(?s)/\*.*?\*/|(?m)//[^\n]*"""
@@ -148,22 +149,35 @@ def secrets(files: DataFrame) -> DataFrame:
     return rows.select("path", F.inline("m")).toDF("path", "line", "text")
 
 
+def signals() -> dict[str, Column]:
+    """What the content of a file says of schemas, mock servers and patience with a network."""
+    has = lambda pattern: F.coalesce(F.col("content").rlike(pattern), F.lit(False))
+    handlers = F.regexp_count("content", F.lit(r"\b(?:http|rest)\.(get|post|put|patch|delete|options|head)\("))
+    return {
+        "imports_zod": has("from\\s+[\"']zod[\"']"), "patient": has(PATIENT),
+        "mocks": has("from\\s+[\"']msw(?:/node)?[\"']|setupServer\\("), "handlers": F.coalesce(handlers, F.lit(0)),
+    }
+
+
+def _signals(files: DataFrame) -> DataFrame:
+    """files with their signals: stored ones (text_facts) or those of their content."""
+    return files.select("path", *[how.alias(name) for name, how in signals().items()]) if "content" in files.columns else files
+
+
 def zod_use(files: DataFrame) -> DataFrame:
     """One row: files of the data layers, and how many of them import zod."""
     p = F.lower(P.slashes("path"))
-    rows = files.filter(p.rlike(ZOD_PATH) & ~P.is_test_path("path") & ~p.rlike(r"stories?\."))
-    adopted = F.count_if(F.col("content").rlike("from\\s+[\"']zod[\"']"))
-    total = F.count(F.lit(1))
+    rows = _signals(files).filter(p.rlike(ZOD_PATH) & ~P.is_test_path("path") & ~p.rlike(r"stories?\."))
+    adopted, total = F.count_if("imports_zod"), F.count(F.lit(1))
     return rows.agg(total.alias("zod_files"), adopted.alias("adopted"), F.when(total > 0, adopted / total * 100).otherwise(0.0).alias("zod_rate"))
 
 
 def api_signals(files: DataFrame) -> DataFrame:
     """One row: files of the network layer, those with timeouts or retries, files with a mock server, and its handlers."""
-    api, mocks = P.is_api_layer("path"), F.col("content").rlike("from\\s+[\"']msw(?:/node)?[\"']|setupServer\\(")
-    handlers = F.regexp_count("content", F.lit(r"\b(?:http|rest)\.(get|post|put|patch|delete|options|head)\("))
-    return files.agg(
-        F.count_if(api).alias("api_files"), F.count_if(api & F.col("content").rlike(PATIENT)).alias("resilient_files"),
-        F.count_if(mocks).alias("mock_files"), F.coalesce(F.sum(F.when(mocks, handlers).otherwise(0)), F.lit(0)).alias("msw_handlers"),
+    api = P.is_api_layer("path")
+    return _signals(files).agg(
+        F.count_if(api).alias("api_files"), F.count_if(api & F.col("patient")).alias("resilient_files"),
+        F.count_if("mocks").alias("mock_files"), F.coalesce(F.sum(F.when(F.col("mocks"), F.col("handlers")).otherwise(0)), F.lit(0)).alias("msw_handlers"),
     )
 
 
@@ -175,36 +189,45 @@ def _joined(path: Column, specifier: Column) -> Column:
     return F.array_join(up, "/")
 
 
-def resolved(deps: DataFrame, files: DataFrame, aliases: dict[str, list[str] | str] | None = None) -> DataFrame:
+def resolved(deps: DataFrame, files: DataFrame, aliases: dict[str, list[str] | str] | DataFrame | None = None, with_bases: bool = False) -> DataFrame:
     """Statements (path, type, is_type_only, specifier, and others) -> (source, target, type, is_type_only, is_external, module, and others).
 
     Relative specifiers and those that an alias matches are internal: the first candidate path that is a file, or else
     the first candidate. Any other is external, and its target is the package. An alias is a pattern with at most one *
     (or a prefix that ends in /) and the paths it stands for, tried in order; a longer pattern goes before a shorter one.
+    Aliases given as a table (lookup.ALIASES) hold for the statements of the same place, a column of deps; with_bases
+    adds the paths that candidates begin with.
     """
-    own = F.when(F.col("specifier").startswith("."), F.array(_joined(F.col("path"), F.col("specifier"))))
-    for pattern, places in sorted((aliases or {}).items(), key=lambda kv: (-len(kv[0].split("*")[0]), kv[0])):
-        if "*" not in pattern and pattern.endswith("/"):
-            pattern, places = pattern + "*", [p.rstrip("/") + "/*" for p in ([places] if isinstance(places, str) else places)]
-        places = [places] if isinstance(places, str) else places
-        head, star, tail = pattern.partition("*")
-        n = len(head) + len(tail)
-        s = F.col("specifier")
-        hit = s.startswith(head) & s.endswith(tail) & (F.length(s) >= n) if star else s == pattern
-        inner = F.substring(s, F.lit(len(head) + 1), F.length(s) - n)
-        own = own.when(hit, F.array(*[F.regexp_replace(F.concat(*[x for k, part in enumerate(p.split("*", 1)) for x in (([inner] if k else []) + [F.lit(part)])]), r"^\./", "") for p in places]))
-    rows = deps.withColumn("bases", own).withColumn("nth", F.monotonically_increasing_id())
-    tries = rows.select("nth", F.posexplode("bases").alias("place", "base"))
-    tries = tries.select("nth", "place", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("rank", "candidate"))
-    hit = tries.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("nth").agg(F.min(F.struct("place", "rank", "candidate")).alias("h"))
-    out = rows.join(hit.select(F.col("nth").alias("n"), F.col("h.candidate").alias("found")), F.col("nth") == F.col("n"), "left")
+    if aliases is None or isinstance(aliases, dict):
+        known = [("", pattern, [places] if isinstance(places, str) else list(places)) for pattern, places in (aliases or {}).items()]
+        aliases = deps.sparkSession.createDataFrame(known, ALIASES) if known else None
+        deps = deps.withColumn("place", F.lit(""))
+    rows = deps
+    near = F.when(F.col("specifier").startswith("."), F.array(_joined(F.col("path"), F.col("specifier"))))
+    if aliases is not None:
+        rows = rows.join(matched_aliases(deps.filter(~F.col("specifier").startswith(".")), aliases).drop("pattern"), ["place", "specifier"], "left")
+        rows = rows.withColumn("bases", F.coalesce(near, F.col("bases")))
+    else:
+        rows = rows.withColumn("bases", near)
+    keys = rows.filter("bases IS NOT NULL").select("bases").distinct()  # many statements mean the same file
+    tries = keys.select("bases", F.posexplode("bases").alias("place", "base"))
+    tries = tries.select("bases", "place", F.posexplode(F.array(*[F.concat("base", F.lit(e)) for e in ENDINGS])).alias("rank", "candidate"))
+    hit = tries.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("bases").agg(F.min(F.struct("place", "rank", "candidate")).alias("h"))
+    out = rows.join(hit.select(F.col("bases").alias("b"), F.col("h.candidate").alias("found")), F.col("bases") == F.col("b"), "left")
     target = F.coalesce("found", F.get("bases", F.lit(0)), package_name(F.col("specifier")))
-    more = [c for c in deps.columns if c not in ("path", "type", "is_type_only", "specifier")]
+    more = [c for c in deps.columns if c not in ("path", "type", "is_type_only", "specifier", "place")] + ["bases"] * with_bases
     return out.select(
         F.col("path").alias("source"), target.alias("target"), "type", "is_type_only", F.col("bases").isNull().alias("is_external"), F.col("specifier").alias("module"), *more
     )
 
 
+def text_facts(files: DataFrame) -> DataFrame:
+    """files (path, content) -> one row a file of what patterns find in its text: line classes, signals, and what looks like a secret."""
+    found = secrets(files).groupBy(F.col("path").alias("of")).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("secrets"))
+    out = line_classes(files).join(files.select("path", *[how.alias(name) for name, how in signals().items()]), "path").join(found, F.col("path") == F.col("of"), "left").drop("of")
+    return out.withColumn("secrets", F.coalesce("secrets", F.array().cast("array<struct<line:int,text:string>>")))
+
+
 def line_classes(files: DataFrame) -> DataFrame:
     """files (path, content) -> (path, total_lines, code_lines, comment_lines); a running state knows whether a block comment is open."""
     start = F.struct(F.lit(False).alias("open"), F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("comment"))
@@ -226,8 +249,3 @@ def directives(files: DataFrame) -> DataFrame:
     comments = F.array_join(F.regexp_extract_all("content", F.lit(f"({COMMENT})"), 1), "\n")
     rows = files.select("path", comments.alias("c"))
     return rows.select("path", *[F.regexp_count("c", F.lit(rf"@ts-{k}\b")).alias("ts_" + k.replace("-", "_")) for k in ("ignore", "expect-error", "nocheck")])
-
-
-def api_mocks(files: DataFrame) -> DataFrame:
-    """files (path, content) -> (path, handlers): request handlers of a mock server."""
-    return files.select("path", F.regexp_count("content", F.lit(r"\b(http|rest)\.(get|post|put|patch|delete|all)\(")).alias("handlers")).filter("handlers > 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +62,22 @@ def skipped_files(listed: DataFrame) -> DataFrame:
     return listed.filter("reason IS NOT NULL").groupBy(F.col("skipped").alias("path"), "reason").agg(F.bool_or("is_directory").alias("is_directory"))
 
 
-def source_files(spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = 10 * 1024 * 1024, scope: str = "all") -> DataFrame:
-    """(path, kind, byte_size, mtime, sha256, line_count, encoding, trailing_newline, content) of the files to be analysed, by path.
+def sources_of(listed: DataFrame) -> DataFrame:
+    """The rows of a listing that are analysed."""
+    return listed.filter(F.col("reason").isNull() & (F.col("script") != "Unknown"))
 
-    A byte order mark (UTF-8) is dropped before hashing and named in encoding.
+
+def source_files(
+    spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = 10 * 1024 * 1024, scope: str = "all", only: DataFrame | None = None, since: datetime | None = None
+) -> DataFrame:
+    """(path, kind, byte_size, mtime, sha256, line_count, encoding, trailing_newline, content) of the files to be analysed.
+
+    A byte order mark (UTF-8) is dropped before hashing and named in encoding. only (path, kind), rows of a listing,
+    names the files that are wanted; since, the earliest change among them, keeps older files from being opened at all.
     """
-    kept = listing(spark, root, exclude, scope, max_bytes).filter(F.col("reason").isNull() & (F.col("script") != "Unknown")).select("path", "kind")
+    kept = (sources_of(listing(spark, root, exclude, scope, max_bytes)) if only is None else only).select("path", "kind")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{ts,tsx,js,jsx,mts,cts,mjs,cjs,TS,TSX,JS,JSX,MTS,CTS,MJS,CJS}").load(root)
+    raw = raw if since is None else raw.filter(F.col("modificationTime") >= F.lit(since))
     base = root.rstrip("/") + "/"
     base = base if re.match(r"^[a-z]+:", base) else "file:" + base
     inside = F.regexp_replace(F.col("path"), "^" + re.escape(re.sub(r"^file:/+", "file:/", base)).replace("file:/", "file:/+"), "")
@@ -77,11 +87,4 @@ def source_files(spark: SparkSession, root: str, exclude: list[str] | None = Non
     return rows.select(
         "path", "kind", F.col("length").alias("byte_size"), F.col("modificationTime").alias("mtime"), F.sha2(text.cast("binary"), 256).alias("sha256"), F.size(F.split(text, "\r?\n")).alias("line_count"),
         F.when(decoded.startswith("﻿"), "utf-8-bom").otherwise("utf-8").alias("encoding"), text.rlike(r"\n$").alias("trailing_newline"), text.alias("content"),
-    ).orderBy("path")
-
-
-def reuse_hashes(listed: DataFrame, index: DataFrame) -> DataFrame:
-    """listing() rows with the sha256 of index (path, byte_size, mtime, sha256) where size and time are unchanged, else null: only those are read again."""
-    known = index.select("path", F.col("byte_size").alias("_size"), F.col("mtime").alias("_time"), F.col("sha256").alias("_sha"))
-    same = (F.col("_size") == F.col("byte_size")) & (F.col("_time") == F.col("mtime"))
-    return listed.join(known, "path", "left").withColumn("sha256", F.when(same, F.col("_sha"))).drop("_size", "_time", "_sha")
+    )
