@@ -2,134 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import paths as P
-
-#: A graph of so many edges at most (16 bytes each) is worked on in one task; a larger one in rounds of joins.
-ONE_TASK = 2_000_000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir of the session; a local one of our own only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/tallyforge/{spark.sparkContext.applicationId}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a loop's plan stays short."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def in_one_task(edges: DataFrame, columns: str, work: Callable[[np.ndarray, np.ndarray, np.ndarray], dict]) -> DataFrame:
-    """Run work(ids in order, source numbers, target numbers) over all edges (source, target) in one task; it gives columns by name."""
-    key = edges.schema["source"].dataType.simpleString()
-
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        both = pd.concat(parts, ignore_index=True)
-        ids, numbers = np.unique(np.concatenate([both["source"].to_numpy(), both["target"].to_numpy()]), return_inverse=True)
-        n = len(both)
-        yield pd.DataFrame({"id": ids, **work(ids, numbers[:n], numbers[n:])})
-
-    return edges.select("source", "target").coalesce(1).mapInPandas(go, f"id {key}, " + columns.replace("KEY", key))
-
-
-def _links(n: int, source: np.ndarray, target: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges ordered by source and then target: where each node's begin, and their targets."""
-    order = np.lexsort((target, source))
-    begin = np.searchsorted(source[order], np.arange(n + 1))
-    return begin.tolist(), target[order].tolist()
-
-
-def _weak(ids: np.ndarray, source: np.ndarray, target: np.ndarray) -> dict:
-    """Labels: every node takes the smallest it is linked to, and the label of its label, until nothing changes."""
-    label = np.arange(len(ids))
-    while True:
-        least = np.minimum(label[source], label[target])
-        new = label.copy()
-        np.minimum.at(new, label[source], least)
-        np.minimum.at(new, label[target], least)
-        new = new[new]
-        if (new == label).all():
-            return {"component": ids[label]}
-        label = new
-
-
-def _strong(ids: np.ndarray, source: np.ndarray, target: np.ndarray) -> dict:
-    """Depth-first numbering with an explicit stack; a node that reaches none older than itself closes its component."""
-    n = len(ids)
-    begin, to = _links(n, source, target)
-    number, low, label = [-1] * n, [0] * n, np.full(n, -1)
-    open_nodes: list[int] = []
-    count = 0
-    for root in range(n):
-        if number[root] >= 0:
-            continue
-        path = [(root, begin[root])]
-        number[root] = low[root] = count
-        count += 1
-        open_nodes.append(root)
-        while path:
-            node, at = path.pop()
-            if at < begin[node + 1]:
-                path.append((node, at + 1))
-                near = to[at]
-                if number[near] < 0:
-                    number[near] = low[near] = count
-                    count += 1
-                    open_nodes.append(near)
-                    path.append((near, begin[near]))
-                elif label[near] < 0:
-                    low[node] = min(low[node], number[near])
-                continue
-            if path:
-                low[path[-1][0]] = min(low[path[-1][0]], low[node])
-            if low[node] == number[node]:
-                cut_at = len(open_nodes) - 1
-                while open_nodes[cut_at] != node:
-                    cut_at -= 1
-                members = open_nodes[cut_at:]
-                del open_nodes[cut_at:]
-                label[members] = min(members)
-    return {"component": ids[label]}
-
-
-def _layers(ids: np.ndarray, source: np.ndarray, target: np.ndarray) -> dict:
-    """Layer and place in the order of nodes without an open predecessor; -1 on and behind cycles."""
-    n = len(ids)
-    begin, to = _links(n, source, target)
-    waiting = np.bincount(target, minlength=n).tolist()
-    layer, place = [-1] * n, [-1] * n
-    queue = [v for v in range(n) if not waiting[v]]
-    for v in queue:
-        layer[v] = 0
-    for at, node in enumerate(queue):
-        place[node] = at
-        for near in to[begin[node] : begin[node + 1]]:
-            waiting[near] -= 1
-            if not waiting[near]:
-                layer[near] = layer[node] + 1
-                queue.append(near)
-    return {"layer": layer, "position": place}
-
+from tallyforge.operators.contract import strong_components, topological_layers, topological_order, weak_components  # noqa: F401  (part of this module's operators)
+from tallyforge.operators.work import cut
 
 def collapse_edges(statements: DataFrame, source: str, target: str, kind: str, type_only: str | None = None) -> DataFrame:
     """Dependency statements -> (source, target, weight, types, is_type_only), one row per edge."""
@@ -147,83 +25,12 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").cast("long").alias("in_degree"), F.sum("o").cast("long").alias("out_degree"))
 
 
-def _small(edges: DataFrame) -> bool:
-    return edges.select("source").limit(ONE_TASK + 1).count() <= ONE_TASK
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, without loops."""
     e = edges.select("source", "target")
     return e.unionByName(e.select(F.col("target").alias("source"), F.col("source").alias("target"))).filter("source != target").distinct()
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest node that undirected paths reach; labels spread and jump until they stand."""
-    if _small(edges):
-        return in_one_task(edges, "component KEY", _weak)
-    both = cut(undirected(edges), "wcc_edges")
-    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    state = cut(nodes.select("id", F.col("id").alias("component")), "wcc")
-    while True:
-        near = both.join(state, both.target == state.id).groupBy("source").agg(F.min("component").alias("m"))
-        new = state.join(near, state.id == near.source, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        jump = new.select(F.col("id").alias("at"), F.col("component").alias("further"))
-        new = new.join(jump, F.col("component") == F.col("at")).select("id", F.least("component", "further").alias("component"), "old")
-        new = cut(new, "wcc")
-        changed = new.filter("component != old").limit(1).count()
-        state = new.select("id", "component")
-        if not changed:
-            return state
-
-
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component): nodes on common cycles share the smallest of them; others are alone.
-
-    Rounds of colouring: each open node takes the smallest node that reaches it; the nodes that also reach that root
-    backwards within the colour are its component and are closed. Nodes that no cycle can hold are closed first.
-    A graph of at most ONE_TASK edges is done in one task by depth-first numbering.
-    """
-    if _small(edges):
-        return in_one_task(edges, "component KEY", _strong)
-    e = cut(edges.select("source", "target").filter("source != target").distinct(), "scc_edges")
-    open_ = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "scc_open")
-    done = None
-    while not open_.isEmpty():
-        while True:  # trim nodes without a way in or out among the open ones
-            live = e.join(open_.select(F.col("id").alias("source")), "source", "left_semi").join(open_.select(F.col("id").alias("target")), "target", "left_semi")
-            kept = cut(open_.join(live.select(F.col("source").alias("id")), "id", "left_semi").join(live.select(F.col("target").alias("id")), "id", "left_semi"), "scc_open")
-            alone = cut(open_.join(kept, "id", "left_anti").select("id", F.col("id").alias("component")), "scc_alone")
-            if alone.isEmpty():
-                break
-            done = alone if done is None else done.unionByName(alone)
-            open_ = kept
-        if open_.isEmpty():
-            break
-        e = cut(live.select("source", "target"), "scc_edges")
-        colour = cut(open_.select("id", F.col("id").alias("colour")), "scc_colour")
-        while True:
-            near = e.join(colour, e.source == colour.id).groupBy("target").agg(F.min("colour").alias("m"))
-            new = cut(colour.join(near, colour.id == near.target, "left").select("id", F.least("colour", F.coalesce("m", "colour")).alias("colour"), F.col("colour").alias("old")), "scc_colour")
-            moved = not new.filter("colour != old").isEmpty()
-            colour = new.select("id", "colour")
-            if not moved:
-                break
-        inside = e.join(colour.select(F.col("id").alias("source"), F.col("colour").alias("cs")), "source").join(colour.select(F.col("id").alias("target"), F.col("colour").alias("ct")), "target")
-        inside = cut(inside.filter("cs = ct").select("source", "target"), "scc_inside")
-        found = cut(colour.filter("id = colour"), "scc_found")
-        front = found
-        while True:
-            back = inside.join(front.select(F.col("id").alias("target"), "colour"), "target").select(F.col("source").alias("id"), "colour").distinct()
-            front = cut(back.join(found, "id", "left_anti"), "scc_front")
-            if front.isEmpty():
-                break
-            found = cut(found.unionByName(front), "scc_found")
-        closed = found.select("id", F.col("colour").alias("component"))
-        done = closed if done is None else done.unionByName(closed)
-        open_ = cut(open_.join(closed, "id", "left_anti"), "scc_open")
-    return done if done is not None else edges.select(F.col("source").alias("id"), F.col("source").alias("component")).limit(0)
-
-
 def cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(component, length, edge_count, severity) of the strong components with a cycle; a loop alone is a cycle of length 1."""
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("length"))
@@ -256,35 +63,6 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, stop
     return rank.select("id", "page_rank")
 
 
-def topological_layers(edges: DataFrame) -> DataFrame:
-    """(id, layer): nodes peeled off when all nodes before them are; nodes on or behind a cycle have no row."""
-    edges = edges.select("source", "target").distinct()
-    if _small(edges):
-        return in_one_task(edges, "layer int, position int", _layers).filter("layer >= 0").select("id", "layer")
-    left = cut(edges, "topo_edges")
-    open_ = cut(edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), "topo_open")
-    spark, path = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/topo_layers-{uuid.uuid4().hex}"
-    open_.select("id", F.lit(0).alias("layer")).limit(0).write.parquet(path)
-    layer = 0
-    while True:  # each layer is added to one table, so that the result's plan does not grow
-        free = cut(open_.join(left.select(F.col("target").alias("id")), "id", "left_anti"), "topo_free")
-        if free.isEmpty():
-            return spark.read.schema(f"id {edges.schema['source'].dataType.simpleString()}, layer int").parquet(path)
-        free.select("id", F.lit(layer).alias("layer")).write.mode("append").parquet(path)
-        open_ = cut(open_.join(free, "id", "left_anti"), "topo_open")
-        left = cut(left.join(free.select(F.col("id").alias("source")), "source", "left_anti").select("source", "target"), "topo_edges")
-        layer += 1
-
-
-def topological_order(edges: DataFrame) -> DataFrame | None:
-    """(id, position): nodes without a predecessor by name, then each node as its last predecessor has been placed; None for a cyclic graph.
-
-    The order is one list of all nodes and is made in one task, which holds the edges.
-    """
-    order = cut(in_one_task(edges.select("source", "target").distinct(), "layer int, position int", _layers), "topo_order")
-    return None if not order.filter("position < 0").isEmpty() else order.select("id", "position")
-
-
 def spread(edges: DataFrame, start: DataFrame, hops: int | None = None) -> DataFrame:
     """start (id) -> (id, distance): the least number of steps from source to target from any start, within hops or to the end.
 
@@ -323,8 +101,11 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int = 2) -> DataFram
 
 
 def impact_scores(edges: DataFrame, changed: DataFrame, hops: int = 2) -> DataFrame:
-    """changed (id) -> (id, distance, score) of every node in reach: nearness, whether changed itself, and its degrees."""
-    near = neighbourhood(edges, changed, hops).groupBy("id").agg(F.min("distance").alias("distance"))
+    """changed (id) -> (id, distance, score) of every node in reach: nearness, whether changed itself, and its degrees.
+
+    All changes spread at once and a node is met once, so rows follow the nodes and not changes times reach.
+    """
+    near = spread(undirected(edges), changed, hops)
     d = degrees(edges.select("source", "target").distinct())
     joined = near.join(d, "id", "left").fillna(0, ["in_degree", "out_degree"])
     own = F.when(F.col("distance") == 0, 100).otherwise(0)

@@ -1,3 +1,10 @@
+import random
+import time
+
+import pandas as pd
+import pytest
+
+from tallyforge.operators import contract
 from tallyforge.operators import graph as G
 
 
@@ -42,13 +49,105 @@ def test_weak_components(spark):
     assert {r["id"]: r["component"] for r in G.weak_components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
 
 
+def shuffled(n, seed=1):
+    return random.Random(seed).sample(range(n), n)
+
+
+def numbered(spark, pairs):
+    return spark.createDataFrame(pd.DataFrame(pairs, columns=["source", "target"]))
+
+
 def test_long_chain_and_ring(spark):
-    chain = spark.range(20_000).selectExpr("id AS source", "id + 1 AS target")
-    layers = G.topological_layers(chain)
-    assert layers.count() == 20_001 and layers.agg({"layer": "max"}).first()[0] == 20_000
-    ring_ = spark.range(20_000).selectExpr("id AS source", "(id + 1) % 20000 AS target")
-    assert [tuple(r) for r in G.cycles(ring_, G.strong_components(ring_)).collect()] == [(0, 20_000, 20_000, "critical")]
-    assert G.weak_components(chain).select("component").distinct().count() == 1
+    n, began = 20_000, time.time()
+    for names in (list(range(n)), shuffled(n)):  # longer than what one task finishes
+        chain = numbered(spark, list(zip(names, names[1:], strict=False)))
+        assert {r["id"]: r["layer"] for r in G.topological_layers(chain).collect()} == {v: i for i, v in enumerate(names)}
+        assert {r["component"] for r in G.weak_components(chain).collect()} == {0}
+        ring_ = numbered(spark, list(zip(names, [*names[1:], names[0]], strict=True)))
+        assert [tuple(r) for r in G.cycles(ring_, G.strong_components(ring_)).collect()] == [(0, n, n, "critical")]
+    assert time.time() - began < 8 * 60
+
+
+def test_order_of_a_long_chain_with_leaves(spark):
+    n = 3000
+    pairs = [(i, i + 1) for i in range(n)] + [(i, 100_000 + i) for i in range(n)]
+    order = [r["id"] for r in G.topological_order(numbered(spark, pairs)).orderBy("position").collect()]
+    assert order == kahn(pairs)
+
+
+def kahn(pairs):
+    nodes, out, waiting = sorted({x for p in pairs for x in p}), {}, {}
+    for a, b in sorted(set(pairs)):
+        out.setdefault(a, []).append(b)
+        waiting[b] = waiting.get(b, 0) + 1
+    queue = [n for n in nodes if not waiting.get(n)]
+    for a in queue:
+        for b in out.get(a, []):
+            waiting[b] -= 1
+            if not waiting[b]:
+                queue.append(b)
+    return queue
+
+
+def plain_layers(pairs):
+    pairs, layer = set(pairs), {}
+    nodes = {x for p in pairs for x in p}
+    while True:
+        ready = [n for n in nodes - set(layer) if all(a in layer for a, b in pairs if b == n)]
+        if not ready:
+            return layer
+        layer.update({n: max((layer[a] + 1 for a, b in pairs if b == n), default=0) for n in ready})
+
+
+def plain_components(pairs, strong):
+    nodes = {x for p in pairs for x in p}
+    out = {n: {n} for n in nodes}
+    while True:
+        more = {n: set().union(r, *({b for a, b in pairs if a in r} | (set() if strong else {a for a, b in pairs if b in r}),)) for n, r in out.items()}
+        if more == out:
+            return {n: min(m for m in r if n in out[m]) for n, r in out.items()}
+        out = more
+
+
+def random_graphs():
+    r = random.Random(7)
+    yield [(r.randrange(30), r.randrange(30)) for _ in range(34)]
+    yield [(r.randrange(60), r.randrange(60)) for _ in range(60)]
+    yield [(a, b) for a, b in [(r.randrange(40), r.randrange(40)) for _ in range(70)] if a < b]
+    two = [(f"a{i}", f"a{i + 1}") for i in range(9)] + [("a9", "a0"), ("a3", "t1"), ("t1", "t2"), ("t2", "a5"), ("t2", "u1"), ("u1", "u2"), ("u2", "u3"), ("u3", "u2"), ("x", "x"), ("x", "y"), ("v", "a0")]
+    yield two
+    yield [(i, i + 1) for i in range(30)] + [(i, 100 + i) for i in range(30)] + [(200 + i, i) for i in range(30)] + [(30, 29)]
+
+
+GRAPHS = list(random_graphs())
+
+
+@pytest.mark.parametrize(("graph", "tail"), [(0, -1), (1, 30), (3, 12), *((k, contract.TAIL) for k in range(5))])
+def test_contraction_gives_what_a_plain_search_gives(spark, monkeypatch, graph, tail):
+    monkeypatch.setattr(contract, "TAIL", tail)
+    pairs = GRAPHS[graph]
+    e = numbered(spark, pairs)
+    assert {r["id"]: r["component"] for r in G.weak_components(e).collect()} == plain_components(pairs, False)
+    assert {r["id"]: r["component"] for r in G.strong_components(e).collect()} == plain_components(pairs, True)
+    layers = plain_layers(pairs)
+    assert {r["id"]: r["layer"] for r in G.topological_layers(e).collect()} == layers
+    order = G.topological_order(e)
+    if len(layers) < len({x for p in pairs for x in p}):
+        assert order is None
+    else:
+        assert [r["id"] for r in order.orderBy("position").collect()] == kahn(pairs)
+
+
+def test_order_in_segments_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(contract, "SEGMENT", 20)
+    r = random.Random(3)
+    pairs = [(a, b) for a, b in [(r.randrange(200), r.randrange(200)) for _ in range(400)] if a < b]
+    assert [x["id"] for x in G.topological_order(numbered(spark, pairs)).orderBy("position").collect()] == kahn(pairs)
+
+
+def test_empty_graphs(spark):
+    none = edges(spark, ("a", "b")).limit(0)
+    assert [f(none).count() for f in (G.weak_components, G.strong_components, G.topological_layers, G.topological_order)] == [0] * 4
 
 
 def test_order_of_an_acyclic_graph(spark):
@@ -57,13 +156,6 @@ def test_order_of_an_acyclic_graph(spark):
     assert G.topological_order(edges(spark, *ring(2, "a"))) is None
 
 
-def test_rounds_of_joins_give_the_same(spark, monkeypatch):
-    e = edges(spark, *ring(4, "a"), *ring(3, "b"), ("a0", "b0"), ("b1", "c"), ("c", "d"), ("x", "x"))
-    few = [{r["id"]: r[1] for r in f(e).collect()} for f in (G.weak_components, G.strong_components, G.topological_layers)]
-    monkeypatch.setattr(G, "ONE_TASK", -1)
-    assert few == [{r["id"]: r[1] for r in f(e).collect()} for f in (G.weak_components, G.strong_components, G.topological_layers)]
-
-
 def test_a_hub_is_left_once(spark):
     e = edges(spark, *[("hub", f"n{i}") for i in range(50)])
     assert G.neighbourhood(e, spark.createDataFrame([("n0",)], "id string"), 2).count() == 51
