@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -85,6 +86,21 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return go
 
 
+#: Columns of documents that operators read by name.
+OWN = ("doc_id", "text", "source", "lang", "n_chars")
+
+
+def any_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that keeps all columns of its documents, whatever the others are called: it sees them under names that clash with nothing."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        plain = [c if c in OWN else f"other_{i}" for i, c in enumerate(docs.columns)]
+        return stage(docs.toDF(*plain), *args, **more).toDF(*docs.columns)
+
+    return run
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, lean, small_batches, squeezed, text_of, work_table
+from tallyforge.llm.common import any_names, discard, lean, small_batches, squeezed, text_of, work_table
 
 P = np.uint64(2**31 - 1)
 BASES = (np.uint64(1_000_003_9), np.uint64(1_597_334_677))
@@ -196,6 +196,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+@any_names
 def unique_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns.
 

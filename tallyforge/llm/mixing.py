@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import WORD, text_of, work_table
+from tallyforge.llm.common import WORD, any_names, text_of, work_table
 
 BITS, STEP = 60, 12
 #: A table of so many sources at most is broadcast (some 40 bytes each); beyond, both sides are shuffled by source.
@@ -112,6 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     )
 
 
+@any_names
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken; those of size 0 stay once."""
     _, aims, times = _plan(docs, weights, share, most)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import discard, lean, small_batches, text_of, work_table
+from tallyforge.llm.common import any_names, discard, lean, small_batches, text_of, work_table
 from tallyforge.llm.components import components
 from tallyforge.llm.shingles import GOLDEN, mixed, shingle_sets, text_buffer
 
@@ -546,6 +546,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT, tables: list[DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+@any_names
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all their columns; rows of one id go together."""
     tables: list[DataFrame] = []

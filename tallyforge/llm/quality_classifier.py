@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import crc_mod, text_of, words_of, work_table
+from tallyforge.llm.common import any_names, crc_mod, text_of, words_of, work_table
 
 FEATURES = ["words", "distinct", "word_length", "symbols", "bars", "bangs", "capitals", "digits", "line_length"]
 #: Weight of the pooled covariance, and of the diagonal, in a class's covariance; least variance of a statistic.
@@ -128,6 +128,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@any_names
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier accepts, with all their columns; statistics and score are computed in the scan."""
     learnt = docs.select("doc_id", "text").join(_known(labels), F.col("doc_id") == F.col("id")).select("y", "text")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import SPACE, WORD, text_of, words_of, work_table
+from tallyforge.llm.common import SPACE, WORD, any_names, text_of, words_of, work_table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: A line is frequent in a host if more documents hold it than LINE_DOCS and than this share of the host's documents; in
@@ -111,6 +111,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return rows.join(bad, "_rid", "left").withColumn("text", text).drop("_rid", "_bad")
 
 
+@any_names
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns, without the frequent lines of their hosts.
 

@@ -15,7 +15,7 @@ from tallyforge.llm.lm_mixing import score
 from tallyforge.llm.mixing import mix, mixed_documents
 from tallyforge.llm.ngram_jaccard import jaccard_join, one_of_each
 from tallyforge.llm.quality_classifier import accepted, classify
-from tallyforge.llm.quality_rules import judge
+from tallyforge.llm.quality_rules import cleaned, judge
 from tallyforge.llm.token_file import round_trip
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h long, row string, rid long, id long, line string, key string, size long, words string"
@@ -68,6 +68,19 @@ def test_stages_keep_columns(spark, docs, none, name):
     assert stage(none).count() == 0
 
 
+ODD_NAMES = ["_r1", "_kept", "_id", "_bad", "_key", "_lost", "a.b", "h 1", "other_3", "row", "Taken"]
+
+
+@pytest.mark.parametrize("name", ["accepted", "unique", "near", "mixed", "cleaned"])
+def test_stages_keep_columns_of_any_name(spark, docs, name):
+    odd = docs.select("doc_id", "text", "lang", "source").withColumns({c: F.lit(i) for i, c in enumerate(ODD_NAMES)})
+    stage = {"accepted": lambda d: accepted(d, labels(spark, d)), "unique": unique_documents, "near": one_of_each, "mixed": mixed_documents, "cleaned": cleaned}[name]
+    out = stage(odd)
+    assert out.columns == odd.columns
+    for row in out.collect():
+        assert list(row)[4:] == list(range(len(ODD_NAMES)))
+
+
 def test_exact_groups(spark, docs):
     out = exact_dedup(docs).filter("text_sha256 = sha2('one two three four five six seven', 256)").collect()
     assert {(r["keep_id"], r["group_size"]) for r in out} == {(1, 4)}
