@@ -19,7 +19,9 @@ from tallyforge.operators.work import cut, discard
 
 
 #: What contraction has left of at most so many edges (16 bytes each) is finished by one task, as rounds over it cost more than it does.
-TAIL = 4096
+TAIL = 1 << 16
+#: Chains are folded when at least one node in so many is on one.
+FOLD = 8
 
 
 def in_one_task(rows: DataFrame, columns: str, work: Callable[[pd.DataFrame], dict]) -> DataFrame:
@@ -166,7 +168,7 @@ def degrees_of(e: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
-def _doubled(pointers: DataFrame, size: int, how: list, name: str) -> DataFrame:
+def doubled(pointers: DataFrame, size: int, how: list, name: str) -> DataFrame:
     """pointers (id, at, and others) with at moved on until it leaves the ids; those that never do are on rings.
 
     how gives the other columns from those of the pointer (p.) and of the one it names (q.). After 2^k >= size steps
@@ -216,7 +218,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         e = live
         if size:
             out = live.join(chain.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("source").alias("id"), F.col("target").alias("at"), F.col("source").alias("last"), F.col("source").alias("low"))
-            ends = _doubled(out, size, [("last", F.col("q.last")), ("low", F.least("p.low", "q.low"))], "scc_chain")
+            ends = doubled(out, size, [("last", F.col("q.last")), ("low", F.least("p.low", "q.low"))], "scc_chain")
             rings = cut(ends.filter("open").select("id", F.col("low").alias("component")), "scc_rings")
             labels.append(rings)
             heads = live.join(chain.select(F.col("id").alias("target")), "target", "left_semi").join(chain.select(F.col("id").alias("source")), "source", "left_anti")
@@ -283,38 +285,33 @@ def topological_layers(edges: DataFrame) -> DataFrame:
     aside: list[tuple[str, DataFrame]] = []
     settled: list[DataFrame] = []
     key = edges.schema["source"].dataType.simpleString()
-    count = e.count()
+    count, degrees = e.count(), cut(degrees_of(e), "topo_degrees")
     while count:
         if count <= TAIL:
             ends = e.join(base.select(F.col("id").alias("source"), F.col("c").alias("cs")), "source").join(base.select(F.col("id").alias("target"), F.col("c").alias("ct")), "target")
             settled.append(cut(in_one_task(ends, f"id {key}, layer long", _small_layers), "topo_tail"))
             break
-        d = degrees_of(e).join(base, "id")
-        d = cut(d, "topo_degrees")
-        first = d.filter("n_in = 0")
-        settled.append(cut(first.select("id", F.col("c").alias("layer")), "topo_settled"))
-        last = d.filter("n_out = 0")
+        first = degrees.filter("n_in = 0").select("id").join(base, "id")
+        last = degrees.filter("n_out = 0").select("id")
         marked = e.join(first.select(F.col("id").alias("source"), F.col("c").alias("known")), "source", "left").join(last.select(F.col("id").alias("target"), F.lit(True).alias("end")), "target", "left")
         marked = cut(marked, "topo_marked")
         given = marked.filter("known IS NOT NULL").groupBy(F.col("target").alias("id")).agg(F.max(F.col("known") + F.col("w")).alias("got"))
         new_base = cut(base.join(given, "id", "left").select("id", F.greatest("c", F.coalesce("got", "c")).alias("c")), "topo_base")
-        put = marked.filter("known IS NULL AND end").select("source", "target", "w")
-        ends = last.select("id").join(new_base, "id")
-        aside.append(("ends", cut(ends.join(put.select("source", F.col("target").alias("id"), "w"), "id", "left"), "topo_ends")))
+        put = marked.filter("known IS NULL AND end").select("source", F.col("target").alias("id"), "w")
+        aside.append(("ends", cut(last.join(new_base, "id").join(put, "id", "left"), "topo_ends")))
         left = cut(marked.filter("known IS NULL AND end IS NULL").select("source", "target", "w"), "topo_edges")
-        # a node whose last edges have just gone has nothing left to wait for, or nobody that waits for it
-        was = d.select("id", "n_in", "n_out")
-        d2 = cut(degrees_of(left).withColumnsRenamed({"n_in": "i", "n_out": "o"}), "topo_degrees")
-        gone = was.filter("n_in > 0 AND n_out > 0").join(d2, "id", "left_anti").join(new_base, "id")
-        aside.append(("ends", cut(gone.select("id", "c").withColumn("source", F.lit(None).cast(edges.schema["source"].dataType)).withColumn("w", F.lit(None).cast("long")), "topo_ends")))
-        discard(e, base, marked)
-        base, e = new_base, left
-        chain = d2.filter("i = 1 AND o = 1").select("id")
+        after = cut(degrees_of(left), "topo_degrees")
+        # nodes whose edges have all gone had only settled ones before them
+        gone = degrees.filter("n_in > 0 AND n_out > 0").select("id").join(after, "id", "left_anti").join(new_base, "id")
+        settled.append(cut(first.unionByName(gone).select("id", F.col("c").alias("layer")), "topo_settled"))
+        discard(e, base, marked, degrees)
+        base, e, degrees = new_base, left, after
+        chain = degrees.filter("n_in = 1 AND n_out = 1").select("id")
         size = chain.count()
-        if size:
+        if size * FOLD >= degrees.count() and size:
             start = e.join(chain.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("target").alias("id"), F.col("source").alias("at"), F.col("w").alias("d")).join(base, "id")
             how = [("d", F.col("p.d") + F.col("q.d")), ("c", F.greatest(F.col("p.c"), F.col("q.c") + F.col("p.d")))]
-            from_start = _doubled(start.select("id", "at", "d", "c"), size, how, "topo_chain")
+            from_start = doubled(start.select("id", "at", "d", "c"), size, how, "topo_chain")
             done = cut(from_start.filter("NOT open").select("id", "at", "d", "c"), "topo_folded")
             aside.append(("chain", done))
             out = e.join(chain.select(F.col("id").alias("source")), "source", "left_semi").join(chain.select(F.col("id").alias("target")), "target", "left_anti")
@@ -323,8 +320,9 @@ def topological_layers(edges: DataFrame) -> DataFrame:
             drawn = cut(rest.select("source", "target", "w").union(out.select("source", "target", "w")).groupBy("source", "target").agg(F.max("w").alias("w")), "topo_edges")
             got = out.groupBy(F.col("target").alias("id")).agg(F.max("got").alias("got"))
             new_base = cut(base.join(got, "id", "left").select("id", F.greatest("c", F.coalesce("got", "c")).alias("c")), "topo_base")
-            discard(e, base, from_start, out)
+            discard(e, base, from_start, out, degrees)
             e, base = drawn, new_base
+            degrees = cut(degrees_of(e), "topo_degrees")
         left_now = e.count()
         if left_now == count:
             break  # what is left is on cycles, or between them

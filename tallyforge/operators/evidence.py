@@ -44,12 +44,11 @@ def linked_sources(tests: DataFrame, files: DataFrame, dependencies: DataFrame,
     return out
 
 
-def _reasons(tests: DataFrame, linked: DataFrame, label: Column, path_label: Column, root: str | None) -> DataFrame:
-    """(key, reason) of tests (path, label) by their own path and by their imports."""
-    by_path = _keyed(tests, P.tested_keys("path", root)).select("key", F.concat(path_label, F.lit(":"), F.col("path")).alias("reason"))
-    by_import = tests.select(F.col("path").alias("test"), *[c for c in tests.columns if c != "path"]).join(linked, "test")
+def _named(tests: DataFrame, linked: DataFrame, same: DataFrame, by_path: DataFrame, label: Column, path_label: Column) -> DataFrame:
+    """(path, reason) of the files that tests (test, label) cover by their own path and by their imports."""
+    own = by_path.join(tests, "test").select("path", F.concat(path_label, F.lit(":"), F.col("test")).alias("reason"))
     text = F.concat(label, F.lit(":"), F.col("test"), F.lit(" depth="), F.col("depth").cast("string"))
-    return by_path.unionByName(_keyed(by_import, P.source_keys("path", root)).select("key", text.alias("reason")))
+    return own.unionByName(linked.join(tests, "test").join(same, "met").select("path", text.alias("reason")))
 
 
 def test_matches(
@@ -60,23 +59,35 @@ def test_matches(
     files (path, kind); tests (path): files that hold tests; coverage (path, line_found, line_hit); executed (path,
     label): tests that ran, as reported. Coverage decides first (covered if a line was hit and enough of them), then
     tests that ran, then all tests. Of several coverage rows for a key the last path counts; reasons are in order.
+    Keys are mapped to files before tests are met, and reasons are gathered only where they are shown: a covered file
+    takes the first of each kind, a file that a test ran needs no others.
     """
     linked = cut(linked_sources(tests, files, dependencies, max_depth), "linked")
-    static = _reasons(tests, linked, F.lit("import"), F.lit("path"), root)
-    known = _keyed(tests, P.source_keys("path", root)).select("key", F.col("path").alias("known"))
-    ran = _keyed(executed, P.source_keys("path", root)).join(known, "key").select(F.col("known").alias("path"), "label").distinct()
-    runtime = _reasons(ran, linked, F.col("label"), F.concat(F.col("label"), F.lit("-path")), root)
-    lines = _keyed(coverage, P.source_keys("path", root)).groupBy("key").agg(F.max(F.struct("path", "line_found", "line_hit")).alias("c"))
+    targets = cut(files.filter(P.is_test_target("kind")), "targets")
+    keys = cut(_keyed(targets.select("path"), P.source_keys("path", root)).select("path", "key"), "target_keys")
+    met = _keyed(linked.select(F.col("path").alias("met")).distinct(), P.source_keys("met", root))
+    same = cut(met.join(keys, "key").select("met", "path").distinct(), "same_files")
+    by_path = cut(_keyed(tests.select(F.col("path").alias("test")), P.tested_keys("test", root)).join(keys, "key").select("test", "path").distinct(), "named_files")
+    linked = linked.withColumnRenamed("path", "met")
 
-    targets = files.filter(P.is_test_target("kind"))
-    keys = _keyed(targets.select("path"), P.source_keys("path", root)).select("path", "key")
+    lines = _keyed(coverage, P.source_keys("path", root)).groupBy("key").agg(F.max(F.struct("path", "line_found", "line_hit")).alias("c"))
+    covered = keys.join(lines, "key").groupBy("path").agg(F.min(F.struct((F.col("key") != P.match_path("path", root)).alias("other"), "c")).alias("m"))
+    covered = cut(covered.select("path", F.col("m.c.line_found").alias("found"), F.col("m.c.line_hit").alias("hit")), "covered")
 
     def listed(reasons: DataFrame, name: str) -> DataFrame:
-        return keys.join(reasons, "key").groupBy("path").agg(F.array_sort(F.collect_set("reason")).alias(name))
+        j = reasons.join(covered.select("path", F.lit(True).alias("by_lines")), "path", "left")
+        every = F.array_sort(F.collect_set(F.when(F.col("by_lines").isNull(), F.col("reason"))))
+        return j.groupBy("path").agg(F.when(F.bool_or("by_lines"), F.array(F.min("reason"))).otherwise(every).alias(name))
 
-    covered = keys.join(lines, "key").groupBy("path").agg(F.min(F.struct((F.col("key") != P.match_path("path", root)).alias("other"), "c")).alias("m"))
-    covered = covered.select("path", F.col("m.c.line_found").alias("found"), F.col("m.c.line_hit").alias("hit"))
-    j = targets.join(covered, "path", "left").join(listed(runtime, "ran"), "path", "left").join(listed(static, "named"), "path", "left")
+    known = _keyed(tests, P.source_keys("path", root)).select("key", F.col("path").alias("known"))
+    ran = cut(_keyed(executed, P.source_keys("path", root)).join(known, "key").select(F.col("known").alias("test"), "label").distinct(), "ran")
+    runtime = cut(listed(_named(ran, linked, same, by_path, F.col("label"), F.concat(F.col("label"), F.lit("-path"))), "ran"), "runtime")
+    enough = runtime.select("path").join(covered, "path", "left_anti")
+    every = tests.select(F.col("path").alias("test")).distinct()
+    open_ = _named(every, linked, same.join(enough, "path", "left_anti"), by_path.join(enough, "path", "left_anti"), F.lit("import"), F.lit("path"))
+    static = listed(open_, "named")
+
+    j = targets.join(covered, "path", "left").join(runtime, "path", "left").join(static, "path", "left")
     none = F.array().cast("array<string>")
     ran_, named = F.coalesce("ran", none), F.coalesce("named", none)
     share = F.when(F.col("found") > 0, F.col("hit") / F.col("found") * 100)

@@ -32,7 +32,7 @@ TESTS_SQL = f"""tests AS (
   SELECT tests.path AS test, target, 0 AS depth FROM tests JOIN steps ON source = path
   UNION
   SELECT w.test, s.target, w.depth + 1 FROM walk w JOIN files f ON f.path = w.target JOIN steps s ON s.source = w.target WHERE w.depth < 3 AND {_in('f.kind', P.TRAVERSAL_WITHOUT)}
-), linked AS (
+), linked AS MATERIALIZED (
   SELECT test, target AS path, min(depth) AS depth FROM walk JOIN files ON path = target WHERE NOT {_in('kind', P.TRAVERSAL_WITHOUT)} GROUP BY test, target
 )"""
 MATCHES_SQL = f"""{KEYS_SQL}, {S.ARTIFACTS}, {TESTS_SQL}, static AS (
@@ -49,7 +49,7 @@ MATCHES_SQL = f"""{KEYS_SQL}, {S.ARTIFACTS}, {TESTS_SQL}, static AS (
   SELECT s.path, arg_min(found, CASE WHEN s.key = b.k THEN 0 ELSE 1 END) AS found, arg_min(hit, CASE WHEN s.key = b.k THEN 0 ELSE 1 END) AS hit FROM source_keys s JOIN lines USING (key) JOIN base_keys b ON b.path = s.path GROUP BY s.path
 ), by_run AS (SELECT s.path, list_sort(list(DISTINCT reason)) AS reasons FROM source_keys s JOIN runtime USING (key) GROUP BY s.path
 ), by_name AS (SELECT s.path, list_sort(list(DISTINCT reason)) AS reasons FROM source_keys s JOIN static USING (key) GROUP BY s.path
-), matches AS (
+), matches AS MATERIALIZED (
   SELECT f.path, kind, CASE kind WHEN 'Route' THEN 'route' WHEN 'Form' THEN 'form' WHEN 'UI component' THEN 'ui' WHEN 'Layout' THEN 'ui' WHEN 'Shared' THEN 'ui' ELSE 'feature' END AS bucket,
     CASE kind WHEN 'Route' THEN 5 WHEN 'Feature' THEN 4 WHEN 'Form' THEN 3 WHEN 'UI component' THEN 1 WHEN 'Shared' THEN 1 ELSE 2 END AS weight,
     CASE WHEN found IS NOT NULL THEN hit > 0 ELSE r.reasons IS NOT NULL OR n.reasons IS NOT NULL END AS matched,
@@ -226,7 +226,7 @@ def feature_rollup(spark, d):
 ZOD_KINDS = ("Schema", "Validation", "API/Infrastructure")
 FACTS_SQL = f"""{SCORED_FILES}, {ESCAPES_SQL}, {MATCHES_SQL}, {VISUAL_SQL}, {TEXTS_SQL}, bucketed AS (
   SELECT bucket, count(*) AS n, sum(weight) FILTER (matched) / sum(weight) * 100 AS rate FROM matches GROUP BY bucket
-), q AS (
+), q AS MATERIALIZED (
   SELECT (SELECT count(*) FROM visual) AS visual_total, (SELECT count(*) FROM visual WHERE backed) AS visual_backed, (SELECT count(*) FROM visual WHERE NOT backed) AS bespoke,
     (SELECT count(*) FROM events WHERE value > 199) AS axe_critical, (SELECT count(*) FROM events WHERE value > 198) AS axe_serious, (SELECT count(*) FROM events WHERE value > 190) AS axe_total,
     (SELECT avg(value) FROM events) AS lh_score, (SELECT min(value) FROM events) + 2 AS lh_lcp, (SELECT sum(ts_ignore) FROM scored) AS type_errors, (SELECT count(*) FROM region) AS configs,
@@ -326,7 +326,7 @@ def metric_rows() -> list[tuple[str, str, str, str, str, str]]:
     return automatic + by_hand
 
 
-METRICS_SQL = f"""{FACTS_SQL}, metrics AS (
+METRICS_SQL = f"""{FACTS_SQL}, metrics AS MATERIALIZED (
   SELECT *, CASE WHEN verdict = 'manual' THEN 'manual' ELSE 'automatic' END AS automation FROM (
   {" UNION ALL ".join(f"SELECT '{c}' AS category, '{i}' AS id, '{a}' AS aggregation, {x} AS actual, {t} AS threshold, {v} AS verdict FROM q" for c, i, a, x, t, v in metric_rows())})
 )"""

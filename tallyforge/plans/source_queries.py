@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import lookup as L
 from tallyforge.operators.graph import cut
-from tallyforge.sources import extract as X
+from tallyforge.plans import project as S
 from tallyforge.plans.queries import register
+from tallyforge.sources import extract as X
 
 #: What a line item writes, by (l_orderkey + l_linenumber) % 6; {o}, {l}, {s} and {q} are order, line, supplier and quantity.
 CODE = [
@@ -92,3 +94,71 @@ SELECT doc_id::VARCHAR AS path, n::INT AS line, substr(text, 1, 80) AS text FROM
 def secret_findings(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return X.secrets(docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+
+
+#: Every customer is a file that writes out a key, a secret and an access key, a private key, or nothing.
+@register("""SELECT 'c' || c_custkey || '.ts' AS path, line::INT AS line, text FROM (
+  SELECT c_custkey, 2 AS line, 'api_key = ''' || c_name AS text FROM customer WHERE c_custkey % 4 = 0 UNION ALL
+  SELECT c_custkey, 1, 'SECRET: "' || c_name FROM customer WHERE c_custkey % 4 = 1 UNION ALL
+  SELECT c_custkey, 3, 'AKIA' || lpad(c_custkey::VARCHAR, 16, '0') FROM customer WHERE c_custkey % 4 = 1 UNION ALL
+  SELECT c_custkey, 4, '-----BEGIN RSA PRIVATE KEY-----' FROM customer WHERE c_custkey % 4 = 2)""")
+def secret_indicators(spark, d):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    content = (
+        F.when(k % 4 == 0, F.concat(F.lit("// x\nconst api_key = '"), name, F.lit("'")))
+        .when(k % 4 == 1, F.concat(F.lit('let SECRET: "'), name, F.lit('"\n\nAKIA'), F.lpad(k.cast("string"), 16, "0")))
+        .when(k % 4 == 2, F.lit("a\nb\n\n  `-----BEGIN RSA PRIVATE KEY-----`")).otherwise(F.lit("const open = 1"))
+    )
+    return X.secrets(spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("c"), k.cast("string"), F.lit(".ts")).alias("path"), content.alias("content")))
+
+
+#: Every part hands its name on to the next one, up to the end of its fifty; in every seventh fifty the last hands on to the first.
+HANDED_ON = f"""h AS (
+  SELECT p_partkey AS p, {S.path_sql('p_partkey')} AS file, CASE WHEN p_partkey % 50 <> 49 THEN p_partkey + 1 WHEN p_partkey // 50 % 7 = 3 THEN p_partkey - 49 END AS q FROM part
+), m AS (SELECT h.p, h.file, o.p AS q, o.file AS next_file FROM h JOIN h o ON h.q = o.p
+), w AS (
+  SELECT p, file, q AS last, next_file AS end_file, 1 AS hops FROM m UNION ALL SELECT w.p, w.file, m.q, m.next_file, hops + 1 FROM w JOIN m ON m.p = w.last WHERE hops < 50
+)"""
+
+
+@register(f"""WITH RECURSIVE {HANDED_ON} SELECT file, 'n' || p AS name, arg_max(CASE WHEN hops < 50 THEN end_file END, hops) FILTER (hops < 50) AS end_file,
+  'n' || arg_max(w.last, hops) AS end_name, max(hops)::BIGINT AS hops FROM w GROUP BY file, p HAVING max(hops) < 50
+UNION ALL SELECT file, 'n' || p, NULL, NULL, NULL FROM w GROUP BY file, p HAVING max(hops) >= 50""")
+def re_export_ends(spark, d):
+    p = F.col("p_partkey")
+    to = F.when(p % 50 != 49, p + 1).when(F.floor(p / 50) % 7 == 3, p - 49)
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    there = parts.select(p.alias("q"), S.path_of(p).alias("next_file"))
+    rows = parts.select(p.alias("p"), S.path_of(p).alias("file"), to.alias("q")).join(there, "q")
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    return X.defining_files(rows.select("file", name("p").alias("name"), "next_file", name("q").alias("next_name")))
+
+
+CONFIGS = ("tsconfig.json", "src/tsconfig.app.json", "src/features/jsconfig.json", "src/features/tsconfig.json", "src/features/order/tsconfig.base.json", "packages/core/tsconfig.json", "src/modules/user/schemas/tsconfig.lib.json")
+ALIAS_ROWS = [("tsconfig.json", "@/*", "src/*"), ("tsconfig.json", "@/components/*", "src/components/ui/*"), ("src/tsconfig.app.json", "@/*", "src/*"), ("src/features/tsconfig.json", "@/features/*", "src/features/chat/*"), ("packages/core/tsconfig.json", "core", "packages/core/src/index.ts")]
+_VALUES = ", ".join(f"('{c}', '{c.rpartition('/')[0]}')" for c in CONFIGS)
+NEAREST_SQL = f"""cfg AS (SELECT place, folder, row_number() OVER (PARTITION BY folder ORDER BY CASE WHEN place LIKE '%jsconfig.json' THEN 1 WHEN regexp_matches(place, '(^|/)tsconfig\.json$') THEN 0
+  WHEN regexp_matches(place, 'tsconfig\.(app|lib|src)\.json$') THEN 2 WHEN regexp_matches(place, 'tsconfig\.base\.json$') THEN 4 ELSE 3 END, place) AS n FROM (VALUES {_VALUES}) t(place, folder)
+), near AS (
+  SELECT f.path, c.place FROM files f JOIN cfg c ON c.n = 1 AND (c.folder = '' OR starts_with(f.path, c.folder || '/')) QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(c.folder) DESC) = 1
+)"""
+
+
+@register(f"WITH {S.FILES}, {NEAREST_SQL} SELECT path, place FROM near")
+def nearest_configurations(spark, d):
+    return L.nearest_places(S.files(spark, d), spark.createDataFrame([(c,) for c in CONFIGS], "place string"))
+
+
+_ALIASES = ", ".join(f"('{p}', '{a}', '{b}')" for p, a, b in ALIAS_ROWS)
+
+
+@register(f"""WITH {S.FILES}, {NEAREST_SQL}, named AS (SELECT DISTINCT place, '@' || substr(path, 4) AS specifier FROM near WHERE path LIKE 'src/%' UNION SELECT place, 'core' FROM near
+), al AS (SELECT place, a, b, rtrim(a, '*') AS head FROM (VALUES {_ALIASES}) t(place, a, b)
+) SELECT n.place, specifier, a AS pattern, replace(b, '*', substr(specifier, length(head) + 1)) AS base FROM named n JOIN al ON al.place = n.place AND CASE WHEN a LIKE '%*' THEN starts_with(specifier, head) ELSE specifier = a END
+QUALIFY row_number() OVER (PARTITION BY n.place, specifier ORDER BY length(head) DESC) = 1""")
+def matched_aliases(spark, d):
+    near = nearest_configurations(spark, d)
+    names = near.filter("path LIKE 'src/%'").select("place", F.concat(F.lit("@"), F.substring(F.col("path"), F.lit(4), F.length("path"))).alias("specifier"))
+    names = names.unionByName(near.select("place", F.lit("core").alias("specifier"))).distinct()
+    aliases = spark.createDataFrame([(p, a, [b]) for p, a, b in ALIAS_ROWS], L.ALIASES)
+    return L.matched_aliases(names, aliases).select("place", "specifier", "pattern", F.col("bases")[0].alias("base"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import paths as P
+from tallyforge.operators.contract import doubled
 from tallyforge.operators.lookup import ALIASES, matched_aliases
 from tallyforge.sources.syntax import Source
 
@@ -114,9 +115,28 @@ def barrel_imports(facts: DataFrame, resolved_: DataFrame) -> DataFrame:
 
 
 def re_exports(resolved_: DataFrame) -> DataFrame:
-    """(source, targets): which internal modules a file exports again, in order."""
-    rows = resolved_.filter(~F.col("is_external") & (F.col("type") == "export"))
-    return rows.groupBy("source").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    """resolved() rows with names -> (file, name, next_file, next_name): where an internal module takes a name from that it only hands on.
+
+    A name that a file hands on twice is taken from the last statement.
+    """
+    rows = resolved_.filter(~F.col("is_external") & (F.col("type") == "export")).select("source", "target", "start", F.explode("names").alias("n")).filter("n.name <> '*'")
+    last = F.max_by(F.struct("target", F.col("n.name").alias("name")), "start")
+    return rows.groupBy(F.col("source").alias("file"), F.coalesce("n.alias", "n.name").alias("name")).agg(last.alias("l")).select("file", "name", F.col("l.target").alias("next_file"), F.col("l.name").alias("next_name"))
+
+
+def defining_files(handed_on: DataFrame) -> DataFrame:
+    """re_exports() -> (file, name, end_file, end_name, hops): the file that a name handed on comes from in the end.
+
+    Pointers are doubled, so that a chain costs rounds by the logarithm of its length; names that are handed on in a ring
+    have no end (null).
+    """
+    size = handed_on.count()
+    if not size:
+        return handed_on.select("file", "name", F.col("next_file").alias("end_file"), F.col("next_name").alias("end_name"), F.lit(0).cast("long").alias("hops"))
+    here, there = F.struct(F.col("file"), F.col("name")), F.struct(F.col("next_file").alias("file"), F.col("next_name").alias("name"))
+    ends = doubled(handed_on.select(here.alias("id"), there.alias("at"), F.lit(1).cast("long").alias("hops")), size, [("hops", F.col("p.hops") + F.col("q.hops"))], "re_exports")
+    end = F.when(~F.col("open"), F.col("at"))
+    return ends.select("id.file", "id.name", end["file"].alias("end_file"), end["name"].alias("end_name"), F.when(~F.col("open"), F.col("hops")).alias("hops"))
 
 
 def raw_html(facts: DataFrame) -> DataFrame:
