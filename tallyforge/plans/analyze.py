@@ -53,6 +53,7 @@ class Artifacts:
     statements: DataFrame  #: those that make the graph
     texts_of: dict[str, str]  #: configuration files by path
     stats: dict[str, int]  #: files in all, opened, parsed and resolved again, and reused (hits)
+    changed: DataFrame | None  #: (id) of the files that the last run did not know like this; None without a last run
 
     @property
     def in_scope(self) -> DataFrame:
@@ -161,7 +162,7 @@ def build(spark: SparkSession, root: str, config: dict | None = None, all_scopes
     plain = files.select("path", "kind", "sha256", "total_lines", "code_lines", "comment_lines")
     scored = cut(A.scored_files(plain, tables["functions"], tables["components"], tables["hooks"], deps, tables["types"]), "scored")
     statements = cut(G.project_graph(files.filter(P.in_scope("kind", config["analysisScope"])), deps), "statements")
-    return Artifacts(root, config, listed, files, nested, plain, **tables, dependencies=deps, scored=scored, statements=statements, texts_of=texts, stats=stats)
+    return Artifacts(root, config, listed, files, nested, plain, **tables, dependencies=deps, scored=scored, statements=statements, texts_of=texts, stats=stats, changed=None if old is None else stale.select(F.col("path").alias("id")))
 
 
 def _primary(texts: dict[str, str], place: str) -> C.TsConfig | None:
@@ -208,6 +209,7 @@ def analyze(spark: SparkSession, root: str, out: str, config: dict | None = None
     g = graph_facts(a)
     _snapshot(a, g, f"{name}_report")
     scored = spark.read.parquet(f"{name}_report/files")
+    affected = a.stats["files"] if a.changed is None else G.dependents(g["edges"], a.changed).count() if a.stats["resolved"] else 0
     threshold, formats = a.config["complexityThreshold"], set(a.config["outputFormats"])
     totals, hot = A.totals(scored).first().asDict(), spark.read.parquet(f"{name}_report/hot_spots").orderBy("rank")
     findings = cut(U.purpose_findings(scored, a.components, a.dependencies, threshold), "findings")
@@ -215,7 +217,7 @@ def analyze(spark: SparkSession, root: str, out: str, config: dict | None = None
         summary = {
             "schemaVersion": D.REPORT_VERSION, "timestamp": datetime.now(UTC).isoformat(), "statistics": totals, "files": [f"{os.path.basename(name)}_report/files"],
             "graph": g["totals"].first().asDict(), "riskSummary": {r["axis"]: r.asDict() for r in A.risk_levels(scored).collect()}, "typeSafety": A.type_safety_totals(scored).first().asDict(),
-            "analysisCacheStats": {k: a.stats[k] for k in ("hits", "misses")}, "incrementalStats": {"reusedFiles": a.stats["hits"], "recomputedFiles": a.stats["misses"], "resolvedFiles": a.stats["resolved"]},
+            "analysisCacheStats": {k: a.stats[k] for k in ("hits", "misses")}, "incrementalStats": {"reusedFiles": a.stats["hits"], "recomputedFiles": a.stats["misses"], "resolvedFiles": a.stats["resolved"], "affectedFiles": affected},
             "topHotSpots": [r.asDict() for r in hot.collect()], "directoryPurposeAudit": U.purpose_counts(findings).first().asDict(),
         }
         _write_text(spark, f"{name}_report.json", json.dumps(summary, ensure_ascii=False, indent=2, default=str))
@@ -252,11 +254,14 @@ def analyze(spark: SparkSession, root: str, out: str, config: dict | None = None
 
 
 def graph(spark: SparkSession, root: str, out: str, config: dict | None = None) -> DataFrame:
-    """Write a project's graph as JSON lines and DOT under out; gives its totals."""
+    """Write a project's graph as JSON lines and DOT under out, and without cycles the order of its modules; gives its totals."""
     a = build(spark, root, config)
     g, name = graph_facts(a), f"{out.rstrip('/')}/{a.config['filePrefix']}"
     lines = graph_json(g["nodes"], g["edges"])
     lines.select("json").write.mode("overwrite").text(f"{name}_graph.json")
+    order = G.topological_order(g["edges"])
+    if order is not None:
+        order.write.mode("overwrite").parquet(f"{name}_graph_order")
     dots = dot_lines(g["nodes"].select("id", "in_degree"), g["edges"])
     ends = spark.createDataFrame([(-1, "digraph dependencies {"), (9, "}")], "part int, line string")
     dots.unionByName(ends).orderBy("part", "line").coalesce(1).select("line").write.mode("overwrite").text(f"{name}_graph.dot")
