@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import paths as P
@@ -221,6 +221,17 @@ def feature_rollup(spark, d):
     return roll(spark, d, "feature")
 
 
+@register(f"""{R} {ROLL_SQL}, rolled AS ({roll_sql('feature', 'AND NOT ' + _in('l.kind', P.SOURCE_ONLY_WITHOUT))})
+SELECT id, row_number() OVER (ORDER BY type_escapes DESC, responsible DESC, max_complexity DESC, label) AS rank FROM rolled""")
+def feature_ranking(spark, d):
+    return feature_rollup(spark, d).select("id", F.row_number().over(Window.orderBy(*U.feature_order())).cast("long").alias("rank"))  # a row for each feature
+
+
+@register(f"{R} {ROLL_SQL}, rolled AS ({roll_sql('segment', '')}) SELECT count(*) FILTER (id <> 'other') >= 2 AS shown FROM rolled")
+def segments_shown(spark, d):
+    return U.shows_segments(segment_rollup(spark, d))
+
+
 # Quality metrics
 
 ZOD_KINDS = ("Schema", "Validation", "API/Infrastructure")

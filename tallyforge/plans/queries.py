@@ -11,6 +11,7 @@ from tallyforge.functions import exprs as E
 from tallyforge.operators import aggregate as A
 from tallyforge.operators import diff as D
 from tallyforge.operators import graph as G
+from tallyforge.operators import impact as I
 from tallyforge.operators import quality as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,6 +208,14 @@ def impact_scores(spark, d):
     return G.impact_scores(e, e.select(F.col("source").alias("id")).distinct())
 
 
+@register(f"""WITH RECURSIVE {FOLLOWS}, u AS (SELECT source, target FROM g WHERE source <> target UNION SELECT target, source FROM g WHERE source <> target), w AS (
+  SELECT p_partkey AS id, 0 AS d FROM part WHERE p_size = 7 UNION SELECT u.target, d + 1 FROM w JOIN u ON w.id = u.source WHERE d < 3
+) SELECT p_partkey AS path, coalesce(min(d), 99)::INT AS distance FROM part LEFT JOIN w ON p_partkey = w.id GROUP BY p_partkey""")
+def change_distances(spark, d):
+    parts = t(spark, d, "part")
+    return I.distance_to(follows(spark, d), parts.filter("p_size = 7").select(F.col("p_partkey").alias("path")), parts.select(F.col("p_partkey").alias("path")), 3)
+
+
 WEEK = "SELECT user_id, event_type, count(*) AS n FROM events WHERE {} GROUP BY user_id, event_type"
 
 
