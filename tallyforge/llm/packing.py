@@ -33,9 +33,10 @@ LENGTH, END_ID = 1024, 0
 #: Documents in a group, on average.
 GROUP = 4096
 #: Most entries of a worker's cache, and the longest chunk kept in it; words that the library is asked for in one text.
-CACHED, CACHED_CHARS, TOGETHER = 600_000, 40, 256
+CACHED, CACHED_CHARS, TOGETHER = 1_000_000, 40, 256
 #: Chunks of these letters and a run of these marks are looked up as the two: the tokenizer cuts there, too.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)").fullmatch
+MARKS = frozenset(".,;:!?*#$%&|")
 RUNS = regex.compile(r"(\p{White_Space}{2,})")
 CUT = "row long, doc_id long, start long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -88,7 +89,17 @@ class ByteEncoder:
         """New chunks; simple ones are put together from their word and marks."""
         later, simple, odd, marks = self.later, [], [], set()
         words: dict[str, dict[str, None]] = {" ": {}, "\n": {}}
+        after_space = words[" "]
         for chunk in chunks:
+            if chunk.isascii():  # most need no pattern
+                if chunk.isalpha():
+                    after_space[chunk] = None
+                    continue
+                if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+                    after_space[chunk[:-1]] = None
+                    simple.append((chunk, chunk[-1]))
+                    marks.add(chunk[-1])
+                    continue
             broken = chunk[:1] == "\n"
             m = SIMPLE(chunk, 1 if broken else 0)
             if m:
@@ -141,13 +152,14 @@ class ByteEncoder:
             else:
                 jobs.append((i, [chunks]))
         later = self.later
-        new = set().union(*(p[1:] for _, parts in jobs for p in parts)).difference(later)
+        heads = [[p.pop(0) for p in parts] for _, parts in jobs]
+        new = set().union(*(p for _, parts in jobs for p in parts)).difference(later)
         room = len(later) < CACHED
         found = self._fresh(list(new)) if new else {}
         later.update(found)
-        first = self._texts({p[0] for _, parts in jobs for p in parts})
-        for i, parts in jobs:
-            out[i] = b"".join([x for p in parts for x in (first[p[0]], *map(later.__getitem__, p[1:]))])
+        first = self._texts(set().union(*heads))
+        for (i, parts), head in zip(jobs, heads, strict=True):
+            out[i] = b"".join([x for h, p in zip(head, parts, strict=True) for x in (first[h], b"".join(map(later.__getitem__, p)))])
         for k in found:  # what is too long, or has no room, is not kept beyond these texts
             if not room or len(k) > CACHED_CHARS:
                 del later[k]
