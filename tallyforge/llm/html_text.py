@@ -1,20 +1,22 @@
 """Main text of web pages: flat text blocks classified by a decision tree (operator 9).
 
 A page is cut at block-level tags into flat blocks. A block is described by its word count and link density, those of
-the blocks before and after it, and what it stands in: an article or main element, or a part of the page that frames it
-(navigation, header, footer, sidebar, form, advert, notice, comments, by element or by the class, id or role of a
-container). A decision tree, trained on the small labelled table below, tells main text from the rest; the main blocks
-are joined in page order. Where a page has no article or main element, words and links of a block and of its neighbours decide.
+the blocks before and after it, its size beside the page's largest block, and what it stands in: an article or main
+element, and a part of the page that frames it. Such parts are told by their element (navigation, header, footer,
+sidebar, form) or by the words of a class, id or role: sure ones (adverts, comments, related links) on any element, mere
+hints (banner, notice, search, sharing) that the tree may overrule where long prose stands in an article. The tree is
+grown from the small table of labelled pages below; the main blocks are joined in page order.
 
 Defined cases: null html counts as empty; a page without main blocks gives the empty text; broken markup is read as far
-as it goes (an unclosed comment or script hides the rest); repeated rows get a row each; an empty table gives an empty
-result; other columns of the input are ignored.
+as it goes (an unclosed comment or script hides the rest; an article ends a navigation, header, footer or form that is
+still open); repeated rows get a row each; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,50 +38,97 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot semantics".split())
 FRAME = frozenset("nav footer aside form menu dialog button head".split())
 MAIN = frozenset("article main".split())
-#: Elements whose class, id or role says what a part of the page is; on others, such as headings and paragraphs, it does not.
-CONTAINERS = frozenset("div section header ul ol dl table tbody tr td figure details center fieldset".split())
-#: Words of a class, id or role that mark framing parts. A name marks one if all its words are of these or neutral, so
-#: that "related-posts" does and "related-work" does not.
-FRAME_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus disclaimer footer masthead menu modal nav navbar navigation newsletter"
-    " notice pager pagination popup promo related replies reply respond responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+#: Frames that an article or main element ends: around a whole page, or left open before it.
+ENDED_BY_MAIN = frozenset("nav footer header form menu dialog button head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Roles of parts that frame a page.
+FRAME_ROLES = frozenset("navigation banner search complementary contentinfo dialog alertdialog form menu menubar toolbar".split())
+#: Words of a class or id that mark framing parts, on any element. A name marks one if all its words are of these lists
+#: or neutral, so that "related-posts" does and "related-work" does not.
+SURE_WORDS = frozenset(
+    "ad ads advert advertisement adverts advertising advertorial breadcrumb breadcrumbs comment commenter commenters commenting commentary comments commentlist consent cookie cookies disqus footer"
+    " masthead nav navbar navigation newsletter pager pagination popup promo promos promoted promotion recommended related replies reply respond responses sidebar signup sponsor sponsored sponsors"
+    " subscribe toolbar ugc widget widgets".split()
 )
+#: Words that mark comments as a class; as an id they name a chapter as often, and are a hint.
+SURE_CLASS_WORDS = frozenset("discussion discussions discuss feedback talk".split())
+#: Words that hint at framing parts.
+HINT_WORDS = frozenset("alert banner disclaimer menu modal notice notices notification search share sharing social".split())
 NEUTRAL_WORDS = frozenset(
-    "alert aria area articles bar block bottom box btn button buttons card container content footer fixed form global group header holder icons inner item items left link links list main menu"
-    " message module outer overlay page pages panel policy post posts primary region right row secondary section sections site slot stories thread top user users wrap wrapper".split()
+    "area aria articles author bar block body bottom box btn button buttons card container content fixed form forum global group header holder icons inner item items left link links list main"
+    " message meta module outer overlay page pages panel policy post posts primary reader readers region right row secondary section sections site slot stories text thread threads top unit user users"
+    " wrap wrapper".split()
 )
 MAIN_WORDS = frozenset(("articlebody", "article-body", "post-content", "entry-content", "article-content", "post-body", "main-content", "maincontent"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_frame")
-#: Labelled blocks, in the order of FEATURES and then 1 for main text. First those of articles and main elements; then
-#: parts that frame a page or stand in an article without belonging to it; then pages without such elements: paragraphs,
-#: headings before and short lines between them, and menus, bylines, lists of links and copyright lines.
+FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after", "share")
+#: Of a page's free words (outside of marked parts), the part that its article and main elements must hold to be its main text.
+MAIN_SHARE = 0.125
+#: Labelled pages: a block begins with + if it is main text, with - if not; @n stands for n words, ~n for n linked words.
+#: First pages with an article or main element, then those where such an element holds little or nothing, then others.
 LABELLED = (
-    (60, 0.0, 55, 0.0, 70, 0.0, 1, 0, 1), (8, 0.0, 6, 1.0, 60, 0.0, 1, 0, 1), (1, 0.0, 40, 0.0, 30, 0.0, 1, 0, 1), (2, 0.0, 9, 0.0, 1, 0.0, 1, 0, 1),
-    (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1), (12, 0.5, 40, 0.0, 20, 0.1, 1, 0, 1), (3, 1.0, 50, 0.0, 60, 0.0, 1, 0, 1), (200, 0.02, 9, 0.0, 0, 0.0, 1, 0, 1),
-    (5, 0.0, 200, 0.1, 12, 0.4, 1, 0, 1), (25, 0.1, 2, 0.0, 3, 0.0, 1, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (400, 0.0, 1, 0.0, 15, 0.0, 1, 0, 1),
-    (4, 1.0, 3, 1.0, 5, 1.0, 1, 0, 1), (9, 0.9, 20, 0.6, 8, 1.0, 1, 0, 1), (30, 0.7, 4, 1.0, 2, 1.0, 1, 0, 1), (2, 0.0, 1, 1.0, 6, 0.9, 1, 0, 1),
-    (6, 0.0, 5, 1.0, 25, 0.6, 1, 0, 1), (14, 0.2, 70, 0.0, 9, 0.8, 1, 0, 1), (1, 0.0, 2, 0.0, 3, 1.0, 1, 0, 1), (3, 0.0, 12, 0.5, 1, 0.0, 1, 0, 1),
-    (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0), (12, 0.0, 1, 1.0, 8, 0.0, 0, 1, 0),
-    (30, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (15, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0), (80, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0), (40, 0.1, 30, 0.0, 12, 0.3, 0, 1, 0),
-    (45, 0.0, 70, 0.0, 55, 0.0, 1, 1, 0), (6, 0.8, 70, 0.0, 55, 0.0, 1, 1, 0), (150, 0.0, 200, 0.0, 90, 0.0, 1, 1, 0), (2, 0.0, 100, 0.0, 0, 0.0, 1, 1, 0),
-    (120, 0.0, 30, 0.0, 40, 0.0, 0, 1, 0), (3, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0), (55, 0.3, 80, 0.0, 2, 0.9, 0, 1, 0), (9, 0.0, 80, 0.0, 95, 0.0, 0, 1, 0),
-    (60, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1), (35, 0.0, 8, 0.0, 40, 0.0, 0, 0, 1), (22, 0.05, 60, 0.0, 30, 0.0, 0, 0, 1), (90, 0.1, 4, 1.0, 80, 0.0, 0, 0, 1),
-    (120, 0.2, 6, 0.0, 3, 1.0, 0, 0, 1), (40, 0.0, 1, 0.0, 0, 0.0, 0, 0, 1), (38, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (45, 0.15, 2, 1.0, 3, 1.0, 0, 0, 1),
-    (28, 0.0, 3, 0.0, 50, 0.0, 0, 0, 1), (31, 0.1, 45, 0.0, 4, 1.0, 0, 0, 1), (300, 0.05, 0, 0.0, 9, 0.2, 0, 0, 1), (26, 0.0, 33, 0.0, 6, 0.0, 0, 0, 1),
-    (1, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1), (2, 0.0, 1, 1.0, 38, 0.0, 0, 0, 1), (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1), (9, 0.0, 3, 0.0, 45, 0.0, 0, 0, 1),
-    (7, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (4, 0.0, 45, 0.0, 50, 0.1, 0, 0, 1), (18, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1), (12, 0.0, 50, 0.0, 28, 0.0, 0, 0, 1),
-    (16, 0.0, 9, 0.0, 35, 0.05, 0, 0, 1), (14, 0.1, 55, 0.0, 40, 0.0, 0, 0, 1), (3, 0.0, 35, 0.0, 31, 0.0, 0, 0, 1), (20, 0.0, 48, 0.0, 0, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (5, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0),
-    (10, 0.9, 60, 0.0, 12, 1.0, 0, 0, 0), (30, 0.95, 25, 1.0, 40, 0.8, 0, 0, 0), (6, 0.5, 8, 0.6, 50, 0.0, 0, 0, 0), (8, 0.1, 4, 1.0, 5, 0.0, 0, 0, 0),
-    (2, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0), (1, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0), (12, 1.0, 45, 0.0, 50, 0.0, 0, 0, 0), (5, 0.8, 70, 0.0, 1, 1.0, 0, 0, 0),
-    (6, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0), (9, 0.2, 40, 0.0, 0, 0.0, 0, 0, 0), (8, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (4, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 4, 1.0, 0, 0, 0), (7, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0), (40, 0.7, 30, 0.9, 35, 0.8, 0, 0, 0), (26, 0.6, 5, 1.0, 2, 1.0, 0, 0, 0),
+    "<nav><li>-~1</li><li>-~1</li><li>-~2</li></nav><article><h1>+@8</h1><p>+@60</p><p>+@5</p><p>+@90 ~4</p></article><footer>-@9</footer>",
+    "<header><p>-@4</p><li>-~1</li></header><main><h1>+@2</h1><p>+@1</p><li>+~3</li><li>+~4</li><p>+@30 ~25</p><h2>+@3</h2><p>+@200</p></main><aside><h3>-@2</h3><p>-@80</p></aside><footer><p>-@40 ~4</p></footer>",
+    "<div class='ad'>-@12</div><article><h1>+@6</h1><p>+@25 ~2</p><div class='ad'><p>-@45</p></div><p>+@55</p><p class='advert'>-@8</p><li>+~1</li><li>+~2</li></article><div id='comments'><p>-@120</p><p>-@3</p></div>",
+    "<p>-@20</p><article><p>+@40</p><div class='comment-body'><p>-@60</p><p>-@150 ~2</p></div></article><p>-@35</p><p>-@70</p><p>-@9 ~2</p>",
+    "<div><li>-~1</li><li>-~1</li></div><div><p>-@5</p></div><main><h1>+@7</h1><p>+@300</p><aside>-@25</aside><form>-@4</form></main><div><h3>-@2</h3><p>-@100</p><p>-@45</p><li>-~6</li></div>",
+    "<article><p>+@35</p><div class='banner'><p>+@40</p></div><p>+@10</p><section class='search'><p>+@55</p></section><p>+@80</p><div class='share'>-@2</div><div class='share'><li>-~1</li><li>-~1</li></div></article>",
+    "<article><h1>+@5</h1><div class='notice'>-@9</div><p>+@70</p><div class='social'>-@4 ~3</div><p>+@28</p><details class='notice'><p>+@90</p><p>+@38 ~1</p></details><div class='search'>-@3</div></article>",
+    "<div class='banner'><p>-@30</p></div><main><p>+@50</p><div class='menu'><li>-~2</li><li>-~3</li></div><p>+@3</p><div class='notice'><p>-@12</p></div></main><div class='disclaimer'><p>-@60</p></div>",
+    "<article><p>+@30</p><div class='notice'><p>-@18</p></div><p>+@24</p><div class='share'>-@12</div><div class='banner'>-@20</div><p>+@28</p><div class='search'>-@6</div></article>",
+    "<article><div class='notice'>-@22</div><h1>+@4</h1><p>+@48</p><div class='banner'>-@14</div><p>+@40</p><div class='disclaimer'>-@24</div></article>",
+    "<article><p>+@6</p></article><footer>-@30</footer>",
+    "<article><h1>+@2</h1><p>+@300</p><p>+@5</p><p>+@1</p><li>+~2</li><p>+@3 ~1</p><p>+@2</p></article>",
+    "<nav>-~4</nav><article><p>+@400</p><p>+@3</p><p>+@20</p><p>+@2</p><p>+@9</p></article><footer>-@2</footer>",
+    "<article><h2>+@1</h2><p>+@90</p><p>+@6</p></article><footer>-@14</footer>",
+    "<article><h1>+@3</h1><p>+@500</p><h2>+@2</h2><p>+@6</p><p>+@8 ~2</p><p>+@30</p><p>+@4</p></article><footer>-@1 ~2</footer>",
+    "<main><p>+@7</p><p>+@2</p><p>+@900</p><p>+@1</p><p>+@3</p><p>+@1</p><p>+@5 ~3</p><p>+@25</p><p>+@8</p></main><nav>-~9</nav>",
+    "<nav>-~4</nav><main><h1>+@4</h1></main><footer>-@3</footer>",
+    "<article><h2>-@3</h2></article><h1>+@6</h1><p>+@120</p><p>+@80</p><p>+@60 ~2</p><p>-@4</p>",
+    "<article></article><li>-~1</li><li>-~2</li><h1>+@5</h1><p>+@40</p><p>+@30</p><p>+@7</p><p>+@55</p><li>-~5</li><li>-~4</li>",
+    "<li>-~1</li><li>-~3</li><li>-~1</li><h1>+@4</h1><p>+@60</p><p>+@90 ~9</p><h2>+@2</h2><p>+@45</p><p>+@18</p><p>+@25</p><p>+@12</p><p>+@50</p><p>-@6</p><li>-~2</li><li>-~2</li>",
+    "<h1>+@7</h1><p>+@33</p><p>+@3</p><p>+@70</p><div class='banner'><p>-@25</p></div><p>+@40</p><div class='notice'>-@40</div><p>-@6</p><li>-~1</li>",
+    "<p>+@38</p>",
+    "<p>+@5</p>",
+    "<nav>-~3</nav><p>+@9</p><footer>-@6</footer>",
+    "<h1>+@3</h1><p>+@7</p>",
+    "<li>-~1</li><li>-~1</li><h2>+@2</h2><p>+@40</p>",
+    "<div class='sidebar'><p>-@90</p></div><p>+@26</p><div class='related'><li>-~8</li></div>",
+    "<li>-~3</li><li>-~1</li><li>-~4</li><p>-@5 ~4</p><li>-~2</li><p>-@9 ~40</p><p>-~55</p><p>-@20 ~30</p><p>-@3 ~28</p>",
+    "<p>-~35</p><h1>+@5</h1><p>+@60 ~12</p><p>+@90 ~25</p><p>-@12 ~60</p><p>-@2 ~30</p>",
+    "<p>+@300 ~9</p><p>-@8 ~1</p><p>-@2</p>",
+    "<p>-@1 ~3</p><p>+@120 ~25</p><h3>+@4</h3><p>+@31 ~3</p><p>-@4</p><li>-~9</li><p>-@9 ~4</p>",
+    "<div class='comments'><p>-@50</p><p>-@9</p></div><h1>+@9</h1><p>+@45</p><p>+@48</p><p>+@14</p><p>+@28</p><div class='comments'><p>-@70</p><p>-@30</p></div>",
+    "<h1>+@5</h1><p>+@60</p><p>+@45 ~8</p><p>+@38 ~10</p><p>+@70</p><p>+@20</p>",
+    "<p>+@40</p><p>+@40</p><p>-@5</p>",
+    "<li>-~2</li><h1>+@6</h1><p>+@30</p><p>+@55 ~14</p><p>+@52</p><p>-@7</p>",
+    "<h2>+@4</h2><p>+@44</p><p>+@24 ~5</p><p>+@36</p><p>+@3</p><p>+@41</p><p>-@9</p>",
+    "<p>-@3</p><li>-~1</li><li>-~1</li><h1>+@4</h1><p>+@35</p><p>+@28</p><p>-@8</p><li>-~2</li>",
+    "<p>-@4</p><li>-~1</li><p>+@80</p><p>+@90</p><p>+@9</p><p>+@6</p><p>+@120 ~20</p><p>-@3 ~3</p><p>-@6</p>",
+    "<h1>+@6</h1><p>+@65 ~12</p><p>+@2</p><p>+@2</p><p>+@1</p><p>+@200</p><p>+@13</p><p>+@150</p><p>-@4 ~8</p><p>-@4</p>",
+    "<li>-~1</li><h1>+@1</h1><p>+@150</p><h2>+@1</h2><p>+@130</p><p>+@33 ~6</p><li>-~12</li><li>-~14</li><p>-@12 ~9</p>",
+    "<li>-~4</li><p>-@6 ~3</p><p>-@5 ~2</p><p>+@29</p><p>+@17 ~1</p><p>+@33 ~9</p><p>-@15 ~11</p>",
 )
 
 
-def grow(rows: list[tuple], depth: int = 6) -> tuple | int:
-    """A decision tree by least Gini impurity: (feature, threshold, tree if at most it, tree if above) or a class."""
+def labelled_rows() -> list[tuple]:
+    """The features of the blocks of the labelled pages, each followed by 1 for main text and 0 for the rest."""
+    rows = []
+    for page in LABELLED:
+        page = re.sub(r"@(\d+)", lambda m: " word" * int(m[1]), page)
+        page = re.sub(r"~(\d+)", lambda m: " <a>" + "word " * int(m[1]) + "</a>", page)
+        found = blocks(page)
+        for b in found:
+            b.words -= 1  # the label
+        rows += [(*row, int(b.text.startswith("+"))) for b, row in zip(found, features(found), strict=True)]
+    return rows
+
+
+def grow(rows: list[tuple], depth: int = 12) -> tuple | int:
+    """A decision tree by least Gini impurity: (feature, threshold, tree if at most it, tree if above) or a class.
+
+    A split that sets apart a quarter of the rows or more, all of one class, goes before those that do not.
+    """
     ones = sum(r[-1] for r in rows)
     best_class = int(2 * ones >= len(rows))
     if depth == 0 or ones in (0, len(rows)):
@@ -95,7 +144,8 @@ def grow(rows: list[tuple], depth: int = 6) -> tuple | int:
         for low, high in zip(values, values[1:], strict=False):
             cut = (low + high) / 2
             below, above = [r for r in rows if r[k] <= cut], [r for r in rows if r[k] > cut]
-            cost = impurity(below) + impurity(above)
+            pure = any(4 * len(part) >= len(rows) and len({r[-1] for r in part}) == 1 for part in (below, above))
+            cost = impurity(below) + impurity(above) - len(rows) * pure
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, k, cut, below, above)
     if best is None or best[0] >= impurity(rows) - 1e-12:
@@ -116,11 +166,11 @@ class Block:
     words: int
     linked: int
     in_main: bool
-    in_frame: bool
+    mark: int  # 2 in a part that surely frames the page, 1 in one that may, else 0
 
     @property
     def links(self) -> float:
-        return self.linked / self.words if self.words else 0.0
+        return min(1.0, self.linked / self.words) if self.words else 0.0
 
 
 def _close_of(page: str, name: str, at: int) -> tuple[int, int]:
@@ -152,27 +202,47 @@ class Tags:
         return self.page.find(">", start)  # a tag with unbalanced quotes
 
 
-def frames(name: str) -> bool:
-    """Whether a class, id or role marks a part that frames the page."""
-    words = PART.findall(name.lower())
-    return bool(words) and any(w in FRAME_WORDS for w in words) and all(w in FRAME_WORDS or w in NEUTRAL_WORDS or w.isdigit() for w in words)
+def mark_of(name: str, key: str, value: str) -> int:
+    """How surely one word group of an attribute marks a part that frames the page: 2 surely, 1 perhaps, 0 not."""
+    if key == "role":
+        return 2 * (value.lower() in FRAME_ROLES)
+    words = PART.findall(value.lower())
+    own = [w for w in words if not w.isdigit() and w not in NEUTRAL_WORDS]
+    if not own or (key == "id" and name in HEADINGS):  # ids of headings repeat their text
+        return 0
+    if not all(w in SURE_WORDS or w in SURE_CLASS_WORDS or w in HINT_WORDS for w in own):
+        return 0
+    return 2 if any(w in SURE_WORDS or (key == "class" and w in SURE_CLASS_WORDS) for w in own) else 1
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: name, makes main, makes frame
+    stack: list[tuple[str, bool, int]] = []  # open block elements: name, whether it makes main, its mark
+    opened: Counter[str] = Counter()  # their names
+    loose: list[int] = []  # places in the stack of frames that an article would end
     runs: list[tuple[str, bool]] = []
-    main = frame = link = at = 0
+    main = link = at = 0
+    marked = [0, 0, 0]  # open elements of each mark
     tags = Tags(page)
 
+    def leave(depth: int) -> None:
+        nonlocal main
+        for closed, makes_main, mark in stack[depth:]:
+            main -= makes_main
+            marked[mark] -= 1
+            opened[closed] -= 1
+        del stack[depth:]
+        while loose and loose[-1] >= depth:
+            loose.pop()
+
     def flush() -> None:
         if not runs:
             return
         words = html.unescape("".join(t for t, _ in runs)).split()
         if words:
             linked = len(html.unescape(" ".join(t for t, inside in runs if inside)).split())
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), main > 0, frame > 0))
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), main > 0, 2 if marked[2] else int(marked[1] > 0)))
         runs.clear()
 
     while at < len(page):
@@ -216,32 +286,57 @@ def blocks(page: str) -> list[Block]:
         flush()
         link = 0
         if ends:
-            depth = len(stack)
-            while depth and stack[depth - 1][0] != name:
-                depth -= 1
-            if depth:
-                for _, makes_main, makes_frame in stack[depth - 1 :]:
-                    main -= makes_main
-                    frame -= makes_frame
-                del stack[depth - 1 :]
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                leave(depth)
             continue
+        if stack and stack[-1][0] == "p":  # a block ends an open paragraph
+            leave(len(stack) - 1)
         marks = [(k.lower(), v) for k, *values in ATTRIBUTE.findall(attributes) for v in "".join(values).split()] if attributes else []
-        makes_main = name in MAIN or any(v.lower() in MAIN_WORDS for _, v in marks) or ("role", "main") in marks
-        makes_frame = name in FRAME or (name == "header" and not main) or (name in CONTAINERS and any(frames(v) for _, v in marks))
-        if not attributes.endswith("/"):
-            stack.append((name, makes_main, makes_frame))
-            main += makes_main
-            frame += makes_frame
+        mark = max((mark_of(name, k, v) for k, v in marks), default=0)
+        makes_main = mark < 2 and (name in MAIN or any(v.lower() in MAIN_WORDS for _, v in marks) or ("role", "main") in marks)
+        if name in FRAME or (name == "header" and not main):
+            mark = 2
+        if attributes.endswith("/"):
+            continue
+        if makes_main and not main:
+            for k in loose:
+                marked[2] -= 1
+                marked[0] += 1
+                stack[k] = (stack[k][0], stack[k][1], 0)
+            loose.clear()
+        if mark == 2 and name in ENDED_BY_MAIN:
+            loose.append(len(stack))
+        stack.append((name, makes_main, mark))
+        opened[name] += 1
+        main += makes_main
+        marked[mark] += 1
     flush()
     return out
 
 
 def features(found: list[Block]) -> list[tuple]:
+    """The features of a page's blocks: their own, their neighbours', and what they are beside the rest of the page."""
+    free = [b for b in found if not b.mark]
+    total, inside = sum(b.words for b in free), sum(b.words for b in free if b.in_main)
+    largest = max((b.words - b.linked for b in free), default=0)
+    has_main = total > 0 and inside >= MAIN_SHARE * total
+
+    def place(b: Block) -> int:
+        """From surely framing (0) over beside the main element, hinted, free, and hinted in it, to free in it (5)."""
+        if b.mark == 2:
+            return 0
+        if has_main:
+            return 5 - b.mark if b.in_main else 1
+        return 3 - b.mark
+
     rows = []
     for i, b in enumerate(found):
         before, after = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)
         around = [v for x in (before, after) for v in ((x.words, x.links) if x else (0, 0.0))]
-        rows.append((b.words, b.links, *around, int(b.in_main), int(b.in_frame)))
+        rows.append((place(b), b.words, b.links, *around, min(1.0, b.words / largest) if largest > 0 else 0.0))
     return rows
 
 
@@ -254,7 +349,7 @@ def main_text(page: str | None, tree: tuple | int) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
-    tree = grow(list(LABELLED))
+    tree = grow(labelled_rows())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
