@@ -321,7 +321,9 @@ def _test_files(a: Artifacts) -> DataFrame:
 
 def quality_facts(spark: SparkSession, a: Artifacts) -> dict:
     """The facts row of the metrics as a dictionary; sources that were not found are left out."""
-    paths = [r["path"] for r in a.listed.filter("reason IS NULL AND script = 'Unknown'").select("path").collect()]  # files that are no sources
+    present = cut(S.evidence_paths(spark, a.root, a.listed, D.TOPS), "present")
+    paths = [r["path"] for r in D.evidence(present).collect()]  # reports and their like
+    odd = spark.createDataFrame([], "path string, kind string, warning string")
     base, settings = a.root.rstrip("/") + "/", a.config["testPresenceSettings"]
 
     def texts(kind: str) -> DataFrame | None:
@@ -340,22 +342,26 @@ def quality_facts(spark: SparkSession, a: Artifacts) -> dict:
     out |= {k: strict[k] for k in ("configs", "strict_configs", "fully_strict_configs")} if strict else {}
     out["type_check_skipped"] = True  # the compiler is not run
 
-    lines, junit = texts("lcov"), texts("junit")
+    lines, junit = [base + p for p in D.find(paths, "lcov")], texts("junit")
+    lines = R.lcov_records(spark, *lines) if lines else None
     records = R.lcov(lines).select(F.col("file").alias("path"), F.col("lines_found").alias("line_found"), F.col("lines_hit").alias("line_hit")) if lines else spark.createDataFrame([], "path string, line_found int, line_hit int")
     if lines:
-        out |= {"lcov_files": lines.count(), "line_coverage": R.coverage(R.lcov(lines)).first()["percent"]}
+        out |= {"lcov_files": lines.select("path").distinct().count(), "line_coverage": R.coverage(R.lcov(lines)).first()["percent"]}
     if junit and (counts := R.junit(junit).agg(*[F.sum(c).alias(c) for c in ("total", "passed", "failed", "skipped")]).first())["total"] is not None:
         out |= {f"junit_{k}": v for k, v in counts.asDict().items()}
+    if junit:
+        odd = odd.unionByName(R.warnings(junit, "junit"))
     ran = spark.createDataFrame([], "path string, label string")
     for kind, prefix in (("playwright", "e2e"), ("storybook", "storybook")):
         found = texts(kind)
         if found:
             tests = cut(D.ui_tests(found, kind), "ui_tests")
             counts = D.run_summary(tests).first()
+            odd = odd.unionByName(tests.filter("warning IS NOT NULL").select("path", F.lit(kind).alias("kind"), F.lit("not JSON").alias("warning")))
             out |= {f"{prefix}_{k}": v for k, v in counts.asDict().items()} if counts["total"] is not None else {}
             if kind == "playwright":
                 ran = ran.unionByName(tests.filter("files IS NOT NULL").select(F.explode("files").alias("path"), F.lit("playwright").alias("label")))
-    package = _small_texts(spark, a.root, ["package.json"]).get("package.json") if "package.json" in paths else None
+    package = _small_texts(spark, a.root, ["package.json"]).get("package.json") if not a.listed.filter("path = 'package.json' AND reason IS NULL").isEmpty() else None
     out["vitest"] = D.vitest(paths + [r["path"] for r in a.files.filter("path LIKE 'vitest.%'").select("path").collect()], package) is not None
     matches = cut(V.test_matches(a.files.join(files.select("path"), "path", "left_semi"), _test_files(a), deps, records, ran, settings["runtimeLineCoverageMinPercent"], settings["staticImportTraversalMaxDepth"]), "matches")
     whole = V.presence(matches).first()
@@ -365,16 +371,23 @@ def quality_facts(spark: SparkSession, a: Artifacts) -> dict:
         out |= {f"{b}_targets": by_bucket[b]["targets"] if b in by_bucket else 0, f"{b}_rate": by_bucket[b]["rate"] if b in by_bucket else 0.0}
 
     axe, light, diffs = texts("axe"), texts("lighthouse"), texts("openapi-diff")
+    axe, light = (cut(D.results(t, kind), "results") if t else None for kind, t in (("axe", axe), ("lighthouse", light)))
+    for kind, found in (("axe", axe), ("lighthouse", light)):
+        odd = odd.unionByName(found.filter("warning IS NOT NULL").select("path", F.lit(kind).alias("kind"), "warning")) if found else odd
+    odd = odd.unionByName(R.warnings(diffs, "openapi-diff")) if diffs else odd
     if axe and not (found := R.axe(axe)).isEmpty():
         sums = found.agg(*[F.sum(c).alias(c) for c in ("critical", "serious", "moderate", "minor")]).first()
         out |= {"axe_critical": sums["critical"], "axe_serious": sums["serious"], "axe_total": sum(sums)}
     if light:
         worst = R.lighthouse(light).first()
-        out |= {"lighthouse_files": light.count(), "lh_score": worst["score"], "lh_lcp": worst["lcp_s"], "lh_tti": worst["tti_s"]}
+        out |= {"lighthouse_files": light.filter("warning IS NULL").select("path").distinct().count(), "lh_score": worst["score"], "lh_lcp": worst["lcp_s"], "lh_tti": worst["tti_s"]}
     out["openapi_specs"] = len(D.find(paths, "openapi-spec"))
     if diffs:
         out["openapi_breaking"] = R.openapi_breaking(diffs).agg(F.sum("breaking")).first()[0]
-    audits = [(tool, r) for tool, read in (("npm-audit", R.npm_audit), ("trivy", R.trivy)) if (t := texts(tool)) for r in read(t).orderBy("path").collect()]
+    audit_texts = {tool: t for tool in ("npm-audit", "trivy") if (t := texts(tool))}
+    for tool, t in audit_texts.items():
+        odd = odd.unionByName(R.warnings(t, tool))
+    audits = [(tool, r) for tool, read in (("npm-audit", R.npm_audit), ("trivy", R.trivy)) if tool in audit_texts for r in read(audit_texts[tool]).orderBy("path").collect()]
     if audits:
         out |= {"audit_text": ", ".join(f"{tool}(critical={r['critical']},high={r['high']})" for tool, r in audits), "audit_severe": any(r["critical"] or r["high"] for _, r in audits)}
     sources = a.sources.join(files.select("path"), "path", "left_semi")
@@ -383,6 +396,7 @@ def quality_facts(spark: SparkSession, a: Artifacts) -> dict:
     nested = a.nested.join(files.select("path"), "path", "left_semi")
     out |= {"dangerous_html": X.raw_html(nested).count(), "secrets": sources.agg(F.coalesce(F.sum(F.size("secrets")), F.lit(0))).first()[0], "product_texts": X.shown_texts(nested).filter("scope = 'product'").count()}
     out |= {"docs": len(D.find(paths, "docs")), "ci": bool(D.find(paths, "ci")), "packages": deps.join(files.select(F.col("path").alias("source")), "source", "left_semi").filter("is_external").select("target").distinct().count()}
+    out["warnings"] = odd
     return out
 
 
@@ -396,7 +410,8 @@ def quality(
     """
     a = build(spark, root, config, all_scopes=True)
     c = a.config
-    row = {k: v for k, v in quality_facts(spark, a).items() if k in M.FACTS}
+    known = quality_facts(spark, a)
+    row = {k: v for k, v in known.items() if k in M.FACTS}
     facts = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {M.FACTS[k]}" for k in row))
     metrics = M.build_metrics(facts, c["qualityProfile"])
     listed = {r["path"] for r in a.listed.filter("path = 'quality.manual.json'").select("path").collect()}
@@ -416,6 +431,8 @@ def quality(
     categories = Q.category_verdicts(metrics)
     metrics.write.mode("overwrite").parquet(f"{name}/metrics")
     categories.write.mode("overwrite").parquet(f"{name}/categories")
+    odd = cut(known["warnings"].withColumn("path", F.regexp_replace("path", "^.*/(?=[^/]+$)", "")).distinct(), "odd")
+    odd.write.mode("overwrite").parquet(f"{name}/warnings")
     overall = Q.overall_verdict(categories).first().asDict()
     summary = {"schemaVersion": D.REPORT_VERSION, "summary": overall, "categories": [r.asDict() for r in categories.orderBy("category").collect()], "coverage": M.coverage(metrics).first().asDict()}
     _write_text(spark, f"{name}.json", json.dumps(summary, ensure_ascii=False, indent=2))
@@ -435,6 +452,7 @@ def quality(
         "Categories": W.markdown_table(categories.orderBy("category"), {"category": "category", "verdict": "verdict", "n_metrics": "metrics"}),
         "Metrics": W.markdown_table(metrics.orderBy("position"), {"category": "category", "label": "metric", "actual": "actual", "threshold": "threshold", "verdict": "verdict"}, 200),
         "Waiting for evidence": W.markdown_table(M.pending(metrics).orderBy("category"), {"category": "category", "n": "metrics", "ids": "ids"}),
+        "Files that gave no figures": W.markdown_table(odd.orderBy("kind", "path"), {"path": "file", "kind": "kind", "warning": "warning"}, 50),
     }
     text = W.page("Quality", sections)
     _write_text(spark, f"{name}.md", text)

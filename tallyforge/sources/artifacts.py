@@ -39,8 +39,13 @@ def junit(files: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.greatest(F.lit(0), F.col("total") - F.col("failed") - F.col("skipped")))
 
 
+def lcov_records(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, text), one row for each record: large files are split at record ends, so that many tasks read one."""
+    return spark.read.text(list(paths), lineSep="end_of_record").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
 def lcov(files: DataFrame) -> DataFrame:
-    """(path, text) -> (file, lines_found, lines_hit); of several records of a file the one with most lines found, then hit."""
+    """(path, text), whole files or records -> (file, lines_found, lines_hit); of several records of a file the one with most lines found, then hit."""
     record = files.select(F.explode(F.split("text", "end_of_record")).alias("r"))
 
     def field(name: str) -> Column:
@@ -57,6 +62,22 @@ def coverage(records: DataFrame) -> DataFrame:
     return sums.withColumn("percent", F.when(F.col("lines_found") > 0, F.col("lines_hit") / F.col("lines_found") * 100))
 
 
+#: What the JSON of a report has at its top; one of the places is enough.
+SHAPES = {"npm-audit": {"vulnerabilities": "map<string, variant>", "metadata.vulnerabilities": "map<string, variant>", "advisories": "map<string, variant>"}, "trivy": {"Results": "array<variant>"}}
+
+
+def warnings(files: DataFrame, kind: str) -> DataFrame:
+    """(path, text) -> (path, kind, warning) for files that give no figures: those that are no JSON, and those of another shape."""
+    if kind == "junit":
+        wrong = F.when(~F.coalesce(F.col("text").contains("<testsuite"), F.lit(False)), "not a report of this kind")
+    else:
+        parsed = F.try_parse_json("text")
+        places = [F.try_variant_get(parsed, f"$.{place}", shape).isNotNull() for place, shape in SHAPES.get(kind, {}).items()]
+        fits = F.lit(True) if not places else F.array_max(F.array(*places))
+        wrong = F.when(parsed.isNull(), "not JSON").when(~fits, "not a report of this kind")
+    return files.select("path", F.lit(kind).alias("kind"), wrong.alias("warning")).filter("warning IS NOT NULL")
+
+
 SEVERITIES = ("low", "moderate", "high", "critical")
 
 

@@ -45,6 +45,24 @@ PLACES = {
 DEPTH = 3
 
 
+#: Folders of the first level that hold places.
+TOPS = frozenset(p.split("/")[0] for places, folders, _ in PLACES.values() for p in (*places, *folders) if "/" in p or "." not in p or p in folders)
+
+
+def evidence(paths: DataFrame) -> DataFrame:
+    """(path) -> (path): the paths and folders that find() looks at, so that only these reach the driver."""
+    places = [p for named, _, _ in PLACES.values() for p in named]
+    parts = F.split("path", "/")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    named = paths.select(F.explode(F.filter(begins, lambda b: b.isin(*places))).alias("path"))
+    fits = F.lit(False)
+    for _, folders, pattern in PLACES.values():
+        if folders:
+            fits = fits | (F.get(parts, F.lit(0)).isin(*folders) & F.element_at(parts, -1).rlike(pattern))
+    searched = paths.filter((F.size(parts) > 1) & (F.size(parts) <= DEPTH + 2) & fits)
+    return named.unionByName(searched.select("path")).distinct()
+
+
 def find(paths: list[str], kind: str) -> list[str]:
     """The paths (relative to a project) that hold evidence of a kind, in order. A folder among the places stands for itself."""
     places, folders, pattern = PLACES[kind]
@@ -164,6 +182,23 @@ def shaped(payload, kind: str) -> list[dict]:
     return out
 
 
+def results(files: DataFrame, kind: str) -> DataFrame:
+    """files (path, text) of axe or Lighthouse -> (path, text, warning): a row for each result in a file, or one with a warning."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["text"], strict=True):
+                try:
+                    found = [(path, json.dumps(r), None) for r in shaped(json.loads(text or ""), kind)]
+                    rows += found or [(path, None, "not a report of this kind")]
+                except ValueError:
+                    rows.append((path, None, "not JSON"))
+            yield pd.DataFrame(rows, columns=["path", "text", "warning"])
+
+    return files.select("path", "text").mapInPandas(run, "path string, text string, warning string")
+
+
 READERS = {"playwright": playwright, "storybook": storybook}
 
 
