@@ -83,6 +83,13 @@ def _state_folder(root: str, config: dict, package: str | None) -> str:
     return f"{place}/state-{hashlib.sha256(name.encode()).hexdigest()[:16]}"
 
 
+def _own_folder(root: str, config: dict) -> list[str]:
+    """A pattern for the folder that holds the state, if it lies in the project: what is kept there is no part of it."""
+    place, base = config["cacheDir"].removeprefix("file:"), S.W.place_of(root) + "/"
+    place = place.removeprefix(base).removeprefix("./").rstrip("/")
+    return [f"^{re.escape(place)}(/|$)"] if place and not re.match(r"^([a-z]+:|/)", place) else []
+
+
 def _contexts(spark: SparkSession, texts: dict[str, str], fallback: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
     """(place, context) and lookup.ALIASES of every configuration, and of none (the empty place): parsed once, a few letters each."""
     rows, aliases = [("", C.context_hash(None, fallback))], [("", k, v) for k, v in fallback.items()]
@@ -103,7 +110,7 @@ def build(spark: SparkSession, root: str, config: dict | None = None, all_scopes
     """
     config = C.merged(config)
     scope = "all" if all_scopes else config["analysisScope"]
-    listed = cut(S.listing(spark, root, config["excludePatterns"], scope, config["maxFileSizeBytes"]), "listing")
+    listed = cut(S.listing(spark, root, [*config["excludePatterns"], *_own_folder(root, config)], scope, config["maxFileSizeBytes"]), "listing")
     every = listed.filter("reason IS NULL").select("path")
     wanted = S.sources_of(listed).select("path", "kind", "byte_size", "mtime")
     named = every.filter(F.col("path").rlike(r"(^|/)(jsconfig\.json|tsconfig(\.[^./]+)*\.json)$") | (F.col("path") == "package.json"))

@@ -21,6 +21,7 @@ FILES = {
     "node_modules/react/index.js": "module.exports = 1",
     "coverage/lcov.info": "SF:src/services/api.ts\nLF:4\nLH:3\nend_of_record\n",
     "reports/playwright.json": '{"suites": [{"specs": [{"tests": [{"status": "flaky", "location": {"file": "e2e/a.spec.ts"}}, {"results": [{"status": "failed"}, {"status": "passed"}]}]}]}]}',
+    "audit.json": "{",
     "quality.manual.json": '{"figma_delta": {"verdict": "pass"}, "typescript_errors": {"verdict": "pass"}}',
 }
 
@@ -69,7 +70,8 @@ def test_graph_and_quality(spark, project):
     assert m["circular_dependencies"]["verdict"] == "fail" and m["tsconfig_type_safety"]["actual"] == "full=0/1, strict=1/1"
     assert m["design_system_usage_rate"]["actual"] == "100.0%" and m["zod_adoption"]["actual"] == "50.0%" and m["e2e_pass_rate"]["verdict"] == "pass"
     assert m["hardcoded_jsx_text"]["actual"] == "1" and m["figma_delta"]["verdict"] == "pass" and m["typescript_errors"]["verdict"] == "pass"
-    assert m["coverage_rate"]["verdict"] == "manual"  # the folder is excluded by default
+    assert m["coverage_rate"]["verdict"] == "fail" and m["coverage_rate"]["actual"].startswith("75")  # its folder is left out of the scan, not of the search for reports
+    assert [tuple(r) for r in spark.read.parquet(f"{out}/analysis_quality_report/warnings").collect()] == [("audit.json", "npm-audit", "not JSON")]
     lost = Z.quality(spark, root, f"{out}2", "gate", f"{out}/analysis_quality_report", {"analysisScope": "source-only"}, [("zod-adoption", 1, "broken")]).first()
     assert lost["n_regressions"] == 1
     with pytest.raises(C.ConfigError):
