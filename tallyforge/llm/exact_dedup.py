@@ -23,6 +23,8 @@ from tallyforge.llm.common import any_names, discard, lean, small_batches, squee
 P = np.uint64(2**31 - 1)
 BASES = (np.uint64(1_000_003_9), np.uint64(1_597_334_677))
 CHUNK = 1024
+#: Chunks hashed at once: bounds the memory beside a batch, as every byte is widened to several 64-bit numbers.
+AT_ONCE = 256
 #: Code points of one segment, and of one compared piece.
 SEGMENT, PIECE = 1 << 20, 1 << 16
 #: Members that one copy of the keeper's text is compared with.
@@ -61,10 +63,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, base: np.uint64) -> np.n
     table = _POWERS[int(base)]
     if len(table) < CHUNK:
         table = _POWERS[int(base)] = power(base, np.arange(CHUNK))
-    first, last = int(offsets[0]), int(offsets[-1])
-    places = np.repeat(end - 1, end - start) - np.arange(first, last)
-    terms = (data[first:last].astype(np.uint64) + np.uint64(1)) * table[places]
-    chunk_hash = np.add.reduceat(terms, start - first) % P
+    chunk_hash = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), AT_ONCE):
+        begin, stop = start[a : a + AT_ONCE], end[a : a + AT_ONCE]
+        first, last = int(begin[0]), int(stop[-1])
+        terms = data[first:last].astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= table[np.repeat(stop - 1, stop - begin) - np.arange(first, last)]
+        chunk_hash[a : a + AT_ONCE] = np.add.reduceat(terms, begin - first) % P
     shifted = chunk_hash * power(base, offsets[owner + 1] - end) % P
     at = np.cumsum(n_chunks) - n_chunks
     some = n_chunks > 0

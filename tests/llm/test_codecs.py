@@ -1,6 +1,7 @@
 """Codecs against the tokenizers library, exact round trips, and array kernels against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -106,3 +107,14 @@ def test_empty_bucket_gives_nothing():
     blob = zstandard.ZstdCompressor().compress(np.array([0, 0, 2], np.uint32).tobytes())
     a, b, many = bucket_links([blob], 75)
     assert not len(a) and not len(b) and not many
+
+
+def test_fingerprints_hold_little_beside_the_batch():
+    data, offsets = np.arange(1 << 22, dtype=np.uint64).astype(np.uint8), np.array([0, 5, 5, 3_000_000, 1 << 22])
+    fingerprints(data[:10], np.array([0, 10]), BASES[0])
+    tracemalloc.start()
+    whole = fingerprints(data, offsets, BASES[0])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20
+    assert whole.tolist() == [int(fingerprints(data[a:b], np.array([0, b - a]), BASES[0])[0]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
