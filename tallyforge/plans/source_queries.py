@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import lookup as L
@@ -24,56 +24,60 @@ ROWS = "r AS (SELECT *, l_quantity::BIGINT AS q, 'part' || l_partkey || '.tsx' A
 
 
 def sources(spark, d) -> DataFrame:
-    """(path, content) of every part that a line item names."""
+    """(path, content) of every part that a line item names; numbers are gathered, and the code is written from them."""
+
+    def code(s: Column) -> Column:
+        text = F.element_at(F.array(*map(F.lit, CODE)), ((s["o"] + s["l"]) % 6 + 1).cast("int"))
+        for mark in "olsq":
+            text = F.replace(text, F.lit(f"{{{mark}}}"), s[mark].cast("string"))
+        return F.replace(F.replace(text, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
-    values = {"{o}": F.col("l_orderkey"), "{l}": F.col("l_linenumber"), "{s}": F.col("l_suppkey"), "{q}": F.col("l_quantity").cast("long")}
-    code = F.element_at(F.array(*map(F.lit, CODE)), ((F.col("l_orderkey") + F.col("l_linenumber")) % 6 + 1).cast("int"))
-    for mark, value in values.items():
-        code = F.replace(code, F.lit(mark), value.cast("string"))
-    code = F.replace(F.replace(code, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
-    lines = rows.select(F.concat(F.lit("part"), "l_partkey", F.lit(".tsx")).alias("path"), F.struct("l_orderkey", "l_linenumber", code.alias("code")).alias("s"))
-    return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["code"]), "\n").alias("content"))
+    item = F.struct(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
+    parts = rows.groupBy("l_partkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return parts.select(F.concat(F.lit("part"), "l_partkey", F.lit(".tsx")).alias("path"), F.array_join(F.transform("items", code), "\n").alias("content"))
 
 
-def facts(spark, d) -> DataFrame:
-    return cut(X.source_facts(sources(spark, d)), "source_facts")
+def facts(spark, d, *wanted: str) -> DataFrame:
+    return X.source_facts(sources(spark, d), *wanted)
 
 
 @register(f"""WITH {ROWS} SELECT path, 'import' AS type, false AS is_type_only, './m' || l_suppkey AS specifier FROM r WHERE k = 0 UNION ALL
 SELECT path, 'import', true, 'pkg' || l_suppkey || '/sub' FROM r WHERE k = 1 UNION ALL SELECT path, 'export', false, '@scope/all' || l_suppkey || '/x' FROM r WHERE k = 1""")
 def source_statements(spark, d):
-    return X.statements(facts(spark, d)).select("path", "type", "is_type_only", "specifier")
+    return X.statements(facts(spark, d, "imports")).select("path", "type", "is_type_only", "specifier")
 
 
 @register(f"""WITH {ROWS} SELECT path AS source, 'm' || l_suppkey AS target, 'import' AS type, false AS is_type_only, false AS is_external FROM r WHERE k = 0 UNION ALL
 SELECT path, 'pkg' || l_suppkey, 'import', true, true FROM r WHERE k = 1 UNION ALL SELECT path, '@scope/all' || l_suppkey, 'export', false, true FROM r WHERE k = 1""")
 def source_dependencies(spark, d):
-    f = sources(spark, d)
-    return X.resolved(X.statements(facts(spark, d)).select("path", "type", "is_type_only", "specifier"), f).select("source", "target", "type", "is_type_only", "is_external")
+    f = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("part"), "l_partkey", F.lit(".tsx")).alias("path")).distinct()
+    statements = cut(source_statements(spark, d).select("path", "type", "is_type_only", "specifier"), "source_statements")
+    return X.resolved(statements, f).select("source", "target", "type", "is_type_only", "is_external")
 
 
 @register(f"""WITH {ROWS} SELECT path, 'f' || l_orderkey || 'x' || l_linenumber AS name, 3 AS cc, 1 AS nesting, 1 AS ternaries, 1 AS logical, 0 AS loops FROM r WHERE k = 2 UNION ALL
 SELECT path, 'g' || l_orderkey || 'x' || l_linenumber, 6, 2, 0, 0, 1 FROM r WHERE k = 3 UNION ALL SELECT path, 'C' || l_orderkey || 'x' || l_linenumber, 2, 0, 0, 1, 0 FROM r WHERE k = 4 UNION ALL
 SELECT path, 'anonymous', 1, 0, 0, 0, 0 FROM r WHERE k = 4""")
 def source_functions(spark, d):
-    return X.functions(facts(spark, d)).select("path", "name", "cc", "nesting", "ternaries", "logical", "loops")
+    return X.functions(facts(spark, d, "functions")).select("path", "name", "cc", "nesting", "ternaries", "logical", "loops")
 
 
 @register(f"WITH {ROWS} SELECT path, 'C' || l_orderkey || 'x' || l_linenumber AS name, 2 AS jsx, 2 AS hook_count, 1 AS render, false AS has_children FROM r WHERE k = 4")
 def source_components(spark, d):
-    return X.components(facts(spark, d)).select("path", "name", "jsx", "hook_count", "render", "has_children")
+    return X.components(facts(spark, d, "components")).select("path", "name", "jsx", "hook_count", "render", "has_children")
 
 
 @register(f"WITH {ROWS} SELECT path, 'useState' AS name, 1 AS args, false AS has_dependencies FROM r WHERE k = 4 UNION ALL SELECT path, 'useEffect', 2, true FROM r WHERE k = 4")
 def source_hooks(spark, d):
-    return X.hooks(facts(spark, d)).select("path", "name", "args", "has_dependencies")
+    return X.hooks(facts(spark, d, "hooks")).select("path", "name", "args", "has_dependencies")
 
 
 @register(f"""WITH {ROWS} SELECT path, count(*) FILTER (k = 3) AS any_count, count(*) FILTER (k = 5) AS unknown_count, count(*) FILTER (k = 3) + 2 * count(*) FILTER (k = 5) AS assertion,
   count(*) FILTER (k = 3) + count(*) FILTER (k = 5) AS unsafe, count(*) FILTER (k = 5) AS double, 0 AS const, count(*) FILTER (k = 5) AS non_null, count(*) FILTER (k = 5) AS ts_ignore, 0 AS ts_expect, 0 AS ts_nocheck
 FROM r GROUP BY path""")
 def source_types(spark, d):
-    return X.types(facts(spark, d))
+    return X.types(facts(spark, d, "types"))
 
 
 @register(f"WITH {ROWS} SELECT path, (count(*) + count(*) FILTER (k = 5))::BIGINT AS total_lines, count(*) FILTER (k <> 5) AS code_lines, 2 * count(*) FILTER (k = 5) AS comment_lines FROM r GROUP BY path")
@@ -83,7 +87,7 @@ def source_lines(spark, d):
 
 @register(f"WITH {ROWS} SELECT path, count(*) FILTER (k = 4) * 2 AS n_texts, count(*) FILTER (k = 4) > 0 AS renders FROM r GROUP BY path")
 def source_texts(spark, d):
-    return facts(spark, d).select("path", F.size("texts").cast("long").alias("n_texts"), F.array_contains("rendered", "div").alias("renders"))
+    return facts(spark, d, "texts", "rendered").select("path", F.size("texts").cast("long").alias("n_texts"), F.array_contains("rendered", "div").alias("renders"))
 
 
 #: Lines of documents that look like secrets.

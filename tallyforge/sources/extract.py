@@ -6,16 +6,17 @@ functions take tables; patterns over lines stay in SQL functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import paths as P
 from tallyforge.operators.contract import doubled
 from tallyforge.operators.lookup import ALIASES, matched_aliases
-from tallyforge.sources.syntax import Source
+from tallyforge.sources.syntax import Component, Function, Source
 
 COMMENT = r"""(?s)/\*.*?\*/|(?m)//[^\n]*"""
 #: Where a module path without ending is looked for, in order.
@@ -29,45 +30,71 @@ def package_name(specifier: Column) -> Column:
 
 
 TYPE_FIELDS = "any_count unknown_count assertion unsafe double const non_null ts_ignore ts_expect ts_nocheck".split()
-SCHEMA = (
-    "path string, imports array<struct<type: string, module: string, is_type_only: boolean, line: int, column: int, start: int, names: array<struct<name: string, alias: string, kind: string>>>>, "
-    "functions array<struct<name: string, cc: long, nesting: long, start_line: long, end_line: long, branches: int, loops: int, ternaries: int, logical: int, is_async: boolean>>, "
-    "components array<struct<name: string, start_line: long, end_line: long, jsx: long, hook_count: long, render: long, has_children: boolean, uses_ref: boolean, forwards_ref: boolean, hooks: array<string>>>, "
-    "hooks array<struct<name: string, line: int, args: int, has_dependencies: boolean>>, "
-    f"types struct<{', '.join(f'{t}: long' for t in TYPE_FIELDS)}>, has_tests boolean, rendered array<string>, texts array<struct<line: int, text: string>>, raw_html array<int>"
-)
-
-
-def read_facts(path: str, content: str | None) -> dict:
-    """The facts of one file; a null text counts as empty."""
-    f = Source(content or "", path or "").facts()
+#: Facts that are lists of rows, and their columns.
+ROWS = {
+    "imports": "type: string, module: string, is_type_only: boolean, line: int, column: int, start: int, names: array<struct<name: string, alias: string, kind: string>>",
+    "functions": "name: string, cc: long, nesting: long, start_line: long, end_line: long, branches: int, loops: int, ternaries: int, logical: int, is_async: boolean",
+    "components": "name: string, start_line: long, end_line: long, jsx: long, hook_count: long, render: long, has_children: boolean, uses_ref: boolean, forwards_ref: boolean, hooks: array<string>",
+    "hooks": "name: string, line: int, args: int, has_dependencies: boolean",
+    "texts": "line: int, text: string",
+}
+#: Types of all facts of a file, for Spark and for Arrow.
+FACTS = {
+    "imports": f"array<struct<{ROWS['imports']}>>", "functions": f"array<struct<{ROWS['functions']}>>", "components": f"array<struct<{ROWS['components']}>>", "hooks": f"array<struct<{ROWS['hooks']}>>",
+    "types": f"struct<{', '.join(f'{t}: long' for t in TYPE_FIELDS)}>", "has_tests": "boolean", "rendered": "array<string>", "texts": f"array<struct<{ROWS['texts']}>>", "raw_html": "array<int>",
+}
+_NAMED = pa.list_(pa.struct([(n, pa.string()) for n in ("name", "alias", "kind")]))
+_PLAIN = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<struct<name: string, alias: string, kind: string>>": _NAMED}
+_ARROW = {k: pa.list_(pa.struct([(n, _PLAIN[t]) for n, t in re.findall(r"(\w+): (array<.*>|\w+)", v)])) for k, v in ROWS.items()}
+_ARROW |= {"types": pa.struct([(t, pa.int64()) for t in TYPE_FIELDS]), "has_tests": pa.bool_(), "rendered": _PLAIN["array<string>"], "raw_html": pa.list_(pa.int32())}
+#: Files whose facts a worker holds at once.
+AT_ONCE = 256
+
+
+def _function(x: Function) -> dict:
+    return {"name": x.name, "cc": x.cc, "nesting": x.nesting, "start_line": x.line, "end_line": x.end_line, "branches": x.branches, "loops": x.loops, "ternaries": x.ternaries, "logical": x.logical, "is_async": x.is_async}
+
+
+def _component(x: Component) -> dict:
     return {
-        "path": path,
-        "imports": [{k: r[k] for k in ("type", "module", "is_type_only", "line", "column", "start")} | {"names": [dict(zip(("name", "alias", "kind"), n, strict=True)) for n in r["names"]]} for r in f.imports],
-        "functions": [
-            {"name": x.name, "cc": x.cc, "nesting": x.nesting, "start_line": x.line, "end_line": x.end_line, "branches": x.branches, "loops": x.loops, "ternaries": x.ternaries, "logical": x.logical, "is_async": x.is_async}
-            for x in f.functions
-        ],
-        "components": [
-            {"name": x.name, "start_line": x.line, "end_line": x.end_line, "jsx": x.jsx, "hook_count": len(x.hooks), "render": x.render, "has_children": x.has_children, "uses_ref": x.uses_ref,
-             "forwards_ref": x.forwards_ref, "hooks": [h[0] for h in x.hooks]}
-            for x in f.components
-        ],
-        "hooks": [dict(zip(("name", "line", "args", "has_dependencies"), h, strict=True)) for h in f.hooks],
-        "types": f.types, "has_tests": f.tests, "rendered": f.rendered, "texts": [{"line": n, "text": t} for n, t in f.texts], "raw_html": f.raw_html,
+        "name": x.name, "start_line": x.line, "end_line": x.end_line, "jsx": x.jsx, "hook_count": len(x.hooks), "render": x.render, "has_children": x.has_children, "uses_ref": x.uses_ref,
+        "forwards_ref": x.forwards_ref, "hooks": [h[0] for h in x.hooks],
     }
 
 
-def source_facts(files: DataFrame) -> DataFrame:
-    """files (path, content) -> one row of nested facts a file (SCHEMA)."""
+#: How each fact is written as plain values.
+_VALUES = {
+    "imports": lambda f: [r | {"names": [dict(zip(("name", "alias", "kind"), n, strict=True)) for n in r["names"]]} for r in f.imports],
+    "functions": lambda f: [_function(x) for x in f.functions],
+    "components": lambda f: [_component(x) for x in f.components],
+    "hooks": lambda f: [dict(zip(("name", "line", "args", "has_dependencies"), h, strict=True)) for h in f.hooks],
+    "types": lambda f: f.types,
+    "has_tests": lambda f: f.tests,
+    "rendered": lambda f: f.rendered,
+    "texts": lambda f: [{"line": n, "text": t} for n, t in f.texts],
+    "raw_html": lambda f: f.raw_html,
+}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def read_facts(path: str | None, content: str | None, wanted: tuple[str, ...] = tuple(FACTS)) -> dict:
+    """The wanted facts of one file; a null text counts as empty."""
+    f = Source(content or "", path or "").facts(*["tests" if w == "has_tests" else w for w in wanted])
+    return {w: _VALUES[w](f) for w in wanted}
+
+
+def source_facts(files: DataFrame, *wanted: str) -> DataFrame:
+    """files (path, content) -> one row of nested facts (FACTS) a file: the wanted ones, all by default."""
+    wanted = wanted or tuple(FACTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [read_facts(p, c) for p, c in zip(b["path"], b["content"], strict=True)]
-            if rows:
-                yield pd.DataFrame(rows)
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                paths = part.column(0).to_pylist()
+                rows = [read_facts(p, c, wanted) for p, c in zip(paths, part.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *[pa.array([r[w] for r in rows], _ARROW[w]) for w in wanted]], names=["path", *wanted])
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, "path string, " + ", ".join(f"{w} {FACTS[w]}" for w in wanted))
 
 
 def _rows(facts: DataFrame, column: str) -> DataFrame:
@@ -81,7 +108,7 @@ def statements(facts: DataFrame) -> DataFrame:
 
 def dependencies(files: DataFrame) -> DataFrame:
     """files (path, content) -> (path, type, is_type_only, specifier), one row per statement."""
-    return statements(source_facts(files)).select("path", "type", "is_type_only", "specifier")
+    return statements(source_facts(files, "imports")).select("path", "type", "is_type_only", "specifier")
 
 
 def functions(facts: DataFrame) -> DataFrame:
