@@ -328,7 +328,7 @@ def candidates(blobs: DataFrame, percent: int) -> DataFrame:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, s): the set of each wanted node (node) as bytes, from one document that has it."""
+    """(node, s): the set of each wanted node (node) as bytes, from one document that has it; from each row that repeats that document."""
     one = nodes.groupBy("node").agg(F.min("doc_id").alias("id")).join(wanted.withColumnRenamed("node", "w"), F.col("node") == F.col("w"), "left_semi")
     one = one.select("node", "id")
 
@@ -341,7 +341,16 @@ def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame
             )
 
     texts = docs.select("doc_id", text_of().alias("text")).join(one, F.col("doc_id").eqNullSafe(F.col("id")))
-    return texts.select("node", "text").mapInArrow(lean(run), "node long, s binary").dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(lean(run), "node long, s binary")
+
+
+def each_once(sets: DataFrame) -> DataFrame:
+    """node_sets() as written, a row for each node: sets are shuffled only if rows are repeated, which the nodes alone tell."""
+    if sets.groupBy("node").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
+        return sets
+    once = work_table(sets.dropDuplicates(["node"]), "jaccard_sets")
+    discard(sets)
+    return once
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -454,7 +463,7 @@ def by_shingles(docs: DataFrame, nodes: DataFrame, rest: DataFrame, percent: int
     A similar set shares one of any (size - least overlap + 1) shingles. The nodes' shingles are taken in blocks of
     bounded size, each looked up in all documents.
     """
-    sets = node_sets(docs, nodes, rest)
+    sets = node_sets(docs, nodes, rest).dropDuplicates(["node"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -508,7 +517,7 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, hot_n: np.ndarray,
     many = work_table(many.withColumn("gid", F.xxhash64("probes", "indexed")), "jaccard_many")
     discard(blobs, found)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = work_table(node_sets(docs, nodes, wanted), "jaccard_sets")
+    sets = each_once(work_table(node_sets(docs, nodes, wanted), "jaccard_sets"))
     # first each node's pair with its smallest partner, then what still lies between components
     nearest = work_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard_nearest")
     good = work_table(verified(nearest, sets, percent), "jaccard_good")
